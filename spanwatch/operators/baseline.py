@@ -185,7 +185,8 @@ def near_duplicates(baseline: DataFrame, threshold: float = 0.85) -> DataFrame:
 
 def closest_baseline(live: DataFrame, baseline: DataFrame) -> DataFrame:
     """For fingerprints that the baseline lacks, the entry of the same root op with the most similar edges."""
-    new = live.select(*KEY, "root_op", "path", "services", "span_count").dropDuplicates(KEY).join(baseline.select(*KEY), KEY, "left_anti").withColumn("e", S.path_edges(F.col("path")))
+    first = F.min_by(F.struct("root_op", "path", "services", "span_count"), F.struct("trace_start", "trace_id")).alias("x")
+    new = live.groupBy(*KEY).agg(first).select(*KEY, "x.*").join(baseline.select(*KEY), KEY, "left_anti").withColumn("e", S.path_edges(F.col("path")))
     b = baseline.select(*ROOT, F.col("fp_hash").alias("base_hash"), F.col("path").alias("base_path"), F.col("services").alias("base_services"), F.col("span_count").alias("base_span_count")).withColumn("be", S.path_edges(F.col("base_path")))
     j = new.join(b, ROOT).withColumn("similarity", F.size(F.array_intersect("e", "be")) / F.greatest(F.size(F.array_union("e", "be")), F.lit(1)))
     w = Window.partitionBy(*KEY).orderBy(F.desc("similarity"), "base_hash")

@@ -444,13 +444,13 @@ def a_incident_windows(spark, d):
     return windows(spark, d)
 
 
-@query(_q("select b.environment, b.fp_hash, b.root_op, min(w.start_ms) as window_start from base b join iw w on w.environment = b.environment and epoch_ms(b.first_seen) between w.start_ms and w.end_ms group by 1, 2, 3", _IW))
+@query(_q("select b.environment, b.fp_hash, b.root_op, min(w.start_ms) as window_start from base b join iw w on w.environment = b.environment and epoch_us(b.first_seen) // 1000 between w.start_ms and w.end_ms group by 1, 2, 3", _IW))
 def j_incident_window(spark, d):
     return B.stale_entries(base(spark, d), windows(spark, d))
 
 
 _HEALTH = """select environment, 'STALE_BASELINE' as "check", '' as hash, '' as root_op from (select distinct environment from base)
-    union all select distinct b.environment, 'STALE_ENTRIES', b.fp_hash, b.root_op from base b join iw w on w.environment = b.environment and epoch_ms(b.first_seen) between w.start_ms and w.end_ms
+    union all select distinct b.environment, 'STALE_ENTRIES', b.fp_hash, b.root_op from base b join iw w on w.environment = b.environment and epoch_us(b.first_seen) // 1000 between w.start_ms and w.end_ms
     union all select a.environment, 'NEAR_DUPLICATES', a.fp_hash, a.root_op from pathsx a join pathsx b on a.environment = b.environment and a.root_op = b.root_op and a.fp_hash < b.fp_hash
       where len(list_intersect(list_distinct(a.toks), list_distinct(b.toks))) / len(list_distinct(list_concat(a.toks, b.toks))) >= 0.85
     union all select environment, 'INCIDENT_ARTIFACTS', sig_hash, operation from ebase where error_type in ('503', 'java.net.ConnectException')"""

@@ -101,7 +101,7 @@ _DOM = """select e.environment, e.root_op, e.service, count(*) as variants, min(
     join (select environment, root_op, count(*) as total from base group by 1, 2) t using (environment, root_op) group by 1, 2, 3 having count(*) / min(t.total) >= 0.6"""
 
 
-@query(sql(f"""select w.trace_id, w.root_op, s.variants, s.hi as span_max, s.lo as span_min, m.dominant from watch w
+@query(sql(f"""select w.trace_id, w.root_op, s.variants, s.hi::int as span_max, s.lo::int as span_min, m.dominant from watch w
     left join (select environment, root_op, count(*) as variants, max(span_count_max) as hi, min(span_count_min) as lo from base group by 1, 2) s using (environment, root_op)
     left join (select environment, root_op, string_agg(service, ',' order by service) as dominant from ({_DOM}) group by 1, 2) m using (environment, root_op)"""))
 def j_root_op_stats(spark, d):
@@ -117,7 +117,7 @@ def j_near_dupes(spark, d):
 
 
 _EDGES_OF = "(select coalesce(list(distinct t[i] || ' -> ' || t[i + 1]), []) from unnest(range(1, len(t))) as r(i) where t[i] <> t[i + 1])"
-_PAIRS = f"""live as (select distinct on (environment, fp_hash) environment, fp_hash, root_op, path, services, span_count from watch w where not exists (select 1 from base b where b.environment = w.environment and b.fp_hash = w.fp_hash)),
+_PAIRS = f"""live as (select distinct on (environment, fp_hash) environment, fp_hash, root_op, path, services, span_count from watch w where not exists (select 1 from base b where b.environment = w.environment and b.fp_hash = w.fp_hash) order by environment, fp_hash, trace_start, trace_id),
     le as (select *, {_EDGES_OF} as e from (select *, string_split(path, ' -> ') as t from live)),
     be as (select environment, root_op, fp_hash as base_hash, services as base_services, {_EDGES_OF} as be, span_count as base_span_count from (select *, string_split(path, ' -> ') as t from base)),
     pr as (select *, len(list_intersect(e, be)) / greatest(1, len(list_distinct(list_concat(e, be)))) as similarity from le join be using (environment, root_op)),

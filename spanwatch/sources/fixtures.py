@@ -105,7 +105,7 @@ SQL = {
         role as service, 'turn' || (turn % 2) as operation, turn * 1000000 as start_us, length(text) * 1000 as duration_us, false as is_error from conversations""",
     "anomalies": """select environment, 'svc' || (user_id % 50) as service, 'tier' || (1 + k % 3) as tier,
         ['NEW_FINGERPRINT', 'MISSING_SERVICE', 'SPAN_COUNT_SPIKE', 'SPAN_COUNT_DROP', 'NEW_ERROR_SIGNATURE', 'SIGNATURE_SPIKE', 'LATENCY_ANOMALY'][1 + k % 7] as anomaly_type,
-        cast(k as varchar) as hash, case when k % 7 = 1 then 'svc' || (user_id % 50) || ', svc' || (k % 50) else '' end as services, 'svc' || (user_id % 50) || ':op' || (k % 2) as root_op, epoch_ms(ts) as ts_ms, event_id, user_id, k
+        cast(k as varchar) as hash, case when k % 7 = 1 then 'svc' || (user_id % 50) || ', svc' || (k % 50) else '' end as services, 'svc' || (user_id % 50) || ':op' || (k % 2) as root_op, epoch_us(ts) // 1000 as ts_ms, event_id, user_id, k
         from ev where event_type <> 'signup'""",
-    "deploys": "select environment, 'svc' || (user_id % 50) as service, 'v' || k as version, epoch_ms(ts) as ts_ms, event_id from ev where event_type = 'signup' and k < 10",
+    "deploys": "select environment, 'svc' || (user_id % 50) as service, 'v' || k as version, epoch_us(ts) // 1000 as ts_ms, event_id from ev where event_type = 'signup' and k < 10",
 }
