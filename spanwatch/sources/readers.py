@@ -22,14 +22,13 @@ def flatten_otlp(batches: DataFrame) -> DataFrame:
     r = batches.select(F.explode("resourceSpans").alias("r")).withColumn("attrs", _attributes(F.coalesce("r.resource.attributes", F.array().cast("array<struct<key:string,value:struct<stringValue:string>>>"))))
     s = r.select("attrs", F.explode("r.scopeSpans").alias("sc")).select("attrs", F.explode("sc.spans").alias("s"))
     tags = _attributes(F.coalesce("s.attributes", F.array().cast("array<struct<key:string,value:struct<stringValue:string>>>")))
-    start, end = F.col("s.startTimeUnixNano").cast("bigint"), F.col("s.endTimeUnixNano").cast("bigint")
-    us = F.floor(start / 1000).cast("bigint")
+    us = F.expr("cast(s.startTimeUnixNano as bigint) div 1000")
     env = F.coalesce(F.try_element_at("attrs", F.lit("deployment.environment")), F.lit("all"))
     return s.withColumn("tags", tags).select(
         env.alias("environment"), F.col("s.traceId").alias("trace_id"), F.col("s.spanId").alias("span_id"),
         F.when(~F.coalesce(F.col("s.parentSpanId"), F.lit("")).rlike("^0*$"), F.col("s.parentSpanId")).alias("parent_id"),
         F.coalesce(F.try_element_at("attrs", F.lit("service.name")), F.lit("unknown")).alias("service"), F.col("s.name").alias("operation"), us.alias("start_us"),
-        F.floor((end - start) / 1000).cast("bigint").alias("duration_us"), S.is_error(F.col("tags"), "stream", F.coalesce(F.col("s.status.code") == 2, F.lit(False))).alias("is_error"),
+        F.expr("(cast(s.endTimeUnixNano as bigint) - cast(s.startTimeUnixNano as bigint)) div 1000").alias("duration_us"), S.is_error(F.col("tags"), "stream", F.coalesce(F.col("s.status.code") == 2, F.lit(False))).alias("is_error"),
         "tags", F.timestamp_micros(us).alias("event_time"),
     )
 
