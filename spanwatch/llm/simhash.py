@@ -203,6 +203,7 @@ def near_duplicates(
     lows = grouped.groupBy("root").agg(F.min("low").alias("least"))
     merged = grouped.join(lows, "root").select("node", "root", "least")
     named = reps.select("node", "low").join(merged, "node", "left").selectExpr("node", "coalesce(root, node) as component", "coalesce(least, low) as component_id")
+    named = cut(named, "simhash-groups")  # a table of its own, so that the join with a hot fingerprint can be split
     return fps.join(named, "node").select("id", "text_key", "fp", "node", "component", "component_id")
 
 
