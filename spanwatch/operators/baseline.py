@@ -337,3 +337,10 @@ def health_brief(summary: DataFrame) -> DataFrame:
     tests = (("stale", F.col("stale")), ("empty", F.col("fingerprints") == 0), ("contaminated", F.col("contaminated") != ""), ("pending", F.col("pending") > 5))
     found = F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests]))
     return summary.select("environment", F.explode(found).alias("warning"))
+
+
+def stale_baseline(loaded: DataFrame, promotions: DataFrame, as_of, hours: int = 24) -> DataFrame:
+    """Baselines (``environment, loaded_at``) older than ``hours`` with promotions (``environment, ts``) since they were loaded."""
+    since = promotions.join(loaded, "environment").where("ts > loaded_at").groupBy("environment").agg(F.count("*").alias("promotions"))
+    age = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("loaded_at")) / 3_600_000_000
+    return loaded.withColumn("age_h", F.floor(age)).where(F.col("age_h") >= hours).join(since, "environment").select("environment", "age_h", "promotions")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanwatch.plans.base import sql
 from spanwatch.plans.registry import query
-from spanwatch.plans.structure_queries import fps
+from spanwatch.plans.structure_queries import _STREAM, base, fps, watched
 from spanwatch.sources import fixtures as X
 from spanwatch.streaming import streams as St
 
@@ -142,3 +142,35 @@ def st_fingerprint(spark, d):
 def st_trace_buffer(spark, d):
     t = drained(St.buffer_traces(as_stream(X.event_spans(spark, d)), "6 hours", "1 hour"))
     return t.select("environment", "trace_id", F.size("spans").alias("n"), F.unix_micros("trace_start").alias("start_us"))
+
+
+@query(sql(f"select environment, trace_id, fp_hash, root_op, anomaly_type from ({_STREAM})"))
+def st_classify(spark, d):
+    """A stream of fingerprints against the baseline version that is current in each micro-batch."""
+    from spanwatch.sources import sinks
+
+    folder = _folder(spark)
+    sinks.write_baseline(base(spark, d), f"{folder}/baseline")
+    stream = as_stream(watched(spark, d))
+    q = St.classify_batches(stream, lambda: sinks.read_baseline(spark, f"{folder}/baseline"), lambda df: df.write.mode("append").parquet(f"{folder}/out"), f"{folder}/state")
+    q.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query()
+def st_late_spans(spark, d):
+    """Spans of the first days that arrive after those of the last days: how many rows the watermark drops."""
+    s = X.event_spans(spark, d)
+    folder = _folder(spark)
+    s.where("event_time >= timestamp '2024-01-15'").coalesce(1).write.parquet(f"{folder}/in")
+    counts = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    rates = St.tumbling_rates(counts, "1 hour", "1 hour")
+
+    def drain():
+        q = rates.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return St.late_span_metrics(q)
+
+    drain()
+    s.where("event_time < timestamp '2024-01-10'").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.range(1).select(F.lit(drain()).cast("bigint").alias("dropped_rows"))

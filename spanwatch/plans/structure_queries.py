@@ -536,3 +536,12 @@ def src_thresholds(spark, d):
     union all select distinct b.environment, b.root_op, '', 'vanished' from base b where not exists (select 1 from watch w where w.environment = b.environment and w.root_op = b.root_op)) group by 1, 2, 3"""))
 def s_drift_report(spark, d):
     return B.drift_report(watched(spark, d), base(spark, d))
+
+
+@query(sql("""select b.environment, floor((epoch_us(timestamp '2024-02-10') - epoch_us(b.loaded)) / 3600000000)::bigint as age_h, count(*) as promotions from (select environment, max(last_seen) as loaded from base group by 1) b
+    join watch w on w.environment = b.environment and w.trace_start > b.loaded where not exists (select 1 from base x where x.environment = w.environment and x.fp_hash = w.fp_hash) group by 1, 2"""))
+def d_stale_baseline(spark, d):
+    b = base(spark, d)
+    loaded = b.groupBy("environment").agg(F.max("last_seen").alias("loaded_at"))
+    found = watched(spark, d).join(b.select("environment", "fp_hash"), ["environment", "fp_hash"], "left_anti").select("environment", F.col("trace_start").alias("ts"))
+    return B.stale_baseline(loaded, found, AS_OF)

@@ -33,7 +33,7 @@ def test_queries_equal_their_sql(spark, sf):
         except Exception as e:  # reported with its name
             return f"{name}: {str(e)[:300]}"
 
-    with ThreadPoolExecutor(6) as pool:
+    with ThreadPoolExecutor(8) as pool:
         bad = [x for x in pool.map(compare, oracles) if x]
     assert not bad, "\n".join(bad)
 
