@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import partial
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,13 +54,24 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.event_spans(spark, sf_dir)
 
 
-def _fingerprints(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
-    from spanwatch.operators.traces import fingerprint
+_OWN: list[str] = []
 
-    return fingerprint(spans(spark, sf_dir), known_root_ops=known)
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share (a temporary one in a local session)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-plans-"))
+        shared = _OWN[0]
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-fingerprints = partial(_fingerprints)
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read back, for results that several steps of a query use."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def learn_window(df: DataFrame, column: str = "trace_start") -> DataFrame:

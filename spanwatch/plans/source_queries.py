@@ -8,7 +8,7 @@ from spanwatch.operators.classify import decide
 from spanwatch.plans.base import spans, sql
 from spanwatch.plans.registry import query
 from spanwatch.plans.stream_queries import _folder
-from spanwatch.plans.structure_queries import _DECIDE, base, watched
+from spanwatch.plans.structure_queries import _DECIDE, base, live
 from spanwatch.sources import fixtures as X
 from spanwatch.sources import readers as R
 from spanwatch.sources import sinks as K
@@ -141,4 +141,4 @@ def sink_baseline_json(spark, d):
 @query(sql(f"""select * from (with {_DECIDE} select environment, count(*) as traces, sum((verdict is null)::int)::bigint as known, sum((coalesce(verdict, '') = 'NEW_FINGERPRINT')::int)::bigint as drift,
     sum((coalesce(verdict, '') = 'MISSING_SERVICE')::int)::bigint as missing, sum((coalesce(verdict, '') = 'OVERRIDE')::int)::bigint as optional from vd group by 1)"""))
 def sink_run_counters(spark, d):
-    return K.run_counters(decide(watched(spark, d), base(spark, d)))
+    return K.run_counters(decide(*live(spark, d)))

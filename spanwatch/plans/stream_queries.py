@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwatch.plans.base import sql
+from spanwatch.plans.base import shared_path, sql
 from spanwatch.plans.registry import query
 from spanwatch.plans.structure_queries import _STREAM, base, fps, watched
 from spanwatch.sources import fixtures as X
 from spanwatch.streaming import streams as St
 
-_OWN: list[str] = []
-
-
 def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not _OWN:
-            _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-stream-"))
-        shared = _OWN[0]
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_path(spark, "stream")
 
 
 def drained(stream: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from spanwatch.operators import baseline as B
 from spanwatch.operators import classify as C
 from spanwatch.operators import errors as E
 from spanwatch.operators import traces as T
-from spanwatch.plans.base import CTES, joined, learn_window, spans, sql, watch_window
+from spanwatch.plans.base import CTES, joined, learn_window, spans, sql, stored, watch_window
 from spanwatch.plans.registry import query
 from spanwatch.sources import fixtures as X
 
@@ -28,8 +28,18 @@ def base(spark, d):
     return B.learn_trace(learnt(spark, d))
 
 
+def live(spark, d):
+    """The watch window's fingerprints and the baseline of the days before. All traces are fingerprinted once; those of one
+    span count where the baseline knows their root op."""
+    every = stored(T.fingerprint(spans(spark, d), min_spans=1), "fingerprints")
+    b = stored(B.learn_trace(learn_window(every.where("span_count >= 2"))), "baseline")
+    known = b.select("environment", "root_op").distinct().withColumn("known", F.lit(True))
+    w = watch_window(every).join(known, ["environment", "root_op"], "left").where("span_count >= 2 or known").select(*every.columns)
+    return w, b
+
+
 def watched(spark, d):
-    return watch_window(fps(spark, d, base(spark, d)))
+    return live(spark, d)[0]
 
 
 def sigs(spark, d):
@@ -105,7 +115,7 @@ _DOM = """select e.environment, e.root_op, e.service, count(*) as variants, min(
     left join (select environment, root_op, count(*) as variants, max(span_count_max) as hi, min(span_count_min) as lo from base group by 1, 2) s using (environment, root_op)
     left join (select environment, root_op, string_agg(service, ',' order by service) as dominant from ({_DOM}) group by 1, 2) m using (environment, root_op)"""))
 def j_root_op_stats(spark, d):
-    return C.with_root_stats(watched(spark, d), base(spark, d)).select("trace_id", "root_op", "variants", "span_max", "span_min", joined("dominant"))
+    return C.with_root_stats(*live(spark, d)).select("trace_id", "root_op", "variants", "span_max", "span_min", joined("dominant"))
 
 
 @query(sql(
@@ -130,7 +140,7 @@ def j_closest_baseline(spark, d):
 
 
 def _closest(spark, d):
-    return B.closest_baseline(watched(spark, d), base(spark, d))
+    return B.closest_baseline(*live(spark, d))
 
 
 _DIFF = "len(list_filter({a}, lambda x: not list_contains({b}, x)))"
@@ -177,12 +187,12 @@ _COV = """select environment, root_op, coalesce(traces, 0) as traces, coalesce(m
 
 @query(sql(_COV))
 def j_coverage(spark, d):
-    return B.coverage(watched(spark, d), base(spark, d))
+    return B.coverage(*live(spark, d))
 
 
 @query(sql(f"select *, round(matched * 100.0 / nullif(traces, 0), 1) as pct, case when traces = 0 then 'NO_TRAFFIC' when round(matched * 100.0 / traces, 1) >= 80 then 'GOOD' when round(matched * 100.0 / traces, 1) >= 50 then 'WARN' else 'LOW' end as status from ({_COV})"))
 def s_coverage_status(spark, d):
-    return B.coverage_status(B.coverage(watched(spark, d), base(spark, d)))
+    return B.coverage_status(B.coverage(*live(spark, d)))
 
 
 # ---- aggregates
@@ -338,20 +348,20 @@ _DECIDE = f"""dom as (select environment, root_op, list(service) as dominant fro
 
 @query(sql(f"select * from (with {_DECIDE} select environment, trace_id, fp_hash, root_op, service, verdict as anomaly_type, case when verdict = 'MISSING_SERVICE' then array_to_string(missing, ',') else '' end as missing_services, span_count::int as span_count from vd where verdict is not null and verdict <> 'OVERRIDE')"))
 def d_trace_anomaly(spark, d):
-    return C.classify_traces(watched(spark, d), base(spark, d)).drop("trace_start")
+    return C.classify_traces(*live(spark, d)).drop("trace_start")
 
 
 @query(sql(f"select * from (with {_DECIDE} select environment, root_op, count(*) as traces, array_to_string(list_sort(list_distinct(flatten(list(missing)))), ',') as optional_services from vd where verdict = 'OVERRIDE' group by 1, 2)"))
 def d_optional_path(spark, d):
-    return C.override_suggestions(watched(spark, d), base(spark, d))
+    return C.override_suggestions(*live(spark, d))
 
 
 @query(sql(f"select * from (with {_DECIDE} select environment, fp_hash, trace_id, verdict as anomaly_type from (select *, row_number() over (partition by environment, fp_hash order by trace_start, trace_id) as r from vd where verdict is not null and verdict <> 'OVERRIDE') where r = 1)"))
 def w_first_per_hash(spark, d):
-    return C.first_per_hash(C.classify_traces(watched(spark, d), base(spark, d))).select("environment", "fp_hash", "trace_id", "anomaly_type")
+    return C.first_per_hash(C.classify_traces(*live(spark, d))).select("environment", "fp_hash", "trace_id", "anomaly_type")
 
 
-_LAST_DAY = "timestamp '2024-01-29 18:00:00'"
+_LAST_DAY = "timestamp '2024-01-30 18:00:00'"
 
 
 @query(sql(f"""select g.environment, g.root_op, substr(sha256('SILENT:' || g.root_op), 1, 16) as fp_hash, m.missing_services, g.occurrences from
@@ -359,8 +369,8 @@ _LAST_DAY = "timestamp '2024-01-29 18:00:00'"
      from base b group by 1, 2) g join (select environment, root_op, string_agg(service, ',' order by service) as missing_services from ({_DOM}) group by 1, 2) m using (environment, root_op)
     where g.occurrences >= 4 and not g.infra and not exists (select 1 from watch w where w.environment = g.environment and w.root_op = g.root_op and w.trace_start >= {_LAST_DAY})"""))
 def d_silent_root_op(spark, d):
-    last = watched(spark, d).where(F.col("trace_start") >= F.lit("2024-01-29 18:00:00").cast("timestamp"))
-    return C.silent_root_ops(last, base(spark, d))
+    w, b = live(spark, d)
+    return C.silent_root_ops(w.where(F.col("trace_start") >= F.lit("2024-01-30 18:00:00").cast("timestamp")), b)
 
 
 @query(sql("select * from (select c.environment, c.sig_hash, c.service, c.n, b.occurrences, case when b.sig_hash is null then 'NEW_ERROR_SIGNATURE' when b.occurrences >= 5 and c.n > b.occurrences * 0.3 then 'SIGNATURE_SPIKE' end as anomaly_type from ecounts c left join ebase b using (environment, sig_hash)) where anomaly_type is not null"))
@@ -382,7 +392,7 @@ _P10 = "select environment, root_op, list_sort(list(span_count))[1 + floor((coun
 
 @query(sql(f"select w.environment, w.trace_id, w.fp_hash from watch w left join ({_P10}) p using (environment, root_op) where exists (select 1 from base b where b.environment = w.environment and b.fp_hash = w.fp_hash) or w.span_count >= coalesce(p.p10, 0)"))
 def d_partial_guard(spark, d):
-    return C.drop_partial(watched(spark, d), base(spark, d)).select("environment", "trace_id", "fp_hash")
+    return C.drop_partial(*live(spark, d)).select("environment", "trace_id", "fp_hash")
 
 
 _STREAM = f"select w.environment, w.trace_id, w.fp_hash, w.root_op, 'NEW_FINGERPRINT' as anomaly_type, w.trace_start from watch w left join ({_P10}) p using (environment, root_op) where not exists (select 1 from base b where b.environment = w.environment and b.fp_hash = w.fp_hash) and w.span_count >= coalesce(p.p10, 0)"
@@ -390,7 +400,7 @@ _STREAM = f"select w.environment, w.trace_id, w.fp_hash, w.root_op, 'NEW_FINGERP
 
 @query(sql(f"select environment, trace_id, fp_hash, root_op, anomaly_type from ({_STREAM})"))
 def d_stream_structure(spark, d):
-    return C.classify_traces_stream(watched(spark, d), base(spark, d))
+    return C.classify_traces_stream(*live(spark, d))
 
 
 @query(sql("""select f.environment, f.fp_hash, epoch_us(min(f.trace_start)) as restored_us, count(*) as traces from fps f join (select environment, fp_hash, min(trace_start) as t from learnt where trace_start < timestamp '2024-01-11' group by 1, 2) d using (environment, fp_hash)
@@ -413,14 +423,14 @@ def d_missing_stream(spark, d):
 @query(sql("""with n as (select distinct environment, fp_hash from watch w where not exists (select 1 from base b where b.environment = w.environment and b.fp_hash = w.fp_hash))
     select environment, fp_hash, coalesce(b.occurrences, 1) as occurrences, (case when n.fp_hash is null then 0 else 1 end)::int as watch_hits, n.fp_hash is not null as auto_promoted from base b full join n using (environment, fp_hash)"""))
 def b_watch_hits(spark, d):
-    b = base(spark, d)
-    new = watched(spark, d).join(b.select("environment", "fp_hash"), ["environment", "fp_hash"], "left_anti")
+    w, b = live(spark, d)
+    new = w.join(b.select("environment", "fp_hash"), ["environment", "fp_hash"], "left_anti")
     return B.apply_watch_hits(b, new, AS_OF, threshold=1).select("environment", "fp_hash", "occurrences", "watch_hits", "auto_promoted")
 
 
 @query(sql("select environment, fp_hash, min(root_op) as root_op, count(*) as detections, not starts_with(min(root_op), 'view') as no_missing_service from watch w where not exists (select 1 from base b where b.environment = w.environment and b.fp_hash = w.fp_hash) group by 1, 2 having count(*) >= 2"))
 def b_promote_stream(spark, d):
-    return B.promote_by_count(watched(spark, d), base(spark, d), 2, "view")
+    return B.promote_by_count(*live(spark, d), 2, "view")
 
 
 @query(sql("select environment, fp_hash, starts_with(root_op, 'view') as auto_promoted, case when starts_with(root_op, 'view') then 1707523200000000 end as promoted_us from base where starts_with(root_op, 'view')"))
@@ -456,8 +466,8 @@ def b_bootstrap_stream(spark, d):
 
 @query(sql("select environment, fp_hash, count(*) as n from watch w where not exists (select 1 from base b where b.environment = w.environment and b.fp_hash = w.fp_hash) group by 1, 2"))
 def b_prune_seen(spark, d):
-    counts = watched(spark, d).groupBy("environment", "fp_hash").agg(F.count("*").alias("n"))
-    return B.prune_seen(counts, base(spark, d))
+    w, b = live(spark, d)
+    return B.prune_seen(w.groupBy("environment", "fp_hash").agg(F.count("*").alias("n")), b)
 
 
 @query(sql("select environment, fp_hash from base where occurrences >= 4"))
@@ -535,13 +545,13 @@ def src_thresholds(spark, d):
     select distinct w.environment, w.root_op, w.fp_hash, case when exists (select 1 from base b where b.environment = w.environment and b.root_op = w.root_op) then 'drifted' else 'new' end as state from watch w where not exists (select 1 from base b where b.environment = w.environment and b.fp_hash = w.fp_hash)
     union all select distinct b.environment, b.root_op, '', 'vanished' from base b where not exists (select 1 from watch w where w.environment = b.environment and w.root_op = b.root_op)) group by 1, 2, 3"""))
 def s_drift_report(spark, d):
-    return B.drift_report(watched(spark, d), base(spark, d))
+    return B.drift_report(*live(spark, d))
 
 
 @query(sql("""select b.environment, floor((epoch_us(timestamp '2024-02-10') - epoch_us(b.loaded)) / 3600000000)::bigint as age_h, count(*) as promotions from (select environment, max(last_seen) as loaded from base group by 1) b
     join watch w on w.environment = b.environment and w.trace_start > b.loaded where not exists (select 1 from base x where x.environment = w.environment and x.fp_hash = w.fp_hash) group by 1, 2"""))
 def d_stale_baseline(spark, d):
-    b = base(spark, d)
+    w, b = live(spark, d)
     loaded = b.groupBy("environment").agg(F.max("last_seen").alias("loaded_at"))
-    found = watched(spark, d).join(b.select("environment", "fp_hash"), ["environment", "fp_hash"], "left_anti").select("environment", F.col("trace_start").alias("ts"))
+    found = w.join(b.select("environment", "fp_hash"), ["environment", "fp_hash"], "left_anti").select("environment", F.col("trace_start").alias("ts"))
     return B.stale_baseline(loaded, found, AS_OF)
