@@ -492,19 +492,19 @@ def a_incident_feedback(spark, d):
     return feedback(spark, d).select("environment", "day", joined("types"), joined("services"))
 
 
-_SIM = "select c.environment, c.day, p.environment as p_env, p.day as p_day, len(list_intersect(c.types, p.types)) + len(list_intersect(c.services, p.services)) as score from fb c join fb p on p.day < 19753 where c.day = 19753"
+_SIM = "select c.environment, c.day, p.environment as p_env, p.day as p_day, len(list_intersect(c.types, p.types)) + len(list_intersect(c.services, p.services)) as score from fb c join fb p on p.day < 19752 where c.day = 19752"
 
 
 @query(_q(f"select environment, day, p_env, p_day, score, place::int as place from (select *, row_number() over (partition by environment, day order by score desc, p_env, p_day) as place from ({_SIM})) where place <= 5", _FB))
 def j_similar_incidents(spark, d):
     f = feedback(spark, d)
-    return K.similar_incidents(f.where("day = 19753"), f.where("day < 19753"))
+    return K.similar_incidents(f.where("day = 19752"), f.where("day < 19752"))
 
 
 @query(_q(f"select environment, p_env, p_day, place::int as place from (select *, row_number() over (partition by environment, day order by score desc, p_env, p_day) as place from ({_SIM})) where place <= 3", _FB))
 def t_topn_similar(spark, d):
     f = feedback(spark, d)
-    return K.similar_incidents(f.where("day = 19753"), f.where("day < 19753"), 3).select("environment", "p_env", "p_day", "place")
+    return K.similar_incidents(f.where("day = 19752"), f.where("day < 19752"), 3).select("environment", "p_env", "p_day", "place")
 
 
 @query(_q(f"select environment, service, bucket from (select *, earliest_ms - lag(earliest_ms) over (partition by environment, service, corr_type order by earliest_ms) as gap from co) where gap is null or gap > {48 * HOUR}", _FAN, _CORR))

@@ -240,9 +240,11 @@ def a_learn_error(spark, d):
     return ebase(spark, d).select("environment", "sig_hash", "service", "error_type", "operation", "call_path", "occurrences")
 
 
-@query(sql("select environment, fp_hash from base1 except select environment, fp_hash from base"))
+@query(sql("""with t as (select * from base1 where root_service in ('view', 'click')) select environment, fp_hash from t where len(list_filter(services, lambda x: x <> root_service)) > 0
+    and not exists (select 1 from t r where r.environment = t.environment and list_contains(list_filter(t.services, lambda x: x <> t.root_service), r.root_service))"""))
 def a_infra_only(spark, d):
-    every = B.learn_trace(learnt(spark, d), bootstrap=True).where("occurrences >= 3")
+    """Entries of two services that call only services which start none of these traces."""
+    every = B.learn_trace(learnt(spark, d), bootstrap=True).where("occurrences >= 3 and (root_op like 'view:%' or root_op like 'click:%')")
     return every.select("environment", "fp_hash").exceptAll(B.drop_infra_only(every).select("environment", "fp_hash"))
 
 
