@@ -271,7 +271,3 @@ def service_summary(edges: DataFrame, trace: DataFrame, errors: DataFrame) -> Da
     x = errors.groupBy(*ES).agg(F.array_join(F.array_sort(F.collect_set("error_type")), ",").alias("error_types"))
     j = t.join(out, ES, "left").join(into, ES, "left").join(x, ES, "left")
     return j.na.fill("", ["callees", "callers", "error_types"])
-
-
-def env_totals(events: DataFrame) -> DataFrame:
-    return events.groupBy("environment").agg(F.count("*").alias("n"))
