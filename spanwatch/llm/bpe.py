@@ -19,13 +19,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanwatch.llm.common import small_batches
+
 _NONE = np.int64(1) << np.int64(62)
 
 
 class Tokenizer:
     """Ranks of a byte-level BPE (lines of base64 token and rank) with a splitting pattern."""
 
-    def __init__(self, rank_lines: bytes, pattern: str, cache_size: int = 400_000):
+    def __init__(self, rank_lines: bytes, pattern: str, cache_size: int = 150_000):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_lines.splitlines()) if a}
         self.tokens = {r: t for t, r in self.ranks.items()}
         self.split = regex.compile(pattern).findall
@@ -198,7 +200,7 @@ def _tokenizer(rank_lines: bytes, pattern: str) -> Tokenizer:
     return _LOADED[key]
 
 
-def _portions(texts: list[str], most: int = 1_000_000):
+def _portions(texts: list[str], most: int = 500_000):
     """Runs of texts of about ``most`` characters; a longer text is alone."""
     run, size = [], 0
     for t in texts:
@@ -222,7 +224,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
 
     def run(batches):
         tok = _tokenizer(lines.value, pattern)
-        for b in batches:
+        for b in small_batches(batches):
             out = []
             for texts in _portions([t or "" for t in b.column("__text").to_pylist()]):
                 out += [_numbers(joined) for joined in tok.encoded(texts)]
@@ -258,7 +260,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
 
     def run(batches):
         tok = _tokenizer(lines.value, pattern)
-        for b in batches:
+        for b in small_batches(batches):
             n, ids, back = [], [], []
             for texts in _portions([t or "" for t in b.column(1).to_pylist()]):
                 for joined in tok.encoded(texts):

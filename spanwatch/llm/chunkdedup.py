@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanwatch.llm.common import small_batches
+
 _WINDOW = 16
 
 
@@ -150,7 +152,7 @@ def dedup_text(docs: DataFrame, text_col: str = "text", bits: int = 5, min_words
     joined = _joined(docs, text_col, bits, "left")
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches):
             at = b.schema.get_field_index(text_col)
             texts = b.column(at).to_pylist()
             for k, marks in enumerate(b.column("__marks").to_pylist()):

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanwatch.llm.common import small_batches
+
 #: What is measured in a text; shares are of its bytes, words or lines.
 FEATURES = (
     "log_words", "word_length", "longest_word", "upper", "digits", "spaces", "newlines", "sentence_marks", "marks", "symbols",
@@ -181,7 +183,7 @@ def score(docs: DataFrame, model: Gam, text_col: str = "text", out_col: str = "s
     keep = [c for c in docs.columns if c != out_col]
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches):
             x = np.array([features(t) for t in b.column(b.num_columns - 1).to_pylist()], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(x))], names=[*b.schema.names[:-1], out_col])
 
