@@ -14,11 +14,14 @@ _OWN_FOLDER: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the session has none (a local session, as in tests) a temporary folder is made once.
+    Where a local session has none (as in tests) a temporary folder is made once; on a cluster that
+    would be another folder on every machine, so it is an error there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_FOLDER:
         _OWN_FOLDER[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
@@ -29,14 +32,27 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = path or fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that :func:`cut` wrote and nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def tasks_for(spark: SparkSession, units: int, each: int = 1) -> int:
+    """A number of partitions for ``units`` pieces of work of which a task takes about ``each``. Given to
+    repartition as a number it stands: adaptive execution merges partitions by the size of their rows, which
+    says nothing where small rows stand for large work."""
+    return max(1, min(units, max(spark.sparkContext.defaultParallelism, -(-units // each))))
+
+
 def small_batches(batches, rows: int = 1024):
     """The same rows in batches of at most ``rows``, so that what a task makes of a batch stays small."""
     for b in batches:
@@ -44,20 +60,32 @@ def small_batches(batches, rows: int = 1024):
             yield b.slice(at, rows)
 
 
+def _with_low(edges: DataFrame, low: DataFrame, hub: int) -> DataFrame:
+    """``edges(u, v)`` with the m of their u in ``low(u, m, n)``. Nodes with more than ``hub`` edges are joined by a
+    broadcast, so that none of them is the key of one task; there are at most edges / hub of these."""
+    hubs = F.broadcast(low.where(F.col("n") > hub).select("u", F.col("m").alias("hub_m")))
+    told = edges.join(hubs, "u", "left")
+    hot = told.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m"))
+    return hot.unionByName(told.where("hub_m is null").select("u", "v").join(low.select("u", "m"), "u"))
+
+
 def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given as ``edges(u long, v long)``.
 
     Returns (node, root) for every node that has an edge to another node; root is the smallest
     node of its component. Rounds of large-star and small-star joins, each written to the shared
-    folder; a node's neighbours are only ever aggregated with ``min``, so a hub does not gather
-    its list in one task. Self loops and nulls are ignored. Empty input gives an empty result.
+    folder; the table of the round before is deleted then. A node's neighbours are only ever aggregated
+    with ``min``, combined before the shuffle, and a hub's edges are joined where they are, so it does not
+    gather its list in one task. Self loops and nulls are ignored. Empty input gives an empty result.
     """
+    spark = edges.sparkSession
     e = (
         edges.where("u is not null and v is not null and u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    e = cut(e, name)
+    path = fresh_path(spark, name)
+    e = cut(e, name, path)
 
     def signature(df):
         return df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -66,15 +94,18 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
     if before[0] == 0:
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(max_rounds):
+        hub = max(1000, before[0] // 10_000)  # so at most 20 000 rows are broadcast
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = (
-            both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            _with_low(both, low, hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_low(large, low, hub).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last, path = path, fresh_path(spark, name)
+        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name, path)
         after = signature(e)
+        discard(spark, last)
         if after == before:
             break
         before = after

@@ -25,7 +25,8 @@ def vectors(n=300, d=16, seed=1):
 
 def test_multi_index_equals_brute_force(spark):
     rows = vectors()
-    got = {r.vec_id: r for r in multiindex.near_duplicates(spark.createDataFrame(rows, VECTORS), cell_rows=40, block_rows=32, target_recall=1.0).collect()}
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], VECTORS + ", node string, n int")
+    got = {r.vec_id: r for r in multiindex.near_duplicates(df, block_rows=32).collect()}
     ok = [(i, np.array(v, float), l) for i, v, l in rows if i < 1000]
     ids = np.array([i for i, _, _ in ok])
     x = np.stack([v for _, v, _ in ok])
@@ -43,10 +44,36 @@ def test_multi_index_equals_brute_force(spark):
 
 def test_multi_sequence_order():
     r = np.random.default_rng(2)
-    g = multiindex.Grid(r.normal(size=(500, 8)), 6, 0.93, 0.99)
-    seen = list(g.traverse(2, 3))
-    assert len({c[1:] for c in seen}) == 36 and [d for d, *_ in seen] == sorted(d for d, *_ in seen)
-    assert 0 < g.reach < float("inf")
+    x = r.normal(size=(500, 8))
+    g = multiindex.Grid(x, 6, 0.93, 0.99)
+    assert 0 < g.reach < 2 - 2 * 0.93 < 0.15 and multiindex.Grid(x, 6, 0.93, 1.0).reach == pytest.approx(0.14)
+    own, one, two = g.distances(multiindex._unit(x))
+    row, i, j = g.visits(one, two)
+    for k in range(0, 500, 50):
+        seen = list(g.traverse(one[k], two[k]))
+        assert seen[0][1:] == tuple(own[k]) and len({c[1:] for c in seen}) == 36 and [d for d, *_ in seen] == sorted(d for d, *_ in seen)
+        assert {c[1:] for c in seen if c[0] <= g.reach} == set(zip(i[row == k].tolist(), j[row == k].tolist()))
+
+
+def test_multi_index_recall_and_pruning(spark):
+    """The query's own settings: recall against brute force, and the share of the pairs of a label that is compared."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(1500, 64))
+    near = x[:300] / np.linalg.norm(x[:300], axis=1, keepdims=True)
+    away = r.normal(size=near.shape)
+    away -= (away * near).sum(1, keepdims=True) * near
+    x[600:900] = 0.935 * near + np.sqrt(1 - 0.935**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    x = x.astype(np.float32)
+    label = np.arange(1500) % 3
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))], VECTORS)
+    found = multiindex.links(df, 0.93, 0.9999)[0]
+    compared = found.agg(F.sum("pairs")).first()[0]
+    assert compared < 0.25 * 3 * (500 * 499 / 2)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    link = (u @ u.T >= 0.93) & (label[:, None] == label[None])
+    assert link.sum() - 1500 >= 600
+    assert found.agg(F.sum("links")).first()[0] >= 0.99 * (link.sum() - 1500)
+    assert multiindex.centres(50) > 1
 
 
 def test_multi_index_empty(spark):
