@@ -174,9 +174,71 @@ def test_licenses_equal_plain_python(spark, odd):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def sampled(items, r):
+    """A text that a parsed expression matches, with a branch, repeat and character drawn each time."""
+    out = ""
+    for op, arg in items:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN":
+            kind, value = r.choice(arg)
+            out += chr(value) if str(kind) == "LITERAL" else "7" if "DIGIT" in str(value) else "word"
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(sampled(arg[2], r) for _ in range(r.randint(arg[0], min(arg[1], arg[0] + 3))))
+        elif op == "SUBPATTERN":
+            out += sampled(arg[3], r)
+        elif op == "BRANCH":
+            out += sampled(r.choice(arg[1]), r)
+        else:
+            assert op in ("ASSERT", "ASSERT_NOT"), op
+    return out
+
+
+def license_samples(each):
+    import re
+
+    r = random.Random(8)
+    for rule in licenses.rules():
+        parsed = re._parser.parse(rule.pattern)
+        drawn = (sampled(parsed, r) for _ in range(each))
+        yield rule, [t for t in drawn if re.search(f"(?<= )(?:{rule.pattern})(?= )", f" {t} ")]
+
+
+def test_every_rule_passes_its_gate():
+    hit = 0
+    for rule, texts in license_samples(30):
+        hit += bool(texts)
+        for t in texts:
+            assert any(k in f" {t} " for k in rule.keywords), (rule, t)
+            assert any(k in f" {t} " for k in licenses.TRIGGERS), (rule, t)
+    assert hit == len(licenses.rules()) and len(licenses.NOTICES) + len(licenses.NAMES) >= 150
+
+
+def test_scan_equals_plain_python_on_samples_of_every_rule(spark):
+    texts = ["before " + " and then ".join(t[:2]) + " after" for _, t in license_samples(4) if t]
+    texts += ["Licensed under the Expat license", "released under the expat license", "you may not use this file except in compliance with the licence"]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    got = licenses.scan(df).collect()
+    assert len(got) == len(texts) and all(tuple(r)[1:] == licenses.scan_text(texts[r.doc_id]) for r in got)
+    labels = {r.doc_id: r.labels for r in got}
+    assert [labels[len(texts) - k] for k in (3, 2, 1)] == ["mit", "mit", "apache-2.0"]
+
+
+def test_licenses_of_a_very_long_text(spark):
+    import time
+
+    df = spark.createDataFrame([(1, "mit license " * 200_000)], SCHEMA)
+    licenses.scan(df.limit(0)).count()
+    began = time.time()
+    r = licenses.scan(df).first()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word, r.labels) == (400_000, 200_000, 0, 399_998, "mit")
+    assert time.time() - began < 60  # linear: about 5 s; quadratic work would take hours
+
+
 def test_license_rules_open_and_stay_native(spark):
     rules = licenses.rules()
-    assert len(rules) > 200
+    assert len(rules) > 500
     df = spark.createDataFrame([(1, "MIT License")], SCHEMA)
     plan = licenses.scan(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
