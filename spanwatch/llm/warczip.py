@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwatch.llm.common import cut, fresh_path
+from spanwatch.llm.common import cut, fresh_path, tasks_for
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -223,7 +223,9 @@ def read_records(packages: DataFrame, payloads: bool = False, split_bytes: int =
     payload_digest (hex) of the full payload, payload (null unless ``payloads``, and for revisits).
 
     A response's size and digest are measured on what was read and must agree with its header; a
-    revisit states those of the payload that it refers to. ValueError for a broken package."""
+    revisit states those of the payload that it refers to (see :func:`dangling_revisits`). ValueError for a
+    broken package. A range row is tiny and stands for megabytes, so tasks are counted by ranges, not by the
+    size of their rows."""
     page = lambda v: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", v or "")) else None
 
     def run(batches):
@@ -246,18 +248,32 @@ def read_records(packages: DataFrame, payloads: bool = False, split_bytes: int =
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     names = ["package", "offset", "record_type", "page_id", "uri", "refers_to", "payload_bytes", "payload_digest", "payload"]
-    ranges = splits(packages, split_bytes)
-    return ranges.repartition(F.col("package"), F.col("start")).mapInArrow(
+    ranges = cut(splits(packages, split_bytes), "warc-ranges")
+    tasks = tasks_for(packages.sparkSession, ranges.count(), 16)
+    return ranges.repartitionByRange(tasks, "package", "start").mapInArrow(
         run, "package string, offset long, record_type string, page_id long, uri string, refers_to long, payload_bytes long, payload_digest string, payload binary"
     )
 
 
+def dangling_revisits(records: DataFrame) -> DataFrame:
+    """(page_id, payload_digest, payload_bytes) that revisits of ``records`` state of the response they refer to, where
+    no response with these was read. A response that many revisit counts once."""
+    told = records.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_digest", "payload_bytes").distinct()
+    read = records.where("record_type = 'response'").select("page_id", "payload_digest", "payload_bytes")
+    return told.join(read, ["page_id", "payload_digest", "payload_bytes"], "left_anti")
+
+
 def package_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ``pages(page_id, url, html)`` into packages and read their records back.
 
     Null html is an empty payload, null url leaves out the field, a null page_id is written as such and
     comes back null. Rows that share page_id and payload are all responses if they are the largest.
-    An empty table writes nothing and gives an empty result; further columns are ignored.
+    An empty table writes nothing and gives an empty result; further columns are ignored. A very long payload
+    is one record and alone in its range; it is held in memory once. ValueError if a revisit's size or digest
+    is not that of the response it names.
     """
     folder = folder or fresh_path(pages.sparkSession, "warc")
-    return read_records(write_packages(with_references(pages), folder))
+    records = cut(read_records(write_packages(with_references(pages), folder)).drop("payload"), "warc-records")
+    if not dangling_revisits(records).isEmpty():
+        raise ValueError(f"{folder}: a revisit refers to a response that differs or is not there")
+    return records

@@ -125,6 +125,16 @@ def test_warc_round_trip(spark, tmp_path):
         names = zipfile.ZipFile(p).namelist()
         assert names == [warczip.DATA, warczip.INDEX]
     assert warczip.package_pages(df.limit(0)).count() == 0
+    records = spark.createDataFrame([r.asDict() for r in rows], warczip.read_records(packages).schema)
+    assert warczip.dangling_revisits(records).count() == 0
+    other = F.when(F.col("page_id") == 2, F.lit("00")).otherwise(F.col("payload_digest"))
+    assert [r.page_id for r in warczip.dangling_revisits(records.withColumn("payload_digest", F.when(F.col("record_type") == "response", other).otherwise(F.col("payload_digest")))).collect()] == [2]
+
+
+def test_warc_of_a_very_long_page(spark):
+    df = spark.createDataFrame([(1, "u", "long é" * 2_000_000), (2, "u", "short"), (3, "v", "long é" * 2_000_000)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in warczip.package_pages(df).collect()}
+    assert [got[i].payload_bytes for i in (1, 2, 3)] == [14_000_000, 5, 14_000_000] and (got[1].refers_to, got[3].record_type) == (3, "response")
 
 
 def test_zip_directories():
