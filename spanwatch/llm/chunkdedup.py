@@ -2,8 +2,11 @@
 
 A gear rolling hash over the bytes of a text cuts it where the hash has ``bits`` zero bits, so cuts
 depend on the 16 bytes before them only and fall into step again after an insertion. A chunk is a
-repeat if its digest occurs earlier in the corpus (by doc_id, then position). Runs of neighbouring
+repeat if its digest occurs earlier in the corpus (by doc_id, then row, then position). Runs of neighbouring
 repeats that together have at least ``min_words`` words are dropped; the first occurrence stays.
+
+A digest has 96 bits: among 10^12 chunks (some 30 TB of text) two different ones share a digest with a
+probability of about 10^-5.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwatch.llm.common import small_batches
+from spanwatch.llm.common import cut, fresh_name, small_batches
 
 _WINDOW = 16
 
@@ -69,120 +72,127 @@ def cuts(data: np.ndarray, bits: int = 5, least: int = 8, most: int = 256) -> np
     return np.array(out, np.int64)
 
 
-def _digests(raw: bytes, ends: np.ndarray) -> np.ndarray:
-    digest, ends = xxhash.xxh3_64_intdigest, ends.tolist()
-    return np.fromiter((digest(raw[a:e]) for a, e in zip([0, *ends], ends)), np.uint64, len(ends)).view(np.int64)
+def _digests(raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 64 and the next 32 bits of each chunk's digest."""
+    digest, ends = xxhash.xxh3_128_digest, ends.tolist()
+    words = np.frombuffer(b"".join(digest(raw[a:e]) for a, e in zip([0, *ends], ends)), np.int64).reshape(-1, 2)
+    return words[:, 0], words[:, 1].astype(np.int32)
+
+
+_CHUNKED = "row long, id long, d1 array<long>, d2 array<int>, chars array<int>, words array<int>"
 
 
-def chunks(docs: DataFrame, bits: int = 5) -> DataFrame:
-    """One row per chunk of ``docs(id, text)``: digest long, id long, seq int."""
+def chunked(docs: DataFrame, bits: int = 5) -> DataFrame:
+    """``docs(row, id, text)`` as arrays over the chunks of each text: d1 and d2 (digest), chars and words (code points
+    and begun words up to the end of the chunk). Every text is chunked once, in the task that reads it."""
+
+    def lists(values, lengths, kind):
+        offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+        flat = np.concatenate(values) if values else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
 
     def run(batches):
-        for b in batches:
-            ids, seqs, found, size = [], [], [], 0
-            rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-            for k, (i, t) in enumerate(rows):
+        for b in small_batches(batches):
+            found, lengths = ([], [], [], []), []
+            for t in b.column(2).to_pylist():
                 raw = (t or "").encode("utf-8", "surrogatepass")
-                ends = cuts(np.frombuffer(raw, np.uint8), bits)
-                found.append(_digests(raw, ends))
-                ids.append(np.full(len(ends), i, np.int64))
-                seqs.append(np.arange(len(ends), dtype=np.int32))
-                size += len(ends)
-                if size >= 100_000 or k == len(rows) - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, ids, seqs)], ["digest", "id", "seq"])
-                    ids, seqs, found, size = [], [], [], 0
-
-    return docs.select("id", "text").mapInArrow(run, "digest long, id long, seq int")
-
-
-def repeats(docs: DataFrame, bits: int = 5) -> DataFrame:
-    """(id, seq, digest, first_id) for each chunk whose digest occurs earlier, by (id, seq).
-
-    The first occurrence is a ``min`` per digest, combined before the shuffle; a digest that many
-    documents share meets only its one summary row in the join."""
-    every = chunks(docs, bits)
-    first = every.groupBy("digest").agg(F.min(F.struct("id", "seq")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    hit = every.join(first.select("digest", "first"), "digest").where("id <> first.id or seq <> first.seq")
-    return hit.select("id", "seq", "digest", F.col("first.id").alias("first_id"))
-
-
-_NO_ID = -(2**63)
-
-
-def _joined(docs: DataFrame, text_col: str, bits: int, how: str) -> DataFrame:
-    d = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
-    marks = repeats(d.select(F.col("__id").alias("id"), F.col(text_col).cast("string").alias("text")), bits)
-    listed = marks.groupBy("id").agg(F.collect_list(F.struct("seq", "digest", "first_id")).alias("__marks"))
-    return d.join(listed, d["__id"] == listed["id"], how).drop("id", "__id")
-
-
-def spans_of(text: str, marks, bits: int, min_words: int):
-    """Byte spans to drop from a text: (start, end, words, chunks, first ids) for each run of two or
-    more neighbouring repeats with ``min_words`` words. A mark counts where the chunk has its digest."""
-    raw = text.encode("utf-8", "surrogatepass")
-    data = np.frombuffer(raw, np.uint8)
-    ends = cuts(data, bits)
-    found = _digests(raw, ends)
-    by_seq = {m["seq"]: m["first_id"] for m in marks if m["seq"] < len(found) and found[m["seq"]] == m["digest"]}
-    if not by_seq:
-        return raw, []
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    begins = ~blank
-    begins[1:] &= blank[:-1]
-    counted = np.concatenate(([0], np.cumsum(begins)))
-    edge = np.concatenate(([0], ends))
-    seqs = np.array(sorted(by_seq))
+                data = np.frombuffer(raw, np.uint8)
+                ends = cuts(data, bits)
+                blank = (data == 32) | ((data >= 9) & (data <= 13))
+                begins = ~blank
+                begins[1:] &= blank[:-1]
+                totals = (np.cumsum((data & 0xC0) != 0x80), np.cumsum(begins))
+                for into, x in zip(found, (*_digests(raw, ends), *(c[ends - 1] for c in totals))):
+                    into.append(x)
+                lengths.append(len(ends))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *(lists(x, lengths, k) for x, k in zip(found, kinds))], ["row", "id", "d1", "d2", "chars", "words"])
+
+    return docs.mapInArrow(run, _CHUNKED)
+
+
+def repeats(table: DataFrame) -> DataFrame:
+    """(row, seq, first_id) for each chunk of a :func:`chunked` table whose digest occurs earlier, by (id, row, seq) with null
+    ids first.
+
+    The first occurrence is a ``min`` per digest, combined before the shuffle. Digests with so many chunks that
+    at most 20 000 of them exist are joined by a broadcast where the chunks are, so that a passage that very many
+    documents hold is not the key of one task."""
+    every = table.select("row", "id", F.posexplode(F.arrays_zip("d1", "d2"))).select("row", "id", F.col("pos").alias("seq"), "col.d1", "col.d2")
+    hub = max(1000, (table.agg(F.sum(F.size("d1"))).first()[0] or 0) // 20_000)
+    first = every.groupBy("d1", "d2").agg(F.min(F.struct("id", "row", "seq")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    hot = F.broadcast(first.where(F.col("n") > hub).select("d1", "d2", F.col("first").alias("hot")))
+    told = every.join(hot, ["d1", "d2"], "left").select("row", "seq", "hot", F.when(F.col("hot").isNull(), F.col("d1")).otherwise(F.xxhash64("row", "seq")).alias("d1"), F.when(F.col("hot").isNull(), F.col("d2")).alias("d2"))
+    hit = told.join(first.select("d1", "d2", "first"), ["d1", "d2"], "left").withColumn("first", F.coalesce("hot", "first"))
+    return hit.where("first is not null and (row <> first.row or seq <> first.seq)").select("row", "seq", F.col("first.id").alias("first_id"))
+
+
+def runs_of(seqs: np.ndarray, chars: np.ndarray, words: np.ndarray, min_words: int) -> list[tuple[int, int, int, int, np.ndarray]]:
+    """(start, end, words, chunks, numbers of the chunks) of each run of two or more neighbouring repeats with ``min_words``
+    words; ``chars`` and ``words`` are counted up to each chunk's end."""
     out = []
     for run in np.split(seqs, np.flatnonzero(np.diff(seqs) > 1) + 1):
-        a, e = int(edge[run[0]]), int(edge[run[-1] + 1])
-        words = int(counted[e] - counted[a])
-        if len(run) > 1 and words >= min_words:
-            out.append((a, e, words, len(run), sorted({by_seq[s] for s in run.tolist()})))
-    return raw, out
+        a, e = run[0] - 1, run[-1]
+        start, before = (int(chars[a]), int(words[a])) if a >= 0 else (0, 0)
+        if len(run) > 1 and words[e] - before >= min_words:
+            out.append((start, int(chars[e]), int(words[e]) - before, len(run), run))
+    return out
+
+
+def _spans(numbered: DataFrame, bits: int, min_words: int) -> DataFrame:
+    """row, doc_id, span_start, span_end, n_words, n_chunks, first_doc_ids of the passages to cut from ``numbered(row, id, text)``."""
+    table = cut(chunked(numbered, bits), "chunks")
+    marks = repeats(table).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("seq", "first_id"))).alias("marks"))
+    joined = table.select("row", "id", "chars", "words").join(marks.where(F.size("marks") > 1), "row")
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for k in range(b.num_rows):
+                marks = b.column("marks")[k].values
+                number = lambda c: b.column(c)[k].values.to_numpy()
+                seqs, firsts = marks.field("seq").to_numpy(), marks.field("first_id").to_pylist()
+                first = dict(zip(seqs.tolist(), firsts))
+                for a, e, n, chunks, run in runs_of(seqs, number("chars"), number("words"), min_words):
+                    held = {first[s] for s in run.tolist()}
+                    rows.append((b.column("row")[k].as_py(), b.column("id")[k].as_py(), a, e, n, chunks, [None] * (None in held) + sorted(held - {None})))
+            if rows:
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["row", "doc_id", "span_start", "span_end", "n_words", "n_chunks", "first_doc_ids"])
+
+    return joined.mapInArrow(run, "row long, doc_id long, span_start int, span_end int, n_words int, n_chunks int, first_doc_ids array<long>")
 
 
 def dedup_text(docs: DataFrame, text_col: str = "text", bits: int = 5, min_words: int = 20) -> DataFrame:
-    """``docs`` with the repeated passages cut out of ``text_col``; all rows and columns stay.
+    """``docs`` with the repeated passages cut out of ``text_col``; all rows and columns stay, whatever their names.
 
-    The first occurrence by (doc_id, position) stays, also inside one document; null doc_ids count as
-    the smallest id. Null texts stay null, texts without repeats stay as they are, a text that repeats
-    from end to end becomes empty. Rows with the same doc_id keep chunks that they hold at the same
-    place. The order of a text's remaining parts is kept.
+    The first occurrence by (doc_id, row, position) stays, also inside one document; null doc_ids come first,
+    and rows that share a doc_id (or have none) in the order in which they are read, so of equal rows one keeps its text.
+    Null texts stay null, texts without repeats stay as they are, a text that repeats
+    from end to end becomes empty. The order of a text's remaining parts is kept. Very long texts are
+    chunked whole. An empty table stays empty.
     """
-    joined = _joined(docs, text_col, bits, "left")
+    row = fresh_name(docs, "row")
+    base = cut(docs.withColumn(row, F.monotonically_increasing_id()), "chunk-texts")  # written, so that a row keeps its number
+    spans = _spans(base.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), bits, min_words)
+    gone = spans.groupBy(F.col("row").alias(row)).agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias(fresh_name(base, "gone")))
 
     def run(batches):
         for b in small_batches(batches):
             at = b.schema.get_field_index(text_col)
             texts = b.column(at).to_pylist()
-            for k, marks in enumerate(b.column("__marks").to_pylist()):
-                if marks and texts[k]:
-                    raw, spans = spans_of(texts[k], marks, bits, min_words)
-                    if spans:
-                        edges = [0, *(x for s in spans for x in s[:2]), len(raw)]
-                        texts[k] = b"".join(raw[a:e] for a, e in zip(edges[::2], edges[1::2])).decode("utf-8", "surrogatepass")
-            columns = [pa.array(texts, b.schema.field(at).type) if i == at else c for i, c in enumerate(b.columns)]
-            yield pa.RecordBatch.from_arrays(columns[:-1], names=b.schema.names[:-1])
+            for k, spans in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                if spans:
+                    edges = [0, *(x for s in spans for x in (s["span_start"], s["span_end"])), len(texts[k])]
+                    texts[k] = "".join(texts[k][a:e] for a, e in zip(edges[::2], edges[1::2]))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field(at).type) if i == at else c for i, c in enumerate(b.columns[:-1])], names=b.schema.names[:-1])
 
-    return joined.select(*[joined[c] for c in docs.columns], "__marks").mapInArrow(run, docs.schema)
+    return base.join(gone, row, "left").drop(row).mapInArrow(run, docs.schema)
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", bits: int = 5, min_words: int = 20) -> DataFrame:
     """One row per passage that :func:`dedup_text` cuts out: doc_id, span_start and span_end (code
-    points), n_words, n_chunks, first_doc_ids (sorted ids of the documents that hold the chunks first)."""
-    joined = _joined(docs.select("doc_id", text_col), text_col, bits, "inner").where(F.col(text_col).isNotNull())
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for i, t, marks in zip(*(c.to_pylist() for c in b.columns)):
-                raw, spans = spans_of(t, marks, bits, min_words)
-                chars = lambda at: len(raw[:at].decode("utf-8", "surrogatepass"))
-                rows += [(i, chars(a), chars(e), w, n, [None if x == _NO_ID else x for x in firsts]) for a, e, w, n, firsts in spans]
-            if rows:
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "span_start", "span_end", "n_words", "n_chunks", "first_doc_ids"])
-
-    return joined.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string"), "__marks").mapInArrow(
-        run, "doc_id long, span_start int, span_end int, n_words int, n_chunks int, first_doc_ids array<long>"
-    )
+    points), n_words, n_chunks, first_doc_ids (sorted ids, null first, of the documents that hold the chunks first).
+    Null and empty texts have none; an empty table gives an empty result; further columns are ignored."""
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return _spans(numbered, bits, min_words).drop("row")

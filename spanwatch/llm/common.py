@@ -53,6 +53,14 @@ def tasks_for(spark: SparkSession, units: int, each: int = 1) -> int:
     return max(1, min(units, max(spark.sparkContext.defaultParallelism, -(-units // each))))
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as make it differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def small_batches(batches, rows: int = 1024):
     """The same rows in batches of at most ``rows``, so that what a task makes of a batch stays small."""
     for b in batches:

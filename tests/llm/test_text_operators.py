@@ -102,7 +102,60 @@ def test_repeated_passages_go(spark):
     assert texts[1][spans[0].span_start : spans[0].span_end] in passage
 
 
+def brute_spans(rows, min_words=20):
+    """Chunks, first occurrences and spans by plain loops over (doc_id, text) rows in the order in which they are read."""
+    chunks = {}
+    for row, (i, t) in enumerate(rows):
+        raw = (t or "").encode()
+        ends = chunkdedup.cuts(np.frombuffer(raw, np.uint8)).tolist()
+        chunks[row] = [(a, e, raw[a:e]) for a, e in zip([0, *ends], ends)]
+    order = sorted(chunks, key=lambda r: (rows[r][0] is not None, rows[r][0] or 0, r))
+    first, out = {}, []
+    for row in order:
+        for k, (_, _, c) in enumerate(chunks[row]):
+            first.setdefault(c, (row, k))
+    for row in order:
+        raw, run = (rows[row][1] or "").encode(), []
+        for k, (a, e, c) in enumerate([*chunks[row], (0, 0, None)]):
+            if c is not None and first[c] != (row, k):
+                run.append((a, e, rows[first[c][0]][0]))
+                continue
+            if len(run) > 1:
+                a, e = run[0][0], run[-1][1]
+                begun = sum(1 for p in range(a, e) if not raw[p : p + 1].isspace() and (p == 0 or raw[p - 1 : p].isspace()))
+                held = {x for *_, x in run}
+                if begun >= min_words:
+                    out.append((rows[row][0], len(raw[:a].decode()), len(raw[:e].decode()), begun, len(run), [None] * (None in held) + sorted(held - {None})))
+            run = []
+    return out
+
+
+def test_repeated_spans_equal_plain_loops(spark):
+    r = random.Random(11)
+    lines = [prose(1000 + i, 30) + " é漢 " for i in range(12)]
+    rows = [(i, "\n".join(r.choice(lines) if r.random() < 0.5 else prose(i * 50 + k, 25) for k in range(r.randint(1, 6)))) for i in range(60)]
+    rows += [(3, rows[3][1]), (None, lines[0] * 3), (None, lines[0] * 3), (None, None), (80, ""), (81, lines[1] * 40)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    key = lambda t: (t[0] is not None, t[0] or 0, *t[1:5])
+    got = sorted((tuple(x) for x in chunkdedup.repeated_spans(df).collect()), key=key)
+    want = sorted(brute_spans(rows), key=key)
+    assert len(want) > 50 and [(*x[:5], list(x[5])) for x in got] == want
+    kept = [x.text for x in chunkdedup.dedup_text(df).where("doc_id is null and text is not null").collect()]
+    assert sorted(map(len, kept))[0] < 40 < len(lines[0]) <= max(map(len, kept))
+
+
+def test_hot_chunks_are_joined_by_broadcast(spark):
+    """One passage in every one of 1500 documents: its digests pass the bound of the broadcast."""
+    line = prose(5, 60)
+    df = spark.createDataFrame([(i, f"{prose(i, 12)} {line}") for i in range(1500)], SCHEMA)
+    spans = chunkdedup.repeated_spans(df).collect()
+    assert len({s.doc_id for s in spans}) == 1499 and all(0 in s.first_doc_ids for s in spans)
+
+
 def test_chunks_of_odd_rows(spark, odd):
+    clash = odd.withColumn("row", F.lit("r")).withColumn("gone", F.lit(1)).withColumn("id", F.lit(2))
+    assert chunkdedup.dedup_text(clash).columns == clash.columns and chunkdedup.repeated_spans(clash).count() == 0
+    assert chunkdedup.repeated_spans(odd.limit(0)).count() == 0
     assert chunkdedup.dedup_text(odd).count() == len(ODD)
     assert chunkdedup.dedup_text(odd.limit(0)).count() == 0
     same = [r.text for r in chunkdedup.dedup_text(odd).where("doc_id = 5").collect()]
