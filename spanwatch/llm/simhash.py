@@ -1,9 +1,11 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 Fingerprints are compared exactly with numpy exclusive-or and bit counts. The table of distinct
-fingerprints is cut into tiles by the population counts of the two 32-bit halves of the first
-word; tile pairs whose counts differ by more than the radius cannot hold a link and are never
-formed, and inside a tile pair the same test on 16-bit quarters skips blocks.
+64-bit fingerprints is cut into tiles by the population counts of its two 32-bit halves; tile pairs
+whose counts differ by more than the radius cannot hold a link and are never formed. Longer
+fingerprints have radii so wide that population counts of whole tiles exclude nothing; there texts are
+tiled by their number of distinct shingles, and tile pairs with too different numbers for the wanted
+similarity are never formed. Inside a tile pair the test of population counts, on 16-bit quarters, skips blocks.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwatch.llm.common import connected_components, cut
+from spanwatch.llm.common import connected_components, cut, fresh_name, small_batches, tasks_for
 
 SEED = 42
 _STEP = 32768  # shingles counted at once
@@ -29,23 +31,33 @@ def _mix(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: str | None, width: int = 4, words: int = 1) -> np.ndarray:
-    """``words`` 64-bit words. A bit is 1 if set in over half of the hashes of the shingles, repeats
-    included. Words are runs outside ASCII white space, A-Z lower-cased. Fewer words than ``width``
-    make one shingle; no word gives zero."""
+def shingle_hashes(text: str | None, width: int, step: int = _STEP):
+    """XXH64 of each shingle of ``width`` words, in runs of at most ``step``. Words are runs outside ASCII white space, A-Z
+    lower-cased. Fewer words than ``width`` make one shingle; no word makes none."""
     tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not tokens:
-        return np.zeros(words, np.uint64)
+        return
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     width = min(width, len(tokens))
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(tokens) - width + 1]
-    ends = ends[width - 1 :]
-    digest, n = xxhash.xxh64_intdigest, len(ends)
-    count = np.zeros(64 * words, np.int64)
-    for at in range(0, n, _STEP):
-        part = zip(starts[at : at + _STEP].tolist(), ends[at : at + _STEP].tolist())
-        h = np.fromiter((digest(joined[a:b], SEED) for a, b in part), np.uint64)
+    ends, digest = ends[width - 1 :], xxhash.xxh64_intdigest
+    for at in range(0, len(ends), step):
+        part = zip(starts[at : at + step].tolist(), ends[at : at + step].tolist())
+        yield np.fromiter((digest(joined[a:b], SEED) for a, b in part), np.uint64)
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, width)]))
+
+
+def fingerprint(text: str | None, width: int = 4, words: int = 1) -> np.ndarray:
+    """``words`` 64-bit words. A bit is 1 if set in over half of the hashes of the shingles, repeats
+    included. No word gives zero."""
+    n, count = 0, np.zeros(64 * words, np.int64)
+    for h in shingle_hashes(text, width):
+        n += len(h)
         for k in range(words):
             x = h if k == 0 else _mix(h, k)
             bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -64,32 +76,38 @@ def node_of(prints: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, words: int = 1) -> DataFrame:
     """One row per input row: id long, text_key long (Spark's xxhash64 of the text, of '' for null),
-    fp binary (``words`` x 8 little-endian bytes), node long."""
+    fp binary (``words`` x 8 little-endian bytes), node long, shingles int (distinct ones; counted for longer prints only)."""
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches):
             texts = b.column(1).to_pylist()
             prints = np.stack([fingerprint(t, width, words) for t in texts]) if texts else np.zeros((0, words), np.uint64)
             keys = np.fromiter((xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"), SEED) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(keys.view(np.int64)), pa.array([x.tobytes() for x in prints], pa.binary()), pa.array(node_of(prints))],
-                ["id", "text_key", "fp", "node"],
+                [b.column(0), pa.array(keys.view(np.int64)), pa.array([x.tobytes() for x in prints], pa.binary()), pa.array(node_of(prints)), pa.array([len(shingle_set(t, width)) if words > 1 else 0 for t in texts], pa.int32())],
+                ["id", "text_key", "fp", "node", "shingles"],
             )
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(
-        run, "id long, text_key long, fp binary, node long"
+        run, "id long, text_key long, fp binary, node long, shingles int"
     )
 
 
-def _hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Merge the trees of linked nodes; every label ends as the smallest index of its tree."""
+def _hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Merge the trees of linked nodes; every label ends as the smallest index of its tree. Returns the numbers of the
+    links that merged two trees, a spanning forest of what was not joined before."""
+    used, number = [], np.arange(len(i))
     while True:
         a, b = label[i], label[j]
         differ = a != b
         if not differ.any():
-            return
-        i, j, a, b = i[differ], j[differ], a[differ], b[differ]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            return np.concatenate(used) if used else number[:0]
+        i, j, a, b, number = i[differ], j[differ], a[differ], b[differ], number[differ]
+        high, low = np.maximum(a, b), np.minimum(a, b)
+        order = np.lexsort((low, high))
+        firsts = order[np.flatnonzero(np.diff(high[order], prepend=-1))]
+        label[high[firsts]] = low[firsts]  # each root is hooked once, to a smaller one
+        used.append(number[firsts])
         while True:
             up = label[label]
             if (up == label).all():
@@ -108,82 +126,127 @@ def _prepared(raw: bytes, words: int):
 
 
 def _close(u: np.ndarray, v: np.ndarray, radius: int):
-    """Index pairs of rows of ``u`` and ``v`` within ``radius`` bits. The first two words are compared
+    """(i, j, distance) of rows of ``u`` and ``v`` within ``radius`` bits. The first two words are compared
     densely; their distance bounds the whole from below, so later words are looked at only where it
     still allows a link."""
     far = np.bitwise_count(u[:, 0][:, None] ^ v[:, 0][None])
     if u.shape[1] > 1:
         far += np.bitwise_count(u[:, 1][:, None] ^ v[:, 1][None])
     i, j = np.nonzero(far <= radius)
-    if u.shape[1] > 2 and len(i):
-        whole = far[i, j].astype(np.int32)
-        for k in range(2, u.shape[1]):
-            whole += np.bitwise_count(u[i, k] ^ v[j, k])
-        i, j = i[whole <= radius], j[whole <= radius]
-    return i, j
+    whole = far[i, j].astype(np.int32)
+    for k in range(2, u.shape[1]):
+        whole += np.bitwise_count(u[i, k] ^ v[j, k])
+    near = whole <= radius
+    return i[near], j[near], whole[near]
 
 
 def tile_links(a: bytes, b: bytes | None, radius: int, words: int = 1):
-    """A forest that joins what is linked inside one pair of tiles (``b`` None: the tile with itself),
-    as two arrays of nodes. Every link within ``radius`` bits counts; spanning ones are returned."""
+    """Links within ``radius`` bits inside one pair of tiles (``b`` None: the tile with itself) that make a least
+    spanning forest by distance, as two arrays of nodes: every link is a real one, and what is linked in
+    the pair of tiles is joined."""
     same = b is None
     xa, lo_a, hi_a = _prepared(a, words)
     xb, lo_b, hi_b = (xa, lo_a, hi_a) if same else _prepared(b, words)
     shift = 0 if same else len(xa)
-    label = np.arange(len(xa) + (0 if same else len(xb)))
     gap = np.maximum(np.maximum(lo_a[:, None] - hi_b[None], lo_b[None] - hi_a[:, None]), 0).sum(axis=2)
-    for p, q in np.argwhere(gap <= radius).tolist():
-        if same and q < p:
-            continue
-        i, j = _close(xa[p * _BLOCK : (p + 1) * _BLOCK], xb[q * _BLOCK : (q + 1) * _BLOCK], radius)
-        if len(i):
-            _hook(label, i + p * _BLOCK, j + q * _BLOCK + shift)
+    found, size = [], 0
     nodes = node_of(xa if same else np.concatenate([xa, xb]))
-    child = np.flatnonzero(label != np.arange(len(label)))
-    return nodes[child], nodes[label[child]]
 
+    def forest(parts):
+        i, j, d = (np.concatenate(x) for x in zip(*parts))
+        label, kept = np.arange(len(nodes)), []
+        order = np.argsort(d, kind="stable")
+        for level in np.split(order, np.flatnonzero(np.diff(d[order])) + 1):
+            kept.append(level[_hook(label, i[level], j[level])])
+        kept = np.concatenate(kept)
+        return i[kept], j[kept], d[kept]
 
-def _packed(keyed: DataFrame, *keys: str) -> DataFrame:
-    """One row per tile; a tile's size is bounded by how its keys were dealt."""
-    return keyed.groupBy(*keys).agg(F.unhex(F.array_join(F.collect_list(F.hex("fp")), "")).alias("tile"))
+    for p, q in np.argwhere(gap <= radius).tolist():
+        if same and q < p:
+            continue
+        i, j, d = _close(xa[p * _BLOCK : (p + 1) * _BLOCK], xb[q * _BLOCK : (q + 1) * _BLOCK], radius)
+        i, j = i + p * _BLOCK, j + q * _BLOCK + shift
+        one_way = i < j
+        found.append((i[one_way], j[one_way], d[one_way]))
+        size += int(one_way.sum())
+        if size > 1_000_000:  # links that a least forest of these lacks are in none of the whole
+            found = [forest(found)]
+            size = 0
+    i, j, _ = forest(found) if found else (np.zeros(0, np.int64),) * 3
+    return nodes[i], nodes[j]
+
+
+def _cells(distinct: DataFrame, radius: int, words: int, similarity: float):
+    """(cells, steps): ``distinct`` with a cell (x, y), and the steps to later cells that can hold links."""
+    if words == 1:  # by the counts of ones in both halves
+        cells = distinct.select("fp", F.bit_count(F.expr("node & 4294967295")).alias("x"), F.bit_count(F.expr("shiftrightunsigned(node, 32)")).alias("y"))
+        reach = range(-radius, radius + 1)
+        return cells, [(x, y) for x in reach for y in reach if abs(x) + abs(y) <= radius and (x > 0 or x == 0 <= y)]
+    # similar sets differ in size by the similarity at most: two cells for that factor
+    width = -np.log(similarity) / 2
+    cell = F.when(F.col("shingles") > 0, F.floor(F.log("shingles") / F.lit(float(width)))).otherwise(-10).cast("int")
+    return distinct.select("fp", cell.alias("x"), F.lit(0).alias("y")), [(0, 0), (1, 0), (2, 0)]
+
+
+def _tile_pairs(distinct: DataFrame, radius: int, words: int, tile_rows: int, similarity: float) -> DataFrame:
+    """(a, b): pairs of tiles of about ``tile_rows`` fingerprints whose cells allow a link; b is null for a tile with itself.
+
+    A tile goes to each tile that it meets, so a crowded cell's pairs are dealt over as many keys as it has tiles;
+    the number of tasks follows the number of tiles."""
+    cells, steps = _cells(distinct, radius, words, similarity)
+    sizes = cells.groupBy("x", "y").agg(F.ceil(F.count("*") / F.lit(tile_rows)).cast("int").alias("nb"))
+    sizes = cut(sizes, "simhash-cells")  # at most 33 x 33 rows, or one per size of texts on a scale of steps of 11 %
+    tasks = tasks_for(distinct.sparkSession, sizes.agg(F.sum("nb")).first()[0] or 1, 2)
+    placed = cells.join(F.broadcast(sizes), ["x", "y"]).withColumn("bucket", F.expr("pmod(xxhash64(fp), nb)"))
+    tiles = placed.groupBy("x", "y", "bucket").agg(F.unhex(F.array_join(F.collect_list(F.hex("fp")), "")).alias("tile"))
+    tiles = cut(tiles, "simhash-tiles")
+    ways = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in steps])
+    left = tiles.withColumn("step", F.explode(ways)).selectExpr("tile as a", "bucket as ba", "x + step.x as x", "y + step.y as y", "step.x = 0 and step.y = 0 as level")
+    left = left.join(F.broadcast(sizes), ["x", "y"]).withColumn("bb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).where("not level or ba <= bb")
+    right = tiles.selectExpr("x", "y", "cast(bucket as int) as bb", "tile as b")
+    key = ["x", "y", "bb"]
+    pairs = left.repartition(tasks, *key).join(right.repartition(tasks, *key), key)
+    return pairs.selectExpr("a", "if(level and ba = bb, null, b) as b")
+
+
+def linked_nodes(distinct: DataFrame, radius: int, words: int = 1, tile_rows: int = 16384, similarity: float = 0.8) -> DataFrame:
+    """(u long, v long): links within ``radius`` bits between the nodes of ``distinct(fp, node, shingles)`` that join all that is
+    linked. Of prints of several words only those are compared whose texts can have the ``similarity``, by their number of shingles."""
 
+    def run(batches):
+        for batch in batches:
+            for a, b in zip(batch.column(0), batch.column(1)):
+                u, v = tile_links(a.as_py(), b.as_py(), radius, words)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-def _counted_pairs(distinct: DataFrame, radius: int, tile_rows: int) -> DataFrame:
-    """Tiles by the population counts of the two halves of a 64-bit print, in buckets of about
-    ``tile_rows`` by hash; only pairs of tiles whose counts allow a link."""
-    keyed = distinct.select("fp", F.bit_count(F.expr("node & 4294967295")).alias("lo"), F.bit_count(F.expr("shiftrightunsigned(node, 32)")).alias("hi"))
-    sizes = keyed.groupBy("lo", "hi").agg(F.ceil(F.count("*") / F.lit(tile_rows)).cast("int").alias("nb"))  # at most 33 x 33 rows
-    tiles = _packed(keyed.join(F.broadcast(sizes), ["lo", "hi"]).withColumn("bucket", F.expr("pmod(xxhash64(fp), nb)")), "lo", "hi", "bucket")
-    reach = range(-radius, radius + 1)
-    steps = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in reach for y in reach if abs(x) + abs(y) <= radius and (x > 0 or x == 0 <= y)])
-    left = tiles.withColumn("step", F.explode(steps)).selectExpr(
-        "tile as a", "bucket as ba", "lo + step.x as lo", "hi + step.y as hi", "step.x = 0 and step.y = 0 as level"
-    )
-    right = tiles.selectExpr("lo", "hi", "bucket as bb", "tile as b")
-    return left.join(right, ["lo", "hi"]).where("not level or ba <= bb").selectExpr("a", "if(level and ba = bb, null, b) as b")
+    return _tile_pairs(distinct, radius, words, tile_rows, similarity).mapInArrow(run, "u long, v long")
 
 
-def _grid_pairs(distinct: DataFrame, tile_rows: int) -> DataFrame:
-    """All pairs of tiles dealt by hash, for radii so wide that counts of ones exclude nothing."""
-    side = max(1, -(-distinct.count() // tile_rows))
-    tiles = _packed(distinct.select("fp", F.pmod(F.xxhash64("fp"), F.lit(side)).alias("t")), "t")
-    left = tiles.select(F.col("tile").alias("a"), F.col("t").alias("ta"), F.explode(F.sequence("t", F.lit(side - 1).cast("long"))).alias("t"))
-    right = tiles.withColumnRenamed("tile", "b")
-    return left.join(right, "t").repartition("ta", "t").selectExpr("a", "if(ta = t, null, b) as b")
+def verified_links(links: DataFrame, reps: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The links whose texts share ``similarity`` of their distinct shingles, counted exactly. ``reps(node, id, text_key)``
+    names a row of ``docs(id, text)`` for each node."""
+    asked = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
+    named = reps.join(asked, "node").select("node", F.col("id").alias("rep_id"), F.col("text_key").alias("rep_key"))
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = docs.withColumn("key", key).join(named, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("key") == F.col("rep_key"))).select("node", "text")
 
+    def sets(batches):
+        for b in small_batches(batches, 256):
+            found = [shingle_set(t, width).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "h"])
 
-def linked_nodes(distinct: DataFrame, radius: int, words: int = 1, tile_rows: int = 16384) -> DataFrame:
-    """(u long, v long): a forest over the nodes of ``distinct(fp, node)`` within ``radius`` bits of
-    each other."""
-    pairs = _counted_pairs(distinct, radius, tile_rows) if words == 1 and radius <= 8 else _grid_pairs(distinct, tile_rows)
+    sets_of = cut(texts.dropDuplicates(["node"]).mapInArrow(sets, "node long, h array<long>"), "simhash-shingles")
+    both = links.join(sets_of.select(F.col("node").alias("u"), F.col("h").alias("hu")), "u").join(sets_of.select(F.col("node").alias("v"), F.col("h").alias("hv")), "v")
 
-    def run(batches):
-        for batch in batches:
-            for a, b in zip(batch.column(0), batch.column(1)):
-                u, v = tile_links(a.as_py(), b.as_py(), radius, words)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+    def check(batches):
+        for b in small_batches(batches, 256):
+            a, c = b.column("hu"), b.column("hv")
+            same = np.fromiter((len(np.intersect1d(a[k].values.to_numpy(), c[k].values.to_numpy(), assume_unique=True)) for k in range(b.num_rows)), np.int64, b.num_rows)
+            union = np.array([len(a[k].values) + len(c[k].values) for k in range(b.num_rows)], np.int64) - same
+            ok = pa.array((same >= similarity * union) & (union > 0))
+            yield pa.RecordBatch.from_arrays([b.column("u").filter(ok), b.column("v").filter(ok)], ["u", "v"])
 
-    return pairs.mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "hu", "hv").mapInArrow(check, "u long, v long")
 
 
 def near_duplicates(
@@ -196,28 +259,46 @@ def near_duplicates(
     their fingerprint but never name a component. Repeated rows are repeated in the result.
     An empty table gives an empty result; further columns are ignored.
     """
+    fps, reps = _prints(docs, id_col, text_col, width, words)
+    return _grouped(fps, reps, linked_nodes(reps, radius, words, tile_rows))
+
+
+def _prints(docs, id_col, text_col, width, words):
+    """Fingerprints of all rows, and one row per distinct one: node, fp, and id, text_key and shingles of its smallest row."""
     fps = cut(fingerprints(docs, id_col, text_col, width, words), "simhash-fingerprints")
-    reps = fps.groupBy("node").agg(F.first("fp").alias("fp"), F.min("id").alias("low"))
-    roots = connected_components(linked_nodes(reps.select("fp", "node"), radius, words, tile_rows), "simhash-links")
-    grouped = reps.select("node", "low").join(roots, "node")
-    lows = grouped.groupBy("root").agg(F.min("low").alias("least"))
+    smallest = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key", "shingles")).alias("rep")
+    reps = fps.groupBy("node").agg(F.first("fp").alias("fp"), smallest).select("node", "fp", "rep.id", "rep.text_key", "rep.shingles")
+    return fps, cut(reps, "simhash-distinct")
+
+
+def _grouped(fps, reps, links):
+    roots = connected_components(links, "simhash-links")
+    grouped = reps.select("node", "id").join(roots, "node")
+    lows = grouped.groupBy("root").agg(F.min("id").alias("least"))
     merged = grouped.join(lows, "root").select("node", "root", "least")
-    named = reps.select("node", "low").join(merged, "node", "left").selectExpr("node", "coalesce(root, node) as component", "coalesce(least, low) as component_id")
+    named = reps.select("node", "id").join(merged, "node", "left").selectExpr("node", "coalesce(root, node) as component", "coalesce(least, id) as component_id")
     named = cut(named, "simhash-groups")  # a table of its own, so that the join with a hot fingerprint can be split
     return fps.join(named, "node").select("id", "text_key", "fp", "node", "component", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, width: int = 5, words: int = 4, radius: int = 42, tile_rows: int = 16384) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, width: int = 5, words: int = 4, radius: int = 42, tile_rows: int = 16384, similarity: float = 0.8) -> DataFrame:
     """The documents without near copies: of each group the row with the smallest doc_id stays (then
     the smallest hash of the text; null ids come last).
 
     256-bit fingerprints over five-word shingles: at similarity s of the shingles two prints differ
-    in about arccos(2s/(1+s))/pi of their bits, 15 % at 0.8. All texts without a word are one group.
-    Of repeated rows one stays. Columns are those of ``docs``; an empty table stays empty.
+    in about arccos(2s/(1+s))/pi of their bits, 15 % at 0.8. Links found so are then counted exactly, and only
+    texts that share ``similarity`` of their distinct shingles stay linked; texts with equal prints are copies. Of the
+    links those of least distance are looked at, as many as join a group: where one is refused, the ones
+    left out are farther still. All texts without a word are one group.
+    Of repeated rows one stays. Very long texts count whole. Columns are those of ``docs``, whatever their
+    names; an empty table stays empty.
     """
-    near = near_duplicates(docs, "doc_id", "text", width, radius, words, tile_rows)
+    fps, reps = _prints(docs, "doc_id", "text", width, words)
+    links = cut(linked_nodes(reps, radius, words, tile_rows, similarity).distinct(), "simhash-found")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    near = _grouped(fps, reps, verified_links(links, reps, texts, width, similarity))
     best = near.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("b"))
-    stay = best.selectExpr("b.id as __id", "b.text_key as __key")
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    kept = docs.withColumn("__of", key).join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__key")))
-    return kept.dropDuplicates(["__id", "__key"]).select(*docs.columns)
+    one, two, of = (fresh_name(docs, n) for n in ("stay_id", "stay_key", "text_key"))
+    stay = best.select(F.col("b.id").alias(one), F.col("b.text_key").alias(two))
+    kept = docs.withColumn(of, F.xxhash64(F.coalesce("text", F.lit("")))).join(stay, F.col("doc_id").eqNullSafe(F.col(one)) & (F.col(of) == F.col(two)))
+    return kept.dropDuplicates([one, two]).select(*docs.columns)

@@ -54,13 +54,49 @@ def test_simhash_matches_brute_force(spark):
     assert [got[i].component_id for i in range(len(texts))] == label
 
 
-def test_simhash_grid_equals_brute_force():
+def test_simhash_forest_equals_brute_force():
     x = np.random.default_rng(1).integers(0, 2**64, (90, 4), np.uint64)
     x[30:60] = x[:30]
     x[30:60, 3] ^= np.uint64(0b1011)
+    x[60:70, 2] = x[:10, 2] ^ np.uint64(1)
+    x[60:70, [0, 1, 3]] = x[:10][:, [0, 1, 3]]
     u, v = simhash.tile_links(x.tobytes(), None, 42, 4)
     far = np.bitwise_count(x[:, None] ^ x[None]).sum(2)
-    assert len(u) == 30 == ((far <= 42).sum() - 90) // 2
+    node = {int(n): k for k, n in enumerate(simhash.node_of(x))}
+    links = [(node[int(a)], node[int(b)]) for a, b in zip(u, v)]
+    assert len(links) == 40 and all(far[a, b] <= 42 for a, b in links)
+    assert sorted(far[a, b] for a, b in links) == [1] * 10 + [3] * 30  # the least forest: 4 is not taken
+    a, b = x[:45].tobytes(), x[45:].tobytes()
+    joined = {frozenset((node[int(m)], node[int(n)])) for t in ((a, None), (b, None), (a, b)) for m, n in zip(*simhash.tile_links(*t, 42, 4))}
+    label = list(range(90))
+    for m, n in map(sorted, joined):
+        label = [min(label[m], label[n]) if k in (label[m], label[n]) else k for k in label]
+    assert all(far[m, n] <= 42 for m, n in map(sorted, joined)) and len(set(label)) == 50
+
+
+def test_near_dedup_equals_brute_force(spark):
+    """Groups over exact similarities of 0.8 and more; documents of less go on."""
+    r = random.Random(21)
+    base = [prose(s, r.choice([30, 120, 400])) for s in range(25)]
+
+    def edited(text, share):
+        words = text.split()
+        for k in r.sample(range(len(words)), max(1, int(share * len(words)))):
+            words[k] = "other" + str(r.randint(0, 10**6))
+        return " ".join(words)
+
+    texts = base + [edited(t, 0.01) for t in base] + [edited(t, 0.2) for t in base] + ["", None, "few words", "few words"]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    same = lambda a, b: a == b or len(sets[a] & sets[b]) >= 0.8 * max(1, len(sets[a] | sets[b]))
+    label = list(range(len(texts)))
+    for _ in range(4):
+        for i in range(len(texts)):
+            for j in range(i):
+                if (sets[i] == sets[j] or same(i, j)) and label[i] != label[j]:
+                    label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    kept = {x.doc_id for x in simhash.keep_one_of_each(df, tile_rows=16).collect()}
+    assert kept == set(label)
 
 
 def test_simhash_keeps_one(spark, odd):
