@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwatch.llm.common import small_batches
+from spanwatch.llm.common import fresh_name, small_batches
 
 _NONE = np.int64(1) << np.int64(62)
 
@@ -140,7 +140,10 @@ class Tokenizer:
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each piece. A piece that is a token is that token; others are merged, grouped by the
-        power of two that holds them, at most about 4 million leaves at once."""
+        power of two that holds them, at most about a million leaves at once.
+
+        One piece is never split, since merges may cross any place in it: its tree takes about 40 bytes for each leaf,
+        so a piece of 16 MB without a place to split (one run of letters) takes some 700 MB of a worker."""
         out: list = [None] * len(pieces)
         groups: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
@@ -226,12 +229,12 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
         tok = _tokenizer(lines.value, pattern)
         for b in small_batches(batches):
             out = []
-            for texts in _portions([t or "" for t in b.column("__text").to_pylist()]):
+            for texts in _portions([t or "" for t in b.column(b.num_columns - 1).to_pylist()]):
                 out += [_numbers(joined) for joined in tok.encoded(texts)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.list_(pa.int32()))], names=[*b.schema.names[:-1], out_col])
 
     schema = docs.select(*keep).withColumn(out_col, F.expr("cast(array() as array<int>)")).schema
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).cast("string").alias(fresh_name(docs, "text"))).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, rank_file: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -242,11 +245,11 @@ def decode(encoded: DataFrame, rank_file: str, ids_col: str = "ids", out_col: st
     def run(batches):
         tok = _tokenizer(lines.value, "")
         for b in batches:
-            out = [tok.decode(np.array(ids or [], np.int32)) for ids in b.column("__ids").to_pylist()]
+            out = [tok.decode(np.array(ids or [], np.int32)) for ids in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.binary())], names=[*b.schema.names[:-1], out_col])
 
     schema = encoded.select(*keep).withColumn(out_col, F.lit(b"")).schema
-    return encoded.select(*keep, F.col(ids_col).alias("__ids")).mapInArrow(run, schema)
+    return encoded.select(*keep, F.col(ids_col).alias(fresh_name(encoded, "ids"))).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,7 +257,8 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
     decoded_sha256 (of the bytes that the ids decode to).
 
     Encodes and decodes in one pass; the ids never leave the worker. Null texts are empty: no
-    tokens, digests of nothing. Repeated rows are repeated; an empty table gives an empty result.
+    tokens, digests of nothing. Repeated rows are repeated; an empty table gives an empty result; further columns are
+    ignored. Very long texts are encoded alone, a piece at a time (see :meth:`Tokenizer.encode_pieces` for single long pieces).
     """
     lines = docs.sparkSession.sparkContext.broadcast(Path(rank_file).read_bytes())
 

@@ -93,7 +93,8 @@ def format_turns(conversations: DataFrame, template: Template | None = None) ->
 
     Rows are ordered by turn, then role and text (null turns first). Null roles and texts are empty.
     Rows with a null conv_id are one conversation. A conversation streams through one task in order,
-    a batch at a time; nothing of it is collected. Repeated rows are turns of their own.
+    a batch at a time; nothing of it is collected. Repeated rows are turns of their own. Very long texts are formatted
+    whole; an empty table gives an empty result; columns beside the four named ones are ignored.
     """
     form = Formatter(template or Template())
     rows = conversations.select(
@@ -120,12 +121,16 @@ def format_turns(conversations: DataFrame, template: Template | None = None) ->
     return ordered.mapInArrow(run, "conv_id long, seq long, state string, segments array<struct<text:string,loss:boolean>>")
 
 
-def read_back(turns: DataFrame, template: Template | None = None) -> DataFrame:
+def read_back(turns: DataFrame, template: Template | None = None, ordered: bool = False) -> DataFrame:
     """One row per conversation from the segments of :func:`format_turns` alone: conv_id, n_turns,
     turns_sha256, loss_chars, loss_sha256, formatted_chars, valid (the order of roles is the template's).
 
-    Texts are hashed as they stream by; the digests of a conversation need its turns in order."""
+    Texts are hashed as they stream by; the digests of a conversation need its turns in order. They are
+    brought into it here unless they are ``ordered``, straight from :func:`format_turns`. ValueError where a
+    turn is missing or out of place. An empty table gives an empty result."""
     form = Formatter(template or Template())
+    if not ordered:
+        turns = turns.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
 
     def run(batches):
         current, state = None, None
@@ -136,11 +141,13 @@ def read_back(turns: DataFrame, template: Template | None = None) -> DataFrame:
 
         for b in batches:
             rows = []
-            for c, machine, segments in zip(b.column("conv_id").to_pylist(), b.column("state").to_pylist(), b.column("segments").to_pylist()):
+            for c, seq, machine, segments in zip(*(b.column(n).to_pylist() for n in ("conv_id", "seq", "state", "segments"))):
                 if current is None or c != current[0]:
                     if current is not None:
                         rows.append(done())
                     current, state = (c,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0, None]
+                if seq != state[0]:
+                    raise ValueError(f"turn {seq} of conversation {c} comes where {state[0]} should")
                 turn = "".join(s["text"] for s in segments)
                 role, text = form.read(turn)
                 under = form.unquote("".join(s["text"] for s in segments if s["loss"]))

@@ -7,7 +7,8 @@ source's words come near the target.
 
 The running sum needs a document's rank in its source. It is put together from three counts, so
 no task orders a whole source: documents of smaller sizes (one row per distinct size), documents of
-the same size in earlier slices (``slices`` rows), and the row number inside one slice.
+the same size in earlier slices, and the row number inside one slice. Slices are dealt by a hash and there
+are so many that about ``slice_rows`` rows of one source and size share one.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ def source_targets(sizes: DataFrame, max_repeat: int = 3, weights: tuple[int, ..
 
     Sources by code point, null last, take ``weights`` in turn. Together they share ``share`` of all
     words; a target stops at ``max_repeat`` times its source's size and the excess goes to the others
-    by weight until none is above. Sources are few (one row each), so they are ordered in one task.
+    by weight until none is above. Sources are ordered in one task: there is one row of some 40 bytes for each, so a
+    million sources, far more than a mixture names, are 40 MB.
     """
     one = Window.orderBy(F.col("source").isNull(), F.encode("source", "utf-8"))
     everything = Window.partitionBy()
@@ -53,20 +55,22 @@ def offset_of(source: Column, seed: str) -> Column:
 
 
 def copies(
-    docs: DataFrame, max_repeat: int = 3, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, seed: str = "mix", slices: int = 64
+    docs: DataFrame, max_repeat: int = 3, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, seed: str = "mix", slice_rows: int = 100_000
 ) -> DataFrame:
     """``docs`` with size, source_size, target (their source's) and copies (0 to ``max_repeat``).
 
     Null text has size 0, null sources are one source. A source without words gets no copies.
     Ties (equal size and doc_id, repeated rows) take any order among themselves, which changes
-    nothing but which of the equal rows counts. Null doc_ids come first. An empty table stays empty.
+    nothing but which of the equal rows counts. Null doc_ids come first. An empty table stays empty. Very long texts count whole.
     The columns doc_id, text and source are read; others ride along, also if they are named like the
     new columns (the new ones then replace them).
     """
     keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     d = docs.select(*keep).withColumn("size", word_count(F.col("text")))
     d = d.withColumn("__s", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
-    d = d.withColumn("__b", F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.lit(slices)).cast("int"))
+    slices = max(64, -(-docs.count() // slice_rows))
+    named = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary"))
+    d = d.withColumn("__b", F.pmod(F.conv(F.substring(named, 1, 8), 16, 10).cast("long"), F.lit(slices)).cast("int"))
     cells = d.groupBy("__s", "size", "__b").agg(F.count("*").alias("n"))
     by_size = cells.groupBy("__s", "size").agg(F.sum("n").alias("m"))
     up = Window.partitionBy("__s").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,9 +93,10 @@ def copies(
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents: every row as often as :func:`copies` says, columns as in ``docs``."""
-    taken = copies(docs, **options).where("copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The mixed documents: every row as often as :func:`copies` says, columns as in ``docs``, whatever their names."""
+    packed = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row"))
+    taken = copies(packed, **options).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
@@ -103,7 +108,8 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 #: The same in DuckDB SQL.
 SQL = r"""
-with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+        ('0x' || substr(md5(coalesce(doc_id::varchar, text, '')), 1, 8))::bigint % (select greatest(64, ceil(count(*) / 100000))::bigint from documents) as slice from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, row_number() over (order by source is null, source::blob) as n from s),
 v as (select *, ((n - 1) % 3 + 1)::bigint as weight, source_size * 3 as cap, (sum(source_size) over ())::bigint as whole from w),
@@ -113,7 +119,7 @@ y as (select *, cap * open > rest * weight as free from x),
 z as (select *, first_value(rest) over (order by not free, cap / weight, n) as level_rest, first_value(open) over (order by not free, cap / weight, n) as level_open from y),
 t as (select source, source_size, case when free then level_rest::double * weight / level_open else cap::double end as target,
         ('0x' || substr(md5('mix:' || coalesce(source, chr(0) || 'null')), 1, 8))::bigint / 4294967296.0::double as start from z),
-r as (select d.doc_id, d.size, t.*, row_number() over (partition by d.source order by d.size, d.doc_id % 64, d.doc_id) - 1 as k
+r as (select d.doc_id, d.size, t.*, row_number() over (partition by d.source order by d.size, d.slice, d.doc_id nulls first) - 1 as k
       from d join t on d.source is not distinct from t.source),
 c as (select doc_id, size, source_size, target,
         least(floor(start + (k + 1) * (case when source_size > 0 then target / source_size else 0 end))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwatch.llm.common import small_batches
+from spanwatch.llm.common import fresh_name, small_batches
 
 #: What is measured in a text; shares are of its bytes, words or lines.
 FEATURES = (
@@ -160,17 +160,21 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **options) -> Gam:
-    """Fit on the labelled rows outside the held-out third; of more than ``max_rows`` those with the
-    smallest hashes of their doc_id. The sample bounds what is broadcast and what the driver gets."""
-    usable = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").where(~held_out(F.col("doc_id")))
-    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
+    """Fit on the labelled rows outside the held-out third; of more than ``max_rows`` ids those with the
+    smallest hashes. An id counts once: with its smaller label and the text of the smallest hash, if it has several. The
+    sample bounds what is broadcast and what the driver gets."""
+    usable = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
+    sample = usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["y", "x"])
+            x = pa.array([features(t) for t in b.column(2).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), x], ["doc_id", "y", "h", "x"])
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("quality", "text")
-    got = rows.mapInArrow(run, "y int, x array<double>").limit(2 * max_rows).toArrow()
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h")).join(F.broadcast(sample), "doc_id")
+    each = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text", "h").mapInArrow(run, "doc_id long, y int, h long, x array<double>")
+    got = each.groupBy("doc_id").agg(F.min(F.struct("h", "y", "x")).alias("r")).select("r.y", "r.x").toArrow()  # at most max_rows rows
     x = np.array(got.column(1).to_pylist(), float).reshape(-1, len(FEATURES))
     y = np.array(got.column(0).to_pylist(), float) > 0.5
     order = np.lexsort([*x.T, y])  # the order of arrival does not matter
@@ -178,8 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **options)
 
 
 def score(docs: DataFrame, model: Gam, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """``docs`` with the model's score, 0 to 1, higher for quality; null and empty texts have one too.
-    A column named ``out_col`` is replaced; repeated rows are repeated; empty tables stay empty."""
+    """``docs`` with the model's score, 0 to 1, higher for quality; null and empty texts have one too, very long
+    ones are measured whole. A column named ``out_col`` is replaced; repeated rows are repeated; empty tables stay empty."""
     keep = [c for c in docs.columns if c != out_col]
 
     def run(batches):
@@ -188,7 +192,7 @@ def score(docs: DataFrame, model: Gam, text_col: str = "text", out_col: str = "s
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(x))], names=[*b.schema.names[:-1], out_col])
 
     schema = docs.select(*keep).withColumn(out_col, F.lit(0.0)).schema
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).cast("string").alias(fresh_name(docs, "text"))).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
@@ -199,6 +203,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **optio
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """The documents that the classifier does not reject, columns as they were."""
-    model = train(docs, labels, **options)
-    return score(docs, model, out_col="__quality").where(F.col("__quality") >= threshold).select(*docs.columns)
+    """The documents that the classifier does not reject, columns as they were, whatever their names."""
+    model, name = train(docs, labels, **options), fresh_name(docs, "score")
+    return score(docs, model, out_col=name).where(F.col(name) >= threshold).select(*docs.columns)

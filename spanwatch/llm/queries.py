@@ -37,7 +37,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.read_back(chat.format_turns(rows))
+    return chat.read_back(chat.format_turns(rows), ordered=True)
 
 
 def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:

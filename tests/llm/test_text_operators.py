@@ -246,6 +246,10 @@ def test_mixing_odd_rows(spark, odd):
     df = odd.withColumn("source", F.when(F.col("doc_id") > 3, "s")).withColumn("size", F.lit("clash"))
     assert len(mixing.copies(df).collect()) == len(ODD)
     assert mixing.mix(df.limit(0)).count() == 0
+    # ids that share a remainder, or are missing, are dealt over many slices
+    even = spark.createDataFrame([(64 * i, f"w{i}", "s") for i in range(500)] + [(None, f"v{i}", "s") for i in range(500)], "doc_id long, text string, source string")
+    taken = mixing.copies(even).collect()
+    assert len(taken) == 1000 and sum(r.copies for r in taken) == 1000
     assert all(r.taken == 0 for r in mixing.report(df).collect() if r.size == 0)
 
 
@@ -358,3 +362,61 @@ def test_gam_learns_an_interaction():
     model = quality.fit(x[:2000], y[:2000])
     assert ((model.score(x[2000:]) >= 0.5) == (y[2000:] > 0)).mean() > 0.85
     assert any({i, j} == {0, 1} for i, j, *_ in model.pairs)
+
+
+def test_gam_parts_equal_plain_loops():
+    """Scores, trees and pairs of cuts against loops over all possibilities."""
+    import bisect
+    import math
+
+    r = np.random.default_rng(9)
+    x = np.round(r.normal(size=(400, 4)), 1)
+    model = quality.fit(x, (x[:, 0] * x[:, 1] > 0).astype(float), rounds=20)
+    for row, got in zip(x[:60].tolist(), model.score(x[:60])):
+        z = model.base + sum(t[bisect.bisect_right(e.tolist(), v)] for e, t, v in zip(model.edges, model.tables, row))
+        z += sum(t[bisect.bisect_right(ei.tolist(), row[i]), bisect.bisect_right(ej.tolist(), row[j])] for i, j, ei, ej, t in model.pairs)
+        assert abs(1 / (1 + math.exp(-z)) - got) < 1e-12
+    for _ in range(20):
+        g, h = r.normal(size=7), r.uniform(0.1, 1, 7)
+        value = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 2)
+        gains = [value(0, k) + value(k, 7) - value(0, 7) for k in range(1, 7)]
+        gain, at = quality._split(g, h, 2.0)
+        assert abs(gain - max(gains)) < 1e-9 and gains[at - 1] == pytest.approx(max(gains))
+        tree = quality._tree(g, h, 2.0, 2)
+        leaf = lambda a, b: g[a:b].sum() / (h[a:b].sum() + 2)
+        assert max(gains) <= 1e-9 or np.allclose(tree, [leaf(0, at)] * at + [leaf(at, 7)] * (7 - at))
+        g, h = r.normal(size=(4, 5)), r.uniform(0.1, 1, (4, 5))
+        part = lambda s: g[s].sum() ** 2 / (h[s].sum() + 2)
+        best = max(sum(part((rows, cols)) for rows in (slice(0, a), slice(a, 4)) for cols in (slice(0, b), slice(b, 5))) - g.sum() ** 2 / (h.sum() + 2) for a in range(1, 4) for b in range(1, 5))
+        assert quality._quadrants(g, h, 2.0)[0] == pytest.approx(best)
+
+
+def test_quality_sample_is_bounded_where_ids_repeat(spark):
+    rows = [(i % 3 + 2, prose(i, 20), "t", 1.0) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, quality double")
+    labels = spark.createDataFrame([(2, 1), (3, 0), (4, 1), (2, 0)], "doc_id long, quality int")
+    out = quality.keep_good(docs, labels, max_rows=2)
+    assert out.columns == docs.columns and 0 <= out.count() <= 90
+    assert quality.classify(docs, labels).count() == 90
+
+
+def test_very_long_texts(spark):
+    """One text of 190 000 words through the operators on texts."""
+    text = " ".join(WORDS) + " "
+    df = spark.createDataFrame([(1, text * 10_000, "s"), (2, text, "s")], "doc_id long, text string, source string")
+    n = 10_000 * len(WORDS)
+    sizes = {r.doc_id: r.size for r in mixing.report(df).collect()}
+    assert sizes == {1: n, 2: len(WORDS)}
+    assert simhash.keep_one_of_each(df).count() <= 2
+    spans = chunkdedup.repeated_spans(df).collect()
+    assert sum(s.n_words for s in spans if s.doc_id == 1) > 0.99 * n - 100
+    assert quality.score(df, quality.Gam(0.0, [np.zeros(0)] * len(quality.FEATURES), [np.zeros(1)] * len(quality.FEATURES), [])).count() == 2
+    got = bpe.round_trip(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    assert all(r.decoded_sha256 == hashlib.sha256((text * (10_000 if r.doc_id == 1 else 1)).encode()).hexdigest() for r in got)
+
+
+def test_bpe_of_one_long_piece(tokenizers):
+    tok, enc = tokenizers
+    r = random.Random(4)
+    piece = "".join(r.choice("etaoin") for _ in range(20_000))
+    assert tok.encode_pieces([piece.encode()])[0] == enc.encode_ordinary(piece)
