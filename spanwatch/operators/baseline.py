@@ -62,7 +62,7 @@ def drop_infra_only(baseline: DataFrame) -> DataFrame:
     """Drop entries, unless promoted, that call other services none of which is the root service of any entry."""
     roots = baseline.groupBy("environment").agg(F.collect_set(S.service_of(F.col("root_op"))).alias("roots"))  # one name per service
     others = F.array_except("services", F.array(S.service_of(F.col("root_op"))))
-    return baseline.join(F.broadcast(roots), "environment").where(F.col("auto_promoted") | (F.size(others) == 0) | F.arrays_overlap(others, F.col("roots"))).select(*baseline.columns)
+    return baseline.join(roots, "environment").where(F.col("auto_promoted") | (F.size(others) == 0) | F.arrays_overlap(others, F.col("roots"))).select(*baseline.columns)
 
 
 def established(baseline: DataFrame, least: int = DEFAULTS.learn_min_trace) -> DataFrame:
@@ -102,6 +102,13 @@ def auto_no_missing(baseline: DataFrame, thresholds: DataFrame | None = None, pe
     return d.where(peer | optional).groupBy(*ROOT).agg(F.max(peer).alias("peer"), F.array_join(F.array_sort(F.collect_set("service")), ",").alias("because"))
 
 
+def service_union(df: DataFrame, name: str, column: str = "services") -> DataFrame:
+    """Per root op the sorted union of an array of services: exploded first, so a row only ever gathers distinct names, combined
+    before the shuffle, however many traces or entries there are."""
+    each = df.select(*ROOT, F.explode(column).alias("s"))
+    return each.groupBy(*ROOT).agg(F.array_sort(F.collect_set("s")).alias(name))
+
+
 def span_bounds(baseline: DataFrame) -> DataFrame:
     top = F.coalesce(F.nullif("span_count_max", F.lit(0)), "span_count")
     low = F.coalesce(F.nullif("span_count_min", F.lit(0)), "span_count")
@@ -124,7 +131,7 @@ def established_root_ops(baseline: DataFrame, least: int = 2) -> DataFrame:
 
 
 def services_for_root_op(baseline: DataFrame, least: int = 2) -> DataFrame:
-    return established_stream(baseline, least).groupBy(*ROOT).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("services")))).alias("services"))
+    return service_union(established_stream(baseline, least), "services")
 
 
 def fps_per_root_op(baseline: DataFrame) -> DataFrame:
@@ -223,9 +230,14 @@ def coverage(live: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def coverage_status(cov: DataFrame) -> DataFrame:
+    """``cov`` with the share that matches, its status, its place (LOW, WARN, NO_TRAFFIC, GOOD, less covered first) and advice."""
     pct = F.round(F.col("matched") * 100.0 / F.nullif("traces", F.lit(0)), 1)
     status = F.when(F.col("traces") == 0, "NO_TRAFFIC").when(pct >= 80, "GOOD").when(pct >= 50, "WARN").otherwise("LOW")
-    return cov.select(*cov.columns, pct.alias("pct"), status.alias("status"))
+    s = cov.select(*cov.columns, pct.alias("pct"), status.alias("status"))
+    idle = F.when(F.col("entries") > 0, "known but idle: extend the window or drop it").otherwise("unknown and idle: nothing to do")
+    advice = F.when(F.col("status") == "NO_TRAFFIC", idle).when(F.col("pct") == 0, "nothing matches: learn anew").when(F.col("pct") < 50, "learn over 240 minutes").when(F.col("pct") < 80, "learn over 120 minutes").otherwise("covered")
+    rank = F.when(F.col("status") == "LOW", 0).when(F.col("status") == "WARN", 1).when(F.col("status") == "NO_TRAFFIC", 2).otherwise(3)
+    return s.withColumn("rank", rank).withColumn("advice", advice).orderBy("rank", F.coalesce("pct", F.lit(101.0)), *ROOT)
 
 
 # ---- upkeep
@@ -248,12 +260,15 @@ def apply_watch_hits(baseline: DataFrame, new: DataFrame, as_of, threshold: int
     )
 
 
-def promote_by_count(detections: DataFrame, baseline: DataFrame, threshold: int = DEFAULTS.promote_detections, ingress: str | None = None) -> DataFrame:
+def promote_by_count(detections: DataFrame, baseline: DataFrame, threshold: int = DEFAULTS.promote_detections, ingress: str | None = None, warmup_end=None) -> DataFrame:
     """Hashes detected ``threshold`` times that the baseline lacks, with the flag that exempts them from missing checks
-    (root ops of the ``ingress`` service are not exempt)."""
-    n = detections.groupBy(*KEY).agg(F.count("*").alias("detections"), F.min("root_op").alias("root_op"))
+    (root ops of the ``ingress`` service are not exempt). A hash seen (``trace_start``) before ``warmup_end`` is promoted at first
+    sight. A promoted hash enters with one occurrence."""
+    first = F.min("trace_start") if warmup_end is not None else F.lit(None).cast("timestamp")
+    n = detections.groupBy(*KEY).agg(F.count("*").alias("detections"), F.min("root_op").alias("root_op"), first.alias("first_seen"))
+    warm = F.lit(False) if warmup_end is None else F.col("first_seen") < F.lit(warmup_end).cast("timestamp")
     exempt = F.lit(True) if ingress is None else ~F.col("root_op").startswith(ingress)
-    return n.where(F.col("detections") >= threshold).join(baseline.where("auto_promoted or occurrences >= 2").select(*KEY), KEY, "left_anti").select(*KEY, "root_op", "detections", exempt.alias("no_missing_service"))
+    return n.where((F.col("detections") >= threshold) | warm).join(baseline.where("auto_promoted or occurrences >= 2").select(*KEY), KEY, "left_anti").select(*KEY, "root_op", "detections", F.lit(1).alias("occurrences"), exempt.alias("no_missing_service"))
 
 
 def promote(baseline: DataFrame, as_of, hashes: list[str] | None = None) -> DataFrame:
@@ -319,6 +334,14 @@ def health_check(trace: DataFrame, errors: DataFrame, windows: DataFrame, as_of)
     return out
 
 
+def infra_only_root_ops(baseline: DataFrame) -> DataFrame:
+    """Root ops all of whose entries call other services, none of which starts a trace of the baseline."""
+    roots = baseline.select("environment", S.service_of(F.col("root_op")).alias("s")).distinct().groupBy("environment").agg(F.collect_set("s").alias("roots"))
+    others = F.array_except("services", F.array(S.service_of(F.col("root_op"))))
+    b = baseline.join(roots, "environment").withColumn("infra", (F.size(others) > 0) & ~F.arrays_overlap(others, F.col("roots")))
+    return b.groupBy(*ROOT).agg(F.min("infra").alias("infra")).where("infra").select(*ROOT)
+
+
 def auto_fix(baseline: DataFrame) -> DataFrame:
     return baseline.where("auto_promoted or occurrences >= 2")
 

@@ -22,14 +22,15 @@ def root_stats(baseline: DataFrame, thresholds: DataFrame | None = None) -> Data
     bounds, exemption, and the same of promoted entries."""
     est = B.established(baseline)
     dom = B.dominant_services(est, thresholds).groupBy(*ROOT).agg(F.array_sort(F.collect_list("service")).alias("dominant"))
-    base = est.groupBy(*ROOT).agg(F.count("*").alias("variants"), F.array_distinct(F.flatten(F.collect_list("services"))).alias("base_services"), F.max("no_missing_service").alias("exempt"))
-    prom = baseline.where("auto_promoted").groupBy(*ROOT).agg(F.array_distinct(F.flatten(F.collect_list("services"))).alias("promoted_services"), F.min("span_count").alias("promoted_min"))
-    return base.join(dom, ROOT, "left").join(B.span_bounds(est), ROOT, "left").join(prom, ROOT, "full_outer")
+    base = est.groupBy(*ROOT).agg(F.count("*").alias("variants"), F.max("no_missing_service").alias("exempt"))
+    promoted = baseline.where("auto_promoted")
+    prom = promoted.groupBy(*ROOT).agg(F.min("span_count").alias("promoted_min")).join(B.service_union(promoted, "promoted_services"), ROOT, "left")
+    return base.join(B.service_union(est, "base_services"), ROOT, "left").join(dom, ROOT, "left").join(B.span_bounds(est), ROOT, "left").join(prom, ROOT, "full_outer")
 
 
 def watch_services(fps: DataFrame) -> DataFrame:
     """All services seen in the window, by root op."""
-    return fps.groupBy(*ROOT).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("services")))).alias("seen"))
+    return B.service_union(fps, "seen")
 
 
 def decide(fps: DataFrame, baseline: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
@@ -67,7 +68,8 @@ def classify_traces(fps: DataFrame, baseline: DataFrame, thresholds: DataFrame |
 def override_suggestions(fps: DataFrame, baseline: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
     """Root ops whose missing services were all seen elsewhere in the window: an optional path."""
     d = decide(fps, baseline, thresholds).where("verdict = 'OVERRIDE'")
-    return d.groupBy(*ROOT).agg(F.count("*").alias("traces"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("missing")))), ",").alias("optional_services"))
+    optional = B.service_union(d, "optional", "missing").select(*ROOT, F.array_join("optional", ",").alias("optional_services"))
+    return d.groupBy(*ROOT).agg(F.count("*").alias("traces")).join(optional, ROOT)
 
 
 def first_per_hash(anomalies: DataFrame) -> DataFrame:
@@ -77,11 +79,9 @@ def first_per_hash(anomalies: DataFrame) -> DataFrame:
 
 def silent_root_ops(fps: DataFrame, baseline: DataFrame, thresholds: DataFrame | None = None, least: int = DEFAULTS.silent_min) -> DataFrame:
     """Root ops of the baseline without a trace in the window: environment, root_op, fp_hash, missing_services."""
-    roots = baseline.select("environment", S.service_of(F.col("root_op")).alias("s")).distinct().groupBy("environment").agg(F.collect_list("s").alias("roots"))
-    others = F.array_except("services", F.array(S.service_of(F.col("root_op"))))
-    b = baseline.join(roots, "environment").withColumn("infra", (F.size(others) > 0) & ~F.arrays_overlap(others, F.col("roots")))
-    g = b.groupBy(*ROOT).agg(F.sum("occurrences").alias("occurrences"), F.max("no_missing_service").alias("exempt"), F.max(S.is_noise(F.col("path"))).alias("noisy"), F.min("infra").alias("infra"))
-    g = g.where((F.col("occurrences") >= least) & ~F.col("exempt") & ~F.col("noisy") & ~F.col("infra") & ~S.is_noise(S.operation_of(F.col("root_op"))))
+    g = baseline.groupBy(*ROOT).agg(F.sum("occurrences").alias("occurrences"), F.max("no_missing_service").alias("exempt"), F.max(S.is_noise(F.col("path"))).alias("noisy"))
+    g = g.where((F.col("occurrences") >= least) & ~F.col("exempt") & ~F.col("noisy") & ~S.is_noise(S.operation_of(F.col("root_op"))))
+    g = g.join(B.infra_only_root_ops(baseline), ROOT, "left_anti")
     g = g.join(fps.select(*ROOT).distinct(), ROOT, "left_anti")
     dom = B.dominant_services(baseline, thresholds).groupBy(*ROOT).agg(F.array_join(F.array_sort(F.collect_list("service")), ",").alias("missing_services"))
     return g.join(dom, ROOT).select(*ROOT, S.silent_hash(F.col("root_op")).alias("fp_hash"), "missing_services", "occurrences")
@@ -108,11 +108,13 @@ def restored(fps: DataFrame, drifts: DataFrame, baseline: DataFrame) -> DataFram
 
 
 def missing_root_ops(fps: DataFrame, baseline: DataFrame, interval_s: int, as_of, factor: int = 4) -> DataFrame:
-    """Silences of established root ops: gaps of ``factor`` intervals or more after a trace (up to ``as_of`` for the last)."""
+    """Silences of established root ops that call more than infrastructure: gaps of ``factor`` intervals or more after a trace (up to
+    ``as_of`` for the last)."""
     w = Window.partitionBy(*ROOT).orderBy("trace_start", "trace_id")
     nxt = F.coalesce(F.lead("trace_start").over(w), F.lit(as_of).cast("timestamp"))
     gap = (F.unix_micros("next_start") - F.unix_micros("trace_start")) / 1_000_000
-    g = fps.join(B.established_root_ops(baseline), ROOT, "left_semi").withColumn("next_start", nxt).withColumn("silence_s", F.floor(gap))
+    watched = B.established_root_ops(baseline).join(B.infra_only_root_ops(baseline), ROOT, "left_anti")
+    g = fps.join(watched, ROOT, "left_semi").withColumn("next_start", nxt).withColumn("silence_s", F.floor(gap))
     return g.where(F.col("silence_s") >= factor * interval_s).select(*ROOT, F.col("trace_start").alias("last_seen"), "silence_s")
 
 

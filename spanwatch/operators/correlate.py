@@ -82,15 +82,27 @@ def tp_fp_stats(labelled: DataFrame) -> DataFrame:
     return g.withColumn("fp_rate", F.round(F.col("fp") / F.col("total"), 9))
 
 
-def tune_thresholds(stats: DataFrame, least: int = 5) -> DataFrame:
-    """New thresholds of services with ``least`` events: loosened at 70 % false positives and more, tightened at 20 % and less."""
+# Threshold, default, step when loosened, least, most, the type that must have fired.
+TUNED = (
+    ("missing_service_dominance_threshold", 0.6, 0.05, 0.4, 0.9, None), ("span_count_spike_multiplier", 2.0, 0.25, 1.5, 5.0, "spikes"),
+    ("span_count_drop_threshold", 0.5, -0.05, 0.1, 0.9, "drops"), ("error_spike_multiplier", 3.0, 0.5, 2.0, 8.0, "error_spikes"),
+)
+
+
+def tune_thresholds(stats: DataFrame, current: DataFrame | None = None, least: int = 5) -> DataFrame:
+    """New thresholds of services with ``least`` events: loosened at 70 % false positives and more, tightened at 20 % and less, by a
+    step from the value in ``current`` (a row per service; the default where there is none), so that runs add up."""
     way = F.when(F.col("fp_rate") >= 0.7, 1).when(F.col("fp_rate") <= 0.2, -1).otherwise(0)
-    s = stats.where(F.col("total") >= least).withColumn("way", way)
-    move = lambda base, step, low, high, ok: F.round(F.when(ok, F.least(F.greatest(F.lit(base) + F.col("way") * step, F.lit(low)), F.lit(high))).otherwise(F.lit(base)), 4)
-    return s.where("way <> 0").select(
-        "service", "way", move(0.6, 0.05, 0.4, 0.9, F.lit(True)).alias("missing_service_dominance_threshold"), move(2.0, 0.25, 1.5, 5.0, F.col("spikes") > 0).alias("span_count_spike_multiplier"),
-        move(0.5, -0.05, 0.1, 0.9, F.col("drops") > 0).alias("span_count_drop_threshold"), move(3.0, 0.5, 2.0, 8.0, F.col("error_spikes") > 0).alias("error_spike_multiplier"),
-    )
+    s = stats.where(F.col("total") >= least).withColumn("way", way).where("way <> 0")
+    if current is not None:
+        s = s.join(current.select("service", *[F.col(n).alias("now_" + n) for n, *_ in TUNED]), "service", "left")
+
+    def moved(name, default, step, low, high, fired):
+        now = F.lit(default) if current is None else F.coalesce("now_" + name, F.lit(default))
+        new = F.least(F.greatest(now + F.col("way") * step, F.lit(low)), F.lit(high))
+        return F.round(new if fired is None else F.when(F.col(fired) > 0, new).otherwise(now), 4).alias(name)
+
+    return s.select("service", "way", *[moved(*t) for t in TUNED])
 
 
 def anomaly_counts(events: DataFrame) -> DataFrame:
@@ -110,9 +122,18 @@ def incident_windows(events: DataFrame, bucket_s: int = 600, least: int = 3, pad
 
 
 def _sessions(events: DataFrame, key: list[str], gap_ms: int) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy("ts_ms", "event_id")
-    e = events.withColumn("new", F.coalesce((F.col("ts_ms") - F.lag("ts_ms").over(w) > gap_ms).cast("int"), F.lit(1)))
-    return e.withColumn("session", F.sum("new").over(w))
+    """``events`` with the number of their session: a new one starts where the gap to the previous event of the key exceeds ``gap_ms``.
+
+    Inside a slot of that length no gap is so long, so sessions are runs of slots: only one row per key and slot is put
+    in order, and a busy key's events never meet in one task."""
+    e = events.withColumn("slot", F.floor(F.col("ts_ms") / F.lit(gap_ms)))
+    slots = e.groupBy(*key, "slot").agg(F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("hi"))
+    w = Window.partitionBy(*key).orderBy("slot")
+    new = F.coalesce((F.col("lo") - F.lag("hi").over(w) > gap_ms).cast("int"), F.lit(1))
+    numbered = slots.withColumn("new", new).withColumn("session", F.sum("new").over(w))
+    numbered = numbered.select(*[F.col(c).alias("of_" + c) for c in (*key, "slot")], "session")
+    same = [F.col(c).eqNullSafe(F.col("of_" + c)) for c in (*key, "slot")]
+    return e.join(numbered, same).select(*events.columns, "session")
 
 
 def group_incidents(events: DataFrame, gap_ms: int = 30_000) -> DataFrame:
@@ -130,17 +151,36 @@ def dedup_incidents(events: DataFrame, resolve_ms: int = 900_000) -> DataFrame:
     return s.groupBy(*key, "session").agg(F.min("ts_ms").alias("opened_ms"), F.max("ts_ms").alias("last_ms"), (F.count("*") - 1).alias("suppressed")).drop("session")
 
 
-def problem_sessions(events: DataFrame, quiet_ms: int = 45_000) -> DataFrame:
+def problem_sessions(events: DataFrame, quiet_ms: int = 45_000, ttl_ms: int = 300_000) -> DataFrame:
+    """Problems of an environment: opened, closed (the last anomaly), when the last anomaly expires, events and services."""
     s = _sessions(events, ["environment"], quiet_ms)
-    return s.groupBy("environment", "session").agg(F.min("ts_ms").alias("opened_ms"), F.max("ts_ms").alias("closed_ms"), F.count("*").alias("events"), F.countDistinct("service").alias("services")).drop("session")
+    return s.groupBy("environment", "session").agg(
+        F.min("ts_ms").alias("opened_ms"), F.max("ts_ms").alias("closed_ms"), (F.max("ts_ms") + ttl_ms).alias("expires_ms"), F.count("*").alias("events"), F.countDistinct("service").alias("services")
+    ).drop("session")
+
+
+def active_anomalies(events: DataFrame, as_of_ms: int, ttl_ms: int = 300_000) -> DataFrame:
+    """Anomalies that have not expired at a time."""
+    return events.where((F.col("ts_ms") <= as_of_ms) & (F.col("ts_ms") > as_of_ms - ttl_ms))
 
 
 def incident_feedback(events: DataFrame) -> DataFrame:
-    """One history row per environment and day: sorted types and services."""
+    """Types and services of each environment and day, to compare days with."""
     day = F.floor(F.col("ts_ms") / 86_400_000)
     return events.groupBy("environment", day.alias("day")).agg(F.array_sort(F.collect_set("anomaly_type")).alias("types"), F.array_sort(F.collect_set("service")).alias("services"))
 
 
+def incident_history(events: DataFrame, gap_ms: int = 30_000, correlated: int = DEFAULTS.tiers) -> DataFrame:
+    """One history row per incident of an environment: sorted types and services, and the severity: INCIDENT where a service is
+    missing or ``correlated`` tiers fired, else DEGRADED."""
+    s = _sessions(events, ["environment"], gap_ms)
+    g = s.groupBy("environment", "session").agg(
+        F.min("ts_ms").alias("start_ms"), F.array_sort(F.collect_set("anomaly_type")).alias("types"), F.array_sort(F.collect_set("service")).alias("services"), F.countDistinct("tier").alias("tiers")
+    )
+    grave = F.array_contains("types", "MISSING_SERVICE") | (F.col("tiers") >= correlated)
+    return g.select("environment", "start_ms", "types", "services", F.when(grave, "INCIDENT").otherwise("DEGRADED").alias("severity"))
+
+
 def similar_incidents(cur: DataFrame, past: DataFrame, n: int = 5) -> DataFrame:
     """For each current row the ``n`` past ones that share most types and services. ``cur`` is a handful of open incidents."""
     p = past.select(F.col("environment").alias("p_env"), F.col("day").alias("p_day"), F.col("types").alias("pt"), F.col("services").alias("ps"))
@@ -159,8 +199,7 @@ def suppress_recent(corr: DataFrame, key: list[str], ttl_ms: int = 1_800_000) ->
 
 def relearn_trigger(restored: DataFrame, poll_ms: int = 300_000, cooldown_ms: int = 600_000) -> DataFrame:
     """Polls with a restored event and none in the cool-down before the poll's first one."""
-    w = Window.partitionBy("environment").orderBy("ts_ms")
-    e = restored.select("environment", "ts_ms").withColumn("before", F.lag("ts_ms").over(w)).where(F.col("before").isNull() | (F.col("ts_ms") - F.col("before") > cooldown_ms))
+    e = _sessions(restored.select("environment", "ts_ms"), ["environment"], cooldown_ms).groupBy("environment", "session").agg(F.min("ts_ms").alias("ts_ms"))
     return e.groupBy("environment", F.floor(F.col("ts_ms") / poll_ms).alias("poll")).agg(F.count("*").alias("triggers"))
 
 
@@ -169,29 +208,45 @@ def first_by_environment(events: DataFrame) -> DataFrame:
 
 
 def detect_propagation(events: DataFrame, window_ms: int = 3_600_000) -> DataFrame:
-    """Anomalies of a service that go up the pipeline: two or more environments, first times in pipeline order, within the window."""
+    """Anomalies of a service that go up the pipeline: two or more environments, first times in pipeline order, within the window.
+    With the share of the pipeline reached and the next environment, the first in order where it has not fired."""
     f = first_by_environment(events).withColumn("stage", S.pipeline_tier(F.col("environment")))
-    g = f.groupBy("service", "anomaly_type").agg(F.array_sort(F.collect_list(F.struct("stage", "first_ms", "environment"))).alias("p"), F.max("first_ms").alias("hi"), F.min("first_ms").alias("lo"))
+    g = f.groupBy("service", "anomaly_type").agg(F.array_sort(F.collect_list(F.struct("stage", "environment", "first_ms"))).alias("p"), F.max("first_ms").alias("hi"), F.min("first_ms").alias("lo"))
     times = F.transform("p", lambda x: x["first_ms"])
     ordered = times == F.array_sort(times)
-    g = g.where((F.size("p") >= 2) & ordered & (F.col("hi") - F.col("lo") <= window_ms))
-    last = F.element_at("p", -1)["stage"]
-    return g.select("service", "anomaly_type", F.array_join(F.transform("p", lambda x: x["environment"]), ">").alias("progress"), (F.col("hi") - F.col("lo")).alias("spread_ms"), F.when(last + 1 >= 3, "CRITICAL").otherwise("HIGH").alias("severity"))
+    g = g.where((F.size("p") >= 2) & ordered & (F.col("hi") - F.col("lo") <= window_ms)).withColumn("fired", F.transform("p", lambda x: x["environment"]))
+    pipeline = f.groupBy(F.lit(1).alias("one")).agg(F.array_sort(F.collect_set(F.struct("stage", "environment"))).alias("all"))  # one row, an item per environment
+    g = g.withColumn("one", F.lit(1)).join(pipeline, "one").withColumn("next", F.try_element_at(F.filter("all", lambda e: ~F.array_contains("fired", e["environment"])), F.lit(1)))
+    severity = F.when(F.col("next.stage") >= 3, "CRITICAL").otherwise("HIGH")
+    return g.select(
+        "service", "anomaly_type", F.array_join("fired", ">").alias("progress"), (F.size("fired") / F.size("all")).alias("share"), F.coalesce("next.environment", F.lit("")).alias("next_environment"),
+        (F.col("hi") - F.col("lo")).alias("spread_ms"), severity.alias("severity"),
+    )
+
+
+def _parts(name):
+    """All distinct parts of a text."""
+    n = F.length(name)
+    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(name, i, k)))))
 
 
 def cross_env_match(staging: DataFrame, prod: DataFrame, least: float = 0.7) -> DataFrame:
     """The best production match of each staging anomaly: same type, same service core or one inside the other, like operation.
 
-    Rows are first reduced to distinct (type, service, operation), so the join works on few rows per type."""
+    Rows are first reduced to distinct (type, service, operation). A core that is or lies inside another equals one of that
+    one's parts, so both directions are joins on (type, core); no two services meet on the type alone."""
     pick = lambda df, p: df.groupBy("anomaly_type", "service", "root_op").agg(F.min("ts_ms").alias("ts_ms")).select(
         "anomaly_type", F.col("service").alias(p + "service"), F.col("root_op").alias(p + "root_op"), F.col("ts_ms").alias(p + "ms"), S.service_core(F.col("service")).alias(p + "core"), F.trim(S.operation_of(F.col("root_op"))).alias(p + "op")
     )
     s, p = pick(staging, "s_"), pick(prod, "p_")
-    j = s.join(p, "anomaly_type")
+    inside = s.withColumn("core", F.explode(_parts(F.col("s_core")))).join(p.withColumn("core", F.col("p_core")), ["anomaly_type", "core"])
+    around = p.withColumn("core", F.explode(_parts(F.col("p_core")))).join(s.withColumn("core", F.col("s_core")), ["anomaly_type", "core"])
+    j = inside.drop("core").unionByName(around.where("s_core <> p_core").drop("core"))
     sc, pc, so, po = (F.col(c) for c in ("s_core", "p_core", "s_op", "p_op"))
-    service = F.when((sc == "") | (pc == ""), 0.0).when(sc == pc, 1.0).when(pc.contains(sc) | sc.contains(pc), 0.7).otherwise(0.0)
+    service = F.when(sc == pc, 1.0).otherwise(0.7)
     op = F.when((so == "") | (po == ""), 0.0).when(so == po, 1.0).when(po.contains(so) | so.contains(po), 0.5).otherwise(0.0)
-    j = j.withColumn("score", F.round(F.when(service > 0, service * 0.7 + op * 0.3).otherwise(0.0), 6)).where(F.col("score") >= least)
+    j = j.withColumn("score", F.round(service * 0.7 + op * 0.3, 6)).where(F.col("score") >= least)
     w = Window.partitionBy("anomaly_type", "s_service", "s_root_op").orderBy(F.desc("score"), "p_ms", "p_root_op", "p_service")
     return j.withColumn("r", F.row_number().over(w)).where("r = 1").select("anomaly_type", "s_service", "s_root_op", "p_service", "p_root_op", "score", "s_ms", "p_ms")
 
@@ -241,25 +296,38 @@ def unknown_patterns(candidates: DataFrame, known: list[str]) -> DataFrame:
 
 
 def top_messages(events: DataFrame, k: int = 3) -> DataFrame:
-    first = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ts_ms", "event_id", "message"))), lambda x: x["message"]), 1, k)
-    return events.groupBy(*ES).agg(F.array_join(first, "; ").alias("messages"))
-
-
-def deployment_risk(trace: DataFrame, errors: DataFrame, edges: DataFrame, events: DataFrame, hours: float) -> DataFrame:
-    """Score 0 to 100 per service: how little of its behaviour is known, contaminated error baselines, callers, and how restless
-    its environment is."""
-    svc = trace.groupBy("environment", S.service_of(F.col("root_op")).alias("service")).agg(F.count("*").alias("fps"))
+    """The first ``k`` messages of each service in time: a row number that is cut off before the shuffle, so only these are gathered."""
+    order = ["ts_ms", "event_id", "message"]
+    w = Window.partitionBy(*ES).orderBy(*order)
+    few = events.select(*ES, *order).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    first = F.transform(F.array_sort(F.collect_list(F.struct(*order))), lambda x: x["message"])
+    return few.groupBy(*ES).agg(F.array_join(first, "; ").alias("messages"))
+
+
+def deployment_risk(trace: DataFrame, errors: DataFrame, edges: DataFrame, events: DataFrame, hours: float, thresholds: DataFrame | None = None) -> DataFrame:
+    """Score 0 to 100 per service: how little of its behaviour is known, contaminated error baselines, callers, how restless its
+    environment is, and how tight its thresholds are (``thresholds``, a row per service)."""
+    root = S.service_of(F.col("root_op"))
+    svc = trace.select("environment", "fp_hash", F.explode(F.array_union("services", F.array(root))).alias("service")).groupBy(*ES).agg(F.countDistinct("fp_hash").alias("fps"))
     bad = errors.groupBy(*ES).agg(F.max(S.is_incident_artifact(F.col("error_type"))).alias("contaminated"))
-    callers = edges.where("caller <> callee").groupBy("environment", F.col("callee").alias("service")).agg(F.countDistinct("caller").alias("callers"))
+    calls = edges.where("caller <> callee")
+    callers = calls.groupBy("environment", F.col("callee").alias("service")).agg(F.countDistinct("caller").alias("callers"))
+    callees = calls.groupBy("environment", F.col("caller").alias("service")).agg(F.countDistinct("callee").alias("callees"))
     rate = events.groupBy("environment").agg((F.count("*") / F.lit(float(hours))).alias("per_hour"))
-    every = svc.select(*ES).unionByName(bad.select(*ES)).unionByName(callers.select(*ES)).distinct()
-    j = every.join(svc, ES, "left").join(bad, ES, "left").join(callers, ES, "left").join(rate, "environment", "left")
-    fps = F.when(F.col("fps").isNull(), 25).when(F.col("fps") == 1, 30).when(F.col("fps") <= 3, 20).when(F.col("fps") <= 8, 10).otherwise(5)
-    err = F.when(F.col("contaminated"), 25).when(F.col("contaminated").isNull(), 5).otherwise(0)
-    n = F.coalesce("callers", F.lit(0))
-    call = F.when(n >= 4, 25).when(n >= 2, 15).when(n == 1, 8).otherwise(5)
+    known = lambda df, name: df.select("environment").distinct().withColumn(name, F.lit(True))
+    every = svc.select(*ES).unionByName(bad.select(*ES)).unionByName(callers.select(*ES)).unionByName(callees.select(*ES)).distinct()
+    j = every.join(svc, ES, "left").join(bad, ES, "left").join(callers, ES, "left").join(callees, ES, "left").join(rate, "environment", "left")
+    j = j.join(known(trace, "has_trace"), "environment", "left").join(known(errors, "has_errors"), "environment", "left")
+    fps = F.when(F.col("has_trace").isNull(), 20).when(F.col("fps").isNull(), 25).when(F.col("fps") == 1, 30).when(F.col("fps") <= 3, 20).when(F.col("fps") <= 8, 10).otherwise(5)
+    err = F.when(F.col("has_errors").isNull(), 5).when(F.col("contaminated"), 25).otherwise(0)
+    n, m = F.coalesce("callers", F.lit(0)), F.coalesce("callees", F.lit(0))
+    call = F.when((n == 0) & (m == 0), 5).when(n >= 4, 25).when(n >= 2, 15).otherwise(8)
     env = F.when(F.col("per_hour") >= 10, 20).when(F.col("per_hour") >= 3, 12).when(F.col("per_hour") >= 1, 6).otherwise(0)
-    score = F.least(fps + err + call + env, F.lit(100))
+    tight = F.lit(0)
+    if thresholds is not None:
+        j = j.join(thresholds.select("service", F.col("missing_service_dominance_threshold").alias("dominance"), F.col("span_count_spike_multiplier").alias("spike")), "service", "left")
+        tight = F.when(F.col("dominance") <= 0.5, 5).when(F.col("dominance") >= 0.75, -5).otherwise(0) + F.when(F.col("spike") <= 1.5, 3).otherwise(0)
+    score = F.greatest(F.least(fps + err + call + env + tight, F.lit(100)), F.lit(0))
     return j.select(*ES, score.alias("score"), F.when(score >= 75, "CRITICAL").when(score >= 55, "HIGH").when(score >= 35, "MEDIUM").otherwise("LOW").alias("grade"))
 
 

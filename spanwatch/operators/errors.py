@@ -47,13 +47,29 @@ def learn_error(sigs: DataFrame, prev: DataFrame | None = None, min_occurrences:
     )
 
 
+def apply_watch_hits(baseline: DataFrame, new: DataFrame, as_of, threshold: int = DEFAULTS.promote_runs) -> DataFrame:
+    """One hit for each signature of ``new`` (one run's new signatures; unknown ones are inserted with one occurrence); at
+    ``threshold`` hits a signature is promoted."""
+    seen = new.groupBy(*SIG).agg(*[F.min(c).alias(c) for c in _PARTS])
+    old = baseline.select(*SIG, F.struct(*[c for c in baseline.columns if c not in SIG]).alias("o"))
+    j = old.join(seen, SIG, "full_outer")
+    here = F.col("service").isNotNull()
+    hits = F.coalesce("o.watch_hits", F.lit(0)) + here.cast("int")
+    was = F.coalesce("o.auto_promoted", F.lit(False))
+    promote, ts = here & (hits >= threshold) & ~was, F.lit(as_of).cast("timestamp")
+    return j.select(
+        *SIG, *[F.coalesce(F.col(f"o.{c}"), F.col(c)).alias(c) for c in _PARTS], F.coalesce("o.occurrences", F.lit(1)).alias("occurrences"), hits.alias("watch_hits"),
+        (was | promote).alias("auto_promoted"), F.when(promote, ts).otherwise(F.col("o.promoted_at")).alias("promoted_at"), F.coalesce("o.first_seen", ts).alias("first_seen"),
+    )
+
+
 def classify_errors(counts: DataFrame, baseline: DataFrame, learn_runs: int = 1, thresholds: DataFrame | None = None) -> DataFrame:
     """NEW_ERROR_SIGNATURE or SIGNATURE_SPIKE for counted signatures (``counts(environment, sig_hash, service, n)``)."""
     b = baseline.select(*SIG, "occurrences", "auto_promoted")
     c = counts.join(b, SIG, "left")
     times = F.lit(DEFAULTS.error_spike_times)
     if thresholds is not None:
-        c = c.join(F.broadcast(thresholds.select("service", "error_spike_multiplier")), "service", "left")
+        c = c.join(thresholds.select("service", "error_spike_multiplier"), "service", "left")
         times = F.coalesce("error_spike_multiplier", times)
     rate = F.col("occurrences") / max(learn_runs, 1)
     kind = F.when(F.col("occurrences").isNull(), "NEW_ERROR_SIGNATURE").when(F.col("auto_promoted"), None).when((F.col("occurrences") >= DEFAULTS.error_spike_min) & (F.col("n") > rate * times), "SIGNATURE_SPIKE")

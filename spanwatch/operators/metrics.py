@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanwatch.config import DEFAULTS
@@ -36,37 +36,51 @@ def with_phase(df: DataFrame, key: list[str], n: int) -> DataFrame:
 
 
 def with_learn_stats(df: DataFrame, key: list[str], value: str, n: int) -> DataFrame:
-    """Mean and population deviation of the learn phase, on each row."""
-    w = Window.partitionBy(*key)
-    x = F.when(F.col("learning"), F.col(value))
-    return with_phase(df, key, n).withColumn("base_mean", F.avg(x).over(w)).withColumn("base_std", F.stddev_pop(x).over(w))
+    """Mean and population deviation of the learn phase, on each row, and whether the row belongs to it.
+
+    The first ``n`` rows of a key come from a row number that is cut off before the shuffle; their statistics are one
+    row per key and joined back, so a busy key's history is never one partition."""
+    w = Window.partitionBy(*key).orderBy("ts_us", "trace_id")
+    first = df.select(*key, "ts_us", "trace_id", value).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n)
+    stats = first.groupBy(*key).agg(F.avg(value).alias("base_mean"), F.stddev_pop(value).alias("base_std"), F.max(F.struct("ts_us", "trace_id")).alias("until"))
+    return df.join(stats, key).withColumn("learning", F.struct("ts_us", "trace_id") <= F.col("until")).drop("until")
+
+
+def over_recent(df: DataFrame, key: list[str], reach_us: int, **measures: Column) -> DataFrame:
+    """``df`` with aggregates over the rows of the same key in the ``reach_us`` before each row's ``ts_us`` (both ends included).
+
+    Time is cut into slots of that length; a row also rides along into the slot after its own, so every window lies in
+    one partition of (key, slot) and a busy key is dealt over as many partitions as it has slots."""
+    slot = F.floor(F.col("ts_us") / F.lit(max(reach_us, 1)))
+    dealt = df.withColumn("own_slot", slot).withColumn("slot_no", F.explode(F.array(F.col("own_slot"), F.col("own_slot") + 1)))
+    w = Window.partitionBy(*key, "slot_no").orderBy("ts_us").rangeBetween(-reach_us, 0)
+    return dealt.withColumns({name: c.over(w) for name, c in measures.items()}).where("slot_no = own_slot").drop("own_slot", "slot_no")
 
 
 def with_rolling_mean(df: DataFrame, key: list[str], value: str, window_s: int) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy("ts_us").rangeBetween(-window_s * US, 0)
-    return df.withColumn("rolling", F.avg(value).over(w))
+    return over_recent(df, key, window_s * US, rolling=F.avg(value))
 
 
 def with_seasonal_stats(df: DataFrame, key: list[str], value: str) -> DataFrame:
-    """Running count, mean and deviation per key and hour of the week, the row itself included."""
+    """Running count, mean and deviation per key and hour of the week, the row itself included: 168 partitions a key."""
     slot = S.seasonal_slot(F.timestamp_micros("ts_us"))
     w = Window.partitionBy(*key, "slot").orderBy("ts_us", "trace_id").rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("slot", slot).withColumn("slot_n", F.count("*").over(w)).withColumn("slot_mean", F.avg(value).over(w)).withColumn("slot_std", F.stddev_pop(value).over(w))
 
 
 def with_error_rate(df: DataFrame, key: list[str], window_s: int) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy("ts_us").rangeBetween(-window_s * US, 0)
-    return df.withColumn("buckets", F.count("*").over(w)).withColumn("rate", F.sum("errors").over(w) / F.sum("n").over(w))
+    s = over_recent(df, key, window_s * US, buckets=F.count("*"), bad=F.sum("errors"), of=F.sum("n"))
+    return s.withColumn("rate", F.col("bad") / F.col("of")).drop("bad", "of")
 
 
 def with_spans_per_min(df: DataFrame, window_s: int = 120) -> DataFrame:
-    w = Window.partitionBy("environment", "service").orderBy("ts_us").rangeBetween(-(window_s * US - 1), 0)
-    return df.withColumn("per_min", F.sum("n").over(w) / (window_s / 60))
+    s = over_recent(df, ["environment", "service"], window_s * US - 1, of=F.sum("n"))
+    return s.withColumn("per_min", F.col("of") / (window_s / 60)).drop("of")
 
 
 def with_sig_rate(sigs: DataFrame, window_s: int = 300) -> DataFrame:
-    w = Window.partitionBy("environment", "sig_hash").orderBy("ts_us").rangeBetween(-(window_s * US - 1), 0)
-    return sigs.withColumn("ts_us", F.unix_micros("event_time")).withColumn("per_min", F.count("*").over(w) / (window_s / 60))
+    s = over_recent(sigs.withColumn("ts_us", F.unix_micros("event_time")), ["environment", "sig_hash"], window_s * US - 1, of=F.count("*"))
+    return s.withColumn("per_min", F.col("of") / (window_s / 60)).drop("of")
 
 
 OP = ["environment", "service", "operation"]
@@ -99,10 +113,11 @@ def slow_queries(spans: DataFrame, window_s: int = DEFAULTS.query_window_s, lear
     return s.where((F.col("z") >= z) & (F.col("rolling") > F.col("base_mean"))).select(*TRACE, "service", "query_hash", "ts_us", "rolling", "z")
 
 
-def new_query_templates(spans: DataFrame, warmup_end) -> DataFrame:
-    """First sight of a template after the warm-up."""
+def new_query_templates(spans: DataFrame, warmup_end, known: DataFrame | None = None) -> DataFrame:
+    """First sight of a template after the warm-up; templates of ``known(environment, query_hash)`` were seen before."""
     first = query_stats(spans).groupBy("environment", "service", "db", "template", "query_hash").agg(F.min("ts_us").alias("first_us"))
-    return first.where(F.col("first_us") >= F.unix_micros(F.lit(warmup_end).cast("timestamp")))
+    first = first.where(F.col("first_us") >= F.unix_micros(F.lit(warmup_end).cast("timestamp")))
+    return first if known is None else first.join(known.select(*QUERY).distinct(), QUERY, "left_anti")
 
 
 def throughput_drops(
@@ -112,8 +127,8 @@ def throughput_drops(
 
     The rate is a window count; the learned rate follows it slowly, row by row, so each root op's rates are folded in order
     (an array per root op, so callers bound it by the time range they pass)."""
-    w = Window.partitionBy("environment", "root_op").orderBy("ts_us").rangeBetween(-window_s * US, 0)
-    s = fps.withColumn("ts_us", F.unix_micros("trace_start")).withColumn("rate", F.count("*").over(w) / (window_s / 60))
+    s = over_recent(fps.withColumn("ts_us", F.unix_micros("trace_start")), ["environment", "root_op"], window_s * US, of=F.count("*"))
+    s = s.withColumn("rate", F.col("of") / (window_s / 60))
     rows = s.groupBy("environment", "root_op").agg(F.array_sort(F.collect_list(F.struct("ts_us", "trace_id", "rate"))).alias("r"))
     start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("base"), F.lit(False).alias("down"), F.expr("cast(array() as array<struct<ts_us:bigint,rate:double,base:double>>)").alias("out"))
 
@@ -131,15 +146,16 @@ def throughput_drops(
     return folded.select("environment", "root_op", F.explode("out").alias("o")).select("environment", "root_op", "o.ts_us", F.round("o.rate", 9).alias("rate"), F.round("o.base", 9).alias("base"))
 
 
-def error_rate_spikes(sigs: DataFrame, window_s: int = 300, times: float = 5.0, least: int = 10) -> DataFrame:
-    """Signatures whose rate is ``times`` the rate frozen when they first had ``least`` recent events (that of the older half)."""
-    s = with_sig_rate(sigs, window_s).withColumn("recent", F.round(F.col("per_min") * (window_s / 60)).cast("int"))
-    key = Window.partitionBy("environment", "sig_hash").orderBy("ts_us", "trace_id", "span_id")
-    s = s.withColumn("nth", F.row_number().over(key))
-    freeze = s.where(F.col("recent") >= least).groupBy("environment", "sig_hash").agg(F.min(F.struct("nth", "recent")).alias("f"))
-    frozen = freeze.select("environment", "sig_hash", F.col("f.nth").alias("frozen_at"), (F.floor(F.col("f.recent") / 2) / (window_s / 60)).alias("base_rate"))
-    j = s.join(frozen, ["environment", "sig_hash"]).where((F.col("nth") > F.col("frozen_at")) & (F.col("base_rate") > 0))
-    return j.where(F.col("per_min") >= F.col("base_rate") * times).select("environment", "sig_hash", "span_id", F.round("per_min", 9).alias("per_min"), F.round("base_rate", 9).alias("base_rate"))
+def error_rate_spikes(sigs: DataFrame, baseline: DataFrame | None = None, window_s: int = 300, times: float = 5.0, least: int = 10) -> DataFrame:
+    """Known signatures (those of ``baseline(environment, sig_hash)``, all without one) whose rate is ``times`` the rate frozen when
+    they first had ``least`` recent events (that of the older half)."""
+    key = ["environment", "sig_hash"]
+    s = sigs if baseline is None else sigs.join(baseline.select(*key).distinct(), key, "left_semi")
+    s = with_sig_rate(s, window_s).withColumn("recent", F.round(F.col("per_min") * (window_s / 60)).cast("int")).withColumn("at", F.struct("ts_us", "trace_id", "span_id"))
+    freeze = s.where(F.col("recent") >= least).groupBy(*key).agg(F.min(F.struct("at", "recent")).alias("f"))
+    frozen = freeze.select(*key, F.col("f.at").alias("frozen_at"), (F.floor(F.col("f.recent") / 2) / (window_s / 60)).alias("base_rate"))
+    j = s.join(frozen, key).where((F.col("at") > F.col("frozen_at")) & (F.col("base_rate") > 0))
+    return j.where(F.col("per_min") >= F.col("base_rate") * times).select(*key, "span_id", F.round("per_min", 9).alias("per_min"), F.round("base_rate", 9).alias("base_rate"))
 
 
 # ---- snapshots and objectives
@@ -194,17 +210,37 @@ def environment_profile(traffic: DataFrame, services: DataFrame) -> DataFrame:
     return t.select("environment", rate.alias("traffic"), err.alias("errors"), size.alias("topology"))
 
 
-def onboarding_advice(profile: DataFrame) -> DataFrame:
+def onboarding_advice(profile: DataFrame, topology: DataFrame) -> DataFrame:
+    """Per service of ``topology`` (a topology summary): watch and learn minutes and types to leave out for its environment, and its
+    own thresholds where they should differ (null: the default). Ingress services get a wider dominance unless traffic is low,
+    databases the tightest values, noisy environments a wider error multiplier, dense traffic a tighter span multiplier."""
     by = lambda *v: F.when(F.col("traffic") == "HIGH", v[0]).when(F.col("traffic") == "LOW", v[2]).otherwise(v[1])
-    types = F.when(F.col("errors") == "NOISY", "trace").otherwise("trace,error")
-    return profile.select("environment", by(2, 5, 10).alias("watch_min"), by(60, 120, 240).alias("learn_min"), types.alias("enabled"), F.when(F.col("topology") == "COMPLEX", 0.7).otherwise(0.6).alias("dominance"))
+    linked = topology.groupBy("environment").agg(F.max(F.col("callees") > 0).alias("linked"))
+    j = topology.join(profile, "environment").join(linked, "environment")
+    out = F.array_compact(F.array(F.when(~F.col("linked"), "MISSING_SERVICE"), F.when(F.col("traffic") == "LOW", "SIGNATURE_VANISHED")))
+    dominance = F.when(F.col("db"), 0.5).when(F.col("ingress") & (F.col("traffic") != "LOW"), 0.7)
+    return j.select(
+        "environment", "service", by(2, 5, 10).alias("watch_min"), by(60, 120, 240).alias("learn_min"), F.array_join(out, ",").alias("disabled"), dominance.alias("dominance"),
+        F.when(F.col("db") | (F.col("traffic") == "HIGH"), 1.5).alias("spike_times"), F.when((F.col("errors") == "NOISY") & ~F.col("db"), 4.0).alias("error_spike_times"),
+    )
+
+
+# Windows to learn from, in minutes before an incident: how far their end is from it, and their length.
+BEFORE_INCIDENT = ((30, 60), (60, 60), (120, 120), (240, 120))
+
+
+def windows_before(spark: SparkSession, incident_start, minute_s: int = 60) -> DataFrame:
+    """The four candidate windows before an incident: label, start_us, end_us."""
+    rows = spark.createDataFrame([(f"{far}-{far + length}", far, far + length) for far, length in BEFORE_INCIDENT], "label string, near int, far int")
+    at = F.unix_micros(F.lit(incident_start).cast("timestamp"))
+    return rows.select("label", (at - F.col("far").cast("bigint") * minute_s * US).alias("start_us"), (at - F.col("near").cast("bigint") * minute_s * US).alias("end_us"))
 
 
 def score_windows(spans: DataFrame, windows: DataFrame) -> DataFrame:
     """Candidate learn windows (``label, start_us, end_us``): error rate, variety of operation sequences and a score; under ten
     traces a window has none."""
     w = windows.select("label", F.col("start_us").alias("ws"), F.col("end_us").alias("we"))
-    s = spans.join(F.broadcast(w), (F.col("start_us") >= F.col("ws")) & (F.col("start_us") < F.col("we")))  # a handful of windows
+    s = spans.join(w, (F.col("start_us") >= F.col("ws")) & (F.col("start_us") < F.col("we")))
     order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_us", "span_id", "operation"))), lambda x: x["operation"]), ">")
     t = s.groupBy("label", *TRACE).agg(order.alias("seq"), F.max("is_error").alias("bad"))
     g = t.groupBy("label").agg(F.count("*").alias("traces"), F.avg(F.col("bad").cast("double")).alias("error_rate"), F.countDistinct("seq").alias("variety"))

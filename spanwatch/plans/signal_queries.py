@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from spanwatch.functions import scalars as S
 from spanwatch.operators import baseline as B
 from spanwatch.operators import correlate as K
+from spanwatch.operators import errors as E
 from spanwatch.operators import metrics as M
 from spanwatch.operators import topology as G
 from spanwatch.operators import traces as T
-from spanwatch.plans.base import joined, spans, sql, watch_window
+from spanwatch.plans.base import joined, spans, sql, stored, watch_window
 from spanwatch.plans.registry import query
 from spanwatch.plans.scalar_queries import _TEMPLATE
 from spanwatch.plans.structure_queries import base, ebase, fps, sigs
@@ -105,9 +106,10 @@ def d_slow_query(spark, d):
     return M.slow_queries(spans(spark, d), 5 * DAY, 10, 0.3).select("trace_id", "query_hash", F.round("rolling", 3).alias("rolling"), F.round("z", 6).alias("z"))
 
 
-@query(_q("select environment, service, db, template, query_hash, min(ts_us) as first_us from qq group by 1, 2, 3, 4, 5 having min(ts_us) >= epoch_us(timestamp '2024-01-01 06:00:00')", _QS))
+@query(_q("select environment, service, db, template, query_hash, min(ts_us) as first_us from qq group by 1, 2, 3, 4, 5 having min(ts_us) >= epoch_us(timestamp '2024-01-01 06:00:00') and template not like '%t1%'", _QS))
 def d_new_query(spark, d):
-    return M.new_query_templates(spans(spark, d), "2024-01-01 06:00:00")
+    known = M.query_stats(spans(spark, d)).where("template like '%t1%'")
+    return M.new_query_templates(spans(spark, d), "2024-01-01 06:00:00", known)
 
 
 @query()
@@ -117,7 +119,7 @@ def d_throughput_drop(spark, d):
 
 @query()
 def d_error_spike(spark, d):
-    return M.error_rate_spikes(sigs(spark, d), 2 * DAY, 2.0, 4)
+    return M.error_rate_spikes(sigs(spark, d), ebase(spark, d), 2 * DAY, 2.0, 4)
 
 
 @query(_q(f"""select 'operation' as level, environment, service, operation, round(z, 6) as z, spans, status from (select *, case when learning then 0.0 else (rolling - base_mean) / greatest(base_std, 0.001) end as z from
@@ -158,24 +160,41 @@ def a_traffic_profile(spark, d):
 _PROFILE = f"select environment, case when per_min < 2 then 'LOW' when per_min >= 20 then 'HIGH' else 'MEDIUM' end as traffic, case when error_ratio < 0.02 then 'QUIET' when error_ratio >= 0.15 then 'NOISY' else 'NORMAL' end as errors, case when s <= 3 then 'SIMPLE' when s >= 8 then 'COMPLEX' else 'MODERATE' end as topology from ({_TRAFFIC}) join (select environment, count(distinct service) as s from spans group by 1) using (environment)"
 
 
+#: The topology summary of edges ``te``; purchases are seen from outside only, as a database.
+_NODES_SQL = """tn as (select distinct environment, caller, case when callee = 'purchase' then 'mysql:purchase' else callee end as callee from te where caller <> 'purchase'),
+    sv as (select distinct environment, service from spans where service <> 'purchase'),
+    nc as (select environment, service, coalesce(i.n, 0) as callers, coalesce(o.n, 0) as callees, sv.own is null as inferred from (select environment, caller as service, count(*) as n from tn group by 1, 2) o
+      full join (select environment, callee as service, count(*) as n from tn group by 1, 2) i using (environment, service) full join (select *, true as own from sv) sv using (environment, service)),
+    nd as (select *, callers = 0 and not inferred as ingress, inferred and contains(service, ':') as db, callers >= 2 as shared, exists (select 1 from tn where tn.environment = nc.environment and tn.caller = nc.service and tn.callee = 'mysql:purchase') as calls_db from nc)"""
+
+
+def _summary(spark, d):
+    e = G.topology_edges(spans(spark, d)).where("caller <> 'purchase'").withColumn("callee", F.when(F.col("callee") == "purchase", "mysql:purchase").otherwise(F.col("callee")))
+    return G.topology_summary(e, spans(spark, d).where("service <> 'purchase'"))
+
+
 @query(sql(_PROFILE))
 def s_onboarding_profile(spark, d):
     return M.environment_profile(M.traffic_profile(spans(spark, d)), T.environments(spans(spark, d)))
 
 
-@query(sql(f"select environment, case traffic when 'HIGH' then 2 when 'LOW' then 10 else 5 end as watch_min, case traffic when 'HIGH' then 60 when 'LOW' then 240 else 120 end as learn_min, case errors when 'NOISY' then 'trace' else 'trace,error' end as enabled, case topology when 'COMPLEX' then 0.7 else 0.6 end::double as dominance from ({_PROFILE})"))
+@query(sql(f"""with te as (select distinct environment, from_service as caller, to_service as callee from edges where from_service <> to_service), {_NODES_SQL}, pf as ({_PROFILE}), ln as (select environment, bool_or(callees > 0) as linked from nd group by 1)
+    select environment, service, case traffic when 'HIGH' then 2 when 'LOW' then 10 else 5 end as watch_min, case traffic when 'HIGH' then 60 when 'LOW' then 240 else 120 end as learn_min,
+    array_to_string(list_filter([case when not linked then 'MISSING_SERVICE' end, case when traffic = 'LOW' then 'SIGNATURE_VANISHED' end], lambda x: x is not null), ',') as disabled,
+    case when db then 0.5 when ingress and traffic <> 'LOW' then 0.7 end::double as dominance, case when db or traffic = 'HIGH' then 1.5 end::double as spike_times, case when errors = 'NOISY' and not db then 4.0 end::double as error_spike_times
+    from nd join pf using (environment) join ln using (environment)"""))
 def s_onboarding_advice(spark, d):
-    return M.onboarding_advice(M.environment_profile(M.traffic_profile(spans(spark, d)), T.environments(spans(spark, d))))
+    profile = M.environment_profile(M.traffic_profile(spans(spark, d)), T.environments(spans(spark, d)))
+    return M.onboarding_advice(profile, _summary(spark, d))
 
 
-_WIN = "wn as (select 'w' || i as label, epoch_us(timestamp '2024-01-10') + i * 172800000000 as ws, epoch_us(timestamp '2024-01-10') + (i + 1) * 172800000000 as we from unnest(range(0, 4)) as t(i))"
+_WIN = "wn as (select near || '-' || far as label, epoch_us(timestamp '2024-01-20') - far * 3600000000 as ws, epoch_us(timestamp '2024-01-20') - near * 3600000000 as we from (values (30, 90), (60, 120), (120, 240), (240, 360)) t(near, far))"
 _SCORE = """sc as (select label, count(*) as traces, avg(bad::int) as error_rate, count(distinct seq) as variety from (select label, trace_id, string_agg(operation, '>' order by start_us, span_id) as seq, bool_or(is_error) as bad
     from spans join wn on start_us >= ws and start_us < we group by 1, 2) group by 1), sd as (select *, case when traces >= 10 then round(0.6 * (1 - error_rate) + 0.4 * least(variety / 50, 1.0), 9) end as score from sc)"""
 
 
 def _windows(spark):
-    start = F.unix_micros(F.lit("2024-01-10").cast("timestamp"))
-    return spark.range(4).select(F.concat(F.lit("w"), "id").alias("label"), (start + F.col("id") * 172800000000).alias("start_us"), (start + (F.col("id") + 1) * 172800000000).alias("end_us"))
+    return M.windows_before(spark, "2024-01-20", 3600)
 
 
 @query(_q("select label, traces, round(error_rate, 9) as error_rate, variety, score from sd", _WIN, _SCORE))
@@ -188,11 +207,17 @@ def b_pick_window(spark, d):
     return M.pick_best_window(spans(spark, d), _windows(spark)).select("label", "traces", "score")
 
 
-@query(_q("select environment, fp_hash, count(*) as n from fps join (select ws, we from sd join wn using (label) where score is not null order by score desc, label limit 1) on epoch_us(trace_start) >= ws and epoch_us(trace_start) < we group by 1, 2 having count(*) >= 2", _WIN, _SCORE))
+_BEST = "(select ws, we from sd join wn using (label) where score is not null order by score desc, label limit 1)"
+
+
+@query(_q(f"""select 'trace' as kind, environment, fp_hash as hash, count(*) as n from fps join {_BEST} on epoch_us(trace_start) >= ws and epoch_us(trace_start) < we group by 2, 3 having count(*) >= 2
+    union all select 'error', environment, sig_hash, count(*) from sigs join {_BEST} on epoch_us(event_time) >= ws and epoch_us(event_time) < we group by 2, 3 having count(*) >= 2""", _WIN, _SCORE))
 def b_relearn_from_window(spark, d):
-    w = M.pick_best_window(spans(spark, d), _windows(spark)).join(_windows(spark), "label").select("start_us", "end_us")
-    f = fps(spark, d).join(F.broadcast(w), (F.unix_micros("trace_start") >= F.col("start_us")) & (F.unix_micros("trace_start") < F.col("end_us")))  # one window
-    return B.learn_trace(f, reset=True, bootstrap=True).select("environment", "fp_hash", F.col("occurrences").alias("n"))
+    w = stored(M.pick_best_window(spans(spark, d), _windows(spark)).join(_windows(spark), "label").select("start_us", "end_us"), "window")
+    inside = lambda df, time: df.join(w, (F.unix_micros(time) >= F.col("start_us")) & (F.unix_micros(time) < F.col("end_us")))
+    t = B.learn_trace(inside(fps(spark, d), "trace_start"), reset=True, bootstrap=True).select(F.lit("trace").alias("kind"), "environment", F.col("fp_hash").alias("hash"), F.col("occurrences").alias("n"))
+    e = E.learn_error(inside(sigs(spark, d), "event_time")).select(F.lit("error").alias("kind"), "environment", F.col("sig_hash").alias("hash"), F.col("occurrences").alias("n"))
+    return t.unionByName(e)
 
 
 # ---- graph
@@ -216,10 +241,9 @@ def a_topology_edges(spark, d):
     return graph(spark, d)
 
 
-@query(_q("""select environment, service, coalesce(i.n, 0) as callers, coalesce(o.n, 0) as callees, coalesce(i.n, 0) = 0 as ingress, false as db, coalesce(i.n, 0) >= 2 as shared from
-    (select environment, caller as service, count(distinct callee) as n from te group by 1, 2) o full join (select environment, callee as service, count(distinct caller) as n from te group by 1, 2) i using (environment, service)""", _TE))
+@query(_q("select environment, service, callers, callees, inferred, ingress, db, calls_db, shared from nd", _TE, _NODES_SQL))
 def a_topology_summary(spark, d):
-    return G.topology_summary(graph(spark, d))
+    return _summary(spark, d)
 
 
 @query(_q("select * from te where not exists (select 1 from tb where tb.environment = te.environment and tb.caller = te.caller and tb.callee = te.callee)", _TE, _TB))
@@ -253,9 +277,9 @@ def j_env_diff(spark, d):
 
 @query(sql("""with t as (select environment, fp_hash, occurrences, i as pos, split_part(toks[i], ':', 1) as service from pathsx, unnest(range(1, len(toks) + 1)) as r(i)),
     u as (select *, lag(service) over (partition by environment, fp_hash order by pos) as before, min(pos) over (partition by environment, fp_hash, service) as seen from t)
-    select environment, before as caller, service as callee, sum(occurrences)::bigint as weight from u where before is not null and before <> service and pos = seen group by 1, 2, 3"""))
+    select environment, before as caller, service as callee, sum(occurrences)::bigint as weight from u where before is not null and before <> service and pos = seen and before <> 'signup' and service <> 'signup' group by 1, 2, 3"""))
 def a_topology_from_baseline(spark, d):
-    return G.graph_from_baseline(base(spark, d))
+    return G.graph_from_baseline(base(spark, d), ("signup",))
 
 
 _WALK = """wk as (select environment, origin, node, min(hops) as hops from (with recursive r(environment, origin, node, hops) as (select environment, service, service, 0 from starts union
@@ -271,10 +295,10 @@ def g_reachable(spark, d):
     return G.reachable(early_graph(spark, d), _starts(spark, d))
 
 
-@query(_q("select environment, callee, count(distinct caller) as callers from te where caller in ('view', 'click', 'error') group by 1, 2 having count(distinct caller) >= 2", _TE))
+@query(_q("select environment, callee, count(distinct caller) as callers from te where caller in ('view', 'click', 'error') and callee <> 'signup' group by 1, 2 having count(distinct caller) >= 2", _TE))
 def g_shared_deps(spark, d):
     g = graph(spark, d)
-    return G.shared_deps(g, g.where("caller in ('view', 'click', 'error')").select("environment", F.col("caller").alias("node")))
+    return G.shared_deps(g, g.where("caller in ('view', 'click', 'error')").select("environment", F.col("caller").alias("node")), ("signup",))
 
 
 @query(_q("select environment, origin, node, hops::int as hops from wk", _TB, "starts as (select environment, min(callee) as service from tb group by 1)", _WALK.format("callee", "caller")))
@@ -288,15 +312,20 @@ def g_causal_chain(spark, d):
 def _acts(spark, d):
     """Anomalies on the services of the event spans: types by the day of the span."""
     s = spans(spark, d).where("is_error or service = 'signup'")
-    return s.select("environment", F.when(F.col("is_error"), "error").otherwise("signup").alias("service"), F.when(F.col("operation") == "op0", "MISSING_SERVICE").otherwise("LATENCY_ANOMALY").alias("anomaly_type"), (F.col("start_us") / 1000).cast("bigint").alias("ts_ms"), F.col("span_id").cast("bigint").alias("event_id"), F.concat_ws(" ", "service", "operation").alias("message"))
+    return s.select("environment", F.when(F.col("is_error"), "error").otherwise("signup").alias("service"), F.when(F.col("operation") == "op0", "MISSING_SERVICE").when(F.col("service") == "signup", "NEW_FINGERPRINT").otherwise("LATENCY_ANOMALY").alias("anomaly_type"), (F.col("start_us") / 1000).cast("bigint").alias("ts_ms"), F.col("span_id").cast("bigint").alias("event_id"), F.concat_ws(" ", "service", "operation").alias("message"))
 
 
-_ACTS = "ac as (select environment, service, case when operation = 'op0' then 'MISSING_SERVICE' else 'LATENCY_ANOMALY' end as anomaly_type, start_us // 1000 as ts_ms, span_id::bigint as event_id, service || ' ' || operation as message from spans where is_error or service = 'signup')"
+_ACTS = "ac as (select environment, service, case when operation = 'op0' then 'MISSING_SERVICE' when service = 'signup' then 'NEW_FINGERPRINT' else 'LATENCY_ANOMALY' end as anomaly_type, start_us // 1000 as ts_ms, span_id::bigint as event_id, service || ' ' || operation as message from spans where is_error or service = 'signup')"
 
 
-@query(_q("select distinct tb.environment, tb.caller as service, 'NEW_FINGERPRINT' as anomaly_type from tb join ac on ac.environment = tb.environment and ac.service = tb.callee and ac.anomaly_type = 'MISSING_SERVICE' where not exists (select 1 from ac x where x.environment = tb.environment and x.service = tb.caller)", _TB, _ACTS))
+@query(_q("""select distinct 'marker' as kind, tb.environment, tb.caller as service, 'NEW_FINGERPRINT' as anomaly_type, '' as caller from tb join ac on ac.environment = tb.environment and ac.service = tb.callee and ac.anomaly_type = 'MISSING_SERVICE' where not exists (select 1 from ac x where x.environment = tb.environment and x.service = tb.caller)
+    union all select distinct 'node', environment, 'x' || service, '', case when exists (select 1 from tb where tb.environment = ac.environment and 'view' in (tb.caller, tb.callee)) then 'view' else '' end from ac""", _TB, _ACTS))
 def g_caller_markers(spark, d):
-    return G.caller_markers(_acts(spark, d), early_graph(spark, d))
+    acts, e = _acts(spark, d), early_graph(spark, d)
+    marks = G.caller_markers(acts, e).select(F.lit("marker").alias("kind"), "environment", "service", "anomaly_type", F.lit("").alias("caller"))
+    strange = acts.withColumn("service", F.concat(F.lit("x"), "service")).withColumn("root_op", F.lit("view:op0"))
+    nodes = G.unknown_nodes(strange, e).select(F.lit("node").alias("kind"), "environment", "service", F.lit("").alias("anomaly_type"), F.coalesce("caller", F.lit("")).alias("caller"))
+    return marks.unionByName(nodes)
 
 
 @query(_q("""select distinct a.environment, a.service from (select environment, service from ac where service = 'signup' group by 1, 2) a join wk on wk.environment = a.environment and wk.node = a.service and wk.hops > 0""",
@@ -307,26 +336,41 @@ def g_secondary(spark, d):
     return G.secondary_services(e, soft, e.groupBy("environment").agg(F.min("callee").alias("node")))
 
 
-@query()
+_AFFECTED = """aa as (select environment, service, min(ts_ms) as first_ms, bool_or(anomaly_type = 'MISSING_SERVICE') as gone from ac group by 1, 2),
+    ti as (select tb.*, b.first_ms - a.first_ms as lead from tb join aa a on a.environment = tb.environment and a.service = tb.caller join aa b on b.environment = tb.environment and b.service = tb.callee),
+    starts as (select environment, service from aa)"""
+_CANDIDATES = """cn as (select environment, candidate, count(*) filter (where rule = 'deepest') as supporters, string_agg(distinct rule, ',' order by rule) as rules from (
+    select environment, arg_max(node, (hops, node)) as candidate, 'deepest' as rule from wk group by environment, origin union all select environment, service, 'missing' from aa where gone
+    union all select environment, caller, 'earlier' from ti group by 1, 2 having min(lead) >= 5000) group by 1, 2)"""
+_TO_CANDIDATES = (_TB, _ACTS, _AFFECTED, _WALK.format("caller", "callee").replace("tb", "ti"), _CANDIDATES)
+
+
+@query(_q("select environment, candidate, supporters, rules from cn", *_TO_CANDIDATES))
 def g_candidates(spark, d):
     return G.root_candidates(early_graph(spark, d), _acts(spark, d))
 
 
-@query()
+@query(_q("""select environment, candidate, round(least(w * 0.6 + case when cycles > 0 then 0 else greatest(callers, callees) / greatest(n - 1, 1) end * 0.25 + (1 - (f - lo) / greatest(hi - lo, 1)) * 0.01 + case when m then 0.3 else 0 end, 1.0), 9) as confidence from (
+    select cn.environment, cn.candidate, wt.w, wt.f, wt.m, bd.lo, bd.hi, bd.n, (select count(*) from tb join aa on aa.environment = tb.environment and aa.service = tb.caller where tb.environment = cn.environment and tb.callee = cn.candidate) as callers,
+    (select count(*) from tb join aa on aa.environment = tb.environment and aa.service = tb.callee where tb.environment = cn.environment and tb.caller = cn.candidate) as callees,
+    (select count(*) from tb join aa on aa.environment = tb.environment and aa.service = tb.callee join tb r on r.environment = tb.environment and r.caller = tb.callee and r.callee = tb.caller where tb.environment = cn.environment and tb.caller = cn.candidate) as cycles
+    from cn join wt on wt.environment = cn.environment and wt.service = cn.candidate join bd on bd.environment = cn.environment)""", *_TO_CANDIDATES,
+    "wt as (select environment, service, max(case anomaly_type when 'MISSING_SERVICE' then 1.0 when 'LATENCY_ANOMALY' then 0.5 else 0.3 end::double) as w, min(ts_ms) as f, bool_and(anomaly_type = 'MISSING_SERVICE') as m from ac group by 1, 2)",
+    "bd as (select environment, min(ts_ms) as lo, max(ts_ms) as hi, count(distinct service) as n from ac group by 1)"))
 def g_confidence(spark, d):
     return G.confidence(early_graph(spark, d), _acts(spark, d), G.root_candidates(early_graph(spark, d), _acts(spark, d)))
 
 
-_HYP = """kd as (select environment, service, max((anomaly_type = 'MISSING_SERVICE')::int) as m from ac group by 1, 2), dp as (select distinct environment, service from ac where ts_ms < 1704078000000)"""
-
-
-@query(_q("""select h.environment, kind, cause, direct, confidence, explains from (
-    select t.environment as environment, 'shared_dependency' as kind, callee as cause, false as direct, 0.6::double as confidence, count(distinct caller) as explains from tb t join kd k on k.environment = t.environment and k.service = t.caller group by 1, 3 having count(distinct caller) >= 2
+_HYP = """kd as (select environment, service, max((anomaly_type = 'MISSING_SERVICE')::int) as m, max((anomaly_type = 'NEW_FINGERPRINT')::int) as fresh from ac group by 1, 2), dp as (select distinct environment, service from ac where ts_ms < 1704078000000),
+    hy as (select t.environment as environment, 'shared_dependency' as kind, callee as cause, false as direct, 0.6::double as confidence, count(distinct caller) as explains from tb t join kd k on k.environment = t.environment and k.service = t.caller group by 1, 3 having count(distinct caller) >= 2
     union all select t.environment, 'downstream_failure', callee, max(x.m) = 1, case when max(x.m) = 1 then 0.9 else 0.7 end, count(distinct caller) from tb t join kd k on k.environment = t.environment and k.service = t.caller join kd x on x.environment = t.environment and x.service = t.callee group by 1, 3
-    union all select k.environment, 'self_change', k.service, true, 0.65, 1 from kd k join dp on dp.environment = k.environment and dp.service = k.service
+    union all select k.environment, 'self_change', k.service, true, case when k.fresh = 1 then 0.8 else 0.65 end, 1 from kd k join dp on dp.environment = k.environment and dp.service = k.service
+    union all select k.environment, 'self_change', k.service, false, 0.5, 1 from kd k where k.fresh = 1 and not exists (select 1 from dp where dp.environment = k.environment and dp.service = k.service) and not exists (select 1 from tb where tb.environment = k.environment and tb.caller = k.service)
     union all select t.environment, 'upstream_change', caller, false, 0.5, count(distinct callee) from tb t join kd k on k.environment = t.environment and k.service = t.callee join dp on dp.environment = t.environment and dp.service = t.caller group by 1, 3
-    union all select t.environment, 'cascade', callee, false, 0.55, count(distinct caller) from tb t join kd k on k.environment = t.environment and k.service = t.caller join kd x on x.environment = t.environment and x.service = t.callee group by 1, 3 having count(distinct caller) >= 3) h""",
-    _TB, _ACTS, _HYP))
+    union all select t.environment, 'cascade', callee, false, 0.55, count(distinct caller) from tb t join kd k on k.environment = t.environment and k.service = t.caller join kd x on x.environment = t.environment and x.service = t.callee group by 1, 3 having count(distinct caller) >= 3)"""
+
+
+@query(_q("select * from hy", _TB, _ACTS, _HYP))
 def g_hypotheses(spark, d):
     return _hyp(spark, d).drop("place")
 
@@ -336,7 +380,7 @@ def _hyp(spark, d):
     return G.hypotheses(early_graph(spark, d), a, a.where("ts_ms < 1704078000000"))
 
 
-@query()
+@query(_q("select *, (row_number() over (partition by environment order by direct desc, confidence desc, explains desc, kind, cause))::int as place from hy", _TB, _ACTS, _HYP))
 def w_rank_hypotheses(spark, d):
     return _hyp(spark, d)
 
@@ -414,11 +458,13 @@ def a_tp_fp_stats(spark, d):
     return K.tp_fp_stats(labelled(spark, d))
 
 
-@query(sql(f"""select service, way::int as way, round(0.6 + way * 0.05, 4)::double as missing_service_dominance_threshold, round(case when spikes > 0 then 2.0 + way * 0.25 else 2.0 end, 4)::double as span_count_spike_multiplier,
-    round(case when drops > 0 then 0.5 - way * 0.05 else 0.5 end, 4)::double as span_count_drop_threshold, round(case when error_spikes > 0 then 3.0 + way * 0.5 else 3.0 end, 4)::double as error_spike_multiplier
+@query(sql(f"""select service, way::int as way, round(least(greatest(0.6 + way * 0.15, 0.4), 0.9), 4)::double as missing_service_dominance_threshold, round(case when spikes > 0 then least(greatest(2.0 + way * 0.75, 1.5), 5.0) else 2.0 end, 4)::double as span_count_spike_multiplier,
+    round(case when drops > 0 then least(greatest(0.5 - way * 0.15, 0.1), 0.9) else 0.5 end, 4)::double as span_count_drop_threshold, round(case when error_spikes > 0 then least(greatest(3.0 + way * 1.5, 2.0), 8.0) else 3.0 end, 4)::double as error_spike_multiplier
     from (select *, case when fp_rate >= 0.7 then 1 when fp_rate <= 0.2 then -1 else 0 end as way from ({_STATS}) where total >= 5) where way <> 0"""))
 def s_adaptive_thresholds(spark, d):
-    return K.tune_thresholds(K.tp_fp_stats(labelled(spark, d)))
+    """Three runs on the same statistics, each from the thresholds of the one before."""
+    stats = stored(K.tp_fp_stats(labelled(spark, d)), "stats")
+    return K.tune_thresholds(stats, K.tune_thresholds(stats, K.tune_thresholds(stats)))
 
 
 @query(sql("select anomaly_type, environment, service, count(*) as n from anomalies group by 1, 2, 3"))
@@ -458,7 +504,7 @@ _HEALTH = """select environment, 'STALE_BASELINE' as "check", '' as hash, '' as
 
 @query(_q(_HEALTH, _IW))
 def b_health(spark, d):
-    return B.health_check(base(spark, d), ebase(spark, d), windows(spark, d), "2024-02-10")
+    return B.health_check(stored(base(spark, d), "baseline"), stored(ebase(spark, d), "errors"), stored(windows(spark, d), "windows"), "2024-02-10")
 
 
 def _sess(key: str, gap: int) -> str:
@@ -475,7 +521,7 @@ def s_dedup_incidents(spark, d):
     return K.dedup_incidents(events(spark, d), 24 * HOUR)
 
 
-@query(_q("select environment, min(ts_ms) as opened_ms, max(ts_ms) as closed_ms, count(*) as events, count(distinct service) as services from ss group by environment, session", _sess("environment", 900000)))
+@query(_q("select environment, min(ts_ms) as opened_ms, max(ts_ms) as closed_ms, max(ts_ms) + 300000 as expires_ms, count(*) as events, count(distinct service) as services from ss group by environment, session", _sess("environment", 900000)))
 def s_problem_sessions(spark, d):
     return K.problem_sessions(events(spark, d), 900_000)
 
@@ -487,9 +533,10 @@ def feedback(spark, d):
     return K.incident_feedback(events(spark, d))
 
 
-@query(_q("select environment, day, array_to_string(types, ',') as types, array_to_string(services, ',') as services from fb", _FB))
+@query(_q("""select environment, min(ts_ms) as start_ms, string_agg(distinct anomaly_type, ',' order by anomaly_type) as types, string_agg(distinct service, ',' order by service) as services,
+    case when bool_or(anomaly_type = 'MISSING_SERVICE') or count(distinct tier) >= 2 then 'INCIDENT' else 'DEGRADED' end as severity from ss group by environment, session""", _sess("environment", 600000)))
 def a_incident_feedback(spark, d):
-    return feedback(spark, d).select("environment", "day", joined("types"), joined("services"))
+    return K.incident_history(events(spark, d), 600_000).withColumn("types", joined("types")).withColumn("services", joined("services"))
 
 
 _SIM = "select c.environment, c.day, p.environment as p_env, p.day as p_day, len(list_intersect(c.types, p.types)) + len(list_intersect(c.services, p.services)) as score from fb c join fb p on p.day < 19752 where c.day = 19752"
@@ -526,8 +573,8 @@ def w_env_first(spark, d):
     return K.first_by_environment(events(spark, d))
 
 
-@query(_q(f"""select service, anomaly_type, array_to_string(e, '>') as progress, hi - lo as spread_ms, case when s[-1] + 1 >= 3 then 'CRITICAL' else 'HIGH' end as severity from (select service, anomaly_type, list(first_ms order by stage) as t, list(environment order by stage) as e, list(stage order by stage) as s, max(first_ms) as hi, min(first_ms) as lo from fe group by 1, 2)
-    where len(t) >= 2 and t = list_sort(t) and hi - lo <= {72 * HOUR}""", _FE))
+@query(_q(f"""select service, anomaly_type, array_to_string(e, '>') as progress, len(e) / 3 as share, coalesce(nx, '') as next_environment, hi - lo as spread_ms, case when nx = 'prod' then 'CRITICAL' else 'HIGH' end as severity from (select *, list_filter(['dev', 'staging', 'prod'], lambda x: not list_contains(e, x))[1] as nx from
+    (select service, anomaly_type, list(first_ms order by stage) as t, list(environment order by stage) as e, max(first_ms) as hi, min(first_ms) as lo from fe group by 1, 2)) where len(t) >= 2 and t = list_sort(t) and hi - lo <= {72 * HOUR}""", _FE))
 def s_propagation(spark, d):
     return K.detect_propagation(events(spark, d), 72 * HOUR)
 
@@ -585,13 +632,17 @@ def set_union_events(spark, d):
     return K.union_events(one, e.where("tier <> 'tier1'").select(F.lit("other").alias("source"), "environment", "service", "event_id"))
 
 
-@query(sql("""with v as (select environment, split_part(root_op, ':', 1) as service, count(*) as fps from base group by 1, 2), x as (select environment, service, bool_or(error_type in ('503', 'java.net.ConnectException')) as c from ebase group by 1, 2),
-    te as (select environment, to_service as service, count(distinct from_service) as callers from edges where from_service <> to_service group by 1, 2), r as (select environment, count(*) / 720.0 as h from anomalies group by 1),
-    j as (select environment, service, least(case when fps is null then 25 when fps = 1 then 30 when fps <= 3 then 20 when fps <= 8 then 10 else 5 end + case when c then 25 when c is null then 5 else 0 end
-      + case when coalesce(callers, 0) >= 4 then 25 when coalesce(callers, 0) >= 2 then 15 when callers = 1 then 8 else 5 end + case when h >= 10 then 20 when h >= 3 then 12 when h >= 1 then 6 else 0 end, 100)::int as score from v full join x using (environment, service) full join te using (environment, service) left join r using (environment))
+@query(sql("""with v as (select environment, service, count(distinct fp_hash) as fps from (select environment, fp_hash, unnest(list_distinct(list_append(services, root_service))) as service from base) group by 1, 2), x as (select environment, service, bool_or(error_type in ('503', 'java.net.ConnectException')) as c from ebase group by 1, 2),
+    te as (select distinct environment, from_service as caller, to_service as callee from edges where from_service <> to_service), i as (select environment, callee as service, count(*) as callers from te group by 1, 2), o as (select environment, caller as service, count(*) as callees from te group by 1, 2),
+    r as (select environment, count(*) / 720.0 as h from anomalies group by 1),
+    j as (select environment, service, greatest(least(case when not exists (select 1 from base b where b.environment = q.environment) then 20 when fps is null then 25 when fps = 1 then 30 when fps <= 3 then 20 when fps <= 8 then 10 else 5 end
+      + case when not exists (select 1 from ebase b where b.environment = q.environment) then 5 when c then 25 else 0 end + case when callers is null and callees is null then 5 when coalesce(callers, 0) >= 4 then 25 when coalesce(callers, 0) >= 2 then 15 else 8 end
+      + case when h >= 10 then 20 when h >= 3 then 12 when h >= 1 then 6 else 0 end + case service when 'view' then -5 when 'click' then 8 else 0 end, 100), 0)::int as score
+      from (select * from v full join x using (environment, service) full join i using (environment, service) full join o using (environment, service) left join r using (environment)) q)
     select environment, service, score, case when score >= 75 then 'CRITICAL' when score >= 55 then 'HIGH' when score >= 35 then 'MEDIUM' else 'LOW' end as grade from j"""))
 def s_deploy_risk(spark, d):
-    return K.deployment_risk(base(spark, d), ebase(spark, d), graph(spark, d), events(spark, d), 720)
+    tuned = spark.createDataFrame([("view", 0.8, 2.0), ("click", 0.5, 1.5)], "service string, missing_service_dominance_threshold double, span_count_spike_multiplier double")
+    return K.deployment_risk(stored(base(spark, d), "baseline"), stored(ebase(spark, d), "errors"), stored(graph(spark, d), "graph"), events(spark, d), 720, tuned)
 
 
 @query(sql("""with te as (select distinct environment, from_service as caller, to_service as callee from edges where from_service <> to_service)

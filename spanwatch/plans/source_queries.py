@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanwatch.operators.classify import decide
+from spanwatch.operators.classify import decide, drop_partial
 from spanwatch.plans.base import spans, sql
 from spanwatch.plans.registry import query
 from spanwatch.plans.stream_queries import _folder
-from spanwatch.plans.structure_queries import _DECIDE, base, live
+from spanwatch.plans.structure_queries import _DECIDE, _P10, base, live
 from spanwatch.sources import fixtures as X
 from spanwatch.sources import readers as R
 from spanwatch.sources import sinks as K
@@ -113,12 +113,14 @@ def src_infra_events(spark, d):
     return R.read_infra_events(e, 1705708800000 + 300_000).select("event_id", "service")
 
 
-@query(sql("select environment, fp_hash, root_op, occurrences from base"))
+@query(sql("select environment, fp_hash, root_op, occurrences, epoch_us(timestamp '2024-02-10') as created_us, epoch_us(timestamp '2024-02-11') as updated_us from base"))
 def sink_baseline(spark, d):
     folder = _folder(spark)
-    K.write_baseline(base(spark, d).where("occurrences < 10"), folder)
-    K.write_baseline(base(spark, d), folder)
-    return K.read_baseline(spark, folder).select("environment", "fp_hash", "root_op", "occurrences")
+    K.write_baseline(base(spark, d).where("occurrences < 10"), folder, "2024-02-10")
+    now = K.write_baseline(base(spark, d), folder, "2024-02-11")
+    stamp = K.baseline_versions(spark, folder).where(F.col("version") == now).select(F.lit(1).alias("one"), F.unix_micros("created_at").alias("created_us"), F.unix_micros("updated_at").alias("updated_us"))
+    current = K.read_baseline(spark, folder).select("environment", "fp_hash", "root_op", "occurrences", F.lit(1).alias("one"))
+    return current.join(stamp, "one").drop("one")
 
 
 @query(sql("select environment, fp_hash, root_op, path, occurrences from base"))
@@ -138,7 +140,20 @@ def sink_baseline_json(spark, d):
     return e.groupBy("environment").agg(F.count("*").alias("entries"), F.sum("v.occurrences").alias("total"))
 
 
-@query(sql(f"""select * from (with {_DECIDE} select environment, count(*) as traces, sum((verdict is null)::int)::bigint as known, sum((coalesce(verdict, '') = 'NEW_FINGERPRINT')::int)::bigint as drift,
-    sum((coalesce(verdict, '') = 'MISSING_SERVICE')::int)::bigint as missing, sum((coalesce(verdict, '') = 'OVERRIDE')::int)::bigint as optional from vd group by 1)"""))
+_COUNT = " ".join(f", count(*) filter (where kind = '{k}') as {k}" for k in ("traces", "known", *K.COUNTED.values(), "promotions", "partial"))
+
+
+@query(sql(f"""select * from (with {_DECIDE}, p10 as ({_P10}), rw as (select environment, trace_start as ts, 'traces' as kind from vd union all select environment, trace_start, 'known' from vd where verdict is null
+    union all select environment, trace_start, case verdict when 'NEW_FINGERPRINT' then 'drift' when 'MISSING_SERVICE' then 'missing' end from vd where verdict is not null
+    union all select environment, make_timestamp(ts_ms * 1000), case anomaly_type when 'NEW_ERROR_SIGNATURE' then 'error' when 'LATENCY_ANOMALY' then 'latency' end from anomalies where anomaly_type in ('NEW_ERROR_SIGNATURE', 'LATENCY_ANOMALY', 'SIGNATURE_SPIKE')
+    union all select environment, first_seen, 'promotions' from base
+    union all select w.environment, w.trace_start, 'partial' from watch w left join p10 p using (environment, root_op) where not exists (select 1 from base b where b.environment = w.environment and b.fp_hash = w.fp_hash) and w.span_count < coalesce(p.p10, 0))
+    select environment, epoch_us(ts) // 86400000000 * 86400 as start_s {_COUNT} from rw group by 1, 2)"""))
 def sink_run_counters(spark, d):
-    return K.run_counters(decide(*live(spark, d)))
+    w, b = live(spark, d)
+    t = decide(w, b).select("environment", F.col("trace_start").alias("ts"), F.col("verdict").isNull().alias("known"), F.col("verdict").alias("anomaly_type"))
+    others = X.anomaly_events(spark, d).where("anomaly_type in ('NEW_ERROR_SIGNATURE', 'LATENCY_ANOMALY', 'SIGNATURE_SPIKE')").select("environment", F.timestamp_millis("ts_ms").alias("ts"), "anomaly_type")
+    kept = drop_partial(w, b).select("environment", "trace_id")
+    partial = w.join(kept, ["environment", "trace_id"], "left_anti").select("environment", F.col("trace_start").alias("ts"))
+    happened = t.where("anomaly_type is not null").select("environment", "ts", "anomaly_type").unionByName(others)
+    return K.run_counters(t, happened, b.select("environment", F.col("first_seen").alias("ts")), partial, 86_400)

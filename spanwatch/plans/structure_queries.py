@@ -190,7 +190,11 @@ def j_coverage(spark, d):
     return B.coverage(*live(spark, d))
 
 
-@query(sql(f"select *, round(matched * 100.0 / nullif(traces, 0), 1) as pct, case when traces = 0 then 'NO_TRAFFIC' when round(matched * 100.0 / traces, 1) >= 80 then 'GOOD' when round(matched * 100.0 / traces, 1) >= 50 then 'WARN' else 'LOW' end as status from ({_COV})"))
+_STATUS = f"select *, round(matched * 100.0 / nullif(traces, 0), 1) as pct, case when traces = 0 then 'NO_TRAFFIC' when round(matched * 100.0 / traces, 1) >= 80 then 'GOOD' when round(matched * 100.0 / traces, 1) >= 50 then 'WARN' else 'LOW' end as status from ({_COV})"
+
+
+@query(sql(f"""select *, (case status when 'LOW' then 0 when 'WARN' then 1 when 'NO_TRAFFIC' then 2 else 3 end)::int as rank, case when status = 'NO_TRAFFIC' and entries > 0 then 'known but idle: extend the window or drop it'
+    when status = 'NO_TRAFFIC' then 'unknown and idle: nothing to do' when pct = 0 then 'nothing matches: learn anew' when pct < 50 then 'learn over 240 minutes' when pct < 80 then 'learn over 120 minutes' else 'covered' end as advice from ({_STATUS})"""))
 def s_coverage_status(spark, d):
     return B.coverage_status(B.coverage(*live(spark, d)))
 
@@ -413,7 +417,8 @@ def d_restored(spark, d):
 
 
 @query(sql("""with g as (select environment, root_op, trace_start, floor((epoch_us(coalesce(lead(trace_start) over (partition by environment, root_op order by trace_start, trace_id), timestamp '2024-02-10')) - epoch_us(trace_start)) / 1000000)::bigint as silence_s
-    from fps f where exists (select 1 from base b where b.environment = f.environment and b.root_op = f.root_op)) select environment, root_op, epoch_us(trace_start) as last_us, silence_s from g where silence_s >= 4 * 10800"""))
+    from fps f where exists (select 1 from base b where b.environment = f.environment and b.root_op = f.root_op and not (len(list_filter(b.services, lambda x: x <> b.root_service)) > 0
+      and not exists (select 1 from base r where r.environment = b.environment and list_contains(list_filter(b.services, lambda x: x <> b.root_service), r.root_service))))) select environment, root_op, epoch_us(trace_start) as last_us, silence_s from g where silence_s >= 4 * 10800"""))
 def d_missing_stream(spark, d):
     m = C.missing_root_ops(fps(spark, d), base(spark, d), 10800, AS_OF)
     return m.select("environment", "root_op", F.unix_micros("last_seen").alias("last_us"), "silence_s")
@@ -422,17 +427,25 @@ def d_missing_stream(spark, d):
 # ---- upkeep
 
 
-@query(sql("""with n as (select distinct environment, fp_hash from watch w where not exists (select 1 from base b where b.environment = w.environment and b.fp_hash = w.fp_hash))
-    select environment, fp_hash, coalesce(b.occurrences, 1) as occurrences, (case when n.fp_hash is null then 0 else 1 end)::int as watch_hits, n.fp_hash is not null as auto_promoted from base b full join n using (environment, fp_hash)"""))
+@query(sql("""with n as (select distinct environment, fp_hash from watch w where not exists (select 1 from base b where b.environment = w.environment and b.fp_hash = w.fp_hash)),
+    m as (select distinct environment, sig_hash from sigs s where event_time >= timestamp '2024-01-21' and not exists (select 1 from ebase b where b.environment = s.environment and b.sig_hash = s.sig_hash))
+    select 'trace' as kind, environment, fp_hash as hash, coalesce(b.occurrences, 1) as occurrences, (case when n.fp_hash is null then 0 else 1 end)::int as watch_hits, n.fp_hash is not null as auto_promoted from base b full join n using (environment, fp_hash)
+    union all select 'error', environment, sig_hash, coalesce(b.occurrences, 1), (case when m.sig_hash is null then 0 else 1 end)::int, m.sig_hash is not null from ebase b full join m using (environment, sig_hash)"""))
 def b_watch_hits(spark, d):
     w, b = live(spark, d)
     new = w.join(b.select("environment", "fp_hash"), ["environment", "fp_hash"], "left_anti")
-    return B.apply_watch_hits(b, new, AS_OF, threshold=1).select("environment", "fp_hash", "occurrences", "watch_hits", "auto_promoted")
+    t = B.apply_watch_hits(b, new, AS_OF, threshold=1).select(F.lit("trace").alias("kind"), "environment", F.col("fp_hash").alias("hash"), "occurrences", "watch_hits", "auto_promoted")
+    s = stored(sigs(spark, d), "signatures")
+    known = E.learn_error(learn_window(s, "event_time"))
+    fresh = watch_window(s, "event_time").join(known.select("environment", "sig_hash"), ["environment", "sig_hash"], "left_anti")
+    e = E.apply_watch_hits(known, fresh, AS_OF, threshold=1)
+    return t.unionByName(e.select(F.lit("error").alias("kind"), "environment", F.col("sig_hash").alias("hash"), "occurrences", "watch_hits", "auto_promoted"))
 
 
-@query(sql("select environment, fp_hash, min(root_op) as root_op, count(*) as detections, not starts_with(min(root_op), 'view') as no_missing_service from watch w where not exists (select 1 from base b where b.environment = w.environment and b.fp_hash = w.fp_hash) group by 1, 2 having count(*) >= 2"))
+@query(sql("""select environment, fp_hash, min(root_op) as root_op, count(*) as detections, 1 as occurrences, not starts_with(min(root_op), 'view') as no_missing_service from watch w
+    where not exists (select 1 from base b where b.environment = w.environment and b.fp_hash = w.fp_hash) group by 1, 2 having count(*) >= 2 or min(trace_start) < timestamp '2024-01-23'"""))
 def b_promote_stream(spark, d):
-    return B.promote_by_count(*live(spark, d), 2, "view")
+    return B.promote_by_count(*live(spark, d), 2, "view", "2024-01-23")
 
 
 @query(sql("select environment, fp_hash, starts_with(root_op, 'view') as auto_promoted, case when starts_with(root_op, 'view') then 1707523200000000 end as promoted_us from base where starts_with(root_op, 'view')"))

@@ -2,27 +2,43 @@
 
 from __future__ import annotations
 
-import time
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwatch.functions import scalars as S
 
 
-def write_baseline(df: DataFrame, root: str, version: str | None = None) -> str:
+_POINTER = "version string, number bigint, created_at timestamp, updated_at timestamp"
+
+
+def write_baseline(df: DataFrame, root: str, as_of=None) -> str:
     """Write a new version under ``root`` and make it current. A version is written whole before the pointer names it, and a
-    version that is being read is never touched."""
+    version that is being read is never touched. Versions are numbered on, not ordered by clocks (of two writers at once the
+    one with the larger name is current); created_at stays that of the first, updated_at is ``as_of`` (now without it)."""
     spark = df.sparkSession
-    version = version or f"{time.time_ns()}"
+    version = uuid.uuid4().hex
     df.write.partitionBy("environment").parquet(f"{root}/version={version}")
-    spark.createDataFrame([(version, time.time_ns())], "version string, at bigint").coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+    last = baseline_versions(spark, root).agg(F.max("number").alias("number"), F.min("created_at").alias("created_at"))
+    at = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
+    entry = last.select(F.lit(version).alias("version"), (F.coalesce("number", F.lit(0)) + 1).alias("number"), F.coalesce("created_at", at).alias("created_at"), at.alias("updated_at"))
+    entry.coalesce(1).write.mode("append").parquet(f"{root}/pointer")
     return version
 
 
+def baseline_versions(spark: SparkSession, root: str) -> DataFrame:
+    """version, number, created_at, updated_at of all versions under ``root`` (none before the first)."""
+    try:
+        return spark.read.schema(_POINTER).parquet(f"{root}/pointer")
+    except AnalysisException:  # no pointer yet
+        return spark.createDataFrame([], _POINTER)
+
+
 def read_baseline(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
     if version is None:
-        version = spark.read.schema("version string, at bigint").parquet(f"{root}/pointer").orderBy(F.desc("at")).first()["version"]
+        version = baseline_versions(spark, root).orderBy(F.desc("number"), F.desc("version")).first()["version"]
     return spark.read.parquet(f"{root}/version={version}")
 
 
@@ -57,10 +73,19 @@ def to_event_envelope(anomalies: DataFrame) -> DataFrame:
     return anomalies.select(F.coalesce(F.try_element_at(kind, F.col("anomaly_type")), F.lit("trace.path.drift")).alias("eventType"), F.lit("USER_DEFINED").alias("category"), dims.alias("metadata"), props.alias("properties"), F.col("ts_ms").alias("timestampMs"))
 
 
-def run_counters(decided: DataFrame) -> DataFrame:
-    """Counters of a run from decided traces (``verdict``, null for none)."""
-    n = lambda test, name: F.sum(test.cast("bigint")).alias(name)
-    v = F.col("verdict")
-    return decided.groupBy("environment").agg(
-        F.count("*").alias("traces"), n(v.isNull(), "known"), n(F.coalesce(v == "NEW_FINGERPRINT", F.lit(False)), "drift"), n(F.coalesce(v == "MISSING_SERVICE", F.lit(False)), "missing"), n(F.coalesce(v == "OVERRIDE", F.lit(False)), "optional")
-    )
+# Counters of anomaly types.
+COUNTED = {
+    "NEW_FINGERPRINT": "drift", "NEW_ERROR_SIGNATURE": "error", "MISSING_SERVICE": "missing", "LATENCY_ANOMALY": "latency", "ERROR_RATE": "error_rate", "THROUGHPUT_DROP": "throughput", "TOPOLOGY": "topology",
+}
+
+
+def run_counters(traces: DataFrame, events: DataFrame, promotions: DataFrame, partial: DataFrame, interval_s: int = 60) -> DataFrame:
+    """Counters per environment and interval: traces and known ones (``traces(environment, ts, known)``), events by type
+    (``events(environment, ts, anomaly_type)``), promotions and partial traces that were skipped (``(environment, ts)`` each)."""
+    row = lambda df, kind: df.select("environment", "ts", kind.alias("kind"))
+    kinds = F.create_map(*[F.lit(x) for kv in COUNTED.items() for x in kv])
+    every = row(traces, F.lit("traces")).unionByName(row(traces.where("known"), F.lit("known"))).unionByName(row(events, F.try_element_at(kinds, F.col("anomaly_type"))))
+    every = every.unionByName(row(promotions, F.lit("promotions"))).unionByName(row(partial, F.lit("partial")))
+    start = F.floor(F.unix_micros("ts") / F.lit(interval_s * 1_000_000)) * interval_s
+    n = lambda name: F.count(F.when(F.col("kind") == name, 1)).alias(name)
+    return every.groupBy("environment", start.alias("start_s")).agg(*[n(c) for c in ("traces", "known", *COUNTED.values(), "promotions", "partial")])
