@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwatch.plans.base import shared_path, sql
+from spanwatch.plans.base import shared_path, sql, stored
 from spanwatch.plans.registry import query
 from spanwatch.plans.structure_queries import _STREAM, base, fps, watched
 from spanwatch.sources import fixtures as X
@@ -64,14 +64,24 @@ def st_event_dedup(spark, d):
     return drained(St.dedup_events(_events(spark, d), 21_600_000))
 
 
-@query()
+@query(sql("""select key, ts_ms, event_id from (with recursive r(key, ts_ms, event_id, rn) as (select key, ts_ms, event_id, rn from o where rn = 1
+    union all select n.key, n.ts_ms, n.event_id, n.rn from r cross join lateral (select * from o where o.key = r.key and o.rn > r.rn and o.ts_ms - r.ts_ms >= 21600000 order by o.rn limit 1) n) select * from r)""",
+    o="select key, ts_ms, event_id, row_number() over (partition by key order by ts_ms, event_id) as rn from (select *, case when k % 2 = 0 then hash else anomaly_type || ':' || service || ':' || root_op end as key from anomalies)"))
 def st_alert_dedup(spark, d):
-    return drained(St.dedup_alerts(_events(spark, d), 21_600_000))
+    """Alerts with odd hashes have none: they are told apart by type, service and operation."""
+    e = X.anomaly_events(spark, d).withColumn("hash", F.when(F.col("hash").cast("int") % 2 == 0, F.col("hash")).otherwise("")).withColumn("event_time", F.timestamp_millis("ts_ms"))
+    return drained(St.dedup_alerts(as_stream(e), 21_600_000))
 
 
-@query(sql("select event_id from anomalies where ts_ms >= epoch_ms(timestamp '2024-01-02')"))
+@query(sql("""select 'event' as kind, event_id::varchar as name, ts_ms from anomalies where ts_ms >= epoch_ms(timestamp '2024-01-02') union all
+    select 'promotion', environment || ' ' || fp_hash, epoch_us(t) // 1000 from (select environment, fp_hash, trace_start as t, row_number() over (partition by environment, fp_hash order by trace_start) as n, min(trace_start) over (partition by environment, fp_hash) as t0 from fps)
+    where case when t0 < timestamp '2024-01-02' then n = 1 else n = 10 end"""))
 def st_warmup(spark, d):
-    return drained(St.after_warmup(_events(spark, d), "2024-01-01", 86_400).select("event_id"))
+    """During the first day no event goes out and hashes are promoted at first sight."""
+    e = drained(St.after_warmup(_events(spark, d), "2024-01-01", 86_400)).select(F.lit("event").alias("kind"), F.col("event_id").cast("string").alias("name"), "ts_ms")
+    f = fps(spark, d).select("environment", "fp_hash", F.unix_millis("trace_start").alias("ts_ms"))
+    p = drained(St.promotion_counts(as_stream(f), 10, 1704153600000))
+    return e.unionByName(p.select(F.lit("promotion").alias("kind"), F.concat_ws(" ", "environment", "fp_hash").alias("name"), "ts_ms"))
 
 
 @query(sql("select environment, fp_hash, epoch_us(t) // 1000 as ts_ms from (select environment, fp_hash, trace_start as t, row_number() over (partition by environment, fp_hash order by trace_start) as n from fps) where n = 10"))
@@ -89,8 +99,10 @@ def st_throughput(spark, d):
     return drained(St.throughput_drops(as_stream(f.select("environment", "root_op", F.floor(F.col("us") / 1000).alias("ts_ms"), "rate")), drop=0.8, rearm=0.9))
 
 
-@query()
+@query(sql("""select environment, root_op, ts_ms as last_ms from (select *, lead(ts_ms) over (partition by environment, root_op order by ts_ms) as nxt from (select environment, root_op, epoch_us(trace_start) // 1000 as ts_ms from fps))
+    where nxt is null and ts_ms + 10800000 <= (select max(epoch_us(trace_start)) // 1000 from fps) - 600000"""))
 def st_missing_timer(spark, d):
+    """All history comes in one batch, so root ops are silent that still are when the watermark has passed."""
     f = fps(spark, d).select("environment", "root_op", F.unix_millis("trace_start").alias("ts_ms"), F.col("trace_start").alias("event_time"))
     return drained(St.silence_timer(as_stream(f), 3 * 3_600_000))
 
@@ -117,20 +129,33 @@ def st_active_drifts(spark, d):
     return drained(St.active_drifts(as_stream(f)))
 
 
-@query(sql(f"select trace_id, substr(sha256(coalesce(e.path, t.root)), 1, 16) as fp_hash from (select trace_id, arg_min(service || ':' || operation, start_us) as root, max(start_us) as last from chat group by 1 having count(*) >= 2) t left join (select trace_id, string_agg(edge, ' -> ' order by start_us) as path from (select c.trace_id, min(c.start_us) as start_us, p.service || ':' || p.operation || ' -> ' || c.service || ':' || c.operation as edge from chat c join chat p on p.span_id = c.parent_id and p.trace_id = c.trace_id where p.service <> c.service group by c.trace_id, edge) group by 1) e using (trace_id)"))
+@query(sql("""with c as (select *, service || ':' || operation as frame from chat where trace_id <> (select cast(max(conv_id) as varchar) from conversations)),
+    e as (select trace_id, string_agg(edge, ' -> ' order by start_us) as path from (select c.trace_id, min(c.start_us) as start_us, p.frame || ' -> ' || c.frame as edge from c join c p on p.span_id = c.parent_id and p.trace_id = c.trace_id where p.service <> c.service group by c.trace_id, edge) group by 1)
+    select 'trace' as kind, trace_id, substr(sha256(coalesce(e.path, t.root)), 1, 16) as hash from (select trace_id, arg_min(frame, start_us) as root from c group by 1 having count(*) >= 2) t left join e using (trace_id)
+    union all select 'error', c.trace_id, substr(sha256(c.service || '|error||' || c.operation || '|' || concat_ws(' -> ', p3.frame, p2.frame, p1.frame)), 1, 16) from c left join c p1 on p1.trace_id = c.trace_id and p1.span_id = c.parent_id
+      left join c p2 on p2.trace_id = c.trace_id and p2.span_id = p1.parent_id left join c p3 on p3.trace_id = c.trace_id and p3.span_id = p2.parent_id where c.service = 'assistant'"""))
 def st_fingerprint(spark, d):
-    """The array form of the fingerprint over whole traces, as the stream applies it to released ones."""
-    from spanwatch.operators.traces import TRACE
+    """Fingerprints and error signatures (answers count as errors) of the conversations that the buffer releases: they follow
+    each other by 100 seconds, so all but the last are released after 90."""
+    at = F.timestamp_micros(86_400_000_000 + F.col("trace_id").cast("bigint") * 100_000_000 + F.col("start_us"))
+    s = X.chat_spans(spark, d).withColumn("is_error", F.col("service") == "assistant").withColumn("event_time", at)
+    released = stored(drained(St.buffer_traces(as_stream(s), 90_000, "1 second")), "released")
+    f = drained(St.fingerprint_arrays(as_stream(released))).select(F.lit("trace").alias("kind"), "trace_id", F.col("fp_hash").alias("hash"))
+    e = drained(St.signature_arrays(as_stream(released))).select(F.lit("error").alias("kind"), "trace_id", F.col("sig_hash").alias("hash"))
+    return f.unionByName(e)
 
-    kept = F.struct("start_us", "span_id", "parent_id", "service", "operation", "duration_us", "is_error", "tags")
-    traces = X.chat_spans(spark, d).groupBy(*TRACE).agg(F.collect_list(kept).alias("spans"), F.min("event_time").alias("trace_start"))
-    return drained(St.fingerprint_arrays(as_stream(traces))).select("trace_id", "fp_hash")
 
+_BUFFERS = """sp as (select *, row_number() over (partition by trace_id order by start_us, span_id) as rn from spans),
+    bf as (with recursive r(environment, trace_id, first_us, start_us, rn) as (select environment, trace_id, start_us, start_us, rn from sp where rn = 1
+      union all select s.environment, s.trace_id, case when s.start_us // 1000 >= r.first_us // 1000 + 21600000 then s.start_us else r.first_us end, s.start_us, s.rn from r join sp s on s.trace_id = r.trace_id and s.rn = r.rn + 1) select * from r)"""
+_RELEASED = "first_us // 1000 + 21600000 <= (select max(start_us) // 1000 from spans) - 3600000"
 
-@query()
+
+@query(sql(f"select environment, trace_id, n, first_us // 1000 as start_ms from (with {_BUFFERS} select environment, trace_id, first_us, count(*) as n, max(start_us) as last_us from bf group by 1, 2, 3) b where {_RELEASED} or exists (select 1 from (with {_BUFFERS} select * from bf) c where c.trace_id = b.trace_id and c.first_us > b.first_us)"))
 def st_trace_buffer(spark, d):
-    t = drained(St.buffer_traces(as_stream(X.event_spans(spark, d)), "6 hours", "1 hour"))
-    return t.select("environment", "trace_id", F.size("spans").alias("n"), F.unix_micros("trace_start").alias("start_us"))
+    """Traces of a day in rows of six hours after their first span, as far as the watermark has come."""
+    t = drained(St.buffer_traces(as_stream(X.event_spans(spark, d)), 6 * 3_600_000, "1 hour"))
+    return t.select("environment", "trace_id", F.size("spans").cast("bigint").alias("n"), F.unix_millis("trace_start").alias("start_ms"))
 
 
 @query(sql(f"select environment, trace_id, fp_hash, root_op, anomaly_type from ({_STREAM})"))

@@ -30,12 +30,54 @@ def session_incidents(events: DataFrame, gap: str = "15 minutes", delay: str = "
     return w.select(F.col("w.start").alias("opened"), F.col("w.end").alias("closed"), *keys, "n")
 
 
-def buffer_traces(spans: DataFrame, timeout: str = "10 seconds", delay: str = "10 seconds") -> DataFrame:
-    """Spans of a trace as one row, released once the watermark is ``timeout`` past its last span. Later spans are dropped and counted
-    by the query's numRowsDroppedByWatermark."""
-    kept = F.struct("start_us", "span_id", "parent_id", "service", "operation", "duration_us", "is_error", "tags")
-    b = spans.withWatermark("event_time", delay).groupBy(F.session_window("event_time", timeout).alias("w"), "environment", "trace_id").agg(F.collect_list(kept).alias("spans"))
-    return b.select("environment", "trace_id", "spans", F.col("w.start").alias("trace_start"))
+_SPAN = "struct<start_us:bigint,span_id:string,parent_id:string,service:string,operation:string,duration_us:bigint,is_error:boolean,tags:map<string,string>>"
+
+
+def buffer_traces(spans: DataFrame, timeout_ms: int = 10_000, delay: str = "10 seconds") -> DataFrame:
+    """Spans of a trace as one row (environment, trace_id, spans, trace_start), released ``timeout_ms`` after its first span by event time,
+    however busy the trace is; later spans make a new row. Spans behind the watermark are dropped and counted by the query's
+    numRowsDroppedByWatermark. The state holds the spans of one open buffer."""
+    names = ["start_us", "span_id", "parent_id", "service", "operation", "duration_us", "is_error"]
+    kept = F.to_json(F.struct(*names, "tags"))
+    rows = spans.withWatermark("event_time", delay).select("environment", "trace_id", "event_time", F.unix_millis("event_time").alias("ts_ms"), kept.alias("span"))
+
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState):
+        first, held = json.loads(state.get[0]) if state.exists else (None, [])
+        out = []
+        if state.hasTimedOut:
+            out.append((first, held))
+            state.remove()
+        else:
+            arrived = pd.concat(list(frames)).sort_values(["ts_ms", "span"])
+            for ts, span in zip(arrived["ts_ms"].tolist(), arrived["span"].tolist()):
+                if first is not None and ts >= first + timeout_ms:
+                    out.append((first, held))
+                    first, held = None, []
+                first = ts if first is None else min(first, ts)
+                held.append(span)
+            state.update((json.dumps((first, held)),))
+            state.setTimeoutTimestamp(max(first + timeout_ms, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame([(*key, at, f"[{','.join(x)}]") for at, x in out], columns=["environment", "trace_id", "first_ms", "spans"])
+
+    released = rows.groupBy("environment", "trace_id").applyInPandasWithState(run, "environment string, trace_id string, first_ms long, spans string", "value string", "append", GroupStateTimeout.EventTimeTimeout)
+    return released.select("environment", "trace_id", F.from_json("spans", f"array<{_SPAN}>").alias("spans"), F.timestamp_millis("first_ms").alias("trace_start"))
+
+
+def signature_arrays(traces: DataFrame, profile: Profile = STREAM) -> DataFrame:
+    """Error signatures of buffered traces: one row per error span, with the hash of the batch rules. Ancestors are found by walking
+    up a map of the trace's spans, ``profile.frames`` steps at most."""
+    spans = F.transform("spans", lambda s: F.struct(s["span_id"].alias("id"), s["parent_id"].alias("up"), F.concat_ws(":", s["service"], s["operation"]).alias("frame")))
+    t = traces.withColumn("known", F.map_from_entries(F.transform(spans, lambda s: F.struct(s["id"], s))))
+    e = t.select("environment", "trace_id", "known", F.explode("spans").alias("s")).where(F.col("s.is_error") | S.is_error(F.col("s.tags"), profile.name))
+    e = e.where(~S.error_op_excluded(F.col("s.operation"), profile.name))
+    up, path = F.try_element_at("known", F.col("s.parent_id")), F.lit("")
+    for _ in range(profile.frames):
+        path = F.when(up.isNotNull(), F.concat_ws(" -> ", up["frame"], F.nullif(path, F.lit("")))).otherwise(path)
+        up = F.try_element_at("known", up["up"])
+    tag = lambda k: F.coalesce(F.try_element_at("s.tags", F.lit(k)), F.lit(""))
+    e = e.select("environment", "trace_id", F.col("s.span_id").alias("span_id"), F.col("s.service").alias("service"), S.error_type(F.col("s.tags")).alias("error_type"), tag("http.status_code").alias("http_status"), F.col("s.operation").alias("operation"), path.alias("call_path"))
+    return e.withColumn("sig_hash", S.sig_hash(*[F.col(c) for c in ("service", "error_type", "http_status", "operation", "call_path")]))
 
 
 def fingerprint_arrays(traces: DataFrame, profile: Profile = STREAM, min_spans: int = 2) -> DataFrame:
@@ -192,16 +234,20 @@ def learn_state(samples: DataFrame, n: int = 30) -> DataFrame:
     return fold(samples, ["key"], learn_step(n), "key string, ts_ms long, value double, mean double, std double")
 
 
-def promotion_step(threshold: int) -> Callable:
+def promotion_step(threshold: int, warmup_until_ms: int | None = None) -> Callable:
+    """Promotes at the ``threshold``-th detection, or at the first one if that comes before ``warmup_until_ms``."""
+
     def step(n, row):
         n = (n or 0) + 1
-        return n, [(row["environment"], row["fp_hash"], row["ts_ms"], n)] if n == threshold else []
+        warm = warmup_until_ms is not None and n == 1 and row["ts_ms"] < warmup_until_ms
+        out = [(row["environment"], row["fp_hash"], row["ts_ms"], n)] if warm or n == threshold else []
+        return (n + threshold if warm else n), out  # beyond the threshold: it is promoted once
 
     return step
 
 
-def promotion_counts(detections: DataFrame, threshold: int = 10) -> DataFrame:
-    return fold(detections, ["environment", "fp_hash"], promotion_step(threshold), "environment string, fp_hash string, ts_ms long, detections long")
+def promotion_counts(detections: DataFrame, threshold: int = 10, warmup_until_ms: int | None = None) -> DataFrame:
+    return fold(detections, ["environment", "fp_hash"], promotion_step(threshold, warmup_until_ms), "environment string, fp_hash string, ts_ms long, detections long")
 
 
 def drift_step(state, row):

@@ -42,7 +42,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_queries_without_sql_run(spark, sf):
-    names = [n for n in entry.queries() if n not in entry.oracle_sql() and not n.startswith(("op", "pipeline"))]
-    for n in names:
-        assert entry.queries()[n](spark, sf).count() >= 0
+def test_queries_without_sql_are_few(spark):
+    """Each of these is compared with a plain model in test_streams.py or test_traces.py."""
+    names = {n for n in entry.queries() if n not in entry.oracle_sql() and not n.startswith(("op", "pipeline"))}
+    assert names == {"d_throughput_drop", "st_throughput", "d_error_spike", "st_error_spike", "s_incident_state", "a_noise_support", "st_late_spans"}

@@ -71,8 +71,126 @@ def test_stream_equals_batch(spark, sf):
     assert pick(batch, lambda r: r.ts_us // 1000) == pick(stream, lambda r: r.ts_ms)
 
 
-def test_silence_timer(spark, sf):
+def spike_model(times, window_ms, times_base, least):
+    """Spikes of one signature's sorted times by loops: indexes, rates and the frozen rate."""
+    out, base = [], None
+    for i, now in enumerate(times):
+        recent = [t for t in times[: i + 1] if t > now - window_ms]
+        rate = len(recent) / (window_ms / 60_000)
+        if base is None:
+            if len(recent) >= least:
+                base = len(recent) // 2 / (window_ms / 60_000)
+        elif base > 0 and rate >= base * times_base:
+            out.append((now, rate, base))
+    return out
+
+
+@given(st.lists(st.integers(0, 400), max_size=60).map(sorted))
+@settings(max_examples=60, deadline=None)
+def test_spike_step_equals_the_model(times):
+    step = St.spike_step(100, 1.5, 4)
+    got = run(step, [{"environment": "e", "sig_hash": "h", "ts_ms": t} for t in times])
+    assert [o[2:] for o in got] == spike_model(times, 100, 1.5, 4)
+
+
+def test_error_spikes_of_known_signatures(spark, sf):
+    """Batch against the loops over the given spans, known signatures only; the stream agrees without that filter."""
+    from spanwatch.operators import errors as E
     from spanwatch.plans import QUERIES
 
-    silent = QUERIES["st_missing_timer"](spark, sf).collect()
-    assert all(r.root_op and r.last_ms > 0 for r in silent)
+    sigs = E.error_signatures(X.event_spans(spark, sf))
+    day, rows = 2 * 86_400_000, {}
+    for r in sigs.select("environment", "sig_hash", F.unix_millis("event_time").alias("ts")).collect():
+        rows.setdefault((r.environment, r.sig_hash), []).append(r.ts)
+    want = {k: spike_model(sorted(v), day, 2.0, 4) for k, v in rows.items()}
+    known = sigs.select("environment", "sig_hash").distinct().where("sig_hash < '8'")
+    got = M.error_rate_spikes(sigs, known, 2 * 86_400, 2.0, 4).groupBy("environment", "sig_hash").count().collect()
+    assert {(r.environment, r.sig_hash): r["count"] for r in got} == {k: len(v) for k, v in want.items() if v and k[1] < "8"} != {}
+    stream = QUERIES["st_error_spike"](spark, sf).groupBy("environment", "sig_hash").count().collect()
+    assert {(r.environment, r.sig_hash): r["count"] for r in stream} == {k: len(v) for k, v in want.items() if v}
+
+
+def test_incident_states_equal_the_model(spark):
+    import random
+
+    from spanwatch.operators import correlate as K
+
+    r = random.Random(3)
+    rates = [("a" if r.random() < 0.5 else "b", m, r.choice([0.0, 0.1, 0.5, 1.2, 3.0])) for m in range(300)]
+    got = {}
+    for x in K.incident_states(spark.createDataFrame(rates, "environment string, minute long, rate double"), 1.0, 0.2, 5).orderBy("minute").collect():
+        got.setdefault(x.environment, []).append((x.minute, x.state))
+    for env in "ab":
+        state, since, want = "NORMAL", 0, []
+        for _, minute, rate in sorted(t for t in rates if t[0] == env):
+            held, before = minute - since, state
+            if state in ("NORMAL", "HEAL"):
+                state = "SPIKING" if rate >= 1.0 else "NORMAL"
+            elif state == "SPIKING":
+                state = "SPIKING" if rate >= 0.2 else "NORMAL" if held < 5 else "RESOLVING"
+            else:
+                state = "SPIKING" if rate >= 1.0 else "HEAL" if rate < 0.2 and held >= 5 else "RESOLVING"
+            if state != before:
+                since = minute
+                want.append((minute, state))
+        assert got[env] == want and len(want) > 10
+
+
+def test_noise_support(spark):
+    from spanwatch.operators import correlate as K
+
+    ops = ["s:GET /health/x", "s:GET /health/y", "t:GET /orders/1", "u:POST /pay"]
+    b = spark.createDataFrame([(f"h{i}", o, True, i) for i, o in enumerate(ops)] + [("h9", "s:GET /health/z", False, 0)], "fp_hash string, root_op string, auto_promoted boolean, watch_hits int")
+    got = {r.part: r for r in K.noise_suggestions(b).collect()}
+    health = [r for p, r in got.items() if "health" in p]
+    assert health and max(r.fingerprints for r in health) == 2 and all("/health/z" not in r.examples for r in got.values())
+
+
+def test_late_spans_are_counted(spark, sf):
+    from spanwatch.plans import QUERIES
+
+    early = X.event_spans(spark, sf).where("event_time < timestamp '2024-01-10'").count()
+    assert 0 < QUERIES["st_late_spans"](spark, sf).first().dropped_rows <= early
+
+
+def test_promotion_in_warmup():
+    rows = [{"environment": "e", "fp_hash": "h", "ts_ms": t} for t in (5, 6, 7, 50, 60)]
+    assert [o[2:] for o in run(St.promotion_step(3, 10), rows)] == [(5, 1)]
+    assert [o[2:] for o in run(St.promotion_step(3, 4), rows)] == [(7, 3)]
+
+
+def test_windows_by_slot_equal_whole_windows(spark):
+    """Rolling measures, sessions and learn statistics against windows over a key's whole history."""
+    import random
+
+    from pyspark.sql import Window
+
+    from spanwatch.operators import correlate as K
+
+    r = random.Random(6)
+    rows = [(r.choice("ab"), str(i), r.randint(0, 3000), r.random()) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, trace_id string, ts_us long, x double")
+    w = Window.partitionBy("k").orderBy("ts_us").rangeBetween(-70, 0)
+    pick = lambda d, *c: sorted(tuple(x) for x in d.select("trace_id", *[F.round(n, 9) for n in c]).collect())
+    assert pick(M.over_recent(df, ["k"], 70, m=F.avg("x"), n=F.count("*")), "m", "n") == pick(df.withColumn("m", F.avg("x").over(w)).withColumn("n", F.count("*").over(w)), "m", "n")
+    n = F.row_number().over(Window.partitionBy("k").orderBy("ts_us", "trace_id"))
+    first = F.when(F.col("n") <= 30, F.col("x"))
+    whole = df.withColumn("n", n).withColumn("base_mean", F.avg(first).over(Window.partitionBy("k"))).withColumn("base_std", F.stddev_pop(first).over(Window.partitionBy("k")))
+    assert pick(M.with_learn_stats(df, ["k"], "x", 30), "base_mean", "base_std") == pick(whole, "base_mean", "base_std")
+    e = df.select("k", F.col("trace_id").alias("event_id"), F.col("ts_us").alias("ts_ms")).unionByName(spark.createDataFrame([(None, "n1", 5), (None, "n2", 900)], "k string, event_id string, ts_ms long"))
+    for gap in (3, 8, 20):
+        order = Window.partitionBy("k").orderBy("ts_ms", "event_id")
+        plain = e.withColumn("new", F.coalesce((F.col("ts_ms") - F.lag("ts_ms").over(order) > gap).cast("int"), F.lit(1))).withColumn("session", F.sum("new").over(order))
+        sets = lambda d: {frozenset(x.ids) for x in d.groupBy("k", "session").agg(F.collect_list("event_id").alias("ids")).collect()}
+        assert sets(K._sessions(e, ["k"], gap)) == sets(plain)
+
+
+def test_buffer_releases_by_the_first_span(spark):
+    """A trace that never pauses is released all the same."""
+    from spanwatch.plans.stream_queries import as_stream, drained
+
+    rows = [("e", "busy", f"s{i}", None, "svc", "op", i, 1, False, {}, 1000 + 4 * i) for i in range(10)] + [("e", "last", "z", None, "svc", "op", 0, 1, False, {}, 5000)]
+    schema = "environment string, trace_id string, span_id string, parent_id string, service string, operation string, start_us long, duration_us long, is_error boolean, tags map<string,string>, s long"
+    df = spark.createDataFrame(rows, schema).withColumn("event_time", F.timestamp_seconds("s")).drop("s")
+    got = sorted((r.trace_id, len(r.spans)) for r in drained(St.buffer_traces(as_stream(df), 10_000, "1 second")).collect())
+    assert got == [("busy", 1), ("busy", 3), ("busy", 3), ("busy", 3)]
