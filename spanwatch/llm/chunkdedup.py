@@ -79,12 +79,12 @@ def _digests(raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words[:, 0], words[:, 1].astype(np.int32)
 
 
-_CHUNKED = "row long, id long, d1 array<long>, d2 array<int>, chars array<int>, words array<int>"
+_CHUNKED = "row long, id long, d1 array<long>, d2 array<int>, chars array<smallint>, words array<smallint>"
 
 
 def chunked(docs: DataFrame, bits: int = 5) -> DataFrame:
     """``docs(row, id, text)`` as arrays over the chunks of each text: d1 and d2 (digest), chars and words (code points
-    and begun words up to the end of the chunk). Every text is chunked once, in the task that reads it."""
+    and begun words in each chunk). Every text is chunked once, in the task that reads it."""
 
     def lists(values, lengths, kind):
         offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
@@ -102,10 +102,10 @@ def chunked(docs: DataFrame, bits: int = 5) -> DataFrame:
                 begins = ~blank
                 begins[1:] &= blank[:-1]
                 totals = (np.cumsum((data & 0xC0) != 0x80), np.cumsum(begins))
-                for into, x in zip(found, (*_digests(raw, ends), *(c[ends - 1] for c in totals))):
+                for into, x in zip(found, (*_digests(raw, ends), *(np.diff(c[ends - 1], prepend=0) for c in totals))):
                     into.append(x)
                 lengths.append(len(ends))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            kinds = (pa.int64(), pa.int32(), pa.int16(), pa.int16())
             yield pa.RecordBatch.from_arrays([*b.columns[:2], *(lists(x, lengths, k) for x, k in zip(found, kinds))], ["row", "id", "d1", "d2", "chars", "words"])
 
     return docs.mapInArrow(run, _CHUNKED)
@@ -153,7 +153,7 @@ def _spans(numbered: DataFrame, bits: int, min_words: int) -> DataFrame:
                 number = lambda c: b.column(c)[k].values.to_numpy()
                 seqs, firsts = marks.field("seq").to_numpy(), marks.field("first_id").to_pylist()
                 first = dict(zip(seqs.tolist(), firsts))
-                for a, e, n, chunks, run in runs_of(seqs, number("chars"), number("words"), min_words):
+                for a, e, n, chunks, run in runs_of(seqs, np.cumsum(number("chars"), dtype=np.int64), np.cumsum(number("words"), dtype=np.int64), min_words):
                     held = {first[s] for s in run.tolist()}
                     rows.append((b.column("row")[k].as_py(), b.column("id")[k].as_py(), a, e, n, chunks, [None] * (None in held) + sorted(held - {None})))
             if rows:
