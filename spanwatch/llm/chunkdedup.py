@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwatch.llm.common import cut, fresh_name, small_batches
+from spanwatch.llm.common import cut, fresh_name, fresh_path, scratch, small_batches
 
 _WINDOW = 16
 
@@ -141,7 +141,13 @@ def runs_of(seqs: np.ndarray, chars: np.ndarray, words: np.ndarray, min_words: i
 
 def _spans(numbered: DataFrame, bits: int, min_words: int) -> DataFrame:
     """row, doc_id, span_start, span_end, n_words, n_chunks, first_doc_ids of the passages to cut from ``numbered(row, id, text)``."""
-    table = cut(chunked(numbered, bits), "chunks")
+    spark = numbered.sparkSession
+    path = fresh_path(spark, "chunk-spans")
+    with scratch(spark):  # the chunks go once the spans are written
+        return cut(_found(cut(chunked(numbered, bits), "chunks"), min_words), "chunk-spans", path)
+
+
+def _found(table: DataFrame, min_words: int) -> DataFrame:
     marks = repeats(table).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("seq", "first_id"))).alias("marks"))
     joined = table.select("row", "id", "chars", "words").join(marks.where(F.size("marks") > 1), "row")
 

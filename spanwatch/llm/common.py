@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +31,26 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN_FOLDER[app]
 
 
+_SCRATCH = threading.local()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in getattr(_SCRATCH, "open", ())[-1:]:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at its end. What goes on must be written inside to a path from outside."""
+    stack = _SCRATCH.__dict__.setdefault("open", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            discard(spark, path)
 
 
 def cut(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwatch.llm.common import connected_components, cut, fresh_name, small_batches, tasks_for
+from spanwatch.llm.common import connected_components, cut, fresh_name, fresh_path, scratch, small_batches, tasks_for
 
 SEED = 42
 _STEP = 32768  # shingles counted at once
@@ -293,12 +293,15 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, words: int = 4, radius: in
     Of repeated rows one stays. Very long texts count whole. Columns are those of ``docs``, whatever their
     names; an empty table stays empty.
     """
-    fps, reps = _prints(docs, "doc_id", "text", width, words)
-    links = cut(linked_nodes(reps, radius, words, tile_rows, similarity).distinct(), "simhash-found")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    near = _grouped(fps, reps, verified_links(links, reps, texts, width, similarity))
-    best = near.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("b"))
+    spark = docs.sparkSession
     one, two, of = (fresh_name(docs, n) for n in ("stay_id", "stay_key", "text_key"))
-    stay = best.select(F.col("b.id").alias(one), F.col("b.text_key").alias(two))
+    path = fresh_path(spark, "simhash-stay")
+    with scratch(spark):  # only the list of rows that stay is kept
+        fps, reps = _prints(docs, "doc_id", "text", width, words)
+        links = cut(linked_nodes(reps, radius, words, tile_rows, similarity).distinct(), "simhash-found")
+        texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+        near = _grouped(fps, reps, verified_links(links, reps, texts, width, similarity))
+        best = near.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("b"))
+        stay = cut(best.select(F.col("b.id").alias(one), F.col("b.text_key").alias(two)), "simhash-stay", path)
     kept = docs.withColumn(of, F.xxhash64(F.coalesce("text", F.lit("")))).join(stay, F.col("doc_id").eqNullSafe(F.col(one)) & (F.col(of) == F.col(two)))
     return kept.dropDuplicates([one, two]).select(*docs.columns)
