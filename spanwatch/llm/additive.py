@@ -125,7 +125,7 @@ def search(
 def _needed(index: DataFrame, asked: DataFrame, model, k: int, target_recall: float, probes: int) -> int:
     """How long a shortlist must be to hold the share ``target_recall`` of the true k best, measured on ``probes`` of
     the queries (smallest hashes) against all rows: first their true k best, then how many rows look better
-    than each of these. Two passes over the index, both combined in the tasks."""
+    than each of these. Never under 20 k rows. Two passes over the index, both combined in the tasks."""
     few = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(probes).toArrow()
     ids, q = few.column("vec_id").to_numpy(), matrix(few.column("v"))
     tables = np.ascontiguousarray(model.value.tables(q))
@@ -173,7 +173,7 @@ def _needed(index: DataFrame, asked: DataFrame, model, k: int, target_recall: fl
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(who))), pa.array(count)], ["n", "rank"])
 
     ranks = index.mapInArrow(better, "n long, rank long").groupBy("n").agg(F.sum("rank").alias("rank")).toArrow().column("rank").to_numpy()
-    return max(2 * k, int(np.quantile(ranks, target_recall, method="higher")) + 1)
+    return max(20 * k, int(np.quantile(ranks, target_recall, method="higher")) + 1)
 
 
 def _search_dim(spark, rows, asked, n_queries, k, train_rows, books, words, beam, target_recall, probes, query_rows, block_rows):
