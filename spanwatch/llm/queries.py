@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwatch.llm import additive, bpe, chat, chunkdedup, licenses, mixing, multiindex, quality, simhash, warczip
+from spanwatch.llm import additive, bpe, chat, chunkdedup, licenses, mixing, multiindex, prefixcounts, quality, simhash, warczip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,8 +61,22 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op12_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixcounts.report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
 _ALL = (
-    op1_additive_ann, op2_warc_zip, op3_quality_gam, op4_chunk_dedup, op5_chat_format, op6_multi_index, op7_license_rules, op8_simhash, op9_mixing, op10_byte_bpe,
+    op1_additive_ann,
+    op2_warc_zip,
+    op3_quality_gam,
+    op4_chunk_dedup,
+    op5_chat_format,
+    op6_multi_index,
+    op7_license_rules,
+    op8_simhash,
+    op9_mixing,
+    op10_byte_bpe,
+    op12_prefix_counts,
 )
 
 
