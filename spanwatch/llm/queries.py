@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwatch.llm import additive, bpe, chat, chunkdedup, licenses, mixing, multiindex, prefixcounts, quality, simhash, warczip
+from spanwatch.llm import additive, bpe, chat, chunkdedup, collocations, crosstoken, licenses, mixing, multiindex, prefixcounts, quality, simhash, warczip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,10 +61,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return crosstoken.align(_table(spark, sf_dir, "documents"), a, b)
+
+
 def op12_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixcounts.report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_additive_ann,
     op2_warc_zip,
@@ -76,7 +85,9 @@ _ALL = (
     op8_simhash,
     op9_mixing,
     op10_byte_bpe,
+    op11_cross_tokenizer,
     op12_prefix_counts,
+    op13_collocations,
 )
 
 
@@ -85,4 +96,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.SQL}
+    return {"op9_mixing": mixing.SQL, "op13_collocations": collocations.SQL}
