@@ -6,6 +6,9 @@ whose counts differ by more than the radius cannot hold a link and are never for
 fingerprints have radii so wide that population counts of whole tiles exclude nothing; there texts are
 tiled by their number of distinct shingles, and tile pairs with too different numbers for the wanted
 similarity are never formed. Inside a tile pair the test of population counts, on 16-bit quarters, skips blocks.
+
+Short prints (one word) are nodes of the graph of links themselves. Long ones only point at texts to look at: there a node
+is a distinct set of shingles, its print counts each shingle once, and a link holds where the sets share enough.
 """
 
 from __future__ import annotations
@@ -55,8 +58,13 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 def fingerprint(text: str | None, width: int = 4, words: int = 1) -> np.ndarray:
     """``words`` 64-bit words. A bit is 1 if set in over half of the hashes of the shingles, repeats
     included. No word gives zero."""
+    return _majority(shingle_hashes(text, width), words)
+
+
+def _majority(runs, words: int) -> np.ndarray:
+    """The bits that are set in over half of all hashes of ``runs``."""
     n, count = 0, np.zeros(64 * words, np.int64)
-    for h in shingle_hashes(text, width):
+    for h in runs:
         n += len(h)
         for k in range(words):
             x = h if k == 0 else _mix(h, k)
@@ -65,26 +73,34 @@ def fingerprint(text: str | None, width: int = 4, words: int = 1) -> np.ndarray:
     return np.packbits(count * 2 > n, bitorder="little").view(np.uint64)
 
 
-def node_of(prints: np.ndarray) -> np.ndarray:
-    """The number that names a fingerprint (rows of 64-bit words) in the graph of links: the word
-    itself if there is one, else a 64-bit hash of the words."""
-    node = prints[:, 0].copy()
-    for k in range(1, prints.shape[1]):
-        node = _mix(node, 1) ^ prints[:, k]
-    return node.view(np.int64)
+def set_print(shingles: np.ndarray, words: int) -> tuple[bytes, int]:
+    """The print of a set of shingles, each counted once, and the hash that names the set."""
+    runs = (shingles[at : at + _STEP] for at in range(0, len(shingles), _STEP))
+    name = np.array([xxhash.xxh64_intdigest(shingles.tobytes(), SEED)], np.uint64).view(np.int64)[0]
+    return _majority(runs, words).tobytes(), int(name)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, words: int = 1) -> DataFrame:
     """One row per input row: id long, text_key long (Spark's xxhash64 of the text, of '' for null),
-    fp binary (``words`` x 8 little-endian bytes), node long, shingles int (distinct ones; counted for longer prints only)."""
+    fp binary (``words`` x 8 little-endian bytes), node long, shingles int (distinct ones; counted for longer prints only).
+
+    One word: the node is the print, over all shingles. More: the node names the set of shingles, and the print counts each once, so
+    that a shingle that makes up half of a text doesn't make its print."""
 
     def run(batches):
         for b in small_batches(batches):
             texts = b.column(1).to_pylist()
-            prints = np.stack([fingerprint(t, width, words) for t in texts]) if texts else np.zeros((0, words), np.uint64)
+            if words == 1:
+                prints = [fingerprint(t, width) for t in texts]
+                nodes, sizes = [int(x.view(np.int64)[0]) for x in prints], [0] * len(texts)
+                prints = [x.tobytes() for x in prints]
+            else:
+                sets = [shingle_set(t, width) for t in texts]
+                prints, nodes = zip(*(set_print(x, words) for x in sets)) if sets else ((), ())
+                sizes = list(map(len, sets))
             keys = np.fromiter((xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"), SEED) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(keys.view(np.int64)), pa.array([x.tobytes() for x in prints], pa.binary()), pa.array(node_of(prints)), pa.array([len(shingle_set(t, width)) if words > 1 else 0 for t in texts], pa.int32())],
+                [b.column(0), pa.array(keys.view(np.int64)), pa.array(prints, pa.binary()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32())],
                 ["id", "text_key", "fp", "node", "shingles"],
             )
 
@@ -115,42 +131,40 @@ def _hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label[:] = up
 
 
-def _prepared(raw: bytes, words: int):
-    """Fingerprints of a tile, sorted by quarter counts, with the bounds of each block's counts."""
-    x = np.frombuffer(raw, np.uint64).reshape(-1, words)
-    quarters = np.bitwise_count(np.ascontiguousarray(x[:, 0]).view(np.uint16).reshape(-1, 4)).astype(np.int16)
-    x = np.ascontiguousarray(x[np.lexsort(quarters.T)])
-    quarters = np.bitwise_count(np.ascontiguousarray(x[:, 0]).view(np.uint16).reshape(-1, 4)).astype(np.int16)
-    cuts = np.arange(0, len(x), _BLOCK)
-    return x, np.minimum.reduceat(quarters, cuts), np.maximum.reduceat(quarters, cuts)
+def _prepared(raw: bytes, words: int, beside: int):
+    """Fingerprints of a tile (and the words beside them) in the order of quarter counts, with the bounds of each block's counts."""
+    rows = np.frombuffer(raw, np.uint64).reshape(-1, words + beside)
+    quarters = np.bitwise_count(np.ascontiguousarray(rows[:, 0]).view(np.uint16).reshape(-1, 4)).astype(np.int16)
+    order = np.lexsort(quarters.T)
+    rows, quarters = rows[order], quarters[order]
+    cuts = np.arange(0, len(rows), _BLOCK)
+    return np.ascontiguousarray(rows[:, :words]), rows[:, words:].view(">i8").astype(np.int64), np.minimum.reduceat(quarters, cuts), np.maximum.reduceat(quarters, cuts)
 
 
 def _close(u: np.ndarray, v: np.ndarray, radius: int):
-    """(i, j, distance) of rows of ``u`` and ``v`` within ``radius`` bits. The first two words are compared
-    densely; their distance bounds the whole from below, so later words are looked at only where it
-    still allows a link."""
+    """(i, j, distance) of rows of ``u`` and ``v`` within ``radius`` bits."""
     far = np.bitwise_count(u[:, 0][:, None] ^ v[:, 0][None])
-    if u.shape[1] > 1:
-        far += np.bitwise_count(u[:, 1][:, None] ^ v[:, 1][None])
+    for k in range(1, u.shape[1]):
+        far = far.astype(np.uint16) if k == 3 else far  # a byte holds the counts of three words
+        far += np.bitwise_count(u[:, k][:, None] ^ v[:, k][None])
     i, j = np.nonzero(far <= radius)
-    whole = far[i, j].astype(np.int32)
-    for k in range(2, u.shape[1]):
-        whole += np.bitwise_count(u[i, k] ^ v[j, k])
-    near = whole <= radius
-    return i[near], j[near], whole[near]
-
-
-def tile_links(a: bytes, b: bytes | None, radius: int, words: int = 1):
-    """Links within ``radius`` bits inside one pair of tiles (``b`` None: the tile with itself) that make a least
-    spanning forest by distance, as two arrays of nodes: every link is a real one, and what is linked in
-    the pair of tiles is joined."""
-    same = b is None
-    xa, lo_a, hi_a = _prepared(a, words)
-    xb, lo_b, hi_b = (xa, lo_a, hi_a) if same else _prepared(b, words)
+    return i, j, far[i, j].astype(np.int32)
+
+
+def tile_links(a: bytes, b: bytes | None, radius: int, words: int = 1, across: bool = False):
+    """Links within ``radius`` bits inside one pair of tiles (``b`` None: the tile with itself), as two arrays of nodes. Rows of tiles are
+    a print of one word, which is the node, or of more words and then the node and its group.
+
+    They make a least spanning forest by distance: every link is a real one, and what is linked in
+    the pair of tiles is joined. With ``across`` they are all links between nodes of different groups."""
+    beside, same = 0 if words == 1 else 2, b is None
+    xa, about_a, lo_a, hi_a = _prepared(a, words, beside)
+    xb, about_b, lo_b, hi_b = (xa, about_a, lo_a, hi_a) if same else _prepared(b, words, beside)
     shift = 0 if same else len(xa)
     gap = np.maximum(np.maximum(lo_a[:, None] - hi_b[None], lo_b[None] - hi_a[:, None]), 0).sum(axis=2)
     found, size = [], 0
-    nodes = node_of(xa if same else np.concatenate([xa, xb]))
+    about = about_a if same else np.concatenate([about_a, about_b])
+    nodes = about[:, 0] if beside else (xa if same else np.concatenate([xa, xb]))[:, 0].view(np.int64)
 
     def forest(parts):
         i, j, d = (np.concatenate(x) for x in zip(*parts))
@@ -166,26 +180,34 @@ def tile_links(a: bytes, b: bytes | None, radius: int, words: int = 1):
             continue
         i, j, d = _close(xa[p * _BLOCK : (p + 1) * _BLOCK], xb[q * _BLOCK : (q + 1) * _BLOCK], radius)
         i, j = i + p * _BLOCK, j + q * _BLOCK + shift
-        one_way = i < j
-        found.append((i[one_way], j[one_way], d[one_way]))
-        size += int(one_way.sum())
-        if size > 1_000_000:  # links that a least forest of these lacks are in none of the whole
+        wanted = (i < j) & (about[i, 1] != about[j, 1]) if across else i < j
+        found.append((i[wanted], j[wanted], d[wanted]))
+        size += int(wanted.sum())
+        if across and size > 100_000:
+            yield tuple(nodes[np.concatenate(x)] for x in list(zip(*found))[:2])
+            found, size = [], 0
+        elif size > 1_000_000:  # links that a least forest of these lacks are in none of the whole
             found = [forest(found)]
             size = 0
-    i, j, _ = forest(found) if found else (np.zeros(0, np.int64),) * 3
-    return nodes[i], nodes[j]
+    if found:
+        i, j = (np.concatenate(x) for x in list(zip(*found))[:2]) if across else forest(found)[:2]
+        yield nodes[i], nodes[j]
 
 
 def _cells(distinct: DataFrame, radius: int, words: int, similarity: float):
-    """(cells, steps): ``distinct`` with a cell (x, y), and the steps to later cells that can hold links."""
+    """(cells, steps): the rows of tiles that ``distinct`` gives, each with a cell (x, y), and the steps to later cells that can
+    hold links."""
     if words == 1:  # by the counts of ones in both halves
-        cells = distinct.select("fp", F.bit_count(F.expr("node & 4294967295")).alias("x"), F.bit_count(F.expr("shiftrightunsigned(node, 32)")).alias("y"))
+        x, y = F.bit_count(F.expr("node & 4294967295")), F.bit_count(F.expr("shiftrightunsigned(node, 32)"))
         reach = range(-radius, radius + 1)
-        return cells, [(x, y) for x in reach for y in reach if abs(x) + abs(y) <= radius and (x > 0 or x == 0 <= y)]
+        steps = [(i, j) for i in reach for j in reach if abs(i) + abs(j) <= radius and (i > 0 or i == 0 <= j)]
+        return distinct.select(F.col("fp").alias("item"), x.alias("x"), y.alias("y")), steps
     # similar sets differ in size by the similarity at most: two cells for that factor
     width = -np.log(similarity) / 2
     cell = F.when(F.col("shingles") > 0, F.floor(F.log("shingles") / F.lit(float(width)))).otherwise(-10).cast("int")
-    return distinct.select("fp", cell.alias("x"), F.lit(0).alias("y")), [(0, 0), (1, 0), (2, 0)]
+    number = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    group = F.col("group") if "group" in distinct.columns else F.lit(0).cast("long")
+    return distinct.select(F.concat("fp", number(F.col("node")), number(group)).alias("item"), cell.alias("x"), F.lit(0).alias("y")), [(0, 0), (1, 0), (2, 0)]
 
 
 def _tile_pairs(distinct: DataFrame, radius: int, words: int, tile_rows: int, similarity: float) -> DataFrame:
@@ -197,8 +219,8 @@ def _tile_pairs(distinct: DataFrame, radius: int, words: int, tile_rows: int, si
     sizes = cells.groupBy("x", "y").agg(F.ceil(F.count("*") / F.lit(tile_rows)).cast("int").alias("nb"))
     sizes = cut(sizes, "simhash-cells")  # at most 33 x 33 rows, or one per size of texts on a scale of steps of 11 %
     tasks = tasks_for(distinct.sparkSession, sizes.agg(F.sum("nb")).first()[0] or 1, 2)
-    placed = cells.join(F.broadcast(sizes), ["x", "y"]).withColumn("bucket", F.expr("pmod(xxhash64(fp), nb)"))
-    tiles = placed.groupBy("x", "y", "bucket").agg(F.unhex(F.array_join(F.collect_list(F.hex("fp")), "")).alias("tile"))
+    placed = cells.join(F.broadcast(sizes), ["x", "y"]).withColumn("bucket", F.expr("pmod(xxhash64(item), nb)"))
+    tiles = placed.groupBy("x", "y", "bucket").agg(F.unhex(F.array_join(F.collect_list(F.hex("item")), "")).alias("tile"))
     tiles = cut(tiles, "simhash-tiles")
     ways = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in steps])
     left = tiles.withColumn("step", F.explode(ways)).selectExpr("tile as a", "bucket as ba", "x + step.x as x", "y + step.y as y", "step.x = 0 and step.y = 0 as level")
@@ -209,34 +231,51 @@ def _tile_pairs(distinct: DataFrame, radius: int, words: int, tile_rows: int, si
     return pairs.selectExpr("a", "if(level and ba = bb, null, b) as b")
 
 
-def linked_nodes(distinct: DataFrame, radius: int, words: int = 1, tile_rows: int = 16384, similarity: float = 0.8) -> DataFrame:
+def linked_nodes(
+    distinct: DataFrame, radius: int, words: int = 1, tile_rows: int = 16384, similarity: float = 0.8, across: bool = False
+) -> DataFrame:
     """(u long, v long): links within ``radius`` bits between the nodes of ``distinct(fp, node, shingles)`` that join all that is
-    linked. Of prints of several words only those are compared whose texts can have the ``similarity``, by their number of shingles."""
+    linked. Of prints of several words only those are compared whose texts can have the ``similarity``, by their number of shingles.
+    With ``across``, all links between nodes that differ in the column ``group`` (prints of several words)."""
 
     def run(batches):
         for batch in batches:
             for a, b in zip(batch.column(0), batch.column(1)):
-                u, v = tile_links(a.as_py(), b.as_py(), radius, words)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                for u, v in tile_links(a.as_py(), b.as_py(), radius, words, across):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return _tile_pairs(distinct, radius, words, tile_rows, similarity).mapInArrow(run, "u long, v long")
 
 
-def verified_links(links: DataFrame, reps: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The links whose texts share ``similarity`` of their distinct shingles, counted exactly. ``reps(node, id, text_key)``
-    names a row of ``docs(id, text)`` for each node."""
+def _shingle_sets(links: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, h): the distinct shingles of each node of the links. ``reps(node, id, text_key)`` names a row of ``docs(id, text)`` for it."""
     asked = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
     named = reps.join(asked, "node").select("node", F.col("id").alias("rep_id"), F.col("text_key").alias("rep_key"))
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    texts = docs.withColumn("key", key).join(named, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("key") == F.col("rep_key"))).select("node", "text")
 
     def sets(batches):
         for b in small_batches(batches, 256):
             found = [shingle_set(t, width).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "h"])
 
-    sets_of = cut(texts.dropDuplicates(["node"]).mapInArrow(sets, "node long, h array<long>"), "simhash-shingles")
-    both = links.join(sets_of.select(F.col("node").alias("u"), F.col("h").alias("hu")), "u").join(sets_of.select(F.col("node").alias("v"), F.col("h").alias("hv")), "v")
+    on = F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("made") == F.col("rep_key"))
+    texts = docs.withColumn("made", F.xxhash64(F.coalesce("text", F.lit("")))).join(named, on).select("node", "text")
+    return texts.dropDuplicates(["node"]).mapInArrow(sets, "node long, h array<long>")
+
+
+def _with_set(rows: DataFrame, links: DataFrame, sets: DataFrame, end: str, hub: int = 5000) -> DataFrame:
+    """``rows`` of ``links`` with the set of its node ``end``. A node of more than ``hub`` links has its set copied to several keys, so that
+    none of them is the key of one task; there are at most links / hub of these."""
+    degree = links.groupBy(F.col(end).alias("node")).count().where(F.col("count") > hub)
+    parts = F.broadcast(degree.select("node", F.ceil(F.col("count") / hub).cast("int").alias("parts")))
+    dealt = rows.join(parts.withColumnRenamed("node", end), end, "left").withColumn("part", F.expr("pmod(xxhash64(u, v), coalesce(parts, 1))"))
+    copied = sets.join(parts, "node", "left").withColumn("part", F.explode(F.expr("sequence(0L, coalesce(parts, 1) - 1L)")))
+    copied = copied.select(F.col("node").alias(end), "part", F.col("h").alias(f"h{end}"))
+    return dealt.drop("parts").join(copied, [end, "part"]).drop("part")
+
+
+def verified_links(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links whose texts share ``similarity`` of their distinct shingles (``sets(node, h)``), counted exactly."""
+    both = _with_set(_with_set(links, links, sets, "u"), links, sets, "v")
 
     def check(batches):
         for b in small_batches(batches, 256):
@@ -249,6 +288,25 @@ def verified_links(links: DataFrame, reps: DataFrame, docs: DataFrame, width: in
     return both.select("u", "v", "hu", "hv").mapInArrow(check, "u long, v long")
 
 
+def similar_links(reps: DataFrame, docs: DataFrame, width: int, words: int, radius: int, tile_rows: int, similarity: float) -> DataFrame:
+    """(u, v): links between the sets of ``reps`` of at least the ``similarity`` that join all that pairs within ``radius`` bits link.
+
+    A least spanning forest of the prints' links is counted first. Where all of a group's links hold, others of the group join nothing
+    more. In groups with a link that doesn't, all links between the parts that are left are counted too."""
+    links = cut(linked_nodes(reps, radius, words, tile_rows, similarity).distinct(), "simhash-found")
+    sets = cut(_shingle_sets(links, reps, docs, width), "simhash-shingles")
+    held = cut(verified_links(links, sets, similarity), "simhash-held")
+    refused = links.join(held, ["u", "v"], "left_anti")
+    if refused.isEmpty():
+        return held
+    group = connected_components(links, "simhash-groups").withColumnRenamed("root", "whole")
+    broken = refused.select(F.col("u").alias("node")).join(group, "node").select("whole").distinct()
+    parts = connected_components(held, "simhash-parts").withColumnRenamed("root", "part")
+    open_ = group.join(broken, "whole", "left_semi").join(parts, "node", "left").select("node", F.coalesce("part", "node").alias("group"))
+    more = linked_nodes(cut(reps.join(open_, "node"), "simhash-open"), radius, words, tile_rows, similarity, across=True)
+    return held.unionByName(verified_links(cut(more, "simhash-across"), sets, similarity))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, words: int = 1, tile_rows: int = 16384
 ) -> DataFrame:
@@ -281,16 +339,16 @@ def _grouped(fps, reps, links):
     return fps.join(named, "node").select("id", "text_key", "fp", "node", "component", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, width: int = 5, words: int = 4, radius: int = 42, tile_rows: int = 16384, similarity: float = 0.8) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, width: int = 5, words: int = 4, radius: int = 72, tile_rows: int = 16384, similarity: float = 0.8) -> DataFrame:
     """The documents without near copies: of each group the row with the smallest doc_id stays (then
     the smallest hash of the text; null ids come last).
 
-    256-bit fingerprints over five-word shingles: at similarity s of the shingles two prints differ
-    in about arccos(2s/(1+s))/pi of their bits, 15 % at 0.8. Links found so are then counted exactly, and only
-    texts that share ``similarity`` of their distinct shingles stay linked; texts with equal prints are copies. Of the
-    links those of least distance are looked at, as many as join a group: where one is refused, the ones
-    left out are farther still. All texts without a word are one group.
-    Of repeated rows one stays. Very long texts count whole. Columns are those of ``docs``, whatever their
+    256-bit fingerprints over the sets of five-word shingles: at similarity s two prints differ in about arccos(2s/(1+s))/pi of their bits,
+    15 % at 0.8, 19 % where sets of four and five meet. The radius of 28 % is five (four) standard deviations
+    above that. What lies within it is counted exactly, and only texts that share ``similarity`` of their distinct
+    shingles are linked (see :func:`similar_links`), so no text goes without a chain of such links to the one that stays. Texts of equal prints
+    are compared like others; texts with the same set of shingles, and all texts without a word, are one node.
+    Of repeated rows one stays; of equal ids and texts too. Very long texts count whole. Columns are those of ``docs``, whatever their
     names; an empty table stays empty.
     """
     spark = docs.sparkSession
@@ -298,9 +356,8 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, words: int = 4, radius: in
     path = fresh_path(spark, "simhash-stay")
     with scratch(spark):  # only the list of rows that stay is kept
         fps, reps = _prints(docs, "doc_id", "text", width, words)
-        links = cut(linked_nodes(reps, radius, words, tile_rows, similarity).distinct(), "simhash-found")
         texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-        near = _grouped(fps, reps, verified_links(links, reps, texts, width, similarity))
+        near = _grouped(fps, reps, similar_links(reps, texts, width, words, radius, tile_rows, similarity))
         best = near.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("b"))
         stay = cut(best.select(F.col("b.id").alias(one), F.col("b.text_key").alias(two)), "simhash-stay", path)
     kept = docs.withColumn(of, F.xxhash64(F.coalesce("text", F.lit("")))).join(stay, F.col("doc_id").eqNullSafe(F.col(one)) & (F.col(of) == F.col(two)))

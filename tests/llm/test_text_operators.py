@@ -54,24 +54,92 @@ def test_simhash_matches_brute_force(spark):
     assert [got[i].component_id for i in range(len(texts))] == label
 
 
+def tile(prints, nodes, groups):
+    """Rows of a tile: print, node and group."""
+    return b"".join(x.tobytes() + int(n).to_bytes(8, "big") + int(g).to_bytes(8, "big") for x, n, g in zip(prints, nodes, groups))
+
+
 def test_simhash_forest_equals_brute_force():
     x = np.random.default_rng(1).integers(0, 2**64, (90, 4), np.uint64)
     x[30:60] = x[:30]
     x[30:60, 3] ^= np.uint64(0b1011)
     x[60:70, 2] = x[:10, 2] ^ np.uint64(1)
     x[60:70, [0, 1, 3]] = x[:10][:, [0, 1, 3]]
-    u, v = simhash.tile_links(x.tobytes(), None, 42, 4)
+    rows = tile(x, range(90), [k % 30 for k in range(90)])
+    links = [(a, b) for u, v in simhash.tile_links(rows, None, 42, 4) for a, b in zip(u.tolist(), v.tolist())]
     far = np.bitwise_count(x[:, None] ^ x[None]).sum(2)
-    node = {int(n): k for k, n in enumerate(simhash.node_of(x))}
-    links = [(node[int(a)], node[int(b)]) for a, b in zip(u, v)]
     assert len(links) == 40 and all(far[a, b] <= 42 for a, b in links)
     assert sorted(far[a, b] for a, b in links) == [1] * 10 + [3] * 30  # the least forest: 4 is not taken
-    a, b = x[:45].tobytes(), x[45:].tobytes()
-    joined = {frozenset((node[int(m)], node[int(n)])) for t in ((a, None), (b, None), (a, b)) for m, n in zip(*simhash.tile_links(*t, 42, 4))}
+    a, b = rows[: 45 * 48], rows[45 * 48 :]
+    joined = {frozenset(p) for t in ((a, None), (b, None), (a, b)) for u, v in simhash.tile_links(*t, 42, 4) for p in zip(u.tolist(), v.tolist())}
     label = list(range(90))
     for m, n in map(sorted, joined):
         label = [min(label[m], label[n]) if k in (label[m], label[n]) else k for k in label]
     assert all(far[m, n] <= 42 for m, n in map(sorted, joined)) and len(set(label)) == 50
+    across = {frozenset(p) for u, v in simhash.tile_links(tile(x, range(90), range(90)), None, 42, 4, across=True) for p in zip(u.tolist(), v.tolist())}
+    assert across == {frozenset((i, j)) for i in range(90) for j in range(i) if far[i, j] <= 42}
+    assert not [u for u, _ in simhash.tile_links(rows, None, 42, 4, across=True) if len(u)]  # the close ones share a group
+
+
+def groups_of(sets, similarity=0.8):
+    """Component labels of all pairs of sets with the similarity, and the similarities of the pairs."""
+    label, share = list(range(len(sets))), {}
+    for i in range(len(sets)):
+        for j in range(i):
+            share[i, j] = len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j]))
+            if (sets[i] == sets[j] or share[i, j] >= similarity) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label, share
+
+
+def test_near_dedup_of_the_band_at_the_threshold(spark):
+    """Runs of words replaced so that similarities lie closely around 0.8, in texts of 9 to 500 words; chains among them."""
+    r = random.Random(33)
+    texts = []
+    for k in range(120):
+        words = prose(k, r.choice([9, 12, 20, 45, 120, 500])).split()
+        texts.append(" ".join(words))
+        for step in range(3):
+            words = list(words) if r.random() < 0.5 else texts[-1].split()
+            m = max(1, int(len(words) * r.uniform(0.02, 0.13)))
+            at = r.choice([0, r.randrange(len(words) - m + 1), len(words) - m])
+            words[at : at + m] = [f"w{k}x{step}y{i}" for i in range(r.choice([0, m]))]
+            texts.append(" ".join(words))
+    label, share = groups_of([set(simhash.shingle_set(t, 5).tolist()) for t in texts])
+    assert sum(0.8 <= s < 0.9 for s in share.values()) > 80 and sum(0.6 <= s < 0.8 for s in share.values()) > 80
+    kept = {x.doc_id for x in simhash.keep_one_of_each(spark.createDataFrame(list(enumerate(texts)), SCHEMA), tile_rows=100).collect()}
+    assert kept == set(label)
+
+
+def test_near_dedup_keeps_texts_of_one_repeated_line(spark):
+    """One shingle or line makes up most of these texts, which share nothing else."""
+    r = random.Random(3)
+    own = [" ".join(f"{k}w{i}" for i in range(150)) for k in range(4)]
+    texts = ["x " * 200 + o for o in own[:2]] + ["all rights reserved to nobody here " * 60 + o for o in own[2:]]
+    texts += ["x " * n for n in (10, 500)] + ["", None, " \n"]
+    texts += [" ".join(r.choice("ab") for _ in range(40)) for _ in range(20)]
+    label, _ = groups_of([set(simhash.shingle_set(t, 5).tolist()) for t in texts])
+    kept = {x.doc_id for x in simhash.keep_one_of_each(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    assert {0, 1, 2, 3, 4, 6} <= kept and 5 not in kept and kept == set(label)
+
+
+def test_refused_links_hide_no_others(spark, monkeypatch):
+    """A forest of the nearest prints whose links are all refused: the farther link that holds is found."""
+    sets = [set(range(100)), set(range(10, 112)), set(range(30, 135))]
+    sets.append(set(range(100)) | {200, 201, 202} - {1})
+    nodes = spark.createDataFrame([(k, sorted(x)) for k, x in enumerate(sets)], "node long, h array<long>")
+    prints = np.zeros((4, 4), np.uint64)
+    prints[:, 0] = [0, 1, 3, 0b1111]  # the one like node 0 has the farthest print
+    reps = spark.createDataFrame([(k, x.tobytes(), 100, k, k) for k, x in enumerate(prints)], "node long, fp binary, shingles int, id long, text_key long")
+    monkeypatch.setattr(simhash, "_shingle_sets", lambda *_: nodes)
+    got = simhash.similar_links(reps, None, 5, 4, 72, 16384, 0.8).collect()
+    label, _ = groups_of(sets)
+    found = list(range(4))
+    for x in got:
+        low, high = sorted((found[x.u], found[x.v]))
+        found = [low if k == high else k for k in found]
+    assert found == label and len(set(label)) < 4
 
 
 def test_near_dedup_equals_brute_force(spark):
