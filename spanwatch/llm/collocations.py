@@ -3,48 +3,121 @@
 Every word starts one window of three words, padded where its piece ends. Only these windows are counted. A
 phrase of one or two words is a prefix of windows, so ROLLUP over the counted windows sums its occurrences; shorter phrases are
 never taken from the texts again.
+
+Most windows are rare, and a row for each would shuffle many times the texts. So a task sends its counted windows in
+blocks, one for each bucket of first two words, and as all windows of a bucket meet in one task, those that are too rare to
+matter are shortened there: they count as the longest prefix that is frequent enough, padded.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import repeat
+from zlib import crc32
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwatch.llm.common import cut, fresh_path, scratch
+from spanwatch.llm.common import cut, fresh_path, scratch, small_batches
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_ENDS = ",;:!?\n\x0b\x0c\r"
-
-
-def _words(text: Column) -> Column:
-    """Words of a text with a full stop as a word of its own where a piece ends; no word holds one."""
-    plain = F.translate(text, _UPPER + _ENDS + "\t", _LOWER + "." * len(_ENDS) + " ")
-    return F.split(F.replace(plain, F.lit("."), F.lit(" . ")), " +")
-
-
-def windows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, w1, w2, w3): a row for each word of each text, with the two words after it in its piece, else null.
-
-    A-Z is lower-cased, pieces end at ``.,;:!?`` and line ends, words at blanks and tabs. Null texts have no words, null
-    languages are ``und``. The words after a word are the same array led by one and by two places, so nothing is sorted or shuffled.
-    """
-    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), _words(F.col(text_col).cast("string")).alias("w"))
-    lead = lambda k: F.slice("w", k + 1, F.greatest(F.size("w") - k, F.lit(0)))
-    each = rows.select("lang", F.inline(F.arrays_zip(F.col("w").alias("w1"), lead(1).alias("w2"), lead(2).alias("w3"))))
-    is_word = lambda c: ~F.col(c).isin(".", "")
-    second = F.when(is_word("w2"), F.col("w2"))
-    return each.where(is_word("w1")).select("lang", "w1", second.alias("w2"), F.when(second.isNotNull() & is_word("w3"), F.col("w3")).alias("w3"))
-
-
-def window_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, w1, w2, w3, n): the windows of :func:`windows`, each with its number, added before the shuffle."""
-    return windows(docs, text_col, lang_col).groupBy("lang", "w1", "w2", "w3").agg(F.count("*").alias("n"))
+_ENDS = ".,;:!?\n\x0b\x0c\r"
+_PLAIN = str.maketrans(_UPPER + _ENDS + "\t", _LOWER + "\n" * len(_ENDS) + " ")
+_SPREAD = 16  # parts of a pair of hot words
+
+
+def windows(text: str):
+    """The windows of a text, their words joined by blanks: three words, fewer at the end of a piece. A-Z is lower-cased, pieces
+    end at ``.,;:!?`` and line ends, words at blanks and tabs."""
+    for piece in text.translate(_PLAIN).split("\n"):
+        w = [x for x in piece.split(" ") if x]
+        if w:
+            lead = w[1:]
+            yield from map(" ".join, zip(w, lead, w[2:]))
+            if lead:
+                yield f"{w[-2]} {w[-1]}"
+            yield w[-1]
+
+
+def _buckets(counts: Counter, buckets: int, hot: frozenset[str]) -> dict[int, list[str]]:
+    """The windows as lines (three fields, those of pads empty, and their number if that is not 1) by bucket. Windows with the same first
+    two words share one; where both are hot their third word spreads them over more, which are told by a negative number."""
+    out: dict[int, list[str]] = {}
+    for window, n in counts.items():
+        first = window.find(" ")
+        second = window.find(" ", first + 1) if first >= 0 else -1
+        pair = window if second < 0 else window[:second]
+        b = crc32(pair.encode("utf-8", "surrogatepass")) % buckets
+        if first >= 0 and window[:first] in hot and pair[first + 1 :] in hot:
+            b = -1 - (b + crc32(window.encode("utf-8", "surrogatepass")) % _SPREAD) % buckets
+        line = window if n == 1 else f"{window}{'  ' if first < 0 else ' ' if second < 0 else ''} {n}"
+        if b in out:
+            out[b].append(line)
+        else:
+            out[b] = [line]
+    return out
+
+
+def hot_words(docs: DataFrame, text_col: str = "text", share: float = 0.001, fraction: float = 0.01) -> frozenset[str]:
+    """Words that make up more than ``share`` of a sample of the texts, at most 1 / share. They decide only how windows are dealt over
+    tasks, never what comes out."""
+    words = docs.sample(fraction, 7).select(F.explode(F.split(F.regexp_replace(F.lower(F.col(text_col).cast("string")), "[.,;:!?\\n\\x0b\\f\\r\\t]", " "), " +")).alias("w"))
+    n = cut(words.groupBy("w").agg(F.count("*").alias("n")), "collocations-sample")
+    least = (n.agg(F.sum("n")).first()[0] or 0) * share
+    return frozenset(r.w for r in n.where(F.col("n") > least).collect())
+
+
+def blocks(
+    docs: DataFrame, buckets: int, hot: frozenset[str] = frozenset(), text_col: str = "text", lang_col: str = "lang", most: int = 400_000
+) -> DataFrame:
+    """(lang, bucket, lines): the windows of all texts, counted in a task up to ``most`` distinct ones at a time. Null texts have
+    no words, null languages are ``und``."""
+
+    def run(batches):
+        held: dict[str, Counter] = {}
+
+        def sent():
+            for lang, counts in held.items():
+                dealt = _buckets(counts, buckets, hot)
+                columns = [pa.array(repeat(lang, len(dealt)), pa.string(), size=len(dealt)), pa.array(list(dealt), pa.int32())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(["\n".join(x) for x in dealt.values()])], ["lang", "bucket", "lines"])
+            held.clear()
+
+        for b in small_batches(batches, 64):
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if text:
+                    held.setdefault(lang, Counter()).update(windows(text))
+            if sum(map(len, held.values())) > most:
+                yield from sent()
+        yield from sent()
+
+    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")), F.col(text_col).cast("string"))
+    return rows.mapInArrow(run, "lang string, bucket int, lines string")
+
+
+def window_counts(docs: DataFrame, least: int = 1, text_col: str = "text", lang_col: str = "lang", hot: frozenset[str] = frozenset()) -> DataFrame:
+    """(lang, w1, w2, w3, n): windows of three words of ``least`` occurrences, and all windows without their third word (null):
+    as (w1, w2), where that has ``least``, else as (w1), so the prefixes of ``least`` occurrences and all words have their whole number.
+
+    No key gathers many rows: a bucket's windows were counted before, a hot pair is spread over buckets and never shortened there."""
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = blocks(docs, max(tasks, min(16 * tasks, 4096)), hot, text_col, lang_col).repartition(tasks, "lang", "bucket")
+    x = sent.select("lang", "bucket", F.explode(F.split("lines", "\n")).alias("line")).select("lang", "bucket", F.split("line", " ").alias("x"))
+    word = lambda k: F.nullif(F.get("x", F.lit(k)), F.lit(""))
+    each = x.select("lang", "bucket", word(0).alias("w1"), word(1).alias("w2"), word(2).alias("w3"), F.coalesce(F.get("x", F.lit(3)).cast("long"), F.lit(1)).alias("n"))
+    key = ["lang", "bucket", "w1", "w2"]
+    whole = each.groupBy(*key, "w3").agg(F.sum("n").alias("n"))
+    both = F.when(F.col("w3").isNotNull() & (F.col("n") >= least), F.array("w3", F.lit(None))).otherwise(F.array(F.lit(None).cast("string")))
+    summed = whole.select(*key, F.explode(both).alias("w3"), "n").groupBy(*key, "w3").agg(F.sum("n").alias("n"))
+    kept = F.when((F.col("n") >= least) | (F.col("bucket") < 0), F.col("w2"))
+    return summed.select("lang", "w1", kept.alias("w2"), "w3", "n").groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"))
 
 
 def prefix_counts(counted: DataFrame) -> DataFrame:
-    """(lang, w1, w2, words, f) from counted windows: f of every phrase of ``words`` words, 2 or 1; with 0 words that of all words of
+    """(lang, w1, w2, words, f) from :func:`window_counts`: f of phrases of ``words`` words, 2 or 1; with 0 words that of all words of
     a language."""
-    summed = counted.rollup("lang", "w1", "w2").agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
+    summed = counted.where("w3 is null").rollup("lang", "w1", "w2").agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
     words = F.when(F.col("g") == 0, 2).when(F.col("g") == 1, 1).when(F.col("g") == 3, 0)
     # a window without a second word is no phrase of two; the total over languages has no use
     return summed.select("lang", "w1", "w2", words.alias("words"), "f").where("words < 2 or w2 is not null")
@@ -69,13 +142,13 @@ def collocations(
     of three words that holds it has ``share`` percent of its occurrences or more. Order: score, a descending, phrase.
 
     Occurrences overlap and repeated rows count each. Null texts have no words; a null language is ``und``, as is a
-    language of that name. Texts, whatever their length, are cut into rows by their task alone. An empty table gives an
-    empty result; further columns are ignored.
+    language of that name. A text is split by one task, in memory of a few times its length; windows that a task has counted are sent
+    whenever they are many. An empty table gives an empty result; further columns are ignored.
     """
     spark = docs.sparkSession
     result = fresh_path(spark, "collocations")
     with scratch(spark):
-        counted = cut(window_counts(docs, text_col, lang_col), "collocations-windows")
+        counted = cut(window_counts(docs, least, text_col, lang_col, hot_words(docs, text_col)), "collocations-windows")
         shorter = cut(prefix_counts(counted), "collocations-prefixes")
         # at most 20 000 phrases of a length make up more than 1 / 20 000 of all words each
         common = (shorter.where("words = 0").agg(F.sum("f")).first()[0] or 0) // 20_000
