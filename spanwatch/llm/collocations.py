@@ -102,7 +102,7 @@ def window_counts(docs: DataFrame, least: int = 1, text_col: str = "text", lang_
 
     No key gathers many rows: a bucket's windows were counted before, a hot pair is spread over buckets and never shortened there."""
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = blocks(docs, max(tasks, min(16 * tasks, 4096)), hot, text_col, lang_col).repartition(tasks, "lang", "bucket")
+    sent = blocks(docs, max(tasks, 1024), hot, text_col, lang_col).repartition(tasks, "lang", "bucket")
     x = sent.select("lang", "bucket", F.explode(F.split("lines", "\n")).alias("line")).select("lang", "bucket", F.split("line", " ").alias("x"))
     word = lambda k: F.nullif(F.get("x", F.lit(k)), F.lit(""))
     each = x.select("lang", "bucket", word(0).alias("w1"), word(1).alias("w2"), word(2).alias("w3"), F.coalesce(F.get("x", F.lit(3)).cast("long"), F.lit(1)).alias("n"))
@@ -129,7 +129,7 @@ def _with_count(rows: DataFrame, counts: DataFrame, keys: list[str], name: str,
     hot = F.broadcast(counts.where(F.col("f") > common).withColumnRenamed("f", "hot"))
     told = rows.join(hot, keys, "left")
     rest = told.where("hot is null").drop("hot").join(counts.where(F.col("f") <= common).withColumnRenamed("f", name), keys)
-    return told.where("hot is not null").withColumnRenamed("hot", name).unionByName(rest)
+    return cut(told.where("hot is not null").withColumnRenamed("hot", name).unionByName(rest), "collocations-counted")
 
 
 def collocations(
@@ -157,9 +157,11 @@ def collocations(
         first, last = one, one.withColumnRenamed("w1", "w2")
         pairs = two.where(F.col("f") >= least).withColumnRenamed("f", "a")
         triples = counted.where(F.col("w3").isNotNull() & (F.col("n") >= least)).withColumnRenamed("n", "a")
+        triples = cut(triples, "collocations-triples")
         held = triples.select("lang", "w1", "w2", "a").unionByName(triples.select("lang", F.col("w2").alias("w1"), F.col("w3").alias("w2"), "a"))
         held = held.groupBy("lang", "w1", "w2").agg(F.max("a").alias("longer"))
         pairs = pairs.join(held, ["lang", "w1", "w2"], "left").where(f"longer is null or 100 * longer < {share} * a").drop("longer")
+        pairs = cut(pairs, "collocations-pairs")
         pairs = _with_count(_with_count(pairs, first, ["lang", "w1"], "l", common), last, ["lang", "w2"], "r", common)
         pairs = pairs.select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), "a", "l", "r", _score("l", "r").alias("score"))
         # two cuts: after the first word and after the second
