@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -57,7 +58,9 @@ class Aligner:
         self.same = np.array([known.get(t, -1) if t else -1 for t in self.bytes_a], np.int64)
         self.length_a = np.array(list(map(len, self.bytes_a)), np.int64)
         self.length_b = np.array(list(map(len, self.bytes_b)), np.int64)
-        self.digits_a, self.digits_b = [str(i) for i in range(len(self.bytes_a))], [str(i) for i in range(len(self.bytes_b))]
+        # ids as text with what follows them: a comma, or the end of their side of a group
+        self.told_a = np.array([f"{i}{end}" for end in ",|" for i in range(len(self.bytes_a))], object)
+        self.told_b = np.array([f"{i}{end}" for end in ",;" for i in range(len(self.bytes_b))], object)
         apart = not any(regex.search(rf"[^{_SPACE}]{_SPACE}", p) for p in pieces)
         self.split = regex.compile(_UNITS if apart else r"(?s).+").findall
         self.recent: dict[str, tuple | None] = {}
@@ -65,44 +68,61 @@ class Aligner:
         self.cache_bytes, self.kept = cache_bytes, 0
 
     def align(self, units: list[str]) -> list[tuple | None]:
-        """For each unit (it begins with a space): number of A's tokens, of B's, of groups, the groups as text, A's ids in groups of
-        one token each with the same bytes (int32 bytes), links of other groups (int64 bytes: A's id, then B's).
+        """For each unit (it begins with a space): number of A's tokens, of B's, of groups, the groups as text with a semicolon after each,
+        A's ids in groups of one token each with the same bytes (int32 bytes), links of other groups (int64 bytes: A's id, then B's).
         None where the bytes of the tokens are not those of the unit."""
         ids_a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
         ids_b = self.b.encode([u[1:] for u in units], num_threads=1)
         ids_b = [b if len(u) > 1 else self._blank() for u, b in zip(units, ids_b)]
+        data = [u.encode() for u in units]
+        right = list(range(len(units)))
+        if not (self._spelt(ids_a, data, self.bytes_a, self.length_a) and self._spelt(ids_b, data, self.bytes_b, self.length_b)):
+            same = lambda ids, told, d: b"".join(map(told.__getitem__, ids)) == d
+            right = [k for k in right if same(ids_a[k], self.bytes_a, data[k]) and same(ids_b[k], self.bytes_b, data[k])]
+            ids_a, ids_b = [ids_a[k] for k in right], [ids_b[k] for k in right]
         out: list[tuple | None] = [None] * len(units)
-        right = []
-        for k, u in enumerate(units):
-            data = u.encode()
-            if b"".join(map(self.bytes_a.__getitem__, ids_a[k])) == data == b"".join(map(self.bytes_b.__getitem__, ids_b[k])):
-                right.append(k)
         if not right:
             return out
-        a = np.concatenate([np.array(ids_a[k], np.int64) for k in right])
-        b = np.concatenate([np.array(ids_b[k], np.int64) for k in right])
-        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        a, b = np.array(list(chain.from_iterable(ids_a)), np.int64), np.array(list(chain.from_iterable(ids_b)), np.int64)
         # all units stand one after another, so their ends are ends of groups
-        last_a = np.flatnonzero(np.isin(ends_a, ends_b, assume_unique=True))
+        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        is_last_a = np.isin(ends_a, ends_b, assume_unique=True)
+        last_a = np.flatnonzero(is_last_a)
         last_b = np.searchsorted(ends_b, ends_a[last_a])
-        first_a, first_b = np.r_[0, last_a[:-1] + 1], np.r_[0, last_b[:-1] + 1]
-        plain = (first_a == last_a) & (first_b == last_b) & (self.same[a[last_a]] == b[last_b])
-        links = a[last_a] << _B_BITS | b[last_b]
-        text_a, text_b = [self.digits_a[i] for i in a], [self.digits_b[i] for i in b]
-        groups = [
-            f"{','.join(text_a[i : j + 1])}|{','.join(text_b[k : m + 1])}"
-            for i, j, k, m in zip(first_a.tolist(), last_a.tolist(), first_b.tolist(), last_b.tolist())
-        ]
-        unit_a, unit_b = np.cumsum([len(ids_a[k]) for k in right]), np.cumsum([len(ids_b[k]) for k in right])
-        unit_group = np.searchsorted(last_a, unit_a - 1) + 1
-        at_a = at_b = at = 0
-        short = a[last_a].astype(np.int32)
-        for k, to_a, to_b, to in zip(right, unit_a.tolist(), unit_b.tolist(), unit_group.tolist()):
-            own = plain[at:to]
-            out[k] = (to_a - at_a, to_b - at_b, to - at, ";".join(groups[at:to]), short[at:to][own].tobytes(), links[at:to][~own].tobytes())
-            at_a, at_b, at = to_a, to_b, to
+        is_last_b = np.zeros(len(b), bool)
+        is_last_b[last_b] = True
+        plain = (np.diff(last_a, prepend=-1) == 1) & (np.diff(last_b, prepend=-1) == 1) & (self.same[a[last_a]] == b[last_b])
+        # in the text of the groups A's tokens of a group come after B's of the groups before, B's after A's of their group
+        groups_before_a, groups_before_b = np.cumsum(is_last_a) - is_last_a, np.cumsum(is_last_b) - is_last_b
+        text = np.empty(len(a) + len(b), object)
+        text[np.arange(len(a)) + np.r_[0, last_b + 1][groups_before_a]] = self.told_a[a + len(self.bytes_a) * is_last_a]
+        text[np.arange(len(b)) + (last_a + 1)[groups_before_b]] = self.told_b[b + len(self.bytes_b) * is_last_b]
+        text = text.tolist()
+        same, links = a[last_a][plain].astype(np.int32).tobytes(), (a[last_a] << _B_BITS | b[last_b])[~plain].tobytes()
+        to_a, to_b = np.cumsum(list(map(len, ids_a))), np.cumsum(list(map(len, ids_b)))
+        to = np.searchsorted(last_a, to_a - 1) + 1
+        to_plain = np.cumsum(plain)[to - 1]
+        at_a = at_b = at = at_plain = 0
+        for k, next_a, next_b, next_, next_plain in zip(right, to_a.tolist(), to_b.tolist(), to.tolist(), to_plain.tolist()):
+            out[k] = (
+                next_a - at_a,
+                next_b - at_b,
+                next_ - at,
+                "".join(text[at_a + at_b : next_a + next_b]),
+                same[4 * at_plain : 4 * next_plain],
+                links[8 * (at - at_plain) : 8 * (next_ - next_plain)],
+            )
+            at_a, at_b, at, at_plain = next_a, next_b, next_, next_plain
         return out
 
+    def _spelt(self, ids: list[list[int]], data: list[bytes], told: list[bytes], length: np.ndarray) -> bool:
+        """Whether the bytes of the tokens are those of the units, in all of them."""
+        flat = list(chain.from_iterable(ids))
+        if b"".join(map(told.__getitem__, flat)) != b"".join(data):
+            return False
+        ends = np.cumsum(np.r_[0, length[np.array(flat, np.int64)]])[np.cumsum(list(map(len, ids)))]
+        return bool((ends == np.cumsum(list(map(len, data)))).all())
+
     def _blank(self) -> list[int]:
         """B's tokens of a single space at the end of a text; for an empty text the library gives none, not even the added space."""
         i = self.b.piece_to_id(_SPACE)
@@ -112,27 +132,28 @@ class Aligner:
         """Like :meth:`align` for a space and each text; None also for an empty one."""
         split = [self.split(f" {t}") if t else [] for t in texts]
         distinct = set().union(*split) if split else set()
-        missing = [u for u in distinct if u not in self.recent]
-        told = {u: self.older[u] for u in missing if u in self.older}
-        missing = [u for u in missing if u not in told]
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            told |= zip(part, self.align(part))
-        look = self.recent.get
+        if self.kept > self.cache_bytes // 2:
+            self.older, self.recent, self.kept = self.recent, {}, 0
+        missing = distinct.difference(self.recent)
+        for u in missing.intersection(self.older):
+            self.recent[u] = self.older[u]
+        fresh = list(missing.difference(self.older))
+        for at in range(0, len(fresh), 4096):
+            part = fresh[at : at + 4096]
+            self.recent.update(zip(part, self.align(part)))
         out = []
         for units in split:
-            records = [told[u] if u in told else look(u) for u in units] if told else list(map(look, units))
+            records = list(map(self.recent.__getitem__, units))
             if not records or None in records:
                 out.append(None)
                 continue
             n_a, n_b, n, groups, same, links = zip(*records)
-            out.append((sum(n_a), sum(n_b), sum(n), ";".join(groups), b"".join(same), b"".join(links)))
-        for u, record in told.items():
+            out.append((sum(n_a), sum(n_b), sum(n), "".join(groups)[:-1], b"".join(same), b"".join(links)))
+        for u in missing:
             if len(u) <= 64:
                 self.kept += 400 + 8 * len(u)
-                if self.kept > self.cache_bytes // 2:
-                    self.older, self.recent, self.kept = self.recent, {}, 0
-                self.recent[u] = record
+            else:
+                del self.recent[u]
         return out
 
 
