@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -120,17 +122,29 @@ def new_query_templates(spans: DataFrame, warmup_end, known: DataFrame | None =
     return first if known is None else first.join(known.select(*QUERY).distinct(), QUERY, "left_anti")
 
 
-def throughput_drops(
-    fps: DataFrame, window_s: int = DEFAULTS.throughput_window_s, drop: float = DEFAULTS.throughput_drop, learn: int = DEFAULTS.throughput_learn, rearm: float = 0.75
-) -> DataFrame:
-    """Root ops whose rate of traces falls under ``drop`` of the learned one, once until it is back at ``rearm``.
+ROOT = ["environment", "root_op"]
 
-    The rate is a window count; the learned rate follows it slowly, row by row, so each root op's rates are folded in order
-    (an array per root op, so callers bound it by the time range they pass)."""
-    s = over_recent(fps.withColumn("ts_us", F.unix_micros("trace_start")), ["environment", "root_op"], window_s * US, of=F.count("*"))
-    s = s.withColumn("rate", F.col("of") / (window_s / 60))
-    rows = s.groupBy("environment", "root_op").agg(F.array_sort(F.collect_list(F.struct("ts_us", "trace_id", "rate"))).alias("r"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("base"), F.lit(False).alias("down"), F.expr("cast(array() as array<struct<ts_us:bigint,rate:double,base:double>>)").alias("out"))
+
+def throughput_fold(
+    fps: DataFrame,
+    state: DataFrame | None = None,
+    since_us: int | None = None,
+    window_s: int = DEFAULTS.throughput_window_s,
+    drop: float = DEFAULTS.throughput_drop,
+    learn: int = DEFAULTS.throughput_learn,
+    rearm: float = 0.75,
+) -> DataFrame:
+    """One step of :func:`throughput_drops`: per root op the state (n, base, down) after the traces from ``since_us`` on, and the drops among
+    them (out). It starts from ``state`` (environment, root_op, n, base, down); traces of the window before ``since_us`` count for rates only."""
+    rated = over_recent(fps.withColumn("ts_us", F.unix_micros("trace_start")), ROOT, window_s * US, of=F.count("*")).withColumn("rate", F.col("of") / (window_s / 60))
+    rated = rated if since_us is None else rated.where(F.col("ts_us") >= since_us)
+    rows = rated.groupBy(*ROOT).agg(F.array_sort(F.collect_list(F.struct("ts_us", "trace_id", "rate"))).alias("r"))
+    fields = [F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in (("n", 0), ("base", 0.0), ("down", False))]
+    if state is None:
+        rows = rows.select(*ROOT, "r", F.lit(0).alias("n"), F.lit(0.0).alias("base"), F.lit(False).alias("down"))
+    else:
+        rows = rows.join(state.select(*ROOT, "n", "base", "down"), ROOT, "full_outer")
+    start = F.struct(*fields, F.expr("cast(array() as array<struct<ts_us:bigint,rate:double,base:double>>)").alias("out"))
 
     def step(a, x):
         learning = a["n"] < learn
@@ -142,20 +156,59 @@ def throughput_drops(
         alert = F.struct(x["ts_us"].alias("ts_us"), x["rate"].alias("rate"), a["base"].alias("base"))
         return F.struct((a["n"] + 1).alias("n"), base.alias("base"), down.alias("down"), F.when(fires, F.concat(a["out"], F.array(alert))).otherwise(a["out"]).alias("out"))
 
-    folded = rows.select("environment", "root_op", F.aggregate("r", start, step)["out"].alias("out"))
-    return folded.select("environment", "root_op", F.explode("out").alias("o")).select("environment", "root_op", "o.ts_us", F.round("o.rate", 9).alias("rate"), F.round("o.base", 9).alias("base"))
+    none = F.expr("cast(array() as array<struct<ts_us:bigint,trace_id:string,rate:double>>)")
+    return rows.select(*ROOT, F.aggregate(F.coalesce("r", none), start, step).alias("s")).select(*ROOT, "s.*")
+
+
+def throughput_alerts(folded: DataFrame) -> DataFrame:
+    each = folded.select(*ROOT, F.explode("out").alias("o"))
+    return each.select(*ROOT, "o.ts_us", F.round("o.rate", 9).alias("rate"), F.round("o.base", 9).alias("base"))
+
+
+def throughput_drops(fps: DataFrame, segment_s: int, keep: Callable[[DataFrame], DataFrame], window_s: int = DEFAULTS.throughput_window_s, **options) -> DataFrame:
+    """Root ops whose rate of traces falls under ``drop`` of the learned one, once until it is back at ``rearm``.
+
+    The rate is a window count; the learned rate follows it slowly, row by row. So time is cut into segments of ``segment_s``, folded one after
+    the other: the state table at the end of one (a row per root op) starts the next, and no array holds more than a segment of a
+    root op. ``keep`` writes a table and reads it back, so a lost executor costs one segment. Traces before the first segment's start may be
+    folded elsewhere: see :func:`throughput_fold`."""
+    start = F.unix_micros("trace_start")
+    low, high = fps.agg(F.min(start), F.max(start)).first()
+    state, out = None, None
+    for since in range(low or 0, (high or 0) + 1, segment_s * US):
+        part = fps.where((start >= since - window_s * US) & (start < since + segment_s * US))
+        state = keep(throughput_fold(part, state, since, window_s, **options))
+        out = throughput_alerts(state) if out is None else out.unionByName(throughput_alerts(state))
+    return out
 
 
 def error_rate_spikes(sigs: DataFrame, baseline: DataFrame | None = None, window_s: int = 300, times: float = 5.0, least: int = 10) -> DataFrame:
-    """Known signatures (those of ``baseline(environment, sig_hash)``, all without one) whose rate is ``times`` the rate frozen when
-    they first had ``least`` recent events (that of the older half)."""
-    key = ["environment", "sig_hash"]
+    """Known signatures (those of ``baseline(environment, sig_hash)``, all without one) whose rate is ``times`` the rate that is frozen once
+    ``least`` events lie in twice the window: that of their older half over the time that it spans (two events at least, not all at
+    once). Events fire from the freezing one on.
+
+    Positions come from row numbers in slots of twice the window, so no partition holds a signature's history; the older half is looked
+    up for the freezing event alone."""
+    key, window = ["environment", "sig_hash"], window_s * US
     s = sigs if baseline is None else sigs.join(baseline.select(*key).distinct(), key, "left_semi")
-    s = with_sig_rate(s, window_s).withColumn("recent", F.round(F.col("per_min") * (window_s / 60)).cast("int")).withColumn("at", F.struct("ts_us", "trace_id", "span_id"))
-    freeze = s.where(F.col("recent") >= least).groupBy(*key).agg(F.min(F.struct("at", "recent")).alias("f"))
-    frozen = freeze.select(*key, F.col("f.at").alias("frozen_at"), (F.floor(F.col("f.recent") / 2) / (window_s / 60)).alias("base_rate"))
-    j = s.join(frozen, key).where((F.col("at") > F.col("frozen_at")) & (F.col("base_rate") > 0))
-    return j.where(F.col("per_min") >= F.col("base_rate") * times).select(*key, "span_id", F.round("per_min", 9).alias("per_min"), F.round("base_rate", 9).alias("base_rate"))
+    s = s.select(*key, "trace_id", "span_id", F.unix_micros("event_time").alias("ts_us"))
+    own = F.floor(F.col("ts_us") / F.lit(2 * window))
+    dealt = s.withColumn("own_slot", own).withColumn("slot_no", F.explode(F.array(F.col("own_slot"), F.col("own_slot") + 1)))
+    part = Window.partitionBy(*key, "slot_no")
+    place = F.row_number().over(part.orderBy("ts_us", "trace_id", "span_id"))
+    until = lambda reach: F.count("*").over(part.orderBy("ts_us").rangeBetween(Window.unboundedPreceding, -reach))
+    at_once = dealt.withColumn("peers", F.count("*").over(part.orderBy("ts_us").rangeBetween(0, 0)))
+    oldest = F.min(F.struct("ts_us", "peers")).over(part.orderBy("ts_us").rangeBetween(1 - 2 * window, 0))
+    held = at_once.withColumns({"place": place, "recent": place - until(window), "held": place - until(2 * window), "oldest": oldest}).where("slot_no = own_slot")
+    held = held.withColumn("at", F.struct("ts_us", "trace_id", "span_id")).withColumn("half", F.floor(F.col("held") / 2)).drop("own_slot", "slot_no")
+    ready = (F.col("held") >= least) & (F.col("half") >= 2) & (F.col("half") > F.col("oldest.peers"))
+    frozen = held.where(ready).groupBy(*key).agg(F.min(F.struct("at", "half", F.col("oldest.ts_us").alias("from_us"))).alias("f")).select(*key, "f.*")
+    older = s.join(frozen, key).where((F.col("ts_us") >= F.col("from_us")) & (F.struct("ts_us", "trace_id", "span_id") <= F.col("at")))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("ts_us", "trace_id", "span_id"))  # of at most the events of one freezing window
+    base = older.withColumn("nth", nth).where("nth = half").select(*key, F.col("at").alias("frozen_at"), (F.col("half") / ((F.col("ts_us") - F.col("from_us")) / (60 * US))).alias("base_rate"))
+    per_min = F.col("recent") / (window / (60 * US))
+    j = held.join(base, key).where(F.col("at") >= F.col("frozen_at")).withColumn("per_min", per_min).where(F.col("per_min") >= F.col("base_rate") * times)
+    return j.select(*key, "span_id", "ts_us", F.round("per_min", 9).alias("per_min"), F.round("base_rate", 9).alias("base_rate"))
 
 
 # ---- snapshots and objectives

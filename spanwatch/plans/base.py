@@ -50,6 +50,17 @@ def sql(select: str, **more: str) -> str:
     return "with recursive " + ",\n".join(parts) + "\n" + body
 
 
+def spike_sql(sigs: str, window_us: str, least: int, times: int, known: str = "") -> str:
+    """Error spikes by lists of a signature's events in order: those of twice the window before each of them, and the rate of their older half
+    where it first is one."""
+    return sql(f"""with l as (select environment, sig_hash, span_id, epoch_us(event_time) as ts, row_number() over w as rn, list(epoch_us(event_time)) over (w rows unbounded preceding) as every
+      from {sigs} s {known} window w as (partition by environment, sig_hash order by epoch_us(event_time), trace_id, span_id)),
+    h as (select * exclude (every), list_filter(every, lambda x: x > ts - 2 * {window_us}) as held, len(list_filter(every, lambda x: x > ts - {window_us})) / ({window_us} / 60000000.0) as per_min from l),
+    f as (select environment, sig_hash, rn as from_rn, half / ((held[half] - held[1]) / 60000000.0) as base_rate from (select *, len(held) // 2 as half from h)
+      where len(held) >= {least} and half >= 2 and held[half] > held[1] qualify row_number() over (partition by environment, sig_hash order by rn) = 1)
+    select environment, sig_hash, ts as ts_us, round(per_min, 9) as per_min, round(base_rate, 9) as base_rate from h join f using (environment, sig_hash) where rn >= from_rn and per_min >= base_rate * {times}""")
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.event_spans(spark, sf_dir)
 

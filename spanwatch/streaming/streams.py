@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQueryListener
 
 from spanwatch.config import STREAM, Profile
 from spanwatch.functions import scalars as S
+from spanwatch.streaming import state
 
 # ---- windows
 
@@ -36,32 +37,13 @@ _SPAN = "struct<start_us:bigint,span_id:string,parent_id:string,service:string,o
 def buffer_traces(spans: DataFrame, timeout_ms: int = 10_000, delay: str = "10 seconds") -> DataFrame:
     """Spans of a trace as one row (environment, trace_id, spans, trace_start), released ``timeout_ms`` after its first span by event time,
     however busy the trace is; later spans make a new row. Spans behind the watermark are dropped and counted by the query's
-    numRowsDroppedByWatermark. The state holds the spans of one open buffer."""
+    numRowsDroppedByWatermark. The state holds the spans of one open buffer, each written once."""
     names = ["start_us", "span_id", "parent_id", "service", "operation", "duration_us", "is_error"]
     kept = F.to_json(F.struct(*names, "tags"))
     rows = spans.withWatermark("event_time", delay).select("environment", "trace_id", "event_time", F.unix_millis("event_time").alias("ts_ms"), kept.alias("span"))
-
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        first, held = json.loads(state.get[0]) if state.exists else (None, [])
-        out = []
-        if state.hasTimedOut:
-            out.append((first, held))
-            state.remove()
-        else:
-            arrived = pd.concat(list(frames)).sort_values(["ts_ms", "span"])
-            for ts, span in zip(arrived["ts_ms"].tolist(), arrived["span"].tolist()):
-                if first is not None and ts >= first + timeout_ms:
-                    out.append((first, held))
-                    first, held = None, []
-                first = ts if first is None else min(first, ts)
-                held.append(span)
-            state.update((json.dumps((first, held)),))
-            state.setTimeoutTimestamp(max(first + timeout_ms, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame([(*key, at, f"[{','.join(x)}]") for at, x in out], columns=["environment", "trace_id", "first_ms", "spans"])
-
-    released = rows.groupBy("environment", "trace_id").applyInPandasWithState(run, "environment string, trace_id string, first_ms long, spans string", "value string", "append", GroupStateTimeout.EventTimeTimeout)
-    return released.select("environment", "trace_id", F.from_json("spans", f"array<{_SPAN}>").alias("spans"), F.timestamp_millis("first_ms").alias("trace_start"))
+    keys = ["environment", "trace_id"]
+    released = state.keyed(rows, keys, state.TraceBuffer(keys, timeout_ms), "first_ms long, spans string", event_time=True)
+    return released.select(*keys, F.from_json("spans", f"array<{_SPAN}>").alias("spans"), F.timestamp_millis("first_ms").alias("trace_start"))
 
 
 def signature_arrays(traces: DataFrame, profile: Profile = STREAM) -> DataFrame:
@@ -120,157 +102,100 @@ def classify_batches(fps: DataFrame, read_baseline: Callable[[], DataFrame], wri
 # ---- keyed state
 
 
-def fold(events: DataFrame, keys: list[str], step: Callable, output: str, order: str = "ts_ms", silent: Callable | None = None, silence_ms: int = 0) -> DataFrame:
-    """Fold the events of each key in order of ``order`` with ``step(state, row) -> (state, rows)``; the state is a small JSON value, so a
-    key's past is never kept. ``silent(key, state) -> (state, rows)`` runs once when the watermark is ``silence_ms`` past the last event."""
-    columns = [c.strip().split()[0] for c in output.split(",")]
-
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        value = json.loads(state.get[0]) if state.exists else None
-        out = []
-        if state.hasTimedOut:
-            value, rows = silent(key, value)
-            out += rows
-            state.update((json.dumps(value),))
-        else:
-            rows = pd.concat(list(frames)).sort_values(order)
-            for row in rows.to_dict("records"):
-                value, more = step(value, row)
-                out += more
-            state.update((json.dumps(value),))
-            if silent is not None:
-                state.setTimeoutTimestamp(max(int(rows["event_time"].max().timestamp() * 1000) + silence_ms, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=columns)
-
-    timeout = GroupStateTimeout.EventTimeTimeout if silent is not None else GroupStateTimeout.NoTimeout
-    return events.groupBy(*keys).applyInPandasWithState(run, output, "value string", "append", timeout)
+def _fold(rows: DataFrame, keys: list[str], types: str, step: state.Step, output: str, order: tuple[str, ...] = ("ts_ms",)) -> DataFrame:
+    return state.keyed(rows, keys, state.Fold(keys, types, step, list(order)), output)
 
 
-def dedup_step(ttl_ms: int, names: list[str]) -> Callable:
-    """Let an event pass if none of its key passed within ``ttl_ms`` before it."""
+def _dedup(rows: DataFrame, keys: list[str], ttl_ms: int, delay: str) -> DataFrame:
+    names = ["ts_ms", "event_id"]
+    fold = state.Fold(keys, "last_ms long", state.dedup_step(ttl_ms, names), names, ttl_ms)
+    return state.keyed(rows.withWatermark("event_time", delay), keys, fold, "ts_ms long, event_id long", event_time=True)
 
-    def step(last, row):
-        if last is not None and row["ts_ms"] - last < ttl_ms:
-            return last, []
-        return row["ts_ms"], [tuple(row[n] for n in names)]
 
-    return step
+def dedup_events(events: DataFrame, ttl_ms: int = 120_000, delay: str = "10 minutes") -> DataFrame:
+    """Events of which none of the same type and hash passed within ``ttl_ms`` before. A key's state goes ``ttl_ms`` after its last event."""
+    return _dedup(events, ["anomaly_type", "hash"], ttl_ms, delay)
 
 
-def dedup_events(events: DataFrame, ttl_ms: int = 120_000) -> DataFrame:
-    names = ["anomaly_type", "hash", "ts_ms", "event_id"]
-    return fold(events, ["anomaly_type", "hash"], dedup_step(ttl_ms, names), "anomaly_type string, hash string, ts_ms long, event_id long")
-
-
-def dedup_alerts(events: DataFrame, ttl_ms: int = 120_000) -> DataFrame:
+def dedup_alerts(events: DataFrame, ttl_ms: int = 120_000, delay: str = "10 minutes") -> DataFrame:
     """The same by hash, or by type, service and operation where the hash is empty."""
     key = F.coalesce(S.filled(F.col("hash")), F.concat_ws(":", "anomaly_type", "service", "root_op"))
-    return fold(events.withColumn("key", key), ["key"], dedup_step(ttl_ms, ["key", "ts_ms", "event_id"]), "key string, ts_ms long, event_id long")
-
-
-def throughput_step(drop: float = 0.5, learn: int = 20, rearm: float = 0.75) -> Callable:
-    """Rows (environment, root_op, ts_ms, rate): fire once when the rate is under ``drop`` of the learned one."""
-
-    def step(s, row):
-        s = s or {"n": 0, "base": 0.0, "down": False}
-        rate, out = row["rate"], []
-        if s["n"] < learn:
-            s["base"] = rate if s["n"] == 0 else 0.9 * s["base"] + 0.1 * rate
-        else:
-            ratio = rate / max(s["base"], 1e-9)
-            if not s["down"] and ratio < drop:
-                s["down"] = True
-                out = [(row["environment"], row["root_op"], row["ts_ms"], rate, s["base"])]
-            elif ratio >= rearm:
-                s["down"], s["base"] = False, 0.95 * s["base"] + 0.05 * rate
-        s["n"] += 1
-        return s, out
-
-    return step
-
-
-def throughput_drops(rates: DataFrame, **options) -> DataFrame:
-    return fold(rates, ["environment", "root_op"], throughput_step(**options), "environment string, root_op string, ts_ms long, rate double, base double")
-
+    return _dedup(events.withColumn("key", key), ["key"], ttl_ms, delay)
 
-def spike_step(window_ms: int = 300_000, times: float = 5.0, least: int = 10) -> Callable:
-    """Keeps the times of recent events only; freezes the rate of the older half once there are ``least``."""
 
-    def step(s, row):
-        s = s or {"recent": [], "base": None}
-        now = row["ts_ms"]
-        s["recent"] = [t for t in s["recent"] if t > now - window_ms] + [now]
-        per_min = len(s["recent"]) / (window_ms / 60_000)
-        if s["base"] is None:
-            if len(s["recent"]) >= least:
-                s["base"] = len(s["recent"]) // 2 / (window_ms / 60_000)
-            return s, []
-        fire = s["base"] > 0 and per_min >= s["base"] * times
-        return s, [(row["environment"], row["sig_hash"], now, per_min, s["base"])] if fire else []
+def throughput_drops(arrivals: DataFrame, window_ms: int = 300_000, **options) -> DataFrame:
+    """Traces (environment, root_op, ts_ms) as they arrive: their rates are counted in the state, from the times of one window."""
+    keys = ["environment", "root_op"]
+    fold = state.Recent(keys, "n long, base double, down boolean", state.throughput_step(window_ms, **options), "ts_ms", window_ms)
+    return state.keyed(arrivals, keys, fold, "ts_ms long, rate double, base double")
 
-    return step
 
+def error_spikes(sigs: DataFrame, window_us: int = 300_000_000, **options) -> DataFrame:
+    """Error events (environment, sig_hash, ts_us) whose rate is a multiple of the one that their signature had when it was learned."""
+    keys = ["environment", "sig_hash"]
+    fold = state.Recent(keys, "base double", state.spike_step(window_us, **options), "ts_us", 2 * window_us)
+    return state.keyed(sigs, keys, fold, "ts_us long, per_min double, base double")
 
-def error_spikes(sigs: DataFrame, **options) -> DataFrame:
-    return fold(sigs, ["environment", "sig_hash"], spike_step(**options), "environment string, sig_hash string, ts_ms long, per_min double, base double")
 
+def learn_state(samples: DataFrame, n: int = 30) -> DataFrame:
+    types = "count long, mean double, squares double"
+    return _fold(samples, ["key"], types, state.learn_step(n), "ts_ms long, value double, mean double, std double", ("ts_ms", "value"))
 
-def learn_step(n: int) -> Callable:
-    """Count, mean and sum of squared deviations of the first ``n`` samples; later ones come out with them."""
-
-    def step(s, row):
-        s = s or [0, 0.0, 0.0]
-        if s[0] < n:
-            k, x = s[0] + 1, row["value"]
-            mean = s[1] + (x - s[1]) / k
-            return [k, mean, s[2] + (x - s[1]) * (x - mean)], []
-        return s, [(row["key"], row["ts_ms"], row["value"], s[1], (s[2] / s[0]) ** 0.5)]
-
-    return step
 
+def promotion_counts(detections: DataFrame, threshold: int = 10, warmup_until_ms: int | None = None) -> DataFrame:
+    step = state.promotion_step(threshold, warmup_until_ms)
+    return _fold(detections, ["environment", "fp_hash"], "n long", step, "ts_ms long, detections long")
 
-def learn_state(samples: DataFrame, n: int = 30) -> DataFrame:
-    return fold(samples, ["key"], learn_step(n), "key string, ts_ms long, value double, mean double, std double")
 
+def active_drifts(states: DataFrame) -> DataFrame:
+    return _fold(states, ["environment", "fp_hash"], "drifting boolean", state.drift_step, "ts_ms long, change string")
 
-def promotion_step(threshold: int, warmup_until_ms: int | None = None) -> Callable:
-    """Promotes at the ``threshold``-th detection, or at the first one if that comes before ``warmup_until_ms``."""
 
-    def step(n, row):
-        n = (n or 0) + 1
-        warm = warmup_until_ms is not None and n == 1 and row["ts_ms"] < warmup_until_ms
-        out = [(row["environment"], row["fp_hash"], row["ts_ms"], n)] if warm or n == threshold else []
-        return (n + threshold if warm else n), out  # beyond the threshold: it is promoted once
+def silence_timer(fps: DataFrame, silence_ms: int, delay: str = "10 minutes") -> DataFrame:
+    """Root ops (environment, root_op, ts_ms, event_time) that fall silent: once per silence, armed again by the next trace."""
+    keys = ["environment", "root_op"]
+    return state.keyed(fps.withWatermark("event_time", delay), keys, state.Silence(keys, silence_ms), "last_ms long", event_time=True)
 
-    return step
 
+# ---- counters of a running query
 
-def promotion_counts(detections: DataFrame, threshold: int = 10, warmup_until_ms: int | None = None) -> DataFrame:
-    return fold(detections, ["environment", "fp_hash"], promotion_step(threshold, warmup_until_ms), "environment string, fp_hash string, ts_ms long, detections long")
 
+class RunCounters(StreamingQueryListener):
+    """Writes what :func:`counted` observes: a row per query, batch and counter to the table at ``path``."""
 
-def drift_step(state, row):
-    """Rows (environment, fp_hash, ts_ms, drifting): "drift" when it begins, "restored" when it ends."""
-    if row["drifting"]:
-        return True, [] if state else [(row["environment"], row["fp_hash"], row["ts_ms"], "drift")]
-    return False, [(row["environment"], row["fp_hash"], row["ts_ms"], "restored")] if state else []
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.written: set[tuple[str, int]] = set()
 
+    def settled(self, query, seconds: float = 60) -> bool:
+        """Wait until every batch that ``query`` reports is written; events come after the batches they tell of."""
+        asked = {(str(p.id), p.batchId) for p in query.recentProgress if p.numInputRows}
+        until = time.monotonic() + seconds
+        while not asked <= self.written and time.monotonic() < until:
+            time.sleep(0.05)
+        return asked <= self.written
 
-def active_drifts(states: DataFrame) -> DataFrame:
-    return fold(states, ["environment", "fp_hash"], drift_step, "environment string, fp_hash string, ts_ms long, change string")
+    def onQueryStarted(self, event) -> None:
+        pass
 
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        told = [(str(p.id), p.batchId, p.timestamp, name, int(n or 0)) for row in p.observedMetrics.values() for name, n in row.asDict().items()]
+        if told and p.numInputRows:
+            rows = self.spark.createDataFrame(told, "query_id string, batch_id long, at string, counter string, value long")
+            rows.coalesce(1).write.mode("append").parquet(self.path)
+            self.written.add((str(p.id), p.batchId))
 
-def silence_timer(fps: DataFrame, silence_ms: int, delay: str = "10 minutes") -> DataFrame:
-    """Root ops (environment, root_op, ts_ms, event_time) that fall silent: once per silence, armed again by the next trace."""
+    def onQueryIdle(self, event) -> None:
+        pass
 
-    def step(_, row):
-        return row["ts_ms"], []
+    def onQueryTerminated(self, event) -> None:
+        pass
 
-    def silent(key, last):
-        return last, [(key[0], key[1], last)]
 
-    return fold(fps.withWatermark("event_time", delay), ["environment", "root_op"], step, "environment string, root_op string, last_ms long", silent=silent, silence_ms=silence_ms)
+def counted(rows: DataFrame, name: str, **counters: Column) -> DataFrame:
+    """``rows``, whose ``counters`` (aggregates) are observed in each micro-batch as the stream runs."""
+    return rows.observe(name, *[c.alias(n) for n, c in counters.items()])
 
 
 def late_span_metrics(query) -> int:

@@ -1,5 +1,9 @@
 """Stateful steps against plain models, and streams against batch results."""
 
+import random
+
+import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -8,50 +12,74 @@ from spanwatch.config import STREAM
 from spanwatch.operators import metrics as M
 from spanwatch.operators import traces as T
 from spanwatch.sources import fixtures as X
+from spanwatch.streaming import state as K
 from spanwatch.streaming import streams as St
 
 
-def run(step, rows):
-    state, out = None, []
-    for r in rows:
-        state, more = step(state, r)
-        out += more
+def run(step, rows, cuts=(), time="ts_ms", keep=None):
+    """Rows through a step in micro-batches that end at ``cuts``, as tuples; with ``keep`` the times of that reach go along."""
+    value, out, times = None, [], np.zeros(0, np.int64)
+    for a, b in zip([0, *cuts], [*cuts, len(rows)]):
+        if a < b:
+            frame = pd.DataFrame(rows[a:b])
+            value, more = step(value, frame) if keep is None else step(value, frame, times)
+            if keep is not None:
+                times = np.concatenate([times, frame[time].to_numpy(np.int64)])
+                times = times[times >= times[-1] - keep]
+            out += [] if more is None else list(more.itertuples(index=False, name=None))
     return out
 
 
-@given(st.lists(st.integers(0, 500), max_size=40).map(sorted))
-@settings(max_examples=50, deadline=None)
-def test_dedup_leaves_gaps_of_the_ttl(times):
-    out = [t for t, in run(St.dedup_step(100, ["ts_ms"]), [{"ts_ms": t} for t in times])]
+def cut_points(draw_from):
+    return st.lists(st.integers(0, draw_from), max_size=4).map(sorted)
+
+
+@given(st.lists(st.integers(0, 500), max_size=40).map(sorted), cut_points(40))
+@settings(max_examples=60, deadline=None)
+def test_dedup_leaves_gaps_of_the_ttl(times, cuts):
+    out = [t for t, in run(K.dedup_step(100, ["ts_ms"]), [{"ts_ms": t} for t in times], [min(c, len(times)) for c in cuts])]
     assert all(b - a >= 100 for a, b in zip(out, out[1:])) and (not times or out[0] == times[0])
     assert all(any(0 <= t - o < 100 for o in out) for t in times)
 
 
-@given(st.lists(st.floats(0.1, 50), max_size=60))
-@settings(max_examples=50, deadline=None)
-def test_throughput_never_fires_while_learning_and_rearms(rates):
-    rows = [{"environment": "e", "root_op": "r", "ts_ms": i, "rate": x} for i, x in enumerate(rates)]
-    out = run(St.throughput_step(0.5, 20, 0.75), rows)
-    assert all(o[2] >= 20 and o[3] < 0.5 * o[4] for o in out)
-    for a, b in zip(out, out[1:]):
-        assert any(rates[i] >= 0.75 * a[4] for i in range(a[2], b[2]))
+def throughput_model(times, window_ms, drop, learn, rearm):
+    out, n, base, down = [], 0, 0.0, False
+    for i, now in enumerate(times):
+        rate = sum(t >= now - window_ms for t in times[: i + 1]) / (window_ms / 60_000)
+        if n < learn:
+            base = rate if n == 0 else 0.9 * base + 0.1 * rate
+        elif rate / base < drop and not down:
+            down = True
+            out.append((now, rate, base))
+        elif rate / base >= rearm:
+            down, base = False, 0.95 * base + 0.05 * rate
+        n += 1
+    return out
+
+
+@given(st.lists(st.sampled_from([0, 1, 1, 2, 3, 200]), max_size=120), cut_points(120))
+@settings(max_examples=60, deadline=None)
+def test_throughput_in_batches_equals_loops(gaps, cuts):
+    times = np.cumsum(gaps).tolist()
+    got = run(K.throughput_step(100, 0.5, 20, 0.75), [{"ts_ms": t} for t in times], [min(c, len(times)) for c in cuts], keep=100)
+    assert got == throughput_model(times, 100, 0.5, 20, 0.75)
 
 
-@given(st.lists(st.floats(-100, 100), min_size=31, max_size=50))
+@given(st.lists(st.floats(-100, 100), min_size=31, max_size=50), cut_points(50))
 @settings(max_examples=50, deadline=None)
-def test_learn_state_is_the_mean_and_deviation(values):
-    out = run(St.learn_step(30), [{"key": "k", "ts_ms": i, "value": v} for i, v in enumerate(values)])
+def test_learn_state_is_the_mean_and_deviation(values, cuts):
+    out = run(K.learn_step(30), [{"key": "k", "ts_ms": i, "value": v} for i, v in enumerate(values)], [min(c, len(values)) for c in cuts])
     mean = sum(values[:30]) / 30
     std = (sum((v - mean) ** 2 for v in values[:30]) / 30) ** 0.5
-    assert len(out) == len(values) - 30 and abs(out[0][3] - mean) < 1e-6 and abs(out[0][4] - std) < 1e-6
+    assert len(out) == len(values) - 30 and all(abs(o[2] - mean) < 1e-6 and abs(o[3] - std) < 1e-6 for o in out)
 
 
 def test_drifts_and_promotion():
     flags = [False, True, True, False, False, True]
-    out = run(St.drift_step, [{"environment": "e", "fp_hash": "h", "ts_ms": i, "drifting": f} for i, f in enumerate(flags)])
-    assert [(o[2], o[3]) for o in out] == [(1, "drift"), (3, "restored"), (5, "drift")]
-    out = run(St.promotion_step(3), [{"environment": "e", "fp_hash": "h", "ts_ms": i} for i in range(9)])
-    assert [(o[2], o[3]) for o in out] == [(2, 3)]
+    rows = [{"ts_ms": i, "drifting": f} for i, f in enumerate(flags)]
+    for cuts in ([], [1], [2, 4], [1, 2, 3, 4, 5]):
+        assert run(K.drift_step, rows, cuts) == [(1, "drift"), (3, "restored"), (5, "drift")]
+        assert run(K.promotion_step(3), [{"ts_ms": i} for i in range(9)], cuts) == [(2, 3)]
 
 
 def test_array_form_equals_joins(spark, sf):
@@ -63,51 +91,70 @@ def test_array_form_equals_joins(spark, sf):
 
 
 def test_stream_equals_batch(spark, sf):
-    from spanwatch.plans import QUERIES
-
-    batch = M.throughput_drops(T.fingerprint(X.event_spans(spark, sf)), 86_400, 0.8, 20, 0.9)
-    stream = QUERIES["st_throughput"](spark, sf)
-    pick = lambda df, t: sorted((r.environment, r.root_op, t(r)) for r in df.collect())
-    assert pick(batch, lambda r: r.ts_us // 1000) == pick(stream, lambda r: r.ts_ms)
-
-
-def spike_model(times, window_ms, times_base, least):
-    """Spikes of one signature's sorted times by loops: indexes, rates and the frozen rate."""
-    out, base = [], None
-    for i, now in enumerate(times):
-        recent = [t for t in times[: i + 1] if t > now - window_ms]
-        rate = len(recent) / (window_ms / 60_000)
-        if base is None:
-            if len(recent) >= least:
-                base = len(recent) // 2 / (window_ms / 60_000)
-        elif base > 0 and rate >= base * times_base:
+    """Rates and learned rates of the stream, of the batch form in segments, and of one segment."""
+    from spanwatch.plans.base import stored
+    from spanwatch.plans.stream_queries import drained
+
+    f = T.fingerprint(X.event_spans(spark, sf)).withColumn("root_op", F.lit("all")).cache()
+    how = {"drop": 0.95, "learn": 5, "rearm": 0.97}
+    whole = M.throughput_alerts(M.throughput_fold(f, None, None, 86_400, **how))
+    parts = M.throughput_drops(f, 3 * 86_400, lambda df: stored(df, "test"), 86_400, **how)
+    arrivals = f.select("environment", "root_op", F.unix_millis("trace_start").alias("ts_ms"))
+    stream = drained(lambda x: St.throughput_drops(x, 86_400_000, **how), arrivals, "ts_ms")
+    pick = lambda df, t: sorted((r.environment, r.root_op, t(r), round(r.base, 6)) for r in df.collect())
+    assert pick(whole, lambda r: r.ts_us) == pick(parts, lambda r: r.ts_us) != []
+    assert [x[:3] for x in pick(whole, lambda r: r.ts_us // 1000)] == [x[:3] for x in pick(stream, lambda r: r.ts_ms)]
+
+
+def test_throughput_state_carries_over(spark):
+    """Two half ranges with the state between them equal one range, for root ops that pause too."""
+    r = random.Random(4)
+    rows = [("e", f"op{k}", f"{k}-{i}", int(t)) for k in range(4) for i, t in enumerate(sorted(r.uniform(0, 4000) ** (1 + k / 6) for _ in range(150 if k else 30)))]
+    f = spark.createDataFrame(rows, "environment string, root_op string, trace_id string, s long").withColumn("trace_start", F.timestamp_seconds("s"))
+    whole = M.throughput_alerts(M.throughput_fold(f, None, None, 300, 0.9, 5, 0.95)).collect()
+    for cut in (900, 2500):
+        first = M.throughput_fold(f.where(f"s < {cut}"), None, None, 300, 0.9, 5, 0.95)
+        second = M.throughput_fold(f.where(f"s >= {cut} - 300"), first, cut * 1_000_000, 300, 0.9, 5, 0.95)
+        got = M.throughput_alerts(first).collect() + M.throughput_alerts(second).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, whole)) and len(whole) > 5
+
+
+def spike_model(times, window, times_base, least, minute):
+    """Spikes of one signature's sorted times by loops over a list of its events: those of twice the window are kept."""
+    held, out, base = [], [], None
+    for now in times:
+        held = [t for t in [*held, now] if t > now - 2 * window]
+        rate = sum(t > now - window for t in held) / (window / minute)
+        if base is None and len(held) >= least:
+            older = held[: len(held) // 2]
+            if len(older) >= 2 and older[-1] > older[0]:
+                base = len(older) / ((older[-1] - older[0]) / minute)
+        if base is not None and rate >= base * times_base:
             out.append((now, rate, base))
     return out
 
 
-@given(st.lists(st.integers(0, 400), max_size=60).map(sorted))
-@settings(max_examples=60, deadline=None)
-def test_spike_step_equals_the_model(times):
-    step = St.spike_step(100, 1.5, 4)
-    got = run(step, [{"environment": "e", "sig_hash": "h", "ts_ms": t} for t in times])
-    assert [o[2:] for o in got] == spike_model(times, 100, 1.5, 4)
+UNEVEN = st.lists(st.sampled_from([0, 0, 1, 2, 7, 60, 130]), max_size=80).map(lambda gaps: np.cumsum(gaps).tolist())
 
 
-def test_error_spikes_of_known_signatures(spark, sf):
-    """Batch against the loops over the given spans, known signatures only; the stream agrees without that filter."""
-    from spanwatch.operators import errors as E
-    from spanwatch.plans import QUERIES
+@given(UNEVEN, cut_points(80))
+@settings(max_examples=100, deadline=None)
+def test_spike_step_equals_the_model(times, cuts):
+    step = K.spike_step(100, 1.5, 4, minute=10)
+    got = run(step, [{"ts_us": t} for t in times], [min(c, len(times)) for c in cuts], "ts_us", 200)
+    assert got == spike_model(times, 100, 1.5, 4, 10)
+
 
-    sigs = E.error_signatures(X.event_spans(spark, sf))
-    day, rows = 2 * 86_400_000, {}
-    for r in sigs.select("environment", "sig_hash", F.unix_millis("event_time").alias("ts")).collect():
-        rows.setdefault((r.environment, r.sig_hash), []).append(r.ts)
-    want = {k: spike_model(sorted(v), day, 2.0, 4) for k, v in rows.items()}
-    known = sigs.select("environment", "sig_hash").distinct().where("sig_hash < '8'")
-    got = M.error_rate_spikes(sigs, known, 2 * 86_400, 2.0, 4).groupBy("environment", "sig_hash").count().collect()
-    assert {(r.environment, r.sig_hash): r["count"] for r in got} == {k: len(v) for k, v in want.items() if v and k[1] < "8"} != {}
-    stream = QUERIES["st_error_spike"](spark, sf).groupBy("environment", "sig_hash").count().collect()
-    assert {(r.environment, r.sig_hash): r["count"] for r in stream} == {k: len(v) for k, v in want.items() if v}
+def test_error_spikes_on_uneven_gaps(spark):
+    r = random.Random(8)
+    rows, want = [], set()
+    for k in range(30):
+        times = np.cumsum([r.choice([0, 0, 1, 5, 40, 200, 900]) for _ in range(r.randint(0, 90))]).tolist()
+        rows += [("e", f"s{k}", "t", f"{i:04d}", t) for i, t in enumerate(times)]
+        want |= {("e", f"s{k}", t * 1_000_000, round(a, 6), round(b, 6)) for t, a, b in spike_model(times, 300, 2.0, 6, 60)}
+    df = spark.createDataFrame(rows, "environment string, sig_hash string, trace_id string, span_id string, s long").withColumn("event_time", F.timestamp_seconds("s"))
+    got = M.error_rate_spikes(df, None, 300, 2.0, 6).collect()
+    assert {(x.environment, x.sig_hash, x.ts_us, round(x.per_min, 6), round(x.base_rate, 6)) for x in got} == want and len(want) > 20
 
 
 def test_incident_states_equal_the_model(spark):
@@ -154,9 +201,10 @@ def test_late_spans_are_counted(spark, sf):
 
 
 def test_promotion_in_warmup():
-    rows = [{"environment": "e", "fp_hash": "h", "ts_ms": t} for t in (5, 6, 7, 50, 60)]
-    assert [o[2:] for o in run(St.promotion_step(3, 10), rows)] == [(5, 1)]
-    assert [o[2:] for o in run(St.promotion_step(3, 4), rows)] == [(7, 3)]
+    rows = [{"ts_ms": t} for t in (5, 6, 7, 50, 60)]
+    for cuts in ([], [1], [2, 3]):
+        assert run(K.promotion_step(3, 10), rows, cuts) == [(5, 1)]
+        assert run(K.promotion_step(3, 4), rows, cuts) == [(7, 3)]
 
 
 def test_windows_by_slot_equal_whole_windows(spark):
@@ -187,10 +235,10 @@ def test_windows_by_slot_equal_whole_windows(spark):
 
 def test_buffer_releases_by_the_first_span(spark):
     """A trace that never pauses is released all the same."""
-    from spanwatch.plans.stream_queries import as_stream, drained
+    from spanwatch.plans.stream_queries import drained
 
     rows = [("e", "busy", f"s{i}", None, "svc", "op", i, 1, False, {}, 1000 + 4 * i) for i in range(10)] + [("e", "last", "z", None, "svc", "op", 0, 1, False, {}, 5000)]
     schema = "environment string, trace_id string, span_id string, parent_id string, service string, operation string, start_us long, duration_us long, is_error boolean, tags map<string,string>, s long"
     df = spark.createDataFrame(rows, schema).withColumn("event_time", F.timestamp_seconds("s")).drop("s")
-    got = sorted((r.trace_id, len(r.spans)) for r in drained(St.buffer_traces(as_stream(df), 10_000, "1 second")).collect())
+    got = sorted((r.trace_id, len(r.spans)) for r in drained(lambda x: St.buffer_traces(x, 10_000, "1 second"), df, "event_time").collect())
     assert got == [("busy", 1), ("busy", 3), ("busy", 3), ("busy", 3)]
