@@ -259,23 +259,29 @@ def cross_env_report(staging: DataFrame, prod: DataFrame) -> DataFrame:
     return j.groupBy("anomaly_type").agg(F.count("*").alias("staging"), F.count("score").alias("matched"), F.sum(F.coalesce((F.col("s_ms") < F.col("p_ms")).cast("bigint"), F.lit(0))).alias("early"), F.sum(F.col("score").isNull().cast("bigint")).alias("staging_only"))
 
 
-def incident_states(rates: DataFrame, spike: float = 1.0, calm: float = 0.2, stable: int = 5) -> DataFrame:
-    """States of each environment over a series of rates (``environment, minute, rate``): NORMAL, SPIKING, RESOLVING, HEAL.
+def incident_states(rates: DataFrame, spike: float = 1.0, calm: float = 0.2, stable: int = 5, shortest: int | None = None) -> DataFrame:
+    """Changes of state of each environment over a series of rates (``environment, minute, rate``): (environment, minute, state).
 
+    NORMAL spikes at a rate of ``spike``. SPIKING is over when the rate falls under ``spike`` before the spike is ``shortest`` minutes old (NORMAL;
+    ``stable`` without it), else when it falls under ``calm`` (RESOLVING). RESOLVING spikes again at ``spike``, as the same spike with the same
+    start, and heals (HEAL) after ``stable`` minutes at any lower rate; then all begins anew.
     The state depends on the one before, so each environment's series is folded in order; callers bound it by the time range."""
+    shortest = stable if shortest is None else shortest
     g = rates.groupBy("environment").agg(F.array_sort(F.collect_list(F.struct("minute", "rate"))).alias("r"))
-    start = F.struct(F.lit("NORMAL").alias("state"), F.lit(0).cast("bigint").alias("since"), F.expr("cast(array() as array<struct<minute:bigint,state:string>>)").alias("out"))
+    none = F.lit(0).cast("bigint")
+    start = F.struct(F.lit("NORMAL").alias("state"), none.alias("spiked"), none.alias("calmed"), F.expr("cast(array() as array<struct<minute:bigint,state:string>>)").alias("out"))
 
     def step(a, x):
-        held = x["minute"] - a["since"]
-        state = (
-            F.when(a["state"].isin("NORMAL", "HEAL"), F.when(x["rate"] >= spike, "SPIKING").otherwise("NORMAL"))
-            .when(a["state"] == "SPIKING", F.when(x["rate"] < calm, F.when(held < stable, "NORMAL").otherwise("RESOLVING")).otherwise("SPIKING"))
-            .otherwise(F.when(x["rate"] >= spike, "SPIKING").when((x["rate"] < calm) & (held >= stable), "HEAL").otherwise("RESOLVING"))
-        )
-        since = F.when(state != a["state"], x["minute"]).otherwise(a["since"])
-        out = F.when(state != a["state"], F.concat(a["out"], F.array(F.struct(x["minute"].alias("minute"), state.alias("state"))))).otherwise(a["out"])
-        return F.struct(state.alias("state"), since.alias("since"), out.alias("out"))
+        high = x["rate"] >= spike
+        spiking = F.when(~high & (x["minute"] - a["spiked"] < shortest), "NORMAL").when(x["rate"] < calm, "RESOLVING").otherwise("SPIKING")
+        resolving = F.when(high, "SPIKING").when(x["minute"] - a["calmed"] >= stable, "HEAL").otherwise("RESOLVING")
+        begins = a["state"].isin("NORMAL", "HEAL") & high
+        state = F.when(a["state"] == "SPIKING", spiking).when(a["state"] == "RESOLVING", resolving).otherwise(F.when(high, "SPIKING").otherwise("NORMAL"))
+        spiked = F.when(begins, x["minute"]).otherwise(a["spiked"])
+        calmed = F.when((a["state"] == "SPIKING") & (state == "RESOLVING"), x["minute"]).otherwise(a["calmed"])
+        change = F.array(F.struct(x["minute"].alias("minute"), state.alias("state")))
+        out = F.when(state != a["state"], F.concat(a["out"], change)).otherwise(a["out"])
+        return F.struct(state.alias("state"), spiked.alias("spiked"), calmed.alias("calmed"), out.alias("out"))
 
     return g.select("environment", F.explode(F.aggregate("r", start, step)["out"]).alias("o")).select("environment", "o.minute", "o.state")
 

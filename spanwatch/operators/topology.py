@@ -1,4 +1,5 @@
-"""The service graph: edges, summary, changes, and walks over it. Walks are bounded rounds of joins on edge tables."""
+"""The service graph: edges, summary, changes, and walks over it. Walks are rounds of joins on edge tables, each from what the
+round before found newly, until nothing is new or a given number of hops is reached."""
 
 from __future__ import annotations
 
@@ -6,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwatch.functions import scalars as S
+from spanwatch.lineage import stored
 from spanwatch.operators.correlate import top_messages
 from spanwatch.operators.traces import TRACE, resolve_parents, trace_edges
 
@@ -80,19 +82,49 @@ def graph_from_baseline(baseline: DataFrame, infra: tuple[str, ...] = INFRA) ->
     return e.groupBy("environment", F.col("before").alias("caller"), F.col("service").alias("callee")).agg(F.sum("occurrences").alias("weight"))
 
 
-def reachable(edges: DataFrame, start: DataFrame, depth: int = 3, down: bool = True) -> DataFrame:
-    """Nodes within ``depth`` hops of each node of ``start(environment, node)``: (environment, origin, node, hops), the origin at 0."""
+def reachable(edges: DataFrame, start: DataFrame, depth: int | None = None, down: bool = True) -> DataFrame:
+    """Nodes that each node of ``start(environment, node)`` reaches: (environment, origin, node, hops), the origin at 0.
+
+    With ``depth`` at most that many hops; else until a round finds nothing new, each round written to a table."""
     src, dst = ("caller", "callee") if down else ("callee", "caller")
     step = edges.select("environment", F.col(src).alias("node"), F.col(dst).alias("next")).distinct()
     seen = start.select("environment", F.col("node").alias("origin"), "node").distinct().withColumn("hops", F.lit(0))
-    frontier = seen
-    for hop in range(1, depth + 1):
+    if depth is None:
+        step, seen = stored(step, "steps"), stored(seen, "reached")
+    frontier, hop = seen, 0
+    while depth is None or hop < depth:
+        hop += 1
         near = frontier.join(step, ["environment", "node"]).select("environment", "origin", F.col("next").alias("node")).distinct()
         frontier = near.join(seen.select("environment", "origin", "node"), ["environment", "origin", "node"], "left_anti").withColumn("hops", F.lit(hop))
+        if depth is None:
+            frontier = stored(frontier, "reached")
+            if frontier.isEmpty():
+                break
         seen = seen.unionByName(frontier)
     return seen
 
 
+def deepest(calls: DataFrame, start: DataFrame) -> DataFrame:
+    """Where each node of ``start(environment, node)`` leads: (environment, origin, node). From a node the walk goes to the callee of the heaviest
+    call (``calls(environment, caller, callee, weight)``), of equal ones to the first by name; it ends where there is none, or at a node that it
+    comes to for the second time. Each round is a join of the walks that go on, written to a table, until none does."""
+    first = F.min(F.struct((-F.col("weight")).alias("w"), "callee")).alias("f")
+    step = stored(calls.groupBy("environment", F.col("caller").alias("node")).agg(first).select("environment", "node", F.col("f.callee").alias("next")), "steps")
+    walks = stored(start.select("environment", F.col("node").alias("origin"), "node").distinct(), "walks")
+    been, ended = walks, None
+    key = ["environment", "origin", "node"]
+    while True:
+        moved = walks.join(step, ["environment", "node"], "left")
+        back = been.select("environment", "origin", F.col("node").alias("next"), F.lit(True).alias("back"))
+        moved = stored(moved.join(back, ["environment", "origin", "next"], "left"), "walks")
+        over = moved.where("next is null or back").select("environment", "origin", F.coalesce("next", "node").alias("node"))
+        ended = over if ended is None else ended.unionByName(over)
+        walks = moved.where("next is not null and back is null").select("environment", "origin", F.col("next").alias("node"))
+        if walks.isEmpty():
+            return ended.select(*key)
+        been = been.unionByName(walks)
+
+
 def shared_deps(edges: DataFrame, nodes: DataFrame, infra: tuple[str, ...] = INFRA) -> DataFrame:
     """Services other than ``infra`` that two or more of ``nodes(environment, node)`` call."""
     calls = edges.where("caller <> callee").where(~F.col("callee").isin(*infra)).join(nodes.select("environment", F.col("node").alias("caller")).distinct(), ["environment", "caller"], "left_semi")
@@ -107,16 +139,18 @@ def node_signals(events: DataFrame, nodes: DataFrame) -> DataFrame:
     return g.join(top_messages(e, 3), key)
 
 
-def root_candidates(edges: DataFrame, active: DataFrame, depth: int = 3, lead_ms: int = 5_000, infra: tuple[str, ...] = INFRA) -> DataFrame:
-    """Services that may be the cause, (environment, candidate, supporters, rules): for each affected service the farthest affected
-    one that it can reach through affected services (deepest; supporters: how many point to it), every missing service
-    (missing), and services that fired ``lead_ms`` or more before all affected ones that they call (earlier)."""
+def root_candidates(edges: DataFrame, active: DataFrame, lead_ms: int = 5_000, infra: tuple[str, ...] = INFRA) -> DataFrame:
+    """Services that may be the cause, (environment, candidate, supporters, rules): the affected service at which the walk of each affected
+    one over its heaviest calls to affected services ends (deepest; supporters: how many walks do), every missing service
+    (missing), and services that fired ``lead_ms`` or more before all affected ones that they call (earlier).
+
+    ``edges`` may weigh calls by ``weight`` or ``n``; without either all weigh the same."""
     a = active.groupBy("environment", F.col("service").alias("node")).agg(F.min("ts_ms").alias("first_ms"), F.max(F.col("anomaly_type") == "MISSING_SERVICE").alias("missing"))
-    calls = edges.select(*EDGE).distinct()
+    weight = next((F.sum(c) for c in ("weight", "n") if c in edges.columns), F.lit(1))
+    calls = edges.groupBy(*EDGE).agg(weight.alias("weight"))
     end = lambda side: a.select("environment", F.col("node").alias(side), F.col("first_ms").alias(side + "_ms"))
     inner = calls.join(end("caller"), ["environment", "caller"]).join(end("callee"), ["environment", "callee"])
-    r = reachable(inner.where(~F.col("callee").isin(*infra)), a, depth)
-    far = r.groupBy("environment", "origin").agg(F.max(F.struct("hops", "node")).alias("f")).select("environment", F.col("f.node").alias("candidate"), F.lit("deepest").alias("rule"))
+    far = deepest(inner.where(~F.col("callee").isin(*infra)), a).select("environment", F.col("node").alias("candidate"), F.lit("deepest").alias("rule"))
     gone = a.where("missing").select("environment", F.col("node").alias("candidate"), F.lit("missing").alias("rule"))
     lead = inner.where("caller <> callee").groupBy("environment", F.col("caller").alias("candidate")).agg(F.min(F.col("callee_ms") - F.col("caller_ms")).alias("lead"))
     early = lead.where(F.col("lead") >= lead_ms).select("environment", "candidate", F.lit("earlier").alias("rule"))
@@ -125,19 +159,20 @@ def root_candidates(edges: DataFrame, active: DataFrame, depth: int = 3, lead_ms
     return every.groupBy("environment", "candidate").agg(F.count(F.when(F.col("rule") == "deepest", 1)).alias("supporters"), rules)
 
 
-def causal_chain(edges: DataFrame, active: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
-    """Affected callers of each root cause (``roots(environment, node)``), breadth first."""
+def causal_chain(edges: DataFrame, active: DataFrame, roots: DataFrame) -> DataFrame:
+    """Affected callers of each root cause (``roots(environment, node)``), their affected callers and so on, breadth first."""
     a = active.select("environment", F.col("service").alias("caller")).distinct()
-    return reachable(edges.join(a, ["environment", "caller"], "left_semi"), roots, depth, down=False)
+    return reachable(edges.join(a, ["environment", "caller"], "left_semi"), roots, down=False)
 
 
+# Anomalies that don't speak for a cause of their own.
 SOFT = ("NEW_FINGERPRINT", "SPAN_COUNT_SPIKE", "SPAN_COUNT_DROP", "LATENCY_ANOMALY")
 
 
-def secondary_services(edges: DataFrame, events: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
+def secondary_services(edges: DataFrame, events: DataFrame, roots: DataFrame) -> DataFrame:
     """Services with soft anomalies only that can reach a root cause."""
     soft = events.groupBy("environment", "service").agg(F.min(F.col("anomaly_type").isin(*SOFT)).alias("soft")).where("soft").select("environment", "service")
-    up = reachable(edges, roots, depth, down=False).where("hops > 0").select("environment", F.col("node").alias("service")).distinct()
+    up = reachable(edges, roots, down=False).where("hops > 0").select("environment", F.col("node").alias("service")).distinct()
     return soft.join(up, ["environment", "service"], "left_semi")
 
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanwatch.lineage import shared_path, stored  # noqa: F401
 from spanwatch.sources import fixtures as X
 
 CTES = dict(X.SQL)
@@ -65,28 +63,6 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.event_spans(spark, sf_dir)
 
 
-_OWN: list[str] = []
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (a temporary one in a local session)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if not _OWN:
-            _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-plans-"))
-        shared = _OWN[0]
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back, for results that several steps of a query use."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def learn_window(df: DataFrame, column: str = "trace_start") -> DataFrame:
     return df.where(F.col(column) < F.lit(X.LEARN_UNTIL).cast("timestamp"))
 

@@ -284,16 +284,21 @@ def a_topology_from_baseline(spark, d):
 
 
 _WALK = """wk as (select environment, origin, node, min(hops) as hops from (with recursive r(environment, origin, node, hops) as (select environment, service, service, 0 from starts union
-    select r.environment, r.origin, tb.{1}, r.hops + 1 from r join tb on tb.environment = r.environment and tb.{0} = r.node where r.hops < 3) select * from r) group by 1, 2, 3)"""
+    select r.environment, r.origin, tb.{1}, r.hops + 1 from r join tb on tb.environment = r.environment and tb.{0} = r.node{2}) select * from r) group by 1, 2, 3)"""
+
+
+# without a bound: hops are those of the first round that meets a node, so a walk that grows by its own seen nodes ends
+_CLIMB = """wk as (select environment, origin, node, min(hops) as hops from (with recursive r(environment, origin, node, hops, seen) as (select environment, service, service, 0, [service] from starts union
+    select r.environment, r.origin, tb.{1}, r.hops + 1, list_append(r.seen, tb.{1}) from r join tb on tb.environment = r.environment and tb.{0} = r.node where not list_contains(r.seen, tb.{1})) select * from r) group by 1, 2, 3)"""
 
 
 def _starts(spark, d):
     return early_graph(spark, d).select("environment", F.col("caller").alias("node")).distinct()
 
 
-@query(_q("select environment, origin, node, hops::int as hops from wk", _TB, "starts as (select distinct environment, caller as service from tb)", _WALK.format("caller", "callee")))
+@query(_q("select environment, origin, node, hops::int as hops from wk", _TB, "starts as (select distinct environment, caller as service from tb)", _WALK.format("caller", "callee", " where r.hops < 3")))
 def g_reachable(spark, d):
-    return G.reachable(early_graph(spark, d), _starts(spark, d))
+    return G.reachable(early_graph(spark, d), _starts(spark, d), 3)
 
 
 @query(_q("select environment, callee, count(distinct caller) as callers from te where caller in ('view', 'click', 'error') and callee <> 'signup' group by 1, 2 having count(distinct caller) >= 2", _TE))
@@ -302,7 +307,7 @@ def g_shared_deps(spark, d):
     return G.shared_deps(g, g.where("caller in ('view', 'click', 'error')").select("environment", F.col("caller").alias("node")), ("signup",))
 
 
-@query(_q("select environment, origin, node, hops::int as hops from wk", _TB, "starts as (select environment, min(callee) as service from tb group by 1)", _WALK.format("callee", "caller")))
+@query(_q("select environment, origin, node, hops::int as hops from wk", _TB, "starts as (select environment, min(callee) as service from tb group by 1)", _CLIMB.format("callee", "caller")))
 def g_causal_chain(spark, d):
     e = early_graph(spark, d)
     roots = e.groupBy("environment").agg(F.min("callee").alias("node"))
@@ -330,7 +335,7 @@ def g_caller_markers(spark, d):
 
 
 @query(_q("""select distinct a.environment, a.service from (select environment, service from ac where service = 'signup' group by 1, 2) a join wk on wk.environment = a.environment and wk.node = a.service and wk.hops > 0""",
-    _TB, _ACTS, "starts as (select environment, min(callee) as service from tb group by 1)", _WALK.format("callee", "caller")))
+    _TB, _ACTS, "starts as (select environment, min(callee) as service from tb group by 1)", _CLIMB.format("callee", "caller")))
 def g_secondary(spark, d):
     e = early_graph(spark, d)
     soft = _acts(spark, d).where("service = 'signup'").withColumn("anomaly_type", F.lit("LATENCY_ANOMALY"))
@@ -340,10 +345,15 @@ def g_secondary(spark, d):
 _AFFECTED = """aa as (select environment, service, min(ts_ms) as first_ms, bool_or(anomaly_type = 'MISSING_SERVICE') as gone from ac group by 1, 2),
     ti as (select tb.*, b.first_ms - a.first_ms as lead from tb join aa a on a.environment = tb.environment and a.service = tb.caller join aa b on b.environment = tb.environment and b.service = tb.callee),
     starts as (select environment, service from aa)"""
+_DEEPEST = """nx as (select environment, caller, arg_min(callee, (-w, callee)) as callee from (select ti.environment, ti.caller, ti.callee, (select count(distinct trace_id) from edges e where e.environment = ti.environment and e.from_service = ti.caller and e.to_service = ti.callee
+      and e.start_us < 1704078000000000) as w from ti) group by 1, 2),
+    dw as (select environment, origin, node from (with recursive r(environment, origin, node, seen, back) as (select environment, service, service, [service], false from starts union all
+      select r.environment, r.origin, nx.callee, list_append(r.seen, nx.callee), list_contains(r.seen, nx.callee) from r join nx on nx.environment = r.environment and nx.caller = r.node where not r.back)
+      select *, len(seen) as k from r) qualify row_number() over (partition by environment, origin order by k desc) = 1)"""
 _CANDIDATES = """cn as (select environment, candidate, count(*) filter (where rule = 'deepest') as supporters, string_agg(distinct rule, ',' order by rule) as rules from (
-    select environment, arg_max(node, (hops, node)) as candidate, 'deepest' as rule from wk group by environment, origin union all select environment, service, 'missing' from aa where gone
+    select environment, node as candidate, 'deepest' as rule from dw union all select environment, service, 'missing' from aa where gone
     union all select environment, caller, 'earlier' from ti group by 1, 2 having min(lead) >= 5000) group by 1, 2)"""
-_TO_CANDIDATES = (_TB, _ACTS, _AFFECTED, _WALK.format("caller", "callee").replace("tb", "ti"), _CANDIDATES)
+_TO_CANDIDATES = (_TB, _ACTS, _AFFECTED, _DEEPEST, _CANDIDATES)
 
 
 @query(_q("select environment, candidate, supporters, rules from cn", *_TO_CANDIDATES))
@@ -606,7 +616,14 @@ def s_cross_env(spark, d):
     return K.cross_env_report(*_crossed(spark, d))
 
 
-@query()
+_NEXT = """case when r.state = 'SPIKING' then case when o.rate < 1.0 and o.minute - r.spiked < 2 then 'NORMAL' when o.rate < 0.5 then 'RESOLVING' else 'SPIKING' end
+    when r.state = 'RESOLVING' then case when o.rate >= 1.0 then 'SPIKING' when o.minute - r.calmed >= 2 then 'HEAL' else 'RESOLVING' end when o.rate >= 1.0 then 'SPIKING' else 'NORMAL' end"""
+
+
+@query(sql(f"""select environment, minute, state from (with recursive o as (select *, row_number() over (partition by environment order by minute) as n from (select environment, ts_ms // 3600000 as minute, count(*) / 5 as rate from anomalies group by 1, 2)),
+    r(environment, n, minute, state, spiked, calmed, before) as (select distinct environment, 0::bigint, 0::bigint, 'NORMAL', 0::bigint, 0::bigint, 'NORMAL' from o union all
+    select environment, n, minute, state, case when before in ('NORMAL', 'HEAL') and state = 'SPIKING' then minute else spiked end, case when before = 'SPIKING' and state = 'RESOLVING' then minute else calmed end, before
+      from (select o.environment, o.n, o.minute, {_NEXT} as state, r.spiked, r.calmed, r.state as before from r join o on o.environment = r.environment and o.n = r.n + 1)) select * from r) where state <> before"""))
 def s_incident_state(spark, d):
     hourly = events(spark, d).groupBy("environment", F.floor(F.col("ts_ms") / HOUR).alias("minute")).agg((F.count("*") / 5).alias("rate"))
     return K.incident_states(hourly, 1.0, 0.5, 2)

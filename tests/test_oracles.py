@@ -45,4 +45,4 @@ def test_entry(spark):
 def test_queries_without_sql_are_few(spark):
     """Each of these is compared with a plain model in test_streams.py or test_traces.py."""
     names = {n for n in entry.queries() if n not in entry.oracle_sql() and not n.startswith(("op", "pipeline"))}
-    assert names == {"d_throughput_drop", "st_throughput", "s_incident_state", "a_noise_support", "st_late_spans"}
+    assert names == {"d_throughput_drop", "st_throughput", "a_noise_support", "st_late_spans"}

@@ -157,30 +157,42 @@ def test_error_spikes_on_uneven_gaps(spark):
     assert {(x.environment, x.sig_hash, x.ts_us, round(x.per_min, 6), round(x.base_rate, 6)) for x in got} == want and len(want) > 20
 
 
-def test_incident_states_equal_the_model(spark):
-    import random
+def incident_model(rates, spike, calm, shortest, stable):
+    """Changes of state by the tracker's rules: a short spike is noise, a spike again keeps its start, any calm rate lets time pass."""
+    state, spiked, calmed, out = "NORMAL", None, None, []
+    for minute, rate in rates:
+        before = state
+        if state in ("NORMAL", "HEAL"):
+            state = "NORMAL"
+            if rate >= spike:
+                state, spiked = "SPIKING", minute
+        elif state == "SPIKING":
+            if rate < spike and minute - spiked < shortest:
+                state = "NORMAL"
+            elif rate < calm:
+                state, calmed = "RESOLVING", minute
+        elif rate >= spike:
+            state = "SPIKING"
+        elif minute - calmed >= stable:
+            state = "HEAL"
+        if state != before:
+            out.append((minute, state))
+    return out
 
-    from spanwatch.operators import correlate as K
+
+def test_incident_states_equal_the_model(spark):
+    from spanwatch.operators import correlate as C
 
     r = random.Random(3)
-    rates = [("a" if r.random() < 0.5 else "b", m, r.choice([0.0, 0.1, 0.5, 1.2, 3.0])) for m in range(300)]
-    got = {}
-    for x in K.incident_states(spark.createDataFrame(rates, "environment string, minute long, rate double"), 1.0, 0.2, 5).orderBy("minute").collect():
-        got.setdefault(x.environment, []).append((x.minute, x.state))
-    for env in "ab":
-        state, since, want = "NORMAL", 0, []
-        for _, minute, rate in sorted(t for t in rates if t[0] == env):
-            held, before = minute - since, state
-            if state in ("NORMAL", "HEAL"):
-                state = "SPIKING" if rate >= 1.0 else "NORMAL"
-            elif state == "SPIKING":
-                state = "SPIKING" if rate >= 0.2 else "NORMAL" if held < 5 else "RESOLVING"
-            else:
-                state = "SPIKING" if rate >= 1.0 else "HEAL" if rate < 0.2 and held >= 5 else "RESOLVING"
-            if state != before:
-                since = minute
-                want.append((minute, state))
-        assert got[env] == want and len(want) > 10
+    rows, want = [], set()
+    told = [(0, 2.0), (1, 0.5), (2, 0.5), (3, 0.5), (8, 0.1), (10, 0.5), (20, 0.5)]
+    series = {"told": told} | {f"e{k}": sorted({r.randint(0, 200): r.choice([0.0, 0.1, 0.5, 1.2, 3.0]) for _ in range(90)}.items()) for k in range(12)}
+    for name, rates in series.items():
+        rows += [(name, m, x) for m, x in rates]
+        want |= {(name, m, s) for m, s in incident_model(rates, 1.0, 0.2, 4, 5)}
+    assert [x[1:] for x in sorted(want) if x[0] == "told"] == [(0, "SPIKING"), (1, "NORMAL")]
+    df = spark.createDataFrame(rows, "environment string, minute long, rate double").repartition(5)
+    assert {tuple(x) for x in C.incident_states(df, 1.0, 0.2, 5, 4).collect()} == want and {s for *_, s in want} >= {"HEAL", "RESOLVING"}
 
 
 def test_noise_support(spark):
@@ -242,3 +254,44 @@ def test_buffer_releases_by_the_first_span(spark):
     df = spark.createDataFrame(rows, schema).withColumn("event_time", F.timestamp_seconds("s")).drop("s")
     got = sorted((r.trace_id, len(r.spans)) for r in drained(lambda x: St.buffer_traces(x, 10_000, "1 second"), df, "event_time").collect())
     assert got == [("busy", 1), ("busy", 3), ("busy", 3), ("busy", 3)]
+
+
+def walk_model(calls, start):
+    """The end of each walk over heaviest calls (of equal ones the first name), at the first node met twice or without a call."""
+    ends = {}
+    for origin in start:
+        node, been = origin, {origin}
+        while node in calls:
+            node = min((-w, callee) for callee, w in calls[node].items())[1]
+            if node in been:
+                break
+            been.add(node)
+        ends[origin] = node
+    return ends
+
+
+def test_walks_go_to_the_end(spark):
+    """A chain of ten services, rings, and random graphs: candidates, causal chain and secondary services without a bound of hops."""
+    from spanwatch.operators import topology as G
+
+    r = random.Random(5)
+    graphs = {"chain": {f"s{i}": {f"s{i + 1}": 1} for i in range(9)}, "ring": {"a": {"b": 1}, "b": {"c": 1}, "c": {"a": 1}, "x": {"a": 1}}}
+    for k in range(4):
+        graphs[f"g{k}"] = {f"n{i}": {f"n{r.randint(0, 14)}": r.randint(1, 3) for _ in range(r.randint(0, 3))} for i in range(15)}
+        graphs[f"g{k}"] = {a: {b: w for b, w in c.items() if a != b} for a, c in graphs[f"g{k}"].items()}
+        graphs[f"g{k}"] = {a: c for a, c in graphs[f"g{k}"].items() if c}
+    edges = spark.createDataFrame([(e, a, b, w) for e, g in graphs.items() for a, c in g.items() for b, w in c.items()], "environment string, caller string, callee string, n int")
+    nodes = {e: sorted(set(g) | {b for c in g.values() for b in c}) for e, g in graphs.items()}
+    active = spark.createDataFrame([(e, n, "LATENCY_ANOMALY", 0) for e, ns in nodes.items() for n in ns], "environment string, service string, anomaly_type string, ts_ms long")
+    got = {(x.environment, x.candidate): x.supporters for x in G.root_candidates(edges, active).collect()}
+    want = {}
+    for e, g in graphs.items():
+        for end in walk_model(g, nodes[e]).values():
+            want[e, end] = want.get((e, end), 0) + 1
+    assert got == want and got["chain", "s9"] == 10
+    roots = spark.createDataFrame([("chain", "s9"), ("ring", "b"), ("g0", "n3")], "environment string, node string")
+    chain = {(x.environment, x.node): x.hops for x in G.causal_chain(edges, active, roots).collect()}
+    assert [chain["chain", f"s{i}"] for i in range(10)] == [9 - i for i in range(10)] and chain["ring", "x"] == 2
+    told = {(x.environment, x.service) for x in G.secondary_services(edges, active, roots).collect()}
+    assert {("chain", f"s{i}") for i in range(9)} <= told and ("chain", "s9") not in told
+    assert told == {k for k, hops in chain.items() if hops > 0}
