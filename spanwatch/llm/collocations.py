@@ -41,7 +41,7 @@ def windows(text: str):
 
 
 def _buckets(counts: Counter, buckets: int, hot: frozenset[str]) -> dict[int, list[str]]:
-    """The windows as lines (three fields, those of pads empty, and their number if that is not 1) by bucket. Windows with the same first
+    """The windows as lines (with a tab and their number if that is not 1) by bucket. Windows with the same first
     two words share one; where both are hot their third word spreads them over more, which are told by a negative number."""
     out: dict[int, list[str]] = {}
     for window, n in counts.items():
@@ -51,7 +51,7 @@ def _buckets(counts: Counter, buckets: int, hot: frozenset[str]) -> dict[int, li
         b = crc32(pair.encode("utf-8", "surrogatepass")) % buckets
         if first >= 0 and window[:first] in hot and pair[first + 1 :] in hot:
             b = -1 - (b + crc32(window.encode("utf-8", "surrogatepass")) % _SPREAD) % buckets
-        line = window if n == 1 else f"{window}{'  ' if first < 0 else ' ' if second < 0 else ''} {n}"
+        line = window if n == 1 else f"{window}\t{n}"
         if b in out:
             out[b].append(line)
         else:
@@ -103,15 +103,18 @@ def window_counts(docs: DataFrame, least: int = 1, text_col: str = "text", lang_
     No key gathers many rows: a bucket's windows were counted before, a hot pair is spread over buckets and never shortened there."""
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = blocks(docs, max(tasks, 1024), hot, text_col, lang_col).repartition(tasks, "lang", "bucket")
-    x = sent.select("lang", "bucket", F.explode(F.split("lines", "\n")).alias("line")).select("lang", "bucket", F.split("line", " ").alias("x"))
-    word = lambda k: F.nullif(F.get("x", F.lit(k)), F.lit(""))
-    each = x.select("lang", "bucket", word(0).alias("w1"), word(1).alias("w2"), word(2).alias("w3"), F.coalesce(F.get("x", F.lit(3)).cast("long"), F.lit(1)).alias("n"))
-    key = ["lang", "bucket", "w1", "w2"]
-    whole = each.groupBy(*key, "w3").agg(F.sum("n").alias("n"))
-    both = F.when(F.col("w3").isNotNull() & (F.col("n") >= least), F.array("w3", F.lit(None))).otherwise(F.array(F.lit(None).cast("string")))
-    summed = whole.select(*key, F.explode(both).alias("w3"), "n").groupBy(*key, "w3").agg(F.sum("n").alias("n"))
-    kept = F.when((F.col("n") >= least) | (F.col("bucket") < 0), F.col("w2"))
-    return summed.select("lang", "w1", kept.alias("w2"), "w3", "n").groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"))
+    line = sent.select("lang", "bucket", F.explode(F.split("lines", "\n")).alias("line"))
+    told = F.expr("if(locate('\t', line) = 0, 1L, cast(substring_index(line, '\t', -1) as long))")
+    key = ["lang", "bucket", "words"]  # words stay joined by blanks until few rows are left
+    whole = line.select("lang", "bucket", F.substring_index("line", "\t", 1).alias("words"), told.alias("n")).groupBy(*key).agg(F.sum("n").alias("n"))
+    first = lambda k: F.substring_index("words", " ", k)
+    often = (F.col("n") >= least) & (F.col("words") != first(2))
+    both = F.when(often, F.array(first(2), "words")).otherwise(F.array(first(2)))
+    summed = whole.select("lang", "bucket", F.explode(both).alias("words"), "n").groupBy(*key).agg(F.sum("n").alias("n"))
+    kept = F.when((F.col("n") >= least) | (F.col("bucket") < 0), F.col("words")).otherwise(first(1))
+    out = summed.select("lang", kept.alias("words"), "n").groupBy("lang", "words").agg(F.sum("n").alias("n"))
+    w = F.split("words", " ")
+    return out.select("lang", *[F.get(w, F.lit(k)).alias(f"w{k + 1}") for k in range(3)], "n")
 
 
 def prefix_counts(counted: DataFrame) -> DataFrame:
