@@ -73,13 +73,22 @@ def established_stream(baseline: DataFrame, least: int = 2) -> DataFrame:
     return baseline.where((F.col("occurrences") >= least) | F.col("auto_promoted"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def with_threshold(df: DataFrame, thresholds: DataFrame | None, key: str, default: float, service: str = "service") -> DataFrame:
     """``df`` with column ``key``: the service's own value, else the default. The table of thresholds is one row per
     service; Spark broadcasts it if it is small."""
     if thresholds is None:
         return df.withColumn(key, F.lit(default))
-    t = thresholds.select(F.col("service").alias(service), F.col(key).alias("__t"))
-    return df.join(t, service, "left").withColumn(key, F.coalesce("__t", F.lit(default))).drop("__t")
+    own = fresh(df, "own_value")
+    t = thresholds.select(F.col("service").alias(service), F.col(key).alias(own))
+    return df.join(t, service, "left").withColumn(key, F.coalesce(own, F.lit(default))).drop(own)
 
 
 def dominant_services(baseline: DataFrame, thresholds: DataFrame | None = None, default: float = DEFAULTS.dominance) -> DataFrame:
@@ -182,22 +191,53 @@ def hash_diff(cur: DataFrame, snap: DataFrame) -> DataFrame:
 
 
 def near_duplicates(baseline: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Pairs of entries of one root op whose path tokens overlap by ``threshold`` (tokens are compared once per pair that
-    shares a token count within the threshold)."""
+    """Pairs of entries of one root op whose path tokens overlap by ``threshold`` (Jaccard).
+
+    Two such entries of n tokens at most share one of the n - ceil(threshold n) + 1 rarest tokens of each, so only entries that meet in
+    these prefixes are compared: no pair is formed because of the root op or of tokens that most entries have."""
     b = baseline.select(*ROOT, "fp_hash", S.path_tokens(F.col("path")).alias("t")).withColumn("n", F.size("t"))
-    x, y = (b.select(*ROOT, F.col("fp_hash").alias(f"hash_{s}"), F.col("t").alias(f"t{s}"), F.col("n").alias(f"n{s}")) for s in "ab")
-    j = x.join(y, ROOT).where(f"hash_a < hash_b and least(na, nb) >= {threshold} * greatest(na, nb)")
-    return j.withColumn("similarity", S.jaccard(F.col("ta"), F.col("tb"))).where(F.col("similarity") >= threshold).select(*ROOT, "hash_a", "hash_b", F.round("similarity", 6).alias("similarity"))
+    each = b.select(*ROOT, "fp_hash", "n", F.explode("t").alias("token"))
+    counts = each.groupBy(*ROOT, "token").agg(F.count("*").alias("seen"))
+    rarest = Window.partitionBy(*ROOT, "fp_hash").orderBy("seen", "token")
+    prefix = each.join(counts, [*ROOT, "token"]).withColumn("place", F.row_number().over(rarest))
+    prefix = prefix.where(F.col("place") <= F.col("n") - F.ceil(F.round(F.lit(threshold) * F.col("n"), 9)) + 1).select(*ROOT, "token", "fp_hash", "n")
+    side = lambda x: prefix.select(*ROOT, "token", F.col("fp_hash").alias(f"hash_{x}"), F.col("n").alias(f"n{x}"))
+    met = side("a").join(side("b"), [*ROOT, "token"]).where(f"hash_a < hash_b and least(na, nb) >= {threshold} * greatest(na, nb)")
+    pairs = met.select(*ROOT, "hash_a", "hash_b").distinct()
+    tokens = lambda x: b.select(*ROOT, F.col("fp_hash").alias(f"hash_{x}"), F.col("t").alias(f"t{x}"))
+    j = pairs.join(tokens("a"), [*ROOT, "hash_a"]).join(tokens("b"), [*ROOT, "hash_b"])
+    j = j.withColumn("similarity", S.jaccard(F.col("ta"), F.col("tb"))).where(F.col("similarity") >= threshold)
+    return j.select(*ROOT, "hash_a", "hash_b", F.round("similarity", 6).alias("similarity"))
 
 
 def closest_baseline(live: DataFrame, baseline: DataFrame) -> DataFrame:
-    """For fingerprints that the baseline lacks, the entry of the same root op with the most similar edges."""
+    """For fingerprints that the baseline lacks, the entry of the same root op with the most similar edges (Jaccard; ties: the smaller hash; without
+    any common edge the smallest hash of the root op).
+
+    Entries are found by edges, the rarest first. The best entry that shares a fingerprint's rarest edge bounds the answer from below: whatever is
+    as similar shares that share of its edges, so one of its rarest edges up to that bound. Only entries that meet there are compared."""
     first = F.min_by(F.struct("root_op", "path", "services", "span_count"), F.struct("trace_start", "trace_id")).alias("x")
     new = live.groupBy(*KEY).agg(first).select(*KEY, "x.*").join(baseline.select(*KEY), KEY, "left_anti").withColumn("e", S.path_edges(F.col("path")))
-    b = baseline.select(*ROOT, F.col("fp_hash").alias("base_hash"), F.col("path").alias("base_path"), F.col("services").alias("base_services"), F.col("span_count").alias("base_span_count")).withColumn("be", S.path_edges(F.col("base_path")))
-    j = new.join(b, ROOT).withColumn("similarity", F.size(F.array_intersect("e", "be")) / F.greatest(F.size(F.array_union("e", "be")), F.lit(1)))
-    w = Window.partitionBy(*KEY).orderBy(F.desc("similarity"), "base_hash")
-    return j.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+    b = baseline.select(
+        *ROOT, F.col("fp_hash").alias("base_hash"), F.col("path").alias("base_path"), F.col("services").alias("base_services"), F.col("span_count").alias("base_span_count")
+    ).withColumn("be", S.path_edges(F.col("base_path")))
+    held = b.select(*ROOT, "base_hash", F.explode("be").alias("edge"))
+    counts = held.groupBy(*ROOT, "edge").agg(F.count("*").alias("seen"))
+    mine = new.select(*KEY, "root_op", F.size("e").alias("n"), F.explode("e").alias("edge")).join(counts, [*ROOT, "edge"])  # edges that no entry has find none
+    mine = mine.withColumn("place", F.row_number().over(Window.partitionBy(*KEY).orderBy("seen", "edge")))
+    met = lambda edges: edges.join(held, [*ROOT, "edge"]).select(*KEY, "root_op", "base_hash").distinct()
+    sets = b.select(*ROOT, "base_hash", "be")
+    share = F.size(F.array_intersect("e", "be")) / F.greatest(F.size(F.array_union("e", "be")), F.lit(1))
+    measured = lambda pairs: pairs.join(new.select(*KEY, "e"), KEY).join(sets, [*ROOT, "base_hash"]).withColumn("similarity", share)
+    bound = measured(met(mine.where("place = 1"))).groupBy(*KEY).agg(F.max("similarity").alias("bound"))
+    # of n edges a similar entry shares ceil(bound n): it misses n less that many; edges that no entry has are among those it misses
+    known = mine.join(bound, KEY).withColumn("absent", F.col("n") - F.max("place").over(Window.partitionBy(*KEY)))
+    wide = known.where(F.col("place") <= F.col("n") - F.ceil(F.round(F.col("bound") * F.col("n"), 9)) - F.col("absent") + 1)
+    order = F.struct((-F.col("similarity")).alias("s"), "base_hash")
+    best = measured(met(wide)).groupBy(*KEY).agg(F.min(order).alias("best"))
+    least = b.groupBy(*ROOT).agg(F.min("base_hash").alias("least"))
+    chosen = new.join(least, ROOT).join(best, KEY, "left").withColumn("base_hash", F.coalesce("best.base_hash", "least")).withColumn("similarity", -F.coalesce("best.s", F.lit(0.0)))
+    return chosen.drop("best", "least").join(b, [*ROOT, "base_hash"]).withColumn("similarity", F.abs("similarity"))
 
 
 def diff_fingerprints(pairs: DataFrame) -> DataFrame:
@@ -287,8 +327,9 @@ def decay(baseline: DataFrame, as_of, stale_days: int = 14, prune_days: int = 30
 
 def apply_overrides(baseline: DataFrame, overrides: DataFrame) -> DataFrame:
     """Set no_missing_service by root op; ``overrides(environment, root_op, no_missing_service)``."""
-    o = overrides.groupBy(*ROOT).agg(F.max("no_missing_service").alias("__flag"))
-    return baseline.join(o, ROOT, "left").withColumn("no_missing_service", F.coalesce("__flag", "no_missing_service", F.lit(False))).select(*baseline.columns)
+    told = fresh(baseline, "told")
+    o = overrides.groupBy(*ROOT).agg(F.max("no_missing_service").alias(told))
+    return baseline.join(o, ROOT, "left").withColumn("no_missing_service", F.coalesce(told, "no_missing_service", F.lit(False))).select(*baseline.columns)
 
 
 def set_override(overrides: DataFrame, entry: DataFrame) -> DataFrame:
@@ -309,11 +350,15 @@ def prune_seen(counts: DataFrame, baseline: DataFrame) -> DataFrame:
     return counts.join(baseline.select(*KEY), KEY, "left_anti")
 
 
-def stale_entries(baseline: DataFrame, windows: DataFrame) -> DataFrame:
-    """Entries first seen inside an incident window (``windows(environment, start_ms, end_ms)``, ends included)."""
-    first = F.unix_millis("first_seen")
-    j = baseline.withColumn("first_ms", first).join(windows, "environment").where("first_ms between start_ms and end_ms")
-    return j.groupBy(*KEY, "root_op").agg(F.min("start_ms").alias("window_start"))
+def stale_entries(baseline: DataFrame, windows: DataFrame, bucket_ms: int = 3_600_000) -> DataFrame:
+    """Entries first seen inside an incident window (``windows(environment, start_ms, end_ms)``, ends included). Windows are spread over the
+    buckets of time that they cover, so an entry meets those of its own bucket only."""
+    bucket = lambda c: F.floor(F.col(c) / bucket_ms)
+    first, start = fresh(baseline, "first_ms"), fresh(baseline, "start_ms")
+    spread = windows.where("start_ms <= end_ms").select("environment", F.col("start_ms").alias(start), F.col("end_ms").alias("until"), F.explode(F.sequence(bucket("start_ms"), bucket("end_ms"))).alias("bucket"))
+    entries = baseline.select(*KEY, "root_op", F.unix_millis("first_seen").alias(first)).withColumn("bucket", bucket(first))
+    j = entries.join(spread, ["environment", "bucket"]).where(F.col(first).between(F.col(start), F.col("until")))
+    return j.groupBy(*KEY, "root_op").agg(F.min(start).alias("window_start"))
 
 
 def health_check(trace: DataFrame, errors: DataFrame, windows: DataFrame, as_of) -> DataFrame:

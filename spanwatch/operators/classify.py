@@ -109,13 +109,18 @@ def restored(fps: DataFrame, drifts: DataFrame, baseline: DataFrame) -> DataFram
 
 def missing_root_ops(fps: DataFrame, baseline: DataFrame, interval_s: int, as_of, factor: int = 4) -> DataFrame:
     """Silences of established root ops that call more than infrastructure: gaps of ``factor`` intervals or more after a trace (up to
-    ``as_of`` for the last)."""
-    w = Window.partitionBy(*ROOT).orderBy("trace_start", "trace_id")
-    nxt = F.coalesce(F.lead("trace_start").over(w), F.lit(as_of).cast("timestamp"))
-    gap = (F.unix_micros("next_start") - F.unix_micros("trace_start")) / 1_000_000
+    ``as_of`` for the last).
+
+    Time is cut into slots as long as the shortest silence. None lies inside a slot, so traces are folded to the first and last one of each
+    slot, and only a root op's slots, not its traces, are put in order."""
+    length = factor * interval_s * 1_000_000
     watched = B.established_root_ops(baseline).join(B.infra_only_root_ops(baseline), ROOT, "left_anti")
-    g = fps.join(watched, ROOT, "left_semi").withColumn("next_start", nxt).withColumn("silence_s", F.floor(gap))
-    return g.where(F.col("silence_s") >= factor * interval_s).select(*ROOT, F.col("trace_start").alias("last_seen"), "silence_s")
+    at = fps.join(watched, ROOT, "left_semi").select(*ROOT, F.unix_micros("trace_start").alias("at"))
+    slots = at.groupBy(*ROOT, F.floor(F.col("at") / length).alias("slot")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    following = F.lead("first").over(Window.partitionBy(*ROOT).orderBy("slot"))
+    until = F.coalesce(following, F.unix_micros(F.lit(as_of).cast("timestamp")))
+    g = slots.withColumn("silence_s", F.floor((until - F.col("last")) / 1_000_000))
+    return g.where(F.col("silence_s") >= factor * interval_s).select(*ROOT, F.timestamp_micros("last").alias("last_seen"), "silence_s")
 
 
 def with_root_stats(fps: DataFrame, baseline: DataFrame) -> DataFrame:

@@ -192,9 +192,13 @@ def similar_incidents(cur: DataFrame, past: DataFrame, n: int = 5) -> DataFrame:
 
 
 def suppress_recent(corr: DataFrame, key: list[str], ttl_ms: int = 1_800_000) -> DataFrame:
-    """Without correlations whose key had another within the time before."""
-    w = Window.partitionBy(*key).orderBy("earliest_ms")
-    return corr.withColumn("before", F.lag("earliest_ms").over(w)).where(F.col("before").isNull() | (F.col("earliest_ms") - F.col("before") > ttl_ms)).drop("before")
+    """Without correlations whose key had another within the time before. A row also rides along into the slot of that length after its own,
+    so the one before it lies in one partition of (key, slot) if it is that near."""
+    own = F.floor(F.col("earliest_ms") / F.lit(max(ttl_ms, 1)))
+    dealt = corr.withColumn("own_slot", own).withColumn("slot_no", F.explode(F.array(F.col("own_slot"), F.col("own_slot") + 1)))
+    before = F.lag("earliest_ms").over(Window.partitionBy(*key, "slot_no").orderBy("earliest_ms"))
+    told = dealt.withColumn("before", before).where("slot_no = own_slot")
+    return told.where(F.col("before").isNull() | (F.col("earliest_ms") - F.col("before") > ttl_ms)).select(*corr.columns)
 
 
 def relearn_trigger(restored: DataFrame, poll_ms: int = 300_000, cooldown_ms: int = 600_000) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanwatch.config import DEFAULTS
 from spanwatch.functions import scalars as S
+from spanwatch.lineage import stored
 from spanwatch.operators.traces import TRACE
 
 US = 1_000_000
@@ -31,10 +32,17 @@ def query_stats(spans: DataFrame) -> DataFrame:
     return g.withColumn("query_hash", S.query_hash(F.col("service"), F.col("db"), F.col("template")))
 
 
-def with_phase(df: DataFrame, key: list[str], n: int) -> DataFrame:
-    """``df`` with its arrival number per key and whether it belongs to the learn phase (the first ``n``)."""
-    w = Window.partitionBy(*key).orderBy("ts_us", "trace_id")
-    return df.withColumn("nth", F.row_number().over(w)).withColumn("learning", F.col("nth") <= n)
+def with_phase(df: DataFrame, key: list[str], n: int, slot_s: int = 86_400) -> DataFrame:
+    """``df`` with its arrival number per key and whether it belongs to the learn phase (the first ``n``).
+
+    Rows are numbered inside slots of time; the rows of the slots before are added from a table of slots, so no partition holds a key's
+    rows."""
+    slot = F.floor(F.col("ts_us") / F.lit(slot_s * US))
+    sizes = df.groupBy(*key, slot.alias("slot_no")).agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy(*key).orderBy("slot_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy(*key, "slot_no").orderBy("ts_us", "trace_id"))
+    told = df.withColumn("slot_no", slot).withColumn("own", own).join(sizes.select(*key, "slot_no", before.alias("before")), [*key, "slot_no"])
+    return told.withColumn("nth", (F.col("before") + F.col("own")).cast("int")).withColumn("learning", F.col("nth") <= n).select(*df.columns, "nth", "learning")
 
 
 def with_learn_stats(df: DataFrame, key: list[str], value: str, n: int) -> DataFrame:
@@ -63,11 +71,30 @@ def with_rolling_mean(df: DataFrame, key: list[str], value: str, window_s: int)
     return over_recent(df, key, window_s * US, rolling=F.avg(value))
 
 
+WEEK_US = 7 * 86_400 * US
+
+
 def with_seasonal_stats(df: DataFrame, key: list[str], value: str) -> DataFrame:
-    """Running count, mean and deviation per key and hour of the week, the row itself included: 168 partitions a key."""
-    slot = S.seasonal_slot(F.timestamp_micros("ts_us"))
-    w = Window.partitionBy(*key, "slot").orderBy("ts_us", "trace_id").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("slot", slot).withColumn("slot_n", F.count("*").over(w)).withColumn("slot_mean", F.avg(value).over(w)).withColumn("slot_std", F.stddev_pop(value).over(w))
+    """Running count, mean and population deviation per key and hour of the week, the row itself included.
+
+    Rows are folded inside a week only. The weeks before come as moments (count, mean, squared deviations): one row per key, hour and week,
+    merged over the weeks before and joined back."""
+    hour, week = S.seasonal_slot(F.timestamp_micros("ts_us")), F.floor(F.col("ts_us") / F.lit(WEEK_US))
+    dealt = df.withColumn("slot", hour).withColumn("week_no", week)
+    cell = [*key, "slot", "week_no"]
+    weeks = dealt.groupBy(*cell).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), (F.var_pop(value) * F.count(value)).alias("m2"))
+    past = Window.partitionBy(*key, "slot").orderBy("week_no").rowsBetween(Window.unboundedPreceding, -1)  # a row per week
+    total = F.sum("n").over(past)
+    mean = F.sum(F.col("n") * F.col("mean")).over(past) / total
+    weeks = weeks.withColumns({"n0": F.coalesce(total, F.lit(0)), "mean0": F.coalesce(mean, F.lit(0.0))})
+    spread = F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")).over(past) - F.col("n0") * F.col("mean0") * F.col("mean0")
+    weeks = weeks.withColumn("m20", F.coalesce(F.greatest(spread, F.lit(0.0)), F.lit(0.0))).select(*cell, "n0", "mean0", "m20")
+    own = Window.partitionBy(*cell).orderBy("ts_us", "trace_id").rowsBetween(Window.unboundedPreceding, 0)
+    s = dealt.withColumns({"n1": F.count(value).over(own), "mean1": F.avg(value).over(own), "m21": F.var_pop(value).over(own) * F.count(value).over(own)}).join(weeks, cell)
+    n, apart = F.col("n0") + F.col("n1"), F.col("mean1") - F.col("mean0")
+    merged = F.col("m20") + F.col("m21") + apart * apart * F.col("n0") * F.col("n1") / n
+    stats = {"slot_n": n, "slot_mean": F.col("mean0") + apart * F.col("n1") / n, "slot_std": F.sqrt(merged / n)}
+    return s.withColumns(stats).select(*df.columns, "slot", *stats)
 
 
 def with_error_rate(df: DataFrame, key: list[str], window_s: int) -> DataFrame:
@@ -91,7 +118,7 @@ OP = ["environment", "service", "operation"]
 def latency_anomalies(spans: DataFrame, window_s: int = DEFAULTS.latency_window_s, learn: int = DEFAULTS.latency_learn, z: float = DEFAULTS.z, seasonal: bool = True) -> DataFrame:
     """Operations whose rolling latency is ``z`` deviations above what they learned, or above their hour of the week once that
     has ``learn`` samples."""
-    s = with_rolling_mean(with_learn_stats(op_stats(spans), OP, "mean_us", learn), OP, "mean_us", window_s)
+    s = with_rolling_mean(with_learn_stats(stored(op_stats(spans), "op-stats"), OP, "mean_us", learn), OP, "mean_us", window_s)
     mean, std = F.col("base_mean"), F.col("base_std")
     if seasonal:
         s = with_seasonal_stats(s, OP, "mean_us")
@@ -228,9 +255,11 @@ def metrics_snapshot(spans: DataFrame, window_s: int, learn: int = DEFAULTS.late
     return out.withColumn("status", F.element_at(F.array(*map(F.lit, ("learning", "ok", "warn", "anomaly"))), F.col("rank") + 1)).drop("rank")
 
 
-def slo_inputs(spans: DataFrame) -> DataFrame:
+def slo_inputs(spans: DataFrame, accuracy: int = 100_000) -> DataFrame:
+    """Error rate, 99th percentile and spans a minute per service. The percentile comes from a mergeable sketch: its rank is off by one
+    part in ``accuracy`` of the spans at most, and exact for few of them."""
     minutes = (F.max("start_us") - F.min("start_us")) / (60 * US)
-    return spans.groupBy("environment", "service").agg(F.avg(F.col("is_error").cast("double")).alias("error_rate"), F.percentile("duration_us", 0.99).alias("p99_us"), (F.count("*") / F.greatest(minutes, F.lit(1.0))).alias("per_min"))
+    return spans.groupBy("environment", "service").agg(F.avg(F.col("is_error").cast("double")).alias("error_rate"), F.percentile_approx("duration_us", 0.99, accuracy).cast("double").alias("p99_us"), (F.count("*") / F.greatest(minutes, F.lit(1.0))).alias("per_min"))
 
 
 def slo_budget(inputs: DataFrame, slo: float = 0.999, p99_ms: float = 1000.0) -> DataFrame:

@@ -11,23 +11,49 @@ from spanwatch.functions import scalars as S
 TRACE = ["environment", "trace_id"]
 
 
+def shortest_holders(spans: DataFrame) -> DataFrame:
+    """(environment, trace_id, span_id, held): for each span that another one of its trace holds (start included, end not), the shortest of
+    these (ties: earlier start, then span id). Span ids are unique in a trace.
+
+    A sweep over starts and ends numbers the starts of a trace, so a span holds one run of numbers. Each run is cut into at most two aligned blocks
+    for each power of two; of the spans that own a block only the shortest counts, and a span looks at the blocks around its own number.
+    A trace of n spans takes n log n rows, however deep it nests, where a join of all with all takes n^2."""
+    kinds = F.array(F.struct(F.col("start_us").alias("t"), F.lit(1).alias("kind")), F.struct((F.col("start_us") + F.col("duration_us")).alias("t"), F.lit(0).alias("kind")))
+    events = spans.select(*TRACE, "span_id", "start_us", "duration_us", F.inline(kinds))
+    swept = Window.partitionBy(*TRACE).orderBy("t", "kind", "span_id").rowsBetween(Window.unboundedPreceding, 0)
+    events = events.withColumn("starts", F.sum("kind").over(swept))
+    one = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("starts")))
+    runs = events.groupBy(*TRACE, "span_id").agg(F.min("start_us").alias("start_us"), F.min("duration_us").alias("duration_us"), (one(1) - 1).alias("own"), one(0).alias("until"))
+    whole, equal = Window.partitionBy(*TRACE), Window.partitionBy(*TRACE, "start_us")
+    runs = runs.withColumns({"from": F.min("own").over(equal), "last": F.max("own").over(whole)})
+    # a run without the span's own number is two; of each power of two the blocks that no larger one takes in
+    level = lambda n: F.explode(F.sequence(F.lit(0), F.floor(F.log2(n)).cast("int")))
+    sized = runs.where("until - `from` > 1").withColumn("level", level(F.expr("until - `from`")))
+    up = lambda c: F.expr(f"shiftright({c} + shiftleft(1L, level) - 1, level)")
+    down = lambda c: F.expr(f"shiftright({c}, level)")
+    ends = sized.withColumns({"a1": up("`from`"), "b1": down("own"), "a2": up("own + 1"), "b2": down("until")})
+    block = lambda at, a, b, edge: F.struct(F.expr(at).alias("block"), F.expr(f"{a} < {b} and {edge} % 2 = 1").alias("is_owned"))
+    four = F.array(block("a1", "a1", "b1", "a1"), block("b1 - 1", "a1", "b1", "b1"), block("a2", "a2", "b2", "a2"), block("b2 - 1", "a2", "b2", "b2"))
+    owned = ends.select(*TRACE, "level", "duration_us", "start_us", "span_id", F.inline(four)).where("is_owned")
+    shortest = owned.groupBy(*TRACE, "level", "block").agg(F.min(F.struct("duration_us", "start_us", "span_id")).alias("span"))
+    asked = runs.where("last > 0").withColumn("level", level(F.col("last") + 1)).select(*TRACE, F.col("span_id").alias("asks"), "level", down("own").alias("block"))
+    held = asked.join(shortest, [*TRACE, "level", "block"]).groupBy(*TRACE, F.col("asks").alias("span_id")).agg(F.min("span").alias("span"))
+    return held.select(*TRACE, "span_id", F.col("span.span_id").alias("held"))
+
+
 def resolve_parents(spans: DataFrame, explicit: bool = True) -> DataFrame:
     """``spans`` with ``parent``: the explicit parent if it is in the trace (``explicit``), else the shortest
     other span of the trace that holds the span's start (ties: earlier start, then span id); null if none.
 
-    All joins are on the trace, so one exchange serves them, and a giant trace is a skewed join that
-    adaptive execution can split."""
-    keys = spans.select(*TRACE, F.col("span_id").alias("pid"), F.col("start_us").alias("p_start"), F.col("duration_us").alias("p_duration"))
-    s = spans
-    if explicit:
-        known = keys.select(*TRACE, F.col("pid").alias("known")).distinct()
-        s = spans.join(known, [spans[c] == known[c] for c in TRACE] + [spans["parent_id"] == known["known"]], "left").select(spans["*"], "known")
-    else:
-        s = spans.withColumn("known", F.lit(None).cast("string"))
-    open_ = s.where("known is null").select(*TRACE, "span_id", "start_us")
-    held = open_.join(keys, TRACE).where("pid <> span_id and p_start <= start_us and start_us < p_start + p_duration")
-    best = held.groupBy(*TRACE, "span_id").agg(F.min(F.struct("p_duration", "p_start", "pid")).alias("best")).select(*TRACE, "span_id", F.col("best.pid").alias("held"))
-    return s.join(best, [*TRACE, "span_id"], "left").withColumn("parent", F.coalesce("known", "held")).select(*spans.columns, "parent")
+    Spans that have the column already stay as they are, so a table of them serves several operators."""
+    if "parent" in spans.columns:
+        return spans
+    held = shortest_holders(spans)
+    if not explicit:
+        return spans.join(held, [*TRACE, "span_id"], "left").select(*spans.columns, F.col("held").alias("parent"))
+    known = spans.select(*TRACE, F.col("span_id").alias("parent_id")).distinct().withColumn("known", F.col("parent_id"))
+    s = spans.join(known, [*TRACE, "parent_id"], "left").join(held, [*TRACE, "span_id"], "left")
+    return s.select(*spans.columns, F.coalesce("known", "held").alias("parent"))
 
 
 def with_frame(spans: DataFrame) -> DataFrame:

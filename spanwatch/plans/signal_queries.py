@@ -130,7 +130,7 @@ def a_service_metrics(spark, d):
     return M.metrics_snapshot(spans(spark, d), 2 * DAY).where("level = 'operation'").withColumn("z", F.round("z", 6))
 
 
-_SLO = "select environment, service, avg(is_error::int) as error_rate, quantile_cont(duration_us, 0.99) as p99_us, count(*) / greatest((max(start_us) - min(start_us)) / 60000000.0, 1.0) as per_min from spans group by 1, 2"
+_SLO = "select environment, service, avg(is_error::int) as error_rate, list_sort(list(duration_us))[ceil(0.99::double * count(*))::bigint]::double as p99_us, count(*) / greatest((max(start_us) - min(start_us)) / 60000000.0, 1.0) as per_min from spans group by 1, 2"
 
 
 @query(sql(f"select environment, service, error_rate, round(p99_us, 3) as p99_us, round(per_min, 9) as per_min from ({_SLO})"))
@@ -226,8 +226,8 @@ def b_relearn_from_window(spark, d):
 _TE = "te as (select environment, from_service as caller, to_service as callee, min(t) as first_us, max(t) as last_us, count(*) as n from (select environment, trace_id, from_service, to_service, min(start_us) as t from edges where from_service <> to_service group by 1, 2, 3, 4) group by 1, 2, 3)"
 
 
-def graph(spark, d):
-    return G.topology_edges(spans(spark, d))
+def graph(spark, d, of=None):
+    return G.topology_edges(spans(spark, d) if of is None else of)
 
 
 def early_graph(spark, d):
@@ -515,7 +515,8 @@ _HEALTH = """select environment, 'STALE_BASELINE' as "check", '' as hash, '' as
 
 @query(_q(_HEALTH, _IW))
 def b_health(spark, d):
-    return B.health_check(stored(base(spark, d), "baseline"), stored(ebase(spark, d), "errors"), stored(windows(spark, d), "windows"), "2024-02-10")
+    s = stored(T.resolve_parents(spans(spark, d), explicit=False), "parented")
+    return B.health_check(stored(base(spark, d, s), "baseline"), stored(ebase(spark, d, s), "errors"), stored(windows(spark, d), "windows"), "2024-02-10")
 
 
 def _sess(key: str, gap: int) -> str:
@@ -660,7 +661,8 @@ def set_union_events(spark, d):
     select environment, service, score, case when score >= 75 then 'CRITICAL' when score >= 55 then 'HIGH' when score >= 35 then 'MEDIUM' else 'LOW' end as grade from j"""))
 def s_deploy_risk(spark, d):
     tuned = spark.createDataFrame([("view", 0.8, 2.0), ("click", 0.5, 1.5)], "service string, missing_service_dominance_threshold double, span_count_spike_multiplier double")
-    return K.deployment_risk(stored(base(spark, d), "baseline"), stored(ebase(spark, d), "errors"), stored(graph(spark, d), "graph"), events(spark, d), 720, tuned)
+    s = stored(T.resolve_parents(spans(spark, d), explicit=False), "parented")  # the parents serve all three
+    return K.deployment_risk(stored(base(spark, d, s), "baseline"), stored(ebase(spark, d, s), "errors"), stored(graph(spark, d, s), "graph"), events(spark, d), 720, tuned)
 
 
 @query(sql("""with te as (select distinct environment, from_service as caller, to_service as callee from edges where from_service <> to_service)

@@ -16,16 +16,17 @@ from spanwatch.sources import fixtures as X
 AS_OF = "2024-02-10"
 
 
-def fps(spark, d, known=None):
-    return T.fingerprint(spans(spark, d), known_root_ops=known)
+def fps(spark, d, known=None, of=None):
+    """Fingerprints of all traces; ``of`` are their spans with parents, where several steps use these."""
+    return T.fingerprint(spans(spark, d) if of is None else of, known_root_ops=known)
 
 
-def learnt(spark, d):
-    return learn_window(fps(spark, d))
+def learnt(spark, d, of=None):
+    return learn_window(fps(spark, d, of=of))
 
 
-def base(spark, d):
-    return B.learn_trace(learnt(spark, d))
+def base(spark, d, of=None):
+    return B.learn_trace(learnt(spark, d, of))
 
 
 def live(spark, d):
@@ -42,12 +43,12 @@ def watched(spark, d):
     return live(spark, d)[0]
 
 
-def sigs(spark, d):
-    return E.error_signatures(spans(spark, d))
+def sigs(spark, d, of=None):
+    return E.error_signatures(spans(spark, d) if of is None else of)
 
 
-def ebase(spark, d):
-    return E.learn_error(learn_window(sigs(spark, d), "event_time"))
+def ebase(spark, d, of=None):
+    return E.learn_error(learn_window(sigs(spark, d, of), "event_time"))
 
 
 def ecounts(spark, d):
