@@ -35,7 +35,7 @@ class Aligner:
     ``cache_bytes`` bounds what is kept of units seen before (about); units of more than 64 characters are never kept.
     """
 
-    def __init__(self, a_content: bytes, b_content: bytes, cache_bytes: int = 96 << 20):
+    def __init__(self, a_content: bytes, b_content: bytes, cache_bytes: int = 192 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
