@@ -182,13 +182,32 @@ def incident_history(events: DataFrame, gap_ms: int = 30_000, correlated: int =
 
 
 def similar_incidents(cur: DataFrame, past: DataFrame, n: int = 5) -> DataFrame:
-    """For each current row the ``n`` past ones that share most types and services. ``cur`` is a handful of open incidents."""
-    p = past.select(F.col("environment").alias("p_env"), F.col("day").alias("p_day"), F.col("types").alias("pt"), F.col("services").alias("ps"))
-    each = p.withColumn("key", F.explode(F.array_union(F.transform("pt", lambda x: F.concat(F.lit("t:"), x)), F.transform("ps", lambda x: F.concat(F.lit("s:"), x)))))
-    mine = cur.withColumn("key", F.explode(F.array_union(F.transform("types", lambda x: F.concat(F.lit("t:"), x)), F.transform("services", lambda x: F.concat(F.lit("s:"), x)))))
-    score = mine.select("environment", "day", "key").join(each.select("p_env", "p_day", "key"), "key").groupBy("environment", "day", "p_env", "p_day").agg(F.count("*").alias("score"))
-    w = Window.partitionBy("environment", "day").orderBy(F.desc("score"), "p_env", "p_day")
-    return score.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    """For each current row the ``n`` past ones that share most types and services (ties: environment, day). ``cur`` is a handful of open incidents.
+
+    Past rows of the same types and services score alike, so of each such set only the first ``n`` can be chosen: years of history shrink to
+    its distinct sets before anything is joined. Of these sets those are scored that share a service, which few do; sets that share types
+    alone are looked at for the current rows that they could still reach."""
+    kinds = [F.array_sort("types").alias("pt"), F.array_sort("services").alias("ps")]
+    p = past.select(F.col("environment").alias("p_env"), F.col("day").alias("p_day"), *kinds)
+    alike = Window.partitionBy("pt", "ps").orderBy("p_env", "p_day")
+    p = p.withColumn("r", F.row_number().over(alike)).where(F.col("r") <= n).drop("r")
+    key = ["environment", "day"]
+    score = F.size(F.array_intersect("types", "pt")) + F.size(F.array_intersect("services", "ps"))
+    order = Window.partitionBy(*key).orderBy(F.desc("score"), "p_env", "p_day")
+
+    def met(rows: DataFrame, mine: str, theirs: str) -> DataFrame:
+        one = rows.select(*key, "types", "services", F.explode(mine).alias("k"))
+        j = one.join(p.select("p_env", "p_day", "pt", "ps", F.explode(theirs).alias("k")), "k").drop("k").distinct()
+        return j.select(*key, "p_env", "p_day", score.cast("long").alias("score"))
+
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+    near = best(met(cur, "services", "ps"))
+    reached = near.where(F.col("place") == n).select(*key, F.col("score").alias("least"))
+    # without a common service a set scores as many points as the row has types at most
+    open_ = cur.join(reached, key, "left").where(F.col("least").isNull() | (F.col("least") <= F.size("types"))).drop("least")
+    return best(near.drop("place").unionByName(met(open_, "types", "pt")).distinct())
 
 
 def suppress_recent(corr: DataFrame, key: list[str], ttl_ms: int = 1_800_000) -> DataFrame:

@@ -84,16 +84,18 @@ def with_seasonal_stats(df: DataFrame, key: list[str], value: str) -> DataFrame:
     cell = [*key, "slot", "week_no"]
     weeks = dealt.groupBy(*cell).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), (F.var_pop(value) * F.count(value)).alias("m2"))
     past = Window.partitionBy(*key, "slot").orderBy("week_no").rowsBetween(Window.unboundedPreceding, -1)  # a row per week
-    total = F.sum("n").over(past)
-    mean = F.sum(F.col("n") * F.col("mean")).over(past) / total
-    weeks = weeks.withColumns({"n0": F.coalesce(total, F.lit(0)), "mean0": F.coalesce(mean, F.lit(0.0))})
-    spread = F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")).over(past) - F.col("n0") * F.col("mean0") * F.col("mean0")
-    weeks = weeks.withColumn("m20", F.coalesce(F.greatest(spread, F.lit(0.0)), F.lit(0.0))).select(*cell, "n0", "mean0", "m20")
+    first = F.first("mean").over(Window.partitionBy(*key, "slot").orderBy("week_no"))  # means are told from the first week's, so nearly equal ones keep their digits
+    weeks = weeks.withColumn("apart", F.col("mean") - first).withColumn("first", first)
+    before = lambda c: F.coalesce(F.sum(c).over(past), F.lit(0))
+    weeks = weeks.withColumns({"n0": before("n"), "sum0": before(F.col("n") * F.col("apart")), "square0": before(F.col("m2") + F.col("n") * F.col("apart") * F.col("apart"))})
+    shift = F.coalesce(F.col("sum0") / F.nullif("n0", F.lit(0)), F.lit(0.0))
+    moments = {"mean0": F.col("first") + shift, "m20": F.greatest(F.col("square0") - F.col("n0") * shift * shift, F.lit(0.0))}
+    weeks = weeks.withColumns(moments).select(*cell, "n0", "mean0", "m20")
     own = Window.partitionBy(*cell).orderBy("ts_us", "trace_id").rowsBetween(Window.unboundedPreceding, 0)
     s = dealt.withColumns({"n1": F.count(value).over(own), "mean1": F.avg(value).over(own), "m21": F.var_pop(value).over(own) * F.count(value).over(own)}).join(weeks, cell)
     n, apart = F.col("n0") + F.col("n1"), F.col("mean1") - F.col("mean0")
     merged = F.col("m20") + F.col("m21") + apart * apart * F.col("n0") * F.col("n1") / n
-    stats = {"slot_n": n, "slot_mean": F.col("mean0") + apart * F.col("n1") / n, "slot_std": F.sqrt(merged / n)}
+    stats = {"slot_n": n, "slot_mean": F.col("mean1") - apart * F.col("n0") / n, "slot_std": F.sqrt(merged / n)}
     return s.withColumns(stats).select(*df.columns, "slot", *stats)
 
 

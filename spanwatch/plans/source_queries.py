@@ -96,9 +96,17 @@ def src_node_metrics(spark, d):
     return R.node_utilisation(_metrics(spark, d))
 
 
-@query(sql(f"select *, 'ok' as pressure, 'host_ok' as verdict from ({_UTIL})"))
+@query(sql("""select *, case when cpu is null and memory is null then 'no_data' when cpu >= 90 or memory >= 95 then 'critical' when cpu >= 70 or memory >= 85 then 'elevated' else 'ok' end as pressure,
+    case when cpu is null and memory is null then 'no_data' when cpu >= 70 or memory >= 85 then 'host_issue' else 'host_ok' end as verdict from
+    (select 'node' || n as node, round(avg(k / 100.0 * (1 + n / 36.0)) filter (where k % 2 = 0 and n % 12 <> 5) * 100, 1) as cpu, round(avg(k / 100.0 * (1 + (n * 7) % 37 / 36.0)) filter (where k % 2 = 1 and n % 6 <> 5) * 100, 1) as memory
+     from (select *, user_id % 37 as n from ev) group by 1)"""))
 def d_host_pressure(spark, d):
-    return R.host_verdict(R.node_utilisation(_metrics(spark, d)))
+    """Nodes from idle to full; some tell no memory, some nothing."""
+    n = F.col("user_id") % 37
+    e = X._events(spark, d).withColumn("n", n).withColumn("is_cpu", F.col("k") % 2 == 0)
+    kind = F.when(F.col("is_cpu") & (F.col("n") % 12 != 5), "cpu").when(~F.col("is_cpu") & (F.col("n") % 6 != 5), "memory").otherwise("disk")
+    load = F.when(F.col("is_cpu"), 1 + F.col("n") / 36.0).otherwise(1 + (F.col("n") * 7) % 37 / 36.0)
+    return R.host_verdict(R.node_utilisation(e.select(F.concat(F.lit("node"), "n").alias("node"), kind.alias("metric"), (F.col("k") / 100.0 * load).alias("value"))))
 
 
 @query(sql(f"select service, count(*) as nodes, max(cpu) as cpu, max(memory) as memory from (select distinct event_type as service, 'node' || (user_id % 7) as node from events) left join ({_UTIL}) using (node) group by 1"))

@@ -165,7 +165,10 @@ def st_fingerprint(spark, d):
     at = F.timestamp_micros(86_400_000_000 + F.col("trace_id").cast("bigint") * 100_000_000 + F.col("start_us"))
     s = X.chat_spans(spark, d).withColumn("is_error", F.col("service") == "assistant").withColumn("event_time", at)
     released = drained(lambda x: St.buffer_traces(x, 90_000, "1 second"), s, "event_time")
-    f = drained(St.fingerprint_arrays, released).select(F.lit("trace").alias("kind"), "trace_id", F.col("fp_hash").alias("hash"))
+    folder = _folder(spark)
+    q = St.fingerprint_batches(as_stream(released), lambda df: df.write.mode("append").parquet(f"{folder}/out"), f"{folder}/state")
+    q.trigger(availableNow=True).start().awaitTermination()
+    f = spark.read.parquet(f"{folder}/out").select(F.lit("trace").alias("kind"), "trace_id", F.col("fp_hash").alias("hash"))
     e = drained(St.signature_arrays, released).select(F.lit("error").alias("kind"), "trace_id", F.col("sig_hash").alias("hash"))
     return f.unionByName(e)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,15 @@ from spanwatch.functions import scalars as S
 _POINTER = "version string, number bigint, created_at timestamp, updated_at timestamp"
 
 
+class BaselineConflict(Exception):
+    """Another writer made a version with the same number, and that one is current."""
+
+
 def write_baseline(df: DataFrame, root: str, as_of=None) -> str:
     """Write a new version under ``root`` and make it current. A version is written whole before the pointer names it, and a
-    version that is being read is never touched. Versions are numbered on, not ordered by clocks (of two writers at once the
-    one with the larger name is current); created_at stays that of the first, updated_at is ``as_of`` (now without it)."""
+    version that is being read is never touched. Versions are numbered on, not ordered by clocks; created_at stays that of the first,
+    updated_at is ``as_of`` (now without it). Of writers that take the same number at once the one with the largest name is current; the
+    others get :class:`BaselineConflict`, since what they wrote does not know the current one (see :func:`update_baseline`)."""
     spark = df.sparkSession
     version = uuid.uuid4().hex
     df.write.partitionBy("environment").parquet(f"{root}/version={version}")
@@ -25,9 +31,24 @@ def write_baseline(df: DataFrame, root: str, as_of=None) -> str:
     at = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
     entry = last.select(F.lit(version).alias("version"), (F.coalesce("number", F.lit(0)) + 1).alias("number"), F.coalesce("created_at", at).alias("created_at"), at.alias("updated_at"))
     entry.coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+    told = baseline_versions(spark, root)
+    own = told.where(F.col("version") == version).select("number")
+    rival = told.join(own, "number").agg(F.max("version")).first()[0]
+    if rival != version:
+        raise BaselineConflict(f"version {rival} was written at the same time as {version}")
     return version
 
 
+def update_baseline(spark: SparkSession, root: str, change: Callable[[DataFrame], DataFrame], tries: int = 5, as_of=None) -> str:
+    """Read the current version, write ``change`` of it, and do so again from the then current one where another writer came first."""
+    for left in range(tries - 1, -1, -1):
+        try:
+            return write_baseline(change(read_baseline(spark, root)), root, as_of)
+        except BaselineConflict:
+            if not left:
+                raise
+
+
 def baseline_versions(spark: SparkSession, root: str) -> DataFrame:
     """version, number, created_at, updated_at of all versions under ``root`` (none before the first)."""
     try:

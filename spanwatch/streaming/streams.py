@@ -85,6 +85,18 @@ def fingerprint_arrays(traces: DataFrame, profile: Profile = STREAM, min_spans:
     return t.select("environment", "trace_id", S.fp_hash(F.col("path")).alias("fp_hash"), "path", "root_op", F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["service"]))).alias("services"), F.size("spans").alias("span_count"), F.size("edges").alias("edge_count"), "trace_start")
 
 
+def fingerprint_batches(traces: DataFrame, write: Callable[[DataFrame], None], checkpoint: str, profile: Profile = STREAM):
+    """Fingerprints of buffered traces of any length: each micro-batch's spans go through the batch operator, whose parents come from a sweep
+    (:func:`fingerprint_arrays` looks at all spans for each, which suits short traces)."""
+    from spanwatch.operators.traces import fingerprint
+
+    def each(batch: DataFrame, _):
+        spans = batch.select("environment", "trace_id", F.explode("spans").alias("s")).select("environment", "trace_id", "s.*")
+        write(fingerprint(spans, profile))
+
+    return traces.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+
+
 def after_warmup(events: DataFrame, start, warmup_s: int = 120, time: str = "event_time") -> DataFrame:
     return events.where(F.unix_micros(time) >= F.unix_micros(F.lit(start).cast("timestamp")) + warmup_s * 1_000_000)
 

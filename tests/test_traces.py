@@ -161,3 +161,23 @@ def test_log_lines(spark):
     lines = ['drift "service": "a", "missing_services": "x, y"', 'latency anomaly "service": "b"', "nothing", 'drift "root_op": "c:op", "fp_hash": "h"']
     got = sorted((r.anomaly_type, r.service) for r in R.parse_log_events(spark.createDataFrame([(x,) for x in lines], "value string")).collect())
     assert got == [("LATENCY_ANOMALY", "b"), ("MISSING_SERVICE", "y"), ("NEW_FINGERPRINT", "c")]
+
+
+def test_writers_of_one_number_conflict(spark, tmp_path, monkeypatch):
+    """A writer that finds its number taken by a version that is current learns of it, and an update starts anew from that one."""
+    root = f"file://{tmp_path}/b"
+    rows = lambda n: spark.createDataFrame([("e", n)], "environment string, n int")
+    K.write_baseline(rows(1), root)
+    real, rivals = K.baseline_versions, [True]
+
+    def with_rival(spark, root):
+        told = real(spark, root)
+        if rivals and told.count() == 2:  # ours is listed: another takes the same number
+            rivals.pop()
+            rows(10).write.partitionBy("environment").parquet(f"{root}/version=zz")
+            told.where("number = 2").withColumn("version", F.lit("zz")).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+        return real(spark, root)
+
+    monkeypatch.setattr(K, "baseline_versions", with_rival)
+    K.update_baseline(spark, root, lambda b: b.withColumn("n", F.col("n") + 1))
+    assert not rivals and K.read_baseline(spark, root).first().n == 11
