@@ -173,7 +173,8 @@ class Tokenizer:
     def encoded(self, texts: list[str]) -> list[str]:
         """For each text its ids, joined by one space.
 
-        Pieces seen before come from two generations of caches of ``cache_size`` pieces each."""
+        Pieces seen before come from two generations of caches of ``cache_size`` pieces each; pieces of more than 64 characters are
+        never kept, so a cache holds some 100 MB at most."""
         split = [self.split(t) if t else [] for t in texts]
         missing = set().union(*split).difference(self.text_of)
         if len(self.text_of) + len(missing) > self.cache_size:
@@ -185,7 +186,11 @@ class Tokenizer:
         numeral = self.numerals.__getitem__
         for m, ids in zip(missing, self.encode_pieces([m.encode("utf-8", "surrogatepass") for m in missing])):
             self.text_of[m] = " ".join(map(numeral, ids))
-        return [" ".join(map(self.text_of.__getitem__, pieces)) for pieces in split]
+        out = [" ".join(map(self.text_of.__getitem__, pieces)) for pieces in split]
+        for m in missing:
+            if len(m) > 64:
+                del self.text_of[m]
+        return out
 
 
 def _numbers(joined: str) -> np.ndarray:

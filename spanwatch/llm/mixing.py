@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanwatch.llm.common import fresh_name
+
 
 def word_count(text: Column) -> Column:
     r"""Number of runs ``[^\x20\x09-\x0D]+``; 0 for null."""
@@ -41,7 +43,7 @@ def source_targets(sizes: DataFrame, max_repeat: int = 3, weights: tuple[int, ..
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     w = w.withColumn("left", F.col("whole") - F.coalesce(F.sum("cap").over(before), F.lit(0)))
     w = w.withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    w = w.withColumn("free", F.col("cap") * F.col("open") > F.col("left") * F.col("weight"))
+    w = w.withColumn("free", F.col("cap").cast("decimal(19, 0)") * F.col("open") > F.col("left") * F.col("weight"))
     first = F.min(F.when(F.col("free"), F.struct(F.col("cap") / F.col("weight"), F.col("n"), F.col("left"), F.col("open")))).over(everything)
     w = w.withColumn("level", first)
     target = F.when(F.col("free"), F.col("level.left").cast("double") * F.col("weight") / F.col("level.open")).otherwise(F.col("cap").cast("double"))
@@ -55,9 +57,15 @@ def offset_of(source: Column, seed: str) -> Column:
 
 
 def copies(
-    docs: DataFrame, max_repeat: int = 3, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, seed: str = "mix", slice_rows: int = 100_000
+    docs: DataFrame,
+    max_repeat: int = 3,
+    weights: tuple[int, ...] = (1, 2, 3),
+    share: float = 1.0,
+    seed: str = "mix",
+    slice_rows: int = 100_000,
+    carry: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """``docs`` with size, source_size, target (their source's) and copies (0 to ``max_repeat``).
+    """``docs`` (or their columns ``carry``, among them doc_id and source) with size, source_size, target (their source's) and copies (0 to ``max_repeat``).
 
     Null text has size 0, null sources are one source. A source without words gets no copies.
     Ties (equal size and doc_id, repeated rows) take any order among themselves, which changes
@@ -65,27 +73,26 @@ def copies(
     The columns doc_id, text and source are read; others ride along, also if they are named like the
     new columns (the new ones then replace them).
     """
-    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    d = docs.select(*keep).withColumn("size", word_count(F.col("text")))
-    d = d.withColumn("__s", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
+    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies") and (carry is None or c in carry)]
+    src, part, row, before = (fresh_name(docs, n) for n in ("src", "part", "row_no", "rows_before"))
     slices = max(64, -(-docs.count() // slice_rows))
     named = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary"))
-    d = d.withColumn("__b", F.pmod(F.conv(F.substring(named, 1, 8), 16, 10).cast("long"), F.lit(slices)).cast("int"))
-    cells = d.groupBy("__s", "size", "__b").agg(F.count("*").alias("n"))
-    by_size = cells.groupBy("__s", "size").agg(F.sum("n").alias("m"))
-    up = Window.partitionBy("__s").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    of = lambda c: F.struct(F.col(c).isNull().alias("none"), F.coalesce(c, F.lit("")).alias("name"))
+    dealt = F.pmod(F.conv(F.substring(named, 1, 8), 16, 10).cast("long"), F.lit(slices)).cast("int")
+    d = docs.select(*keep, word_count(F.col("text")).alias("size"), of("source").alias(src), dealt.alias(part))
+    cells = d.groupBy(src, "size", part).agg(F.count("*").alias("n"))
+    by_size = cells.groupBy(src, "size").agg(F.sum("n").alias("m"))
+    up = Window.partitionBy(src).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     by_size = by_size.withColumn("smaller", F.coalesce(F.sum("m").over(up), F.lit(0)))
-    sizes = by_size.groupBy("__s").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"))
-    sizes = sizes.select(F.when(~F.col("__s.none"), F.col("__s.name")).alias("source"), "source_size")
-    targets = source_targets(sizes, max_repeat, weights, share).select(
-        F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("__s"), "source_size", "target"
-    )
-    across = Window.partitionBy("__s", "size").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("same", F.coalesce(F.sum("n").over(across), F.lit(0))).join(by_size.select("__s", "size", "smaller"), ["__s", "size"])
-    cells = cells.join(targets, "__s").select("__s", "size", "__b", F.expr("smaller + same as __before"), "source_size", "target")
-    inside = Window.partitionBy("__s", "size", "__b").orderBy("doc_id")
-    ranked = d.withColumn("__r", F.row_number().over(inside) - 1).join(cells, ["__s", "size", "__b"])
-    rank = F.col("__before") + F.col("__r")
+    sizes = by_size.groupBy(src).agg(F.sum(F.col("size") * F.col("m")).alias("source_size"))
+    sizes = sizes.select(F.when(~F.col(f"{src}.none"), F.col(f"{src}.name")).alias("source"), "source_size")
+    targets = source_targets(sizes, max_repeat, weights, share).select(of("source").alias(src), "source_size", "target")
+    across = Window.partitionBy(src, "size").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("same", F.coalesce(F.sum("n").over(across), F.lit(0))).join(by_size.select(src, "size", "smaller"), [src, "size"])
+    cells = cells.join(targets, src).select(src, "size", part, F.expr("smaller + same").alias(before), "source_size", "target")
+    inside = Window.partitionBy(src, "size", part).orderBy("doc_id")
+    ranked = d.withColumn(row, F.row_number().over(inside) - 1).join(cells, [src, "size", part])
+    rank = F.col(before) + F.col(row)
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     start = offset_of(F.col("source"), seed)
     crossed = F.floor(start + (rank + 1) * each) - F.floor(start + rank * each)
@@ -101,7 +108,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted)."""
-    return copies(docs.select("doc_id", "text", "source"), **options).select(
+    return copies(docs.select("doc_id", "text", "source"), carry=("doc_id", "source"), **options).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
     )
 

@@ -312,7 +312,11 @@ def test_mixing_targets_and_copies(spark):
 
 def test_mixing_odd_rows(spark, odd):
     df = odd.withColumn("source", F.when(F.col("doc_id") > 3, "s")).withColumn("size", F.lit("clash"))
+    for name in ("src", "part", "row_no", "rows_before", "__s", "__b"):
+        df = df.withColumn(name, F.lit("mine"))
     assert len(mixing.copies(df).collect()) == len(ODD)
+    assert all(r.src == r.part == r.row_no == r.rows_before == r["__s"] == r["__b"] == "mine" for r in mixing.copies(df).collect())
+    assert mixing.mix(df).columns == df.columns
     assert mixing.mix(df.limit(0)).count() == 0
     # ids that share a remainder, or are missing, are dealt over many slices
     even = spark.createDataFrame([(64 * i, f"w{i}", "s") for i in range(500)] + [(None, f"v{i}", "s") for i in range(500)], "doc_id long, text string, source string")
@@ -488,3 +492,16 @@ def test_bpe_of_one_long_piece(tokenizers):
     r = random.Random(4)
     piece = "".join(r.choice("etaoin") for _ in range(20_000))
     assert tok.encode_pieces([piece.encode()])[0] == enc.encode_ordinary(piece)
+
+
+def test_long_pieces_are_not_kept():
+    import public_tokenizers
+
+    from spanwatch.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tok = bpe.Tokenizer(open(path, "rb").read(), public_tokenizers.PATTERN)
+    texts = ["a" * 5000 + " word", "word " + "b" * 70, "word"]
+    first = tok.encoded(texts)
+    assert max(map(len, tok.text_of)) <= 64 and " word" in tok.text_of
+    assert tok.encoded(texts) == first and tok.decode(bpe._numbers(first[0])).decode() == texts[0]
