@@ -38,7 +38,8 @@ class Grid:
         x = _unit(sample)
         self.half = x.shape[1] // 2
         self.books = kmeans(x[:, : self.half], k), kmeans(x[:, self.half :], k, seed=8)
-        self.gaps = [np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(2), 1e-300)) for c in self.books]
+        # a row at a time: k x k distances, never k x k differences
+        self.gaps = [np.stack([np.sqrt(np.maximum(((c - one) ** 2).sum(1), 1e-300)) for one in c]) for c in self.books]
         self.reach = limit = 2 - 2 * threshold
         if target_recall < 1 and x.shape[1] > 1:
             own, one, two = self.distances(x)
@@ -85,19 +86,33 @@ class Grid:
                     heapq.heappush(heap, (one[a[p]] + two[b[q]], p, q))
 
     def visits(self, one: np.ndarray, two: np.ndarray):
-        """(row, i, j) of all cells that :meth:`traverse` meets within the reach, for many vectors in step: the
-        p-th nearest first centre of every row, then as far down its second list as the reach allows."""
+        """(row, i, j) of the cells that :meth:`traverse` meets, for many vectors in step, each from its nearest cell on until the next one lies
+        beyond the reach (the distance that holds the target recall).
+
+        A vector's open cells are, for each first centre that it has come to, the next second centre; a step takes the nearest of
+        them, moves that first centre on, and opens the next first centre when one is taken for the first time."""
         a, b = np.argsort(one, axis=1, kind="stable"), np.argsort(two, axis=1, kind="stable")
         d1, d2 = np.take_along_axis(one, a, 1), np.take_along_axis(two, b, 1)
-        rows, first, second = [], [], []
-        for p in range(one.shape[1]):
-            live = np.flatnonzero(d1[:, p] <= self.reach)
+        live, width = np.arange(len(one)), two.shape[1]
+        at = np.zeros(one.shape, np.int64)
+        ahead = np.full(one.shape, np.inf)
+        ahead[:, 0] = d1[:, 0] + d2[:, 0]
+        rows, first, second, opened = [], [], [], 1
+        while True:
+            p = np.argmin(ahead[live, :opened], axis=1)
+            on = ahead[live, p] <= self.reach
+            live, p = live[on], p[on]
             if not len(live):
                 break
-            row, q = np.nonzero(d2[live] <= self.reach - d1[live, p][:, None])
-            rows.append(live[row])
-            first.append(a[live[row], p])
-            second.append(b[live[row], q])
+            q = at[live, p]
+            rows.append(live)
+            first.append(a[live, p])
+            second.append(b[live, q])
+            fresh = (q == 0) & (p + 1 < one.shape[1])
+            ahead[live[fresh], p[fresh] + 1] = d1[live[fresh], p[fresh] + 1] + d2[live[fresh], 0]
+            opened = max(opened, int(p[fresh].max()) + 2) if fresh.any() else opened
+            at[live, p] = q + 1
+            ahead[live, p] = np.where(q + 1 < width, d1[live, p] + d2[live, np.minimum(q + 1, width - 1)], np.inf)
         return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, first, second))
 
 
@@ -157,7 +172,8 @@ def near_duplicates(
     An empty table gives an empty result; columns beside the three named ones are ignored, whatever their names.
 
     The codebooks are fitted on at most ``train_rows`` rows (smallest hashes); every row is indexed. A label's cells
-    are dealt into groups of about ``block_rows`` vectors by their first centre, and a vector is sent once to
+    are dealt into groups of about ``block_rows`` vectors, by their first centre and, where groups outnumber the centres, the
+    second one too, and a vector is sent once to
     each group that holds a cell within reach, so what is shuffled grows with the groups it visits, not with
     the cells. Larger groups (many vectors at one centre) are cut into blocks of ``block_rows``, all of
     which meet the group's visitors.
@@ -193,22 +209,32 @@ def links(vectors, threshold, target_recall, id_col="vec_id", vector_col="embedd
     grids = spark.sparkContext.broadcast(grids)  # 2 x (size of the largest label)^0.4 centres per length, and their gaps
 
     def send(batches):
-        """Each vector as a stored one in the group of its own cell and as a visitor of groups within reach."""
+        """Each vector as a stored one in the group of its own cell and as a visitor of the groups of the cells that it visits."""
+        deal = lambda c, g: (c * 40503 + (c >> 3)) % g
+
+        def group_of(i, j, groups, k):
+            first = np.minimum(groups, k)
+            return deal(i, first) + first * deal(j, -(-groups // first))
+
         for b in batches:
             dims, groups = b.column("dim").to_numpy(), b.column("groups").to_numpy()
             take, group, stored = [], [], []
             for d in np.unique(dims):
                 at, grid = np.flatnonzero(dims == d), grids.value[int(d)]
-                own, one, _ = grid.distances(_unit(matrix(b.column("v").take(pa.array(at)))))
-                deal = lambda c, g: (c * 40503 + (c >> 3)) % g
+                own, one, two = grid.distances(_unit(matrix(b.column("v").take(pa.array(at)))))
+                k = len(grid.books[0])
                 take.append(at)
-                group.append(deal(own[:, 0], groups[at]))
+                group.append(group_of(own[:, 0], own[:, 1], groups[at], k))
                 stored.append(np.ones(len(at), bool))
-                r, c = np.nonzero((one <= grid.reach) & (np.arange(one.shape[1])[None] >= own[:, :1]))
-                seen = np.unique(np.stack([r, deal(c, groups[at][r])]), axis=1)
-                take.append(at[seen[0]])
-                group.append(seen[1])
-                stored.append(np.zeros(seen.shape[1], bool))
+                for part in range(0, len(at), 2048):
+                    r, i, j = grid.visits(one[part : part + 2048], two[part : part + 2048])
+                    r = r + part
+                    later = i >= own[r, 0]
+                    r, i, j = r[later], i[later], j[later]
+                    seen = np.unique(np.stack([r, group_of(i, j, groups[at][r], k)]), axis=1)
+                    take.append(at[seen[0]])
+                    group.append(seen[1])
+                    stored.append(np.zeros(seen.shape[1], bool))
             take = pa.array(np.concatenate(take))
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c).take(take) for c in ("label", "dim", "node", "n", "v")), pa.array(np.concatenate(group).astype(np.int64)), pa.array(np.concatenate(stored))],
@@ -225,10 +251,14 @@ def links(vectors, threshold, target_recall, id_col="vec_id", vector_col="embedd
         F.collect_list("node").alias("nodes"), F.collect_list("n").alias("copies"), F.collect_list("v").alias("vs")
     )
     blocks = cut(blocks, "multi-index-blocks")
+    # pairs of blocks are made as numbers; vectors are attached by the blocks of one side at a time, so no task makes all pairs of a group
+    tasks = max(spark.sparkContext.defaultParallelism, -(-blocks.count() // 4))
+    named = lambda test, part: blocks.where(test).select(*key, F.col("part").alias(part))
+    ids = named("not stored", "pa").join(named("stored", "pb"), key)
     left = blocks.where("not stored").selectExpr(*key, "part as pa", "nodes as na", "copies as ca", "vs as va")
     right = blocks.where("stored").selectExpr(*key, "part as pb", "nodes as nb", "copies as cb", "vs as vb")
-    tasks = max(spark.sparkContext.defaultParallelism, -(-blocks.count() // 4))
-    pairs = left.join(right, key).repartition(tasks, *key, "pa", "pb").select("dim", "na", "ca", "va", "nb", "cb", "vb")
+    pairs = ids.join(left, [*key, "pa"]).join(right, [*key, "pb"]).repartition(tasks, *key, "pa", "pb")
+    pairs = pairs.select("dim", "na", "ca", "va", "nb", "cb", "vb")
 
     def check(batches):
         for b in batches:
