@@ -149,12 +149,16 @@ def _gunzip(raw: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
 
 def with_references(pages: DataFrame, least: int = 1000) -> DataFrame:
     """page_id, url, payload, payload_digest and refers_to of ``pages(page_id, url, html)``: of equal
-    payloads of ``least`` bytes or more the row with the largest page_id is referred to by the others."""
+    payloads of ``least`` bytes or more the row with the largest page_id is referred to by the others. Shorter ones, empty ones among
+    them, have no part in the join, so what they share is no key of it."""
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     base = base.withColumn("payload_digest", F.sha1("payload"))
-    groups = base.where(F.octet_length("payload") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("leader"), F.count("*").alias("n"))
+    is_long = F.octet_length("payload") >= least
+    groups = base.where(is_long).groupBy("payload_digest").agg(F.max("page_id").alias("leader"), F.count("*").alias("n"))
     groups = groups.where("n > 1 and leader is not null").drop("n")
-    return base.join(groups, "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", F.expr("if(leader <=> page_id, null, leader)").alias("refers_to"))
+    columns = ["page_id", "url", "payload", "payload_digest"]
+    joined = base.where(is_long).join(groups, "payload_digest", "left").select(*columns, F.expr("if(leader <=> page_id, null, leader)").alias("refers_to"))
+    return base.where(~is_long).select(*columns, F.lit(None).cast("long").alias("refers_to")).unionByName(joined)
 
 
 def write_packages(records: DataFrame, folder: str, max_records: int = 50_000, max_bytes: int = 1 << 30, date: str = "2024-01-01T00:00:00Z") -> DataFrame:

@@ -52,7 +52,9 @@ def test_multi_sequence_order():
     for k in range(0, 500, 50):
         seen = list(g.traverse(one[k], two[k]))
         assert seen[0][1:] == tuple(own[k]) and len({c[1:] for c in seen}) == 36 and [d for d, *_ in seen] == sorted(d for d, *_ in seen)
-        assert {c[1:] for c in seen if c[0] <= g.reach} == set(zip(i[row == k].tolist(), j[row == k].tolist()))
+        met = [(one[k, p], two[k, q], p, q) for p, q in zip(i[row == k].tolist(), j[row == k].tolist())]
+        assert {c[1:] for c in seen if c[0] <= g.reach} == {m[2:] for m in met} and len(met) == sum(c[0] <= g.reach for c in seen)
+        assert [a + b for a, b, *_ in met] == sorted(a + b for a, b, *_ in met)  # nearest first, as the heap takes them
 
 
 def test_multi_index_recall_and_pruning(spark):
@@ -251,3 +253,20 @@ def test_registered_queries(spark, sf):
 
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_multi_index_of_more_groups_than_centres(spark):
+    """Small blocks, so that groups follow both halves."""
+    rows = vectors(n=600, d=8, seed=4)
+    df = spark.createDataFrame(rows, VECTORS)
+    pick = lambda b: sorted((r.vec_id, r.n_links, r.component_id) for r in multiindex.near_duplicates(df, block_rows=b).collect())
+    assert pick(4) == pick(2048)
+
+
+def test_short_payloads_have_no_part_in_the_join(spark):
+    """Half of the pages are empty or share a short text; only repeated long ones refer."""
+    pages = [(i, "u", "" if i % 2 else "x" * 1200 if i % 3 else f"y{i}" * 600) for i in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.refers_to for r in warczip.with_references(df).collect()}
+    repeated = [i for i, _, h in pages if h == "x" * 1200]
+    assert got == {i: max(repeated) if i in repeated and i != max(repeated) else None for i, *_ in pages}
