@@ -262,20 +262,25 @@ def _shingle_sets(links: DataFrame, reps: DataFrame, docs: DataFrame, width: int
     return texts.dropDuplicates(["node"]).mapInArrow(sets, "node long, h array<long>")
 
 
-def _with_set(rows: DataFrame, links: DataFrame, sets: DataFrame, end: str, hub: int = 5000) -> DataFrame:
-    """``rows`` of ``links`` with the set of its node ``end``. A node of more than ``hub`` links has its set copied to several keys, so that
-    none of them is the key of one task; there are at most links / hub of these."""
-    degree = links.groupBy(F.col(end).alias("node")).count().where(F.col("count") > hub)
-    parts = F.broadcast(degree.select("node", F.ceil(F.col("count") / hub).cast("int").alias("parts")))
-    dealt = rows.join(parts.withColumnRenamed("node", end), end, "left").withColumn("part", F.expr("pmod(xxhash64(u, v), coalesce(parts, 1))"))
-    copied = sets.join(parts, "node", "left").withColumn("part", F.explode(F.expr("sequence(0L, coalesce(parts, 1) - 1L)")))
-    copied = copied.select(F.col("node").alias(end), "part", F.col("h").alias(f"h{end}"))
-    return dealt.drop("parts").join(copied, [end, "part"]).drop("part")
-
-
-def verified_links(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links whose texts share ``similarity`` of their distinct shingles (``sets(node, h)``), counted exactly."""
-    both = _with_set(_with_set(links, links, sets, "u"), links, sets, "v")
+def _with_set(rows: DataFrame, hubs: DataFrame | None, sets: DataFrame, end: str) -> DataFrame:
+    """``rows`` with the set of their node ``end``. The set of a node of ``hubs(node, parts)`` is copied to so many keys, so that
+    none of them is the key of one task."""
+    named = sets.select(F.col("node").alias(end), F.col("h").alias(f"h{end}"))
+    if hubs is None:
+        return rows.join(named, end)
+    parts = F.broadcast(hubs.withColumnRenamed("node", end))
+    dealt = rows.join(parts, end, "left").withColumn("part", F.expr("pmod(xxhash64(u, v), coalesce(parts, 1))")).drop("parts")
+    copied = named.join(parts, end, "left").withColumn("part", F.explode(F.expr("sequence(0L, coalesce(parts, 1) - 1L)"))).drop("parts")
+    return dealt.join(copied, [end, "part"]).drop("part")
+
+
+def verified_links(links: DataFrame, sets: DataFrame, similarity: float, hub: int = 5000) -> DataFrame:
+    """The links whose texts share ``similarity`` of their distinct shingles (``sets(node, h)``), counted exactly. Nodes of more than ``hub`` links
+    are dealt over several keys; there are at most 2 x links / hub of these."""
+    ends = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").count().where(F.col("count") > hub)
+    hubs = cut(ends.select("node", F.ceil(F.col("count") / hub).cast("int").alias("parts")), "simhash-hubs")
+    hubs = None if hubs.isEmpty() else hubs
+    both = _with_set(_with_set(links, hubs, sets, "u"), hubs, sets, "v")
 
     def check(batches):
         for b in small_batches(batches, 256):
@@ -288,23 +293,27 @@ def verified_links(links: DataFrame, sets: DataFrame, similarity: float) -> Data
     return both.select("u", "v", "hu", "hv").mapInArrow(check, "u long, v long")
 
 
-def similar_links(reps: DataFrame, docs: DataFrame, width: int, words: int, radius: int, tile_rows: int, similarity: float) -> DataFrame:
-    """(u, v): links between the sets of ``reps`` of at least the ``similarity`` that join all that pairs within ``radius`` bits link.
+def similar_groups(reps: DataFrame, docs: DataFrame, width: int, words: int, radius: int, tile_rows: int, similarity: float) -> DataFrame:
+    """(node, root): groups of the sets of ``reps`` that links of at least the ``similarity`` join, of all pairs within ``radius`` bits.
 
-    A least spanning forest of the prints' links is counted first. Where all of a group's links hold, others of the group join nothing
-    more. In groups with a link that doesn't, all links between the parts that are left are counted too."""
+    A least spanning forest of the prints' links is counted first. Inside what its links that hold join, others join nothing more. If some link
+    is refused, all links between different such parts are counted too, among the few sets that have any link."""
     links = cut(linked_nodes(reps, radius, words, tile_rows, similarity).distinct(), "simhash-found")
     sets = cut(_shingle_sets(links, reps, docs, width), "simhash-shingles")
     held = cut(verified_links(links, sets, similarity), "simhash-held")
-    refused = links.join(held, ["u", "v"], "left_anti")
-    if refused.isEmpty():
-        return held
-    group = connected_components(links, "simhash-groups").withColumnRenamed("root", "whole")
-    broken = refused.select(F.col("u").alias("node")).join(group, "node").select("whole").distinct()
-    parts = connected_components(held, "simhash-parts").withColumnRenamed("root", "part")
-    open_ = group.join(broken, "whole", "left_semi").join(parts, "node", "left").select("node", F.coalesce("part", "node").alias("group"))
-    more = linked_nodes(cut(reps.join(open_, "node"), "simhash-open"), radius, words, tile_rows, similarity, across=True)
-    return held.unionByName(verified_links(cut(more, "simhash-across"), sets, similarity))
+    parts = cut(connected_components(held, "simhash-parts"), "simhash-roots")
+    if held.count() == links.count():
+        return parts
+    open_ = reps.join(sets.select("node"), "node").join(parts, "node", "left").select(*reps.columns, F.coalesce("root", "node").alias("group"))
+    open_ = cut(open_, "simhash-open")
+    more = cut(linked_nodes(open_, radius, words, tile_rows, similarity, across=True), "simhash-across")
+    group = open_.select("node", "group")
+    ends = verified_links(more, sets, similarity).join(group.toDF("u", "gu"), "u").join(group.toDF("v", "gv"), "v")
+    joined = cut(ends.select(F.col("gu").alias("u"), F.col("gv").alias("v")).distinct(), "simhash-joined")
+    if joined.isEmpty():
+        return parts
+    above = connected_components(joined, "simhash-groups").toDF("group", "above")
+    return group.join(above, "group", "left").select("node", F.coalesce("above", "group").alias("root"))
 
 
 def near_duplicates(
@@ -318,7 +327,7 @@ def near_duplicates(
     An empty table gives an empty result; further columns are ignored.
     """
     fps, reps = _prints(docs, id_col, text_col, width, words)
-    return _grouped(fps, reps, linked_nodes(reps, radius, words, tile_rows))
+    return _grouped(fps, reps, connected_components(linked_nodes(reps, radius, words, tile_rows), "simhash-links"))
 
 
 def _prints(docs, id_col, text_col, width, words):
@@ -329,8 +338,7 @@ def _prints(docs, id_col, text_col, width, words):
     return fps, cut(reps, "simhash-distinct")
 
 
-def _grouped(fps, reps, links):
-    roots = connected_components(links, "simhash-links")
+def _grouped(fps, reps, roots):
     grouped = reps.select("node", "id").join(roots, "node")
     lows = grouped.groupBy("root").agg(F.min("id").alias("least"))
     merged = grouped.join(lows, "root").select("node", "root", "least")
@@ -346,7 +354,7 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, words: int = 4, radius: in
     256-bit fingerprints over the sets of five-word shingles: at similarity s two prints differ in about arccos(2s/(1+s))/pi of their bits,
     15 % at 0.8, 19 % where sets of four and five meet. The radius of 28 % is five (four) standard deviations
     above that. What lies within it is counted exactly, and only texts that share ``similarity`` of their distinct
-    shingles are linked (see :func:`similar_links`), so no text goes without a chain of such links to the one that stays. Texts of equal prints
+    shingles are linked (see :func:`similar_groups`), so no text goes without a chain of such links to the one that stays. Texts of equal prints
     are compared like others; texts with the same set of shingles, and all texts without a word, are one node.
     Of repeated rows one stays; of equal ids and texts too. Very long texts count whole. Columns are those of ``docs``, whatever their
     names; an empty table stays empty.
@@ -357,7 +365,7 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, words: int = 4, radius: in
     with scratch(spark):  # only the list of rows that stay is kept
         fps, reps = _prints(docs, "doc_id", "text", width, words)
         texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-        near = _grouped(fps, reps, similar_links(reps, texts, width, words, radius, tile_rows, similarity))
+        near = _grouped(fps, reps, similar_groups(reps, texts, width, words, radius, tile_rows, similarity))
         best = near.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("b"))
         stay = cut(best.select(F.col("b.id").alias(one), F.col("b.text_key").alias(two)), "simhash-stay", path)
     kept = docs.withColumn(of, F.xxhash64(F.coalesce("text", F.lit("")))).join(stay, F.col("doc_id").eqNullSafe(F.col(one)) & (F.col(of) == F.col(two)))

@@ -133,12 +133,9 @@ def test_refused_links_hide_no_others(spark, monkeypatch):
     prints[:, 0] = [0, 1, 3, 0b1111]  # the one like node 0 has the farthest print
     reps = spark.createDataFrame([(k, x.tobytes(), 100, k, k) for k, x in enumerate(prints)], "node long, fp binary, shingles int, id long, text_key long")
     monkeypatch.setattr(simhash, "_shingle_sets", lambda *_: nodes)
-    got = simhash.similar_links(reps, None, 5, 4, 72, 16384, 0.8).collect()
     label, _ = groups_of(sets)
-    found = list(range(4))
-    for x in got:
-        low, high = sorted((found[x.u], found[x.v]))
-        found = [low if k == high else k for k in found]
+    got = {x.node: x.root for x in simhash.similar_groups(reps, None, 5, 4, 72, 16384, 0.8).collect()}
+    found = [min([k, *(n for n, root in got.items() if root == got.get(k))]) for k in range(4)]
     assert found == label and len(set(label)) < 4
 
 
@@ -505,3 +502,11 @@ def test_long_pieces_are_not_kept():
     first = tok.encoded(texts)
     assert max(map(len, tok.text_of)) <= 64 and " word" in tok.text_of
     assert tok.encoded(texts) == first and tok.decode(bpe._numbers(first[0])).decode() == texts[0]
+
+
+def test_verified_links_of_a_hub(spark):
+    """More links at one node than one key takes."""
+    sets = [(0, list(range(10)))] + [(k, [*range(1, 10), 100 + k] if k % 2 else [k, *range(200, 209)]) for k in range(1, 40)]
+    links = spark.createDataFrame([(0, k) if k % 3 else (k, 0) for k in range(1, 40)], "u long, v long")
+    got = simhash.verified_links(links, spark.createDataFrame(sets, "node long, h array<long>"), 0.8, hub=4).collect()
+    assert sorted(max(x.u, x.v) for x in got) == [k for k in range(1, 40) if k % 2]
