@@ -252,7 +252,7 @@ def test_registered_queries(spark, sf):
     from spanwatch.llm import queries
 
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_multi_index_of_more_groups_than_centres(spark):
