@@ -190,3 +190,20 @@ def test_similar_incidents_equal_all_pairs(spark):
         for e, day, t, s in cur:
             scored = sorted((-len(set(t) & set(pt)) - len(set(s) & set(ps)), pe, pd) for pe, pd, pt, ps in past)
             assert got.get((e, day), []) == [(-a, b, c) for a, b, c in scored[:n] if a < 0]
+
+
+def test_recent_sums_equal_whole_windows(spark):
+    """Ties, nulls, gaps and reaches of any length; no frame slides, so a row costs the same in a full window."""
+    r = random.Random(13)
+    rows = [(r.choice("ab"), f"t{i}", r.choice([0, 5000]) + r.randint(-300, 300), r.choice([None, r.random()])) for i in range(500)]
+    df, key = spark.createDataFrame(rows, "k string, trace_id string, ts_us long, x double"), ["k"]
+    for reach in (0, 1, 7, 100, 100_000):
+        got = {x.trace_id: (x.n, x.s) for x in M.recent_sums(df, key, reach, n=F.lit(1).cast("bigint"), s=F.col("x")).collect()}
+        for k, t, ts, _ in rows:
+            held = [x for k2, _, ts2, x in rows if k2 == k and ts - reach <= ts2 <= ts]
+            some = [x for x in held if x is not None]
+            assert got[t][0] == len(held) and (got[t][1] is None) == (not some) and abs((got[t][1] or 0) - sum(some)) < 1e-9
+    ops = spark.createDataFrame([("e", "s", "o", "t", 1, 0, 1.0, 5)], "environment string, service string, operation string, trace_id string, n long, errors long, mean_us double, ts_us long")
+    for rolled in (M.with_rolling_mean(ops, M.OP, "mean_us", 60), M.with_error_rate(ops, M.OP, 60), M.with_spans_per_min(ops, 60)):
+        plan = rolled._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "rangeframe" in plan and plan.count("rangeframe") == plan.count("rangeframe, unboundedpreceding")
