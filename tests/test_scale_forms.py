@@ -207,3 +207,16 @@ def test_recent_sums_equal_whole_windows(spark):
     for rolled in (M.with_rolling_mean(ops, M.OP, "mean_us", 60), M.with_error_rate(ops, M.OP, 60), M.with_spans_per_min(ops, 60)):
         plan = rolled._jdf.queryExecution().optimizedPlan().toString().lower()
         assert "rangeframe" in plan and plan.count("rangeframe") == plan.count("rangeframe, unboundedpreceding")
+
+
+def test_noise_is_told_from_one_look_at_the_operation(spark):
+    """A filter below a projection takes the operation's expression in; it may stand there once only."""
+    from spanwatch.functions import scalars as S
+
+    names = ["GET /Health", "/v1/kv/x", "v1xkv", "/apps", "service_discovery", "serviceXdiscovery", "buy", "", "a (b) [c].d", None]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    extra = ("(B) [C].",)
+    want = [None if n is None else any(p in n.lower() for p in (*S.NOISE, "(b) [c].")) for n in names]
+    assert [x.noise for x in df.select(S.is_noise(F.col("name"), extra).alias("noise")).collect()] == want
+    plan = df.select(F.reverse("name").alias("operation")).where(~S.is_noise(F.col("operation")))._jdf.queryExecution().optimizedPlan().toString()
+    assert next(x for x in plan.splitlines() if "Filter" in x).count("reverse(") == 1
