@@ -220,3 +220,16 @@ def test_noise_is_told_from_one_look_at_the_operation(spark):
     assert [x.noise for x in df.select(S.is_noise(F.col("name"), extra).alias("noise")).collect()] == want
     plan = df.select(F.reverse("name").alias("operation")).where(~S.is_noise(F.col("operation")))._jdf.queryExecution().optimizedPlan().toString()
     assert next(x for x in plan.splitlines() if "Filter" in x).count("reverse(") == 1
+
+
+def test_exact_percentile_equals_sorting(spark):
+    """Few rows, many, ties, nulls, a null key and a key without values; many rows go by the sketch's neighbourhood."""
+    r = random.Random(14)
+    groups = {"one": [5], "few": [r.randint(0, 9) for _ in range(5)], "ties": [7] * 300 + [9] * 4, None: [r.randint(0, 10**11) for _ in range(700)], "many": [int(r.expovariate(1e-9)) for _ in range(6000)], "none": []}
+    rows = [(k, v) for k, vs in groups.items() for v in [*vs, None]]
+    df = spark.createDataFrame(rows, "k string, v long")
+    for few in (10_000, 2_500):
+        got = {x.k: x.p for x in M.exact_percentile(df, ["k"], "v", 0.99, "p", 0.001, few).collect()}
+        want = {k: float(np.quantile(np.array(v, float), 0.99)) if v else None for k, v in groups.items()}
+        assert set(got) == set(want)
+        assert all(got[k] is None if w is None else abs(got[k] - w) <= 1e-9 * abs(w) for k, w in want.items()), (got, want)
