@@ -120,45 +120,54 @@ class Silence(StatefulProcessor):
 
 
 class TraceBuffer(StatefulProcessor):
-    """Spans of an open trace as a list that is only appended to, and the time of its first one; both go when it is released."""
+    """The open spans of many traces: a key is a bucket of trace ids, so a micro-batch costs a call a bucket and not one a trace. State is a
+    list of (trace, time, span), written anew with each call, and one timer, that of the trace that is due first."""
 
     def __init__(self, keys: list[str], timeout_ms: int):
         self.keys, self.timeout_ms = keys, timeout_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.first = handle.getValueState("first", "first_ms long")
-        self.spans = handle.getListState("spans", "span string")
-
-    def _released(self, key, first: int, spans: list[str]) -> pd.DataFrame:
-        return _with_keys(self.keys, key, pd.DataFrame({"first_ms": [first], "spans": [f"[{','.join(spans)}]"]}))
-
-    def _taken(self) -> list[str]:
-        spans = [s for (s,) in self.spans.get()] if self.spans.exists() else []
-        self.spans.clear()
-        return spans
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = _ordered(rows, ["ts_ms", "span"])
-        times, spans = frame["ts_ms"].to_numpy(np.int64), frame["span"].tolist()
-        first, at = self.first.get()[0] if self.first.exists() else None, 0
-        while True:
-            first = int(times[at]) if first is None else min(first, int(times[at]))
-            until = int(np.searchsorted(times, first + self.timeout_ms))
-            if until == len(times):
-                break
-            yield self._released(key, first, self._taken() + spans[at:until])
-            first, at = None, until
-        self.spans.appendList([(s,) for s in spans[at:]])
-        self.first.update((first,))
+        self.spans = handle.getListState("spans", "trace_id string, ts_ms long, span string")
+
+    def _held(self) -> pd.DataFrame:
+        return pd.DataFrame(list(self.spans.get()) if self.spans.exists() else [], columns=["trace_id", "ts_ms", "span"])
+
+    def _turn(self, key, frame: pd.DataFrame, watermark: int | None) -> Iterator[pd.DataFrame]:
+        """Cut the spans of each trace, in order, where one comes ``timeout_ms`` after the first of its buffer. The last buffer of a trace stays
+        open, unless the watermark has come to its end."""
+        traces, times, spans = frame["trace_id"].tolist(), frame["ts_ms"].tolist(), frame["span"].tolist()
+        starts = []
+        for at, (trace, time) in enumerate(zip(traces, times)):
+            if not starts or trace != traces[starts[-1]] or time >= times[starts[-1]] + self.timeout_ms:
+                starts.append(at)
+        out, kept, due = [], [], None
+        for at, until in zip(starts, [*starts[1:], len(traces)]):
+            ends = times[at] + self.timeout_ms
+            last = until == len(traces) or traces[until] != traces[at]
+            if last and (watermark is None or ends > watermark):
+                kept += zip(traces[at:until], times[at:until], spans[at:until])
+                due = ends if due is None else min(due, ends)
+            else:
+                out.append((traces[at], times[at], f"[{','.join(spans[at:until])}]"))
+        if kept:
+            self.spans.put(kept)
+        else:
+            self.spans.clear()
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(first + self.timeout_ms)
+        if due is not None:
+            self.handle.registerTimer(due)
+        if out:
+            yield _with_keys(self.keys, key, pd.DataFrame(out, columns=["trace_id", "first_ms", "spans"]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [f[["trace_id", "ts_ms", "span"]] for f in rows]
+        held = self._held()
+        yield from self._turn(key, _ordered(iter([held, *new] if len(held) else new), ["trace_id", "ts_ms", "span"]), None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.first.exists():
-            yield self._released(key, self.first.get()[0], self._taken())
-            self.first.clear()
+        yield from self._turn(key, self._held(), timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass

@@ -34,16 +34,18 @@ def session_incidents(events: DataFrame, gap: str = "15 minutes", delay: str = "
 _SPAN = "struct<start_us:bigint,span_id:string,parent_id:string,service:string,operation:string,duration_us:bigint,is_error:boolean,tags:map<string,string>>"
 
 
-def buffer_traces(spans: DataFrame, timeout_ms: int = 10_000, delay: str = "10 seconds") -> DataFrame:
+def buffer_traces(spans: DataFrame, timeout_ms: int = 10_000, delay: str = "10 seconds", buckets: int = 256) -> DataFrame:
     """Spans of a trace as one row (environment, trace_id, spans, trace_start), released ``timeout_ms`` after its first span by event time,
     however busy the trace is; later spans make a new row. Spans behind the watermark are dropped and counted by the query's
-    numRowsDroppedByWatermark. The state holds the spans of one open buffer, each written once."""
+    numRowsDroppedByWatermark. State is kept by ``buckets`` of traces an environment (as a checkpoint has it, the number stays); a bucket holds the
+    spans of its open buffers."""
     names = ["start_us", "span_id", "parent_id", "service", "operation", "duration_us", "is_error"]
     kept = F.to_json(F.struct(*names, "tags"))
-    rows = spans.withWatermark("event_time", delay).select("environment", "trace_id", "event_time", F.unix_millis("event_time").alias("ts_ms"), kept.alias("span"))
-    keys = ["environment", "trace_id"]
-    released = state.keyed(rows, keys, state.TraceBuffer(keys, timeout_ms), "first_ms long, spans string", event_time=True)
-    return released.select(*keys, F.from_json("spans", f"array<{_SPAN}>").alias("spans"), F.timestamp_millis("first_ms").alias("trace_start"))
+    bucket = F.pmod(F.xxhash64("trace_id"), F.lit(buckets)).cast("int").alias("bucket")
+    rows = spans.withWatermark("event_time", delay).select("environment", bucket, "trace_id", "event_time", F.unix_millis("event_time").alias("ts_ms"), kept.alias("span"))
+    keys = ["environment", "bucket"]
+    released = state.keyed(rows, keys, state.TraceBuffer(keys, timeout_ms), "trace_id string, first_ms long, spans string", event_time=True)
+    return released.select("environment", "trace_id", F.from_json("spans", f"array<{_SPAN}>").alias("spans"), F.timestamp_millis("first_ms").alias("trace_start"))
 
 
 def signature_arrays(traces: DataFrame, profile: Profile = STREAM) -> DataFrame:

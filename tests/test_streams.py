@@ -295,3 +295,36 @@ def test_walks_go_to_the_end(spark):
     told = {(x.environment, x.service) for x in G.secondary_services(edges, active, roots).collect()}
     assert {("chain", f"s{i}") for i in range(9)} <= told and ("chain", "s9") not in told
     assert told == {k for k, hops in chain.items() if hops > 0}
+
+
+def test_buffer_holds_many_traces_a_key():
+    """One call takes the traces of a bucket; late spans move a buffer's start, what the watermark has passed goes."""
+    from types import SimpleNamespace
+
+    class Handle:
+        rows, timers = [], []
+        getListState = lambda self, *_: self
+        exists = lambda self: bool(self.rows)
+        get = lambda self: iter(self.rows)
+        listTimers = lambda self: iter(self.timers)
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def clear(self):
+            self.rows = []
+
+        def deleteTimer(self, t):
+            self.timers = [x for x in self.timers if x != t]
+
+        def registerTimer(self, t):
+            self.timers = [*self.timers, t]
+
+    handle, buffer = Handle(), K.TraceBuffer(["environment", "bucket"], 10)
+    buffer.init(handle)
+    told = lambda frames: [tuple(x) for f in frames for x in f[["trace_id", "first_ms", "spans"]].itertuples(index=False)]
+    put = lambda *rows: told(buffer.handleInputRows(("e", 1), iter([pd.DataFrame(list(rows), columns=["trace_id", "ts_ms", "span"])]), None))
+    assert put(("a", 5, "1"), ("b", 7, "2"), ("a", 15, "3")) == [("a", 5, "[1]")] and handle.timers == [17]
+    assert put(("b", 6, "4"), ("b", 16, "5"), ("c", 30, "6")) == [("b", 6, "[4,2]")] and handle.timers == [25]
+    at = SimpleNamespace(getCurrentWatermarkInMs=lambda: 26)
+    assert told(buffer.handleExpiredTimer(("e", 1), at, None)) == [("a", 15, "[3]"), ("b", 16, "[5]")] and handle.timers == [40]
