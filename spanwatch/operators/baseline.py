@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanwatch.config import DEFAULTS
 from spanwatch.functions import scalars as S
+from spanwatch.lineage import stored
 
 KEY = ["environment", "fp_hash"]
 ROOT = ["environment", "root_op"]
@@ -48,7 +49,7 @@ def learn_trace(
             (F.coalesce("o_occurrences", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("occurrences"), F.coalesce("o_watch_hits", F.lit(0)).alias("watch_hits"), F.coalesce("o_auto_promoted", F.lit(False)).alias("auto_promoted"),
             F.col("o_promoted_at").alias("promoted_at"), F.coalesce("o_no_missing_service", F.lit(False)).alias("no_missing_service"), F.coalesce("o_first_seen", "since").alias("first_seen"), F.greatest("o_last_seen", "until").alias("last_seen"),
         )
-    b = b.where("auto_promoted or occurrences > 1") if bootstrap else drop_infra_only(b)
+    b = b.where("auto_promoted or occurrences > 1") if bootstrap else drop_infra_only(stored(b, "learned"))  # it reads the entries twice
     if promoted is not None:
         b = add_promoted(b, promoted)
     if overrides is not None:

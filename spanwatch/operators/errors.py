@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanwatch.config import BATCH, DEFAULTS, Profile
 from spanwatch.functions import scalars as S
-from spanwatch.operators.traces import TRACE, call_path, resolve_parents
+from spanwatch.operators.traces import TRACE, by_length, call_path, short_call_paths, short_traces, swept_parents
 
 SIG = ["environment", "sig_hash"]
 _PARTS = ["service", "error_type", "http_status", "db_system", "operation", "call_path"]
@@ -15,12 +15,18 @@ _PARTS = ["service", "error_type", "http_status", "db_system", "operation", "cal
 
 def error_signatures(spans: DataFrame, profile: Profile = BATCH) -> DataFrame:
     """One row per error span: type, status, database, operation, call path and their hash."""
-    placed = call_path(resolve_parents(spans, profile.explicit_parents), profile.frames)
     tag = lambda k: F.coalesce(F.try_element_at("tags", F.lit(k)), F.lit(""))
-    bad = F.col("is_error") | S.is_error(F.col("tags"), profile.name)
-    e = placed.where(bad & ~S.error_op_excluded(F.col("operation"), profile.name)).select(
-        *TRACE, "span_id", "service", S.error_type(F.col("tags")).alias("error_type"), tag("http.status_code").alias("http_status"), tag("db.system").alias("db_system"), "operation", "call_path", "event_time"
-    )
+    bad = (F.col("is_error") | S.is_error(F.col("tags"), profile.name)) & ~S.error_op_excluded(F.col("operation"), profile.name)
+    told = F.struct(S.error_type(F.col("tags")).alias("error_type"), tag("http.status_code").alias("http_status"), tag("db.system").alias("db_system"), "event_time")
+    given = ["parent"] if "parent" in spans.columns else ["parent_id"] if profile.explicit_parents else []
+    fields = ["start_us", "span_id", "duration_us", "service", "operation", *given]
+    short, long = by_length(spans.select(*TRACE, *fields, F.when(bad, told).alias("error")))
+    short = short.where(F.exists("spans", lambda s: s["error"].isNotNull()))
+    e = short_call_paths(short_traces(short, [*fields, "error"], profile.explicit_parents), lambda s: s["error"].isNotNull(), profile.frames)
+    e = e.select(*TRACE, "s.span_id", "s.service", "s.operation", "s.error", "call_path")
+    if long is not None:
+        e = e.unionByName(call_path(swept_parents(long, profile.explicit_parents), profile.frames).where("error is not null").select(*e.columns))
+    e = e.select(*TRACE, "span_id", "service", "error.error_type", "error.http_status", "error.db_system", "operation", "call_path", "error.event_time")
     return e.withColumn("sig_hash", S.sig_hash(*[F.col(c) for c in ("service", "error_type", "http_status", "operation", "call_path")]))
 
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from spanwatch.operators import baseline as B
 from spanwatch.operators import classify as C
 from spanwatch.operators import correlate as K
+from spanwatch.operators import errors as E
 from spanwatch.operators import metrics as M
 from spanwatch.operators import traces as T
+from spanwatch.sources import fixtures as X
 
 SPANS = "environment string, trace_id string, span_id string, start_us long, duration_us long"
 
@@ -233,3 +235,25 @@ def test_exact_percentile_equals_sorting(spark):
         want = {k: float(np.quantile(np.array(v, float), 0.99)) if v else None for k, v in groups.items()}
         assert set(got) == set(want)
         assert all(got[k] is None if w is None else abs(got[k] - w) <= 1e-9 * abs(w) for k, w in want.items()), (got, want)
+
+
+def _kept(df, *columns):
+    return sorted(map(tuple, df.select(*columns).collect()), key=str)
+
+
+def test_short_and_long_traces_give_the_same(spark, sf, monkeypatch):
+    """Traces in rows of their own, those that are swept and a mixture have the same fingerprints, signatures and parents."""
+    s = X.event_spans(spark, sf)
+    found = []
+    for most in (64, 0, 2):
+        monkeypatch.setattr(T, "SHORT", most)
+        f = _kept(T.fingerprint(s, min_spans=1), "environment", "trace_id", "fp_hash", "path", "root_op", "services", "span_count", "edge_count", "trace_start")
+        e = _kept(E.error_signatures(s), "trace_id", "span_id", "service", "error_type", "http_status", "db_system", "operation", "call_path", "event_time", "sig_hash")
+        found.append((f, e, _kept(T.resolve_parents(s, False), "trace_id", "span_id", "parent")))
+    assert found[0] == found[1] == found[2] and all(map(len, found[0]))
+
+
+def test_short_traces_are_shuffled_once(spark, sf):
+    s = X.event_spans(spark, sf)
+    for df in (T.fingerprint(s), E.error_signatures(s)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
