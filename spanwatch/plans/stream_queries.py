@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwatch.plans.base import shared_path, spike_sql, sql, stored
+from spanwatch.operators.baseline import learn_trace
+from spanwatch.plans.base import learn_window, shared_path, spike_sql, sql, stored
 from spanwatch.plans.registry import query
-from spanwatch.plans.structure_queries import _STREAM, base, fps, watched
+from spanwatch.plans.structure_queries import _STREAM, fps, fps_once, live
 from spanwatch.sources import fixtures as X
 from spanwatch.streaming import streams as St
 
@@ -192,8 +193,9 @@ def st_classify(spark, d):
     from spanwatch.sources import sinks
 
     folder = _folder(spark)
-    sinks.write_baseline(base(spark, d), f"{folder}/baseline")
-    stream = as_stream(watched(spark, d))
+    w, b = live(spark, d)
+    sinks.write_baseline(b, f"{folder}/baseline")
+    stream = as_stream(w)
     q = St.classify_batches(stream, lambda: sinks.read_baseline(spark, f"{folder}/baseline"), lambda df: df.write.mode("append").parquet(f"{folder}/out"), f"{folder}/state")
     q.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out")
@@ -222,8 +224,9 @@ def st_late_spans(spark, d):
     union all select 'long', count(*), 5 from fps where span_count > 3"""))
 def st_run_counters(spark, d):
     """Counters that a running stream observes in each micro-batch, as its listener writes them; added over batches."""
-    known = base(spark, d).select("environment", "fp_hash").withColumn("known", F.lit(True))
-    rows = fps(spark, d).select("environment", "fp_hash", "span_count", F.unix_millis("trace_start").alias("ts_ms")).join(known, ["environment", "fp_hash"], "left")
+    f = fps_once(spark, d)
+    known = learn_trace(learn_window(f)).select("environment", "fp_hash").withColumn("known", F.lit(True))
+    rows = f.select("environment", "fp_hash", "span_count", F.unix_millis("trace_start").alias("ts_ms")).join(known, ["environment", "fp_hash"], "left")
     path = f"{_folder(spark)}/counters"
     listener = St.RunCounters(spark, path)
     spark.streams.addListener(listener)

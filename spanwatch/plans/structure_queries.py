@@ -21,6 +21,11 @@ def fps(spark, d, known=None, of=None):
     return T.fingerprint(spans(spark, d) if of is None else of, known_root_ops=known)
 
 
+def fps_once(spark, d):
+    """The fingerprints as a table, for queries that read them more than once."""
+    return stored(fps(spark, d), "fingerprints")
+
+
 def learnt(spark, d, of=None):
     return learn_window(fps(spark, d, of=of))
 
@@ -55,12 +60,24 @@ def ecounts(spark, d):
     return E.watch_counts(watch_window(sigs(spark, d), "event_time"))
 
 
+def errors_once(spark, d):
+    """(signatures of the watch window, error baseline of the days before): all are made once."""
+    every = stored(sigs(spark, d), "signatures")
+    return watch_window(every, "event_time"), stored(E.learn_error(learn_window(every, "event_time")), "errors")
+
+
 def _split(d, early: bool):
     return d.where(F.col("trace_start") < F.lit("2024-01-11").cast("timestamp")) if early else d.where(F.col("trace_start") >= F.lit("2024-01-11").cast("timestamp"))
 
 
-def half(spark, d, early: bool):
-    return B.learn_trace(_split(learnt(spark, d), early))
+def half(spark, d, early: bool, of=None):
+    """The baseline of a part of the learn window; ``of`` are all fingerprints where several steps use them."""
+    return B.learn_trace(_split(learnt(spark, d) if of is None else learn_window(of), early))
+
+
+def halves(spark, d):
+    f = fps_once(spark, d)
+    return half(spark, d, True, f), half(spark, d, False, f)
 
 
 def _half_sql(name: str, test: str) -> dict[str, str]:
@@ -105,7 +122,8 @@ def w_first_edge(spark, d):
 
 @query(sql("select f.trace_id, f.fp_hash, b.occurrences from fps f left join base b using (environment, fp_hash)"))
 def j_baseline_lookup(spark, d):
-    return C.lookup(fps(spark, d), base(spark, d)).select("trace_id", "fp_hash", F.col("stored.occurrences").alias("occurrences"))
+    f = fps_once(spark, d)
+    return C.lookup(f, B.learn_trace(learn_window(f))).select("trace_id", "fp_hash", F.col("stored.occurrences").alias("occurrences"))
 
 
 _DOM = """select e.environment, e.root_op, e.service, count(*) as variants, min(t.total) as total from (select environment, root_op, unnest(services) as service from base) e
@@ -158,13 +176,13 @@ def j_fingerprint_diff(spark, d):
 @query(sql("""select environment, fp_hash, coalesce(a.root_op, b.root_op) as root_op, case when b.fp_hash is null then 'added' when a.fp_hash is null then 'removed' else 'changed' end as change
     from ba a full join bb b using (environment, fp_hash) where a.fp_hash is null or b.fp_hash is null or a.path <> b.path or a.services <> b.services""", **_A, **_B))
 def j_snapshot_diff(spark, d):
-    return B.snapshot_diff(half(spark, d, True), half(spark, d, False))
+    return B.snapshot_diff(*halves(spark, d))
 
 
 @query(sql("""select environment, fp_hash, case when a.fp_hash is null or b.occurrences > a.occurrences then b.occurrences else a.occurrences end as occurrences,
     case when a.fp_hash is null or b.occurrences > a.occurrences then b.span_count_max else a.span_count_max end as span_count_max from ba a full join bb b using (environment, fp_hash)""", **_A, **_B))
 def j_merge_trace(spark, d):
-    return B.merge_trace_baselines(half(spark, d, True), half(spark, d, False)).select("environment", "fp_hash", "occurrences", "span_count_max")
+    return B.merge_trace_baselines(*halves(spark, d)).select("environment", "fp_hash", "occurrences", "span_count_max")
 
 
 _EH = {n: f"select environment, sig_hash, count(*) as occurrences from sigs where event_time < timestamp '2024-01-21' and event_time {t} timestamp '2024-01-11' group by 1, 2 having count(*) >= 2" for n, t in (("ea", "<"), ("eb", ">="))}
@@ -172,13 +190,14 @@ _EH = {n: f"select environment, sig_hash, count(*) as occurrences from sigs wher
 
 @query(sql("select environment, sig_hash, case when a.sig_hash is null or b.occurrences > a.occurrences then b.occurrences else a.occurrences end as occurrences from ea a full join eb b using (environment, sig_hash)", **_EH))
 def j_merge_error(spark, d):
-    s, mid = learn_window(sigs(spark, d), "event_time"), F.lit("2024-01-11").cast("timestamp")
+    s, mid = stored(learn_window(sigs(spark, d), "event_time"), "signatures"), F.lit("2024-01-11").cast("timestamp")
     return B.merge_error_baselines(E.learn_error(s.where(F.col("event_time") < mid)), E.learn_error(s.where(F.col("event_time") >= mid))).select("environment", "sig_hash", "occurrences")
 
 
 @query(sql("select environment, fp_hash, occurrences, false as auto_promoted from ba union all select environment, fp_hash, occurrences, true from bb b where not exists (select 1 from ba a where a.environment = b.environment and a.fp_hash = b.fp_hash)", **_A, **_B))
 def j_merge_promoted(spark, d):
-    return B.add_promoted(half(spark, d, True), B.promote(half(spark, d, False), AS_OF)).select("environment", "fp_hash", "occurrences", "auto_promoted")
+    a, b = halves(spark, d)
+    return B.add_promoted(a, B.promote(b, AS_OF)).select("environment", "fp_hash", "occurrences", "auto_promoted")
 
 
 _COV = """select environment, root_op, coalesce(traces, 0) as traces, coalesce(matched, 0) as matched, coalesce(traces, 0) - coalesce(matched, 0) as unmatched, coalesce(n, 0) as entries from
@@ -230,8 +249,9 @@ def a_learn_trace(spark, d):
     (select environment, fp_hash, count(*) as n, min(span_count) as lo from learnt where trace_start >= timestamp '2024-01-11' group by 1, 2) n using (environment, fp_hash)""", **_A))
 def a_learn_again(spark, d):
     """A second run on a baseline, before new hashes are admitted: entries of the first that were seen again."""
-    old = half(spark, d, True)
-    again = B.learn_trace(_split(learnt(spark, d), False), prev=old, min_occurrences=2**31)
+    f = fps_once(spark, d)
+    old = stored(half(spark, d, True, f), "baseline")
+    again = B.learn_trace(_split(learn_window(f), False), prev=old, min_occurrences=2**31)
     return again.join(old.select("environment", "fp_hash"), ["environment", "fp_hash"], "left_semi").select("environment", "fp_hash", "occurrences", "span_count_min")
 
 
@@ -322,8 +342,8 @@ def a_distinct(spark, d):
     from sigs s where s.event_time >= timestamp '2024-01-21' and not exists (select 1 from ebase b where b.environment = s.environment and b.sig_hash = s.sig_hash) group by 1, 2, 3)
     select environment, service, error_type, signatures, representative, array_to_string(o[1:3], ', ') || case when len(o) > 3 then ' (+' || (len(o) - 3) || ' more)' else '' end as operations, call_paths from g"""))
 def a_group_new_errors(spark, d):
-    new = watch_window(sigs(spark, d), "event_time").join(ebase(spark, d).select("environment", "sig_hash"), ["environment", "sig_hash"], "left_anti")
-    return E.group_new_errors(new)
+    now, known = errors_once(spark, d)
+    return E.group_new_errors(now.join(known.select("environment", "sig_hash"), ["environment", "sig_hash"], "left_anti"))
 
 
 @query(sql("""with r as (select *, db_system <> '' as db, row_number() over (partition by trace_id order by case when db_system <> '' then 0 else 1 end, start_us, span_id) as nth from par)
@@ -382,7 +402,8 @@ def d_silent_root_op(spark, d):
 
 @query(sql("select * from (select c.environment, c.sig_hash, c.service, c.n, b.occurrences, case when b.sig_hash is null then 'NEW_ERROR_SIGNATURE' when b.occurrences >= 5 and c.n > b.occurrences * 0.3 then 'SIGNATURE_SPIKE' end as anomaly_type from ecounts c left join ebase b using (environment, sig_hash)) where anomaly_type is not null"))
 def d_error_anomaly(spark, d):
-    return E.classify_errors(ecounts(spark, d), ebase(spark, d), learn_runs=10)
+    now, known = errors_once(spark, d)
+    return E.classify_errors(E.watch_counts(now), known, learn_runs=10)
 
 
 @query(sql(
@@ -390,7 +411,8 @@ def d_error_anomaly(spark, d):
     select environment, sig_hash, service, occurrences, round(share, 9) as share from s where share >= 0.002 and not exists (select 1 from ecounts c where c.environment = s.environment and c.sig_hash = s.sig_hash)
     and (not exists (select 1 from ecounts c where c.environment = s.environment) or exists (select 1 from ecounts c where c.environment = s.environment and c.service = s.service))"""))
 def d_error_vanished(spark, d):
-    v = E.vanished_signatures(ebase(spark, d), ecounts(spark, d), 0.002)
+    now, known = errors_once(spark, d)
+    v = E.vanished_signatures(known, stored(E.watch_counts(now), "counts"), 0.002)
     return v.withColumn("share", F.round("share", 9))
 
 
@@ -413,7 +435,8 @@ def d_stream_structure(spark, d):
 @query(sql("""select f.environment, f.fp_hash, epoch_us(min(f.trace_start)) as restored_us, count(*) as traces from fps f join (select environment, fp_hash, min(trace_start) as t from learnt where trace_start < timestamp '2024-01-11' group by 1, 2) d using (environment, fp_hash)
     where f.trace_start > d.t and exists (select 1 from bb b where b.environment = f.environment and b.fp_hash = f.fp_hash) group by 1, 2""", **_B))
 def d_restored(spark, d):
-    r = C.restored(fps(spark, d), _split(learnt(spark, d), True), half(spark, d, False))
+    f = fps_once(spark, d)
+    r = C.restored(f, _split(learn_window(f), True), half(spark, d, False, f))
     return r.select("environment", "fp_hash", F.unix_micros("restored_at").alias("restored_us"), "traces")
 
 
@@ -421,7 +444,8 @@ def d_restored(spark, d):
     from fps f where exists (select 1 from base b where b.environment = f.environment and b.root_op = f.root_op and not (len(list_filter(b.services, lambda x: x <> b.root_service)) > 0
       and not exists (select 1 from base r where r.environment = b.environment and list_contains(list_filter(b.services, lambda x: x <> b.root_service), r.root_service))))) select environment, root_op, epoch_us(trace_start) as last_us, silence_s from g where silence_s >= 4 * 10800"""))
 def d_missing_stream(spark, d):
-    m = C.missing_root_ops(fps(spark, d), base(spark, d), 10800, AS_OF)
+    f = fps_once(spark, d)
+    m = C.missing_root_ops(f, B.learn_trace(learn_window(f)), 10800, AS_OF)
     return m.select("environment", "root_op", F.unix_micros("last_seen").alias("last_us"), "silence_s")
 
 
@@ -436,9 +460,8 @@ def b_watch_hits(spark, d):
     w, b = live(spark, d)
     new = w.join(b.select("environment", "fp_hash"), ["environment", "fp_hash"], "left_anti")
     t = B.apply_watch_hits(b, new, AS_OF, threshold=1).select(F.lit("trace").alias("kind"), "environment", F.col("fp_hash").alias("hash"), "occurrences", "watch_hits", "auto_promoted")
-    s = stored(sigs(spark, d), "signatures")
-    known = E.learn_error(learn_window(s, "event_time"))
-    fresh = watch_window(s, "event_time").join(known.select("environment", "sig_hash"), ["environment", "sig_hash"], "left_anti")
+    now, known = errors_once(spark, d)
+    fresh = now.join(known.select("environment", "sig_hash"), ["environment", "sig_hash"], "left_anti")
     e = E.apply_watch_hits(known, fresh, AS_OF, threshold=1)
     return t.unionByName(e.select(F.lit("error").alias("kind"), "environment", F.col("sig_hash").alias("hash"), "occurrences", "watch_hits", "auto_promoted"))
 
@@ -511,7 +534,7 @@ def t_order_patterns(spark, d):
 
 @query(sql("select environment, fp_hash, case when b.fp_hash is null then 'added' when a.fp_hash is null then 'removed' else 'both' end as side from (select distinct environment, fp_hash, fp_hash as h from ba) a full join (select distinct environment, fp_hash, fp_hash as h from bb) b using (environment, fp_hash)".replace("b.fp_hash is null", "b.h is null").replace("a.fp_hash is null", "a.h is null"), **_A, **_B))
 def set_hash_diff(spark, d):
-    return B.hash_diff(half(spark, d, True), half(spark, d, False))
+    return B.hash_diff(*halves(spark, d))
 
 
 @query(sql("""select environment, fp_hash, array_to_string(list_sort(list_filter(services, lambda x: x not in ('view', 'click'))), ',') as less, array_to_string(list_sort(list_distinct(list_concat(services, ['view', 'click']))), ',') as u,
@@ -552,8 +575,9 @@ def src_error_traces(spark, d):
 
 @query(sql("select b.environment, b.fp_hash, case when b.environment = 'dev' then 0.9 else 0.6 end as limit_value from base b"))
 def src_thresholds(spark, d):
-    t = base(spark, d).select("environment").distinct().where("environment = 'dev'").select(F.col("environment").alias("service"), F.lit(0.9).alias("missing_service_dominance_threshold"))
-    out = B.with_threshold(base(spark, d), t, "missing_service_dominance_threshold", 0.6, "environment")
+    b = stored(base(spark, d), "baseline")
+    t = b.select("environment").distinct().where("environment = 'dev'").select(F.col("environment").alias("service"), F.lit(0.9).alias("missing_service_dominance_threshold"))
+    out = B.with_threshold(b, t, "missing_service_dominance_threshold", 0.6, "environment")
     return out.select("environment", "fp_hash", F.col("missing_service_dominance_threshold").alias("limit_value"))
 
 
