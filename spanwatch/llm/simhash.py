@@ -206,8 +206,7 @@ def _cells(distinct: DataFrame, radius: int, words: int, similarity: float):
     width = -np.log(similarity) / 2
     cell = F.when(F.col("shingles") > 0, F.floor(F.log("shingles") / F.lit(float(width)))).otherwise(-10).cast("int")
     number = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
-    group = F.col("group") if "group" in distinct.columns else F.lit(0).cast("long")
-    return distinct.select(F.concat("fp", number(F.col("node")), number(group)).alias("item"), cell.alias("x"), F.lit(0).alias("y")), [(0, 0), (1, 0), (2, 0)]
+    return distinct.select(F.concat("fp", number(F.col("node")), number(F.lit(0).cast("long"))).alias("item"), cell.alias("x"), F.lit(0).alias("y")), [(0, 0), (1, 0), (2, 0)]
 
 
 def _tile_pairs(distinct: DataFrame, radius: int, words: int, tile_rows: int, similarity: float) -> DataFrame:
@@ -231,17 +230,14 @@ def _tile_pairs(distinct: DataFrame, radius: int, words: int, tile_rows: int, si
     return pairs.selectExpr("a", "if(level and ba = bb, null, b) as b")
 
 
-def linked_nodes(
-    distinct: DataFrame, radius: int, words: int = 1, tile_rows: int = 16384, similarity: float = 0.8, across: bool = False
-) -> DataFrame:
+def linked_nodes(distinct: DataFrame, radius: int, words: int = 1, tile_rows: int = 16384, similarity: float = 0.8) -> DataFrame:
     """(u long, v long): links within ``radius`` bits between the nodes of ``distinct(fp, node, shingles)`` that join all that is
-    linked. Of prints of several words only those are compared whose texts can have the ``similarity``, by their number of shingles.
-    With ``across``, all links between nodes that differ in the column ``group`` (prints of several words)."""
+    linked. Of prints of several words only those are compared whose texts can have the ``similarity``, by their number of shingles."""
 
     def run(batches):
         for batch in batches:
             for a, b in zip(batch.column(0), batch.column(1)):
-                for u, v in tile_links(a.as_py(), b.as_py(), radius, words, across):
+                for u, v in tile_links(a.as_py(), b.as_py(), radius, words):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return _tile_pairs(distinct, radius, words, tile_rows, similarity).mapInArrow(run, "u long, v long")
@@ -293,23 +289,84 @@ def verified_links(links: DataFrame, sets: DataFrame, similarity: float, hub: in
     return both.select("u", "v", "hu", "hv").mapInArrow(check, "u long, v long")
 
 
+def _roots_joined(rows_a: list, rows_b: list | None, radius: int, similarity: float):
+    """Links between different parts that join all parts which rows of the two tiles (``rows_b`` None: of the one with itself) link: at most one fewer
+    than the parts. Rows are dicts of fp, group and h (an array); nearest prints come first, and nothing is counted inside what is joined already."""
+    rows, shift = (rows_a, 0) if rows_b is None else (rows_a + rows_b, len(rows_a))
+    prints = np.frombuffer(b"".join(x["fp"] for x in rows), np.uint64).reshape(len(rows), -1)
+    sets = [x["h"] for x in rows]
+    size, group = np.fromiter(map(len, sets), np.int64, len(rows)), np.array([x["group"] for x in rows], np.int64)
+    i, j, far = _close(prints[: len(rows_a)], prints[shift:], radius)
+    j = j + shift
+    wanted = (group[i] != group[j]) & (i < j) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
+    i, j = i[wanted], j[wanted]
+    up, found = {int(g): int(g) for g in group}, []
+
+    def root(g):
+        while up[g] != g:
+            up[g] = up[up[g]]
+            g = up[g]
+        return g
+
+    for k in np.argsort(far[wanted], kind="stable").tolist():
+        a, b = int(i[k]), int(j[k])
+        x, y = root(int(group[a])), root(int(group[b]))
+        if x == y:
+            continue
+        same = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        union = len(sets[a]) + len(sets[b]) - same
+        if union and same >= similarity * union:
+            up[max(x, y)] = min(x, y)
+            found.append((int(group[a]), int(group[b])))
+    return found
+
+
+def joined_parts(rows: DataFrame, radius: int, similarity: float, tile_rows: int = 256) -> DataFrame:
+    """(u, v): parts that a pair of texts links, of ``rows(near, node, group, fp, h)``: only rows of one ``near`` are compared, in pairs of tiles of
+    about ``tile_rows`` rows and 8 MB, whose sets are counted where their prints are. What leaves a pair of tiles is a forest of its parts, so the number
+    of rows doesn't follow the number of near pairs."""
+    tiles_of = F.greatest(F.ceil(F.count("*") / F.lit(tile_rows)), F.ceil(F.sum(F.size("h")) / F.lit(1_000_000))).cast("int")
+    large = cut(rows.groupBy("near").agg(tiles_of.alias("nb")).where("nb > 1"), "simhash-large")  # one tile holds at most so much of the rest
+    placed = rows.join(F.broadcast(large), "near", "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("bucket", F.expr("pmod(xxhash64(node), nb)").cast("int"))
+    tiles = placed.groupBy("near", "nb", "bucket").agg(F.collect_list(F.struct("fp", "group", "h")).alias("tile"))
+    tiles = cut(tiles, "simhash-parts-tiles")
+    tasks = tasks_for(rows.sparkSession, tiles.count(), 8)
+    left = tiles.select("near", F.col("bucket").alias("ba"), F.col("tile").alias("a"), F.explode(F.sequence("bucket", F.col("nb") - 1)).alias("bb"))
+    right = tiles.select("near", F.col("bucket").alias("bb"), F.col("tile").alias("b"))
+    pairs = left.repartition(tasks, "near", "bb").join(right.repartition(tasks, "near", "bb"), ["near", "bb"])
+
+    def rows_of(tile):
+        if not tile.is_valid:
+            return None
+        fp, group, h = (tile.values.field(c) for c in ("fp", "group", "h"))
+        return [{"fp": x, "group": g, "h": y.values.to_numpy()} for x, g, y in zip(fp.to_pylist(), group.to_pylist(), h)]
+
+    def run(batches):
+        for batch in small_batches(batches, 1):
+            found = _roots_joined(rows_of(batch.column(0)[0]), rows_of(batch.column(1)[0]), radius, similarity)
+            if found:
+                u, v = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return pairs.selectExpr("a", "if(ba = bb, null, b) as b").mapInArrow(run, "u long, v long")
+
+
 def similar_groups(reps: DataFrame, docs: DataFrame, width: int, words: int, radius: int, tile_rows: int, similarity: float) -> DataFrame:
     """(node, root): groups of the sets of ``reps`` that links of at least the ``similarity`` join, of all pairs within ``radius`` bits.
 
-    A least spanning forest of the prints' links is counted first. Inside what its links that hold join, others join nothing more. If some link
-    is refused, all links between different such parts are counted too, among the few sets that have any link."""
+    A least spanning forest of the prints' links is counted first. Inside what its links that hold join, others join nothing more. Where some link
+    is refused, links between different such parts are counted too, among the sets that chains of links within ``radius`` bits connect."""
     links = cut(linked_nodes(reps, radius, words, tile_rows, similarity).distinct(), "simhash-found")
     sets = cut(_shingle_sets(links, reps, docs, width), "simhash-shingles")
     held = cut(verified_links(links, sets, similarity), "simhash-held")
     parts = cut(connected_components(held, "simhash-parts"), "simhash-roots")
     if held.count() == links.count():
         return parts
-    open_ = reps.join(sets.select("node"), "node").join(parts, "node", "left").select(*reps.columns, F.coalesce("root", "node").alias("group"))
-    open_ = cut(open_, "simhash-open")
-    more = cut(linked_nodes(open_, radius, words, tile_rows, similarity, across=True), "simhash-across")
-    group = open_.select("node", "group")
-    ends = verified_links(more, sets, similarity).join(group.toDF("u", "gu"), "u").join(group.toDF("v", "gv"), "v")
-    joined = cut(ends.select(F.col("gu").alias("u"), F.col("gv").alias("v")).distinct(), "simhash-joined")
+    near = connected_components(links, "simhash-near").select("node", F.col("root").alias("near"))
+    group = cut(near.join(parts, "node", "left").select("node", "near", F.coalesce("root", "node").alias("group")), "simhash-open")
+    mixed = group.groupBy("near").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("near")
+    rows = group.join(mixed, "near").join(reps.select("node", "fp"), "node").join(sets, "node")
+    joined = cut(joined_parts(rows, radius, similarity).distinct(), "simhash-joined")
     if joined.isEmpty():
         return parts
     above = connected_components(joined, "simhash-groups").toDF("group", "above")

@@ -510,3 +510,23 @@ def test_verified_links_of_a_hub(spark):
     links = spark.createDataFrame([(0, k) if k % 3 else (k, 0) for k in range(1, 40)], "u long, v long")
     got = simhash.verified_links(links, spark.createDataFrame(sets, "node long, h array<long>"), 0.8, hub=4).collect()
     assert sorted(max(x.u, x.v) for x in got) == [k for k in range(1, 40) if k % 2]
+
+
+def test_links_between_parts_are_a_forest(spark):
+    """A large group of near prints, all pairs of which are near: of the links that hold those that join parts leave, not all."""
+    r = np.random.default_rng(5)
+    rows, sets = [], []
+    for k in range(300):
+        own = set(range(100 * (k % 10), 100 * (k % 10) + 90)) | set(r.integers(10_000, 10**6, 10).tolist())
+        sets.append(own)
+        rows.append((0, k, k, np.array([k % 7, 0, 0, 0], np.uint64).tobytes(), sorted(own)))
+    df = spark.createDataFrame(rows, "near long, node long, group long, fp binary, h array<long>")
+    links = [(x.u, x.v) for x in simhash.joined_parts(df, 72, 0.8, tile_rows=100).collect()]
+    label, share = groups_of(sets)
+    got = list(range(300))
+    for u, v in links:
+        low, high = sorted((got[u], got[v]))
+        got = [low if x == high else x for x in got]
+        assert share[max(u, v), min(u, v)] >= 0.8
+    assert got == label and len(set(label)) == 10
+    assert len(links) < 3000 < sum(s >= 0.8 for s in share.values())
