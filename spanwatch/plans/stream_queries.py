@@ -151,8 +151,10 @@ def st_learn_state(spark, d):
 
 @query(sql("select environment, fp_hash, ts_ms, case when drifting then 'drift' else 'restored' end as change from (select *, lag(drifting) over (partition by environment, fp_hash order by ts_ms) as before from (select environment, fp_hash, epoch_us(trace_start) // 1000 as ts_ms, span_count > 3 and hour(trace_start) < 12 as drifting from fps)) where drifting <> coalesce(before, false)"))
 def st_active_drifts(spark, d):
-    f = fps(spark, d).select("environment", "fp_hash", F.unix_millis("trace_start").alias("ts_ms"), ((F.col("span_count") > 3) & (F.hour("trace_start") < 12)).alias("drifting"))
-    return drained(St.active_drifts, f, "ts_ms")
+    """Traces of one millisecond, whose order the SQL leaves open, follow each other by their microseconds, then by their ids."""
+    drifting = (F.col("span_count") > 3) & (F.hour("trace_start") < 12)
+    f = fps(spark, d).select("environment", "fp_hash", F.unix_millis("trace_start").alias("ts_ms"), drifting.alias("drifting"), "trace_start", "trace_id")
+    return drained(lambda s: St.active_drifts(s, ("ts_ms", "trace_start", "trace_id")), f, "ts_ms")
 
 
 @query(sql("""with c as (select *, service || ':' || operation as frame from chat where trace_id <> (select cast(max(conv_id) as varchar) from conversations)),

@@ -161,8 +161,10 @@ def promotion_counts(detections: DataFrame, threshold: int = 10, warmup_until_ms
     return _fold(detections, ["environment", "fp_hash"], "n long", step, "ts_ms long, detections long")
 
 
-def active_drifts(states: DataFrame) -> DataFrame:
-    return _fold(states, ["environment", "fp_hash"], "drifting boolean", state.drift_step, "ts_ms long, change string")
+def active_drifts(states: DataFrame, order: tuple[str, ...] = ("ts_ms",)) -> DataFrame:
+    """Changes of drifting(environment, fp_hash, ts_ms, drifting). ``order`` settles which of several states of one time comes first; by the time
+    alone they would follow as they arrive."""
+    return _fold(states, ["environment", "fp_hash"], "drifting boolean", state.drift_step, "ts_ms long, change string", order)
 
 
 def silence_timer(fps: DataFrame, silence_ms: int, delay: str = "10 minutes") -> DataFrame:

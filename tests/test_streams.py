@@ -328,3 +328,23 @@ def test_buffer_holds_many_traces_a_key():
     assert put(("b", 6, "4"), ("b", 16, "5"), ("c", 30, "6")) == [("b", 6, "[4,2]")] and handle.timers == [25]
     at = SimpleNamespace(getCurrentWatermarkInMs=lambda: 26)
     assert told(buffer.handleExpiredTimer(("e", 1), at, None)) == [("a", 15, "[3]"), ("b", 16, "[5]")] and handle.timers == [40]
+
+
+def test_drifts_of_one_millisecond_follow_their_microseconds(spark, tmp_path):
+    """Two traces of a key in one millisecond, of which one drifts: what comes out doesn't depend on how they arrive."""
+    from spanwatch.plans.stream_queries import st_active_drifts
+
+    rows, wanted, at = [], set(), pd.Timestamp("2024-01-01 01:00:00")
+    for n, (service, first) in enumerate([("click", 4), ("view", 2), ("search", 4), ("scroll", 2)]):
+        for trace, spans in enumerate([first, 6 - first]):  # the first begins at microsecond 100, the second at 500
+            user, start = 3 * (2 * n + (trace if n < 2 else 1 - trace)), at + pd.Timedelta(microseconds=100 + 400 * trace)
+            rows += [(len(rows) + k, start + pd.Timedelta(minutes=k), user, service, 0.0, '{"k": 0}') for k in range(spans)]
+        ts_ms = at.value // 1_000_000
+        wanted |= {(service, ts_ms, c) for c in (("drift", "restored") if first == 4 else ("drift",))}
+    events = pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
+    for name, table in (("as", events), ("back", events.iloc[::-1])):
+        (tmp_path / name).mkdir()
+        spark.createDataFrame(table).coalesce(1).write.parquet(f"{tmp_path}/{name}/events.parquet")
+        hashes = {r.fp_hash: r.service for r in T.fingerprint(X.event_spans(spark, f"{tmp_path}/{name}")).selectExpr("fp_hash", "split(root_op, ':')[0] as service").distinct().collect()}
+        out = [(hashes[r.fp_hash], r.ts_ms, r.change) for r in st_active_drifts(spark, f"{tmp_path}/{name}").collect()]
+        assert len(out) == len(wanted) and set(out) == wanted
