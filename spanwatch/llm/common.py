@@ -89,9 +89,19 @@ def small_batches(batches, rows: int = 1024):
             yield b.slice(at, rows)
 
 
-def _with_low(edges: DataFrame, low: DataFrame, hub: int) -> DataFrame:
+def _both_ways(e: DataFrame) -> DataFrame:
+    return e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _lowest(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+
+
+def _with_low(edges: DataFrame, low: DataFrame, hub: int | None) -> DataFrame:
     """``edges(u, v)`` with the m of their u in ``low(u, m, n)``. Nodes with more than ``hub`` edges are joined by a
-    broadcast, so that none of them is the key of one task; there are at most edges / hub of these."""
+    broadcast, so that none of them is the key of one task; there are at most edges / hub of these. None: no node has so many."""
+    if hub is None:
+        return edges.join(low.select("u", "m"), "u")
     hubs = F.broadcast(low.where(F.col("n") > hub).select("u", F.col("m").alias("hub_m")))
     told = edges.join(hubs, "u", "left")
     hot = told.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m"))
@@ -103,9 +113,12 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
 
     Returns (node, root) for every node that has an edge to another node; root is the smallest
     node of its component. Rounds of large-star and small-star joins, each written to the shared
-    folder; the table of the round before is deleted then. A node's neighbours are only ever aggregated
+    folder; the tables of the round before are deleted then. A node's neighbours are only ever aggregated
     with ``min``, combined before the shuffle, and a hub's edges are joined where they are, so it does not
     gather its list in one task. Self loops and nulls are ignored. Empty input gives an empty result.
+
+    A table between the two stars, and hubs only where there are any, keep each plan small: the driver holds a plan anew
+    for every stage of it that ends.
     """
     spark = edges.sparkSession
     e = (
@@ -116,25 +129,30 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
     path = fresh_path(spark, name)
     e = cut(e, name, path)
 
-    def signature(df):
-        return df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    def shape(df):
+        """Number of edges, a hash of all, most edges of a node (those that a large star leaves a node are no more)."""
+        nodes = _both_ways(df).groupBy("u").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h"))
+        ends, h, most = nodes.agg(F.sum("n"), F.bit_xor("h"), F.max("n")).first()
+        return (ends or 0) // 2, h, most
 
-    before = signature(e)
+    before = shape(e)
     if before[0] == 0:
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(max_rounds):
         hub = max(1000, before[0] // 10_000)  # so at most 20 000 rows are broadcast
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = (
-            _with_low(both, low, hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        )
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        hub = hub if before[2] > hub else None
+        both = _both_ways(e)
+        low = _lowest(both).select("u", F.least("u", "m").alias("m"), "n")
+        large = _with_low(both, low, hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        between = fresh_path(spark, f"{name}-large")
+        large = cut(large, name, between)
+        low = _lowest(large)
         small = _with_low(large, low, hub).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, path = path, fresh_path(spark, name)
         e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name, path)
-        after = signature(e)
         discard(spark, last)
+        discard(spark, between)
+        after = shape(e)
         if after == before:
             break
         before = after

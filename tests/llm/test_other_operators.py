@@ -213,6 +213,34 @@ def test_components(spark):
     assert common.connected_components(edges.limit(0)).count() == 0
 
 
+def test_component_rounds_have_small_plans(spark, monkeypatch):
+    """With a hub and without: right roots, and no table of a round reads more than a few tables (60 and more before)."""
+    rng, reads, cut = np.random.default_rng(3), [], common.cut
+
+    def counted(df, *args):
+        reads.append(df._jdf.queryExecution().analyzed().collectLeaves().size())
+        return cut(df, *args)
+
+    monkeypatch.setattr(common, "cut", counted)
+    pairs = rng.integers(0, 400, (300, 2)).tolist() + [(1000 + i, 1001 + i) for i in range(40)]
+    for edges, most in ((pairs, 4), (pairs + [(5000, 5001 + i) for i in range(1500)] + [(9000 - i, 9000) for i in range(1, 1200)], 12)):
+        reads.clear()
+        root = {n: n for pair in edges for n in pair}
+
+        def find(n):
+            while root[n] != n:
+                n = root[n]
+            return n
+
+        for u, v in edges:
+            u, v = find(u), find(v)
+            root[max(u, v)] = min(u, v)
+        linked = {n for u, v in edges if u != v for n in (u, v)}
+        got = common.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
+        assert len(got) == len(linked) and {r.node: r.root for r in got} == {n: find(n) for n in linked}
+        assert max(reads) <= most
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as c
 
