@@ -1,6 +1,7 @@
 """Operators that avoid whole histories, pairs of a group or deep joins, against plain forms of the same rules."""
 
 import random
+import re
 import time
 
 import numpy as np
@@ -257,3 +258,18 @@ def test_short_traces_are_shuffled_once(spark, sf):
     s = X.event_spans(spark, sf)
     for df in (T.fingerprint(s), E.error_signatures(s)):
         assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_spikes_of_a_busy_signature_fold_no_window_anew(spark, monkeypatch):
+    """Many events of one signature inside one window, ten at a time, after a quiet start; only events of one time are a sliding frame."""
+    quiet, n, window = [100 * k for k in range(12)], 3000, 1_000_000
+    times = [t * 1_000_000 for t in quiet] + [5_000_000_000 + 1_000 * (k // 10) for k in range(n)]
+    rows = spark.createDataFrame([(t, f"{k:06d}") for k, t in enumerate(times)], "us long, span_id string").withColumn("event_time", F.timestamp_micros("us"))
+    sigs = rows.select(F.lit("e").alias("environment"), F.lit("s").alias("sig_hash"), F.lit("t").alias("trace_id"), "span_id", "event_time")
+    monkeypatch.setattr(M, "stored", lambda df, name: df)
+    base = 5 / (400 / 60)  # half of the first ten
+    spikes = M.error_rate_spikes(sigs, None, window, 0.1, 10)
+    rates = {f"{k:06d}": round((k + 1) / (window / 60), 9) for k in range(len(times)) if k >= 9 and (k + 1) / (window / 60) >= 0.1 * base}
+    assert {x.span_id: (x.per_min, x.base_rate) for x in spikes.collect()} == {k: (v, round(base, 9)) for k, v in rates.items()} and len(rates) > 1000
+    starts = re.findall(r"rangeframe, (\S+)\$\(\), ", plan := spikes._jdf.queryExecution().optimizedPlan().toString().lower())
+    assert starts and len(starts) == plan.count("rangeframe") and set(starts) <= {"unboundedpreceding", "currentrow"}
