@@ -273,3 +273,36 @@ def test_spikes_of_a_busy_signature_fold_no_window_anew(spark, monkeypatch):
     assert {x.span_id: (x.per_min, x.base_rate) for x in spikes.collect()} == {k: (v, round(base, 9)) for k, v in rates.items()} and len(rates) > 1000
     starts = re.findall(r"rangeframe, (\S+)\$\(\), ", plan := spikes._jdf.queryExecution().optimizedPlan().toString().lower())
     assert starts and len(starts) == plan.count("rangeframe") and set(starts) <= {"unboundedpreceding", "currentrow"}
+
+
+def test_snapshot_rolls_up_to_services_and_environments(spark, sf):
+    """The query returns all three levels: each row is the worst of the level below, with the counts and means of all its rows."""
+    from spanwatch.plans.signal_queries import a_service_metrics
+
+    def of(rows):
+        levels = {"operation": [], "service": [], "environment": []}
+        for x in rows:
+            levels[x.level].append(x)
+        return levels.values()
+
+    order = ("learning", "ok", "warn", "anomaly").index
+    ops, services, environments = of(a_service_metrics(spark, sf).collect())
+    assert {(x.environment, x.service) for x in services} == {(x.environment, x.service) for x in ops} and {x.environment for x in environments} == {x.environment for x in ops}
+    for rows, below, key in ((services, ops, lambda x: (x.environment, x.service)), (environments, services, lambda x: x.environment)):
+        assert len({key(x) for x in rows}) == len(rows) > 0
+        for x in rows:
+            parts = [y for y in below if key(y) == key(x)]
+            worst = max(parts, key=lambda y: (order(y.status), y.z, y.service, y.operation))
+            assert (x.service, x.z, x.status) == (worst.service, worst.z, worst.status) and x.spans == sum(y.spans for y in parts)
+            assert (x.parts, x.warn, x.anomalies) == (len(parts), *(sum(y.status == s for y in parts) for s in ("warn", "anomaly")))
+
+    made = (("a", "x", 100, 8), ("a", "y", 300, 40), ("b", "x", 500, 5), ("c", "x", 900, 60))
+    spans = [("e", f"t{n:03d}", s, o, n, d, o == "y" and n % 4 == 0) for s, o, d, many in made for n in range(many)]
+    table = spark.createDataFrame(spans, "environment string, trace_id string, service string, operation string, s long, duration_us long, is_error boolean").withColumn("start_us", F.col("s") * 1_000_000)
+    ops, services, environments = of(M.metrics_snapshot(table, 1000, 30).collect())
+    assert {(x.service, x.operation): (x.latency_us, x.baseline_us, x.error_rate, x.status) for x in ops} == {
+        ("a", "x"): (100, None, 0, "learning"), ("a", "y"): (300, 300, 0.25, "anomaly"), ("b", "x"): (500, None, 0, "learning"), ("c", "x"): (900, 900, 0, "ok")}
+    assert {x.service: (x.operation, x.latency_us, x.baseline_us, round(x.error_rate, 9), x.spans, x.status) for x in services} == {
+        "a": ("y", 300, 300, round(10 / 48, 9), 48, "anomaly"), "b": ("x", 500, None, 0, 5, "learning"), "c": ("x", 900, 900, 0, 60, "ok")}
+    (e,) = environments
+    assert (e.service, e.latency_us, round(e.error_rate, 9), e.spans, e.status, e.parts, e.warn, e.anomalies) == ("a", 400, round(10 / 48 / 3, 9), 113, "anomaly", 3, 0, 1)
